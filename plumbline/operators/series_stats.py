@@ -361,8 +361,8 @@ def fan_out(
         F.coalesce(F.sum(F.col("_l") * F.coalesce("_r", F.lit(0).cast("bigint"))), F.lit(0)).alias("joined_rows"),
         F.coalesce(F.sum(F.when(F.col("_r").isNull(), F.col("_l"))), F.lit(0)).alias("unmatched_rows"))
     if business_key:
-        distinct = base.groupBy(*business_key).count().agg(F.count(F.lit(1)).alias("distinct_keys"))
-        counts = counts.join(F.broadcast(distinct))  # two one-row frames
+        distinct = base.select(*business_key).distinct().agg(F.count(F.lit(1)))
+        counts = counts.withColumn("distinct_keys", distinct.scalar())
     else:
         counts = counts.withColumn("distinct_keys", F.lit(None).cast("bigint"))
     off = (F.col("joined_rows") != F.col("base_rows")) | F.coalesce(F.col("distinct_keys") != F.col("base_rows"), F.lit(False))
