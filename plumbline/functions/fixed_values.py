@@ -117,7 +117,7 @@ CAPITALISED = r"(?U)\b[A-Z][A-Za-z0-9]+(?:[ \-][A-Z][A-Za-z0-9]+)+\b"
 CURRENCY = r"(?U)[$€£¥]\s?\d[\d,]*(?:\.\d+)?|\b\d[\d,]*(?:\.\d+)?\s?(?:USD|EUR|GBP|CAD|AUD|ILS|CHF)\b"
 BIG_NUMBER = r"(?U)\b\d{1,3}(?:,\d{3})+\b|\b\d{5,}\b"
 PORT_PREFIX = r"(?i)port\s*$"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 COMMON_CAPITALISED = tuple("""
 power bi desktop service google ads meta ga4 bigquery dbt dax
 analytics qa sql duckdb clickhouse postgres snowflake excel sharepoint
