@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.relational import attach, keyed, unkeyed
+from plumbline.functions.relational import attach
 from plumbline.session import cut_lineage
 
 SKETCH_ACCURACY = 10_000
@@ -75,13 +75,13 @@ def order_statistics(
     ``largest`` is a measured upper bound of the group size. Up to ``DIRECT_ROWS`` a sorted array
     per group is cheapest; beyond that, or when the size is unknown, the bracketed plan is used.
     """
-    base, groups = keyed(df, by)
-    rows = base.select(*groups, F.col(value).cast("double").alias("_v"))
+    groups = list(by)
+    rows = df.select(*groups, F.col(value).cast("double").alias("_v"))
     rows = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     if largest is not None and largest <= DIRECT_ROWS:
         lists = rows.groupBy(*groups).agg(F.sort_array(F.collect_list("_v")).alias("_a")).withColumn("n", F.size("_a").cast("bigint"))
         wanted = [F.get("_a", r.position(F.col("n")).cast("int")).alias(r.name) for r in ranks]
-        return unkeyed(lists.select(*groups, "n", *wanted))
+        return lists.select(*groups, "n", *wanted)
     cells = _cells(rows, groups, sorted({r.q for r in ranks}))
     upto = Window.partitionBy(*groups).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     ranked = cells.withColumn("_end", F.sum("_c").over(upto))
@@ -93,7 +93,7 @@ def order_statistics(
         F.max(F.when((r.position(n) < F.col("_end")) & (r.position(n) >= F.col("_end") - F.col("_c")), exact)).alias(r.name)
         for r in ranks
     ]
-    return unkeyed(ranked.groupBy(*groups).agg(F.max("_n").alias("n"), *hits))
+    return ranked.groupBy(*groups).agg(F.max("_n").alias("n"), *hits)
 
 
 def _low(q: float) -> Callable[[Column], Column]:
