@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import fixed_values as fixed
 from plumbline.functions.relational import attach
 from plumbline.functions.scalars import technical_token, term_pattern
+from plumbline.operators.order_stats import settle
 from plumbline.operators.running import running_sums
 from plumbline.session import cut_lineage
 
@@ -302,7 +303,8 @@ def char_budget(items: DataFrame, by: Sequence[str], section: str, position: str
     A section stops at its first item that no longer fits; the next section goes on with what is
     left. Running lengths are computed once; each section then needs only its own maximum.
     """
-    measured = cut_lineage(running_sums(items.where(F.col(section).isin(*sections)), [*by, section], position, {"_upto": F.length(text).cast("bigint")}))
+    kept_items, largest = settle(items.where(F.col(section).isin(*sections)), [*by, section])
+    measured = cut_lineage(running_sums(kept_items, [*by, section], position, {"_upto": F.length(text).cast("bigint")}, largest=largest))
     spent = measured.select(*by).distinct().withColumn("_spent", F.lit(0).cast("bigint"))
     kept = None
     for name in sections:
