@@ -1 +1,54 @@
+"""Sources: evidence queries, metadata and fingerprints over the supplied tables."""
 
+from pyspark.sql import functions as F
+
+from checks.base import query, rounded, table
+from plumbline.functions.scalars import sha256_hex
+from plumbline.sources import evidence as e
+
+
+@query("sql_evidence", "SELECT r_name, COUNT(*) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def sql_evidence(spark, sf):
+    for name in ("nation", "region"):
+        table(spark, sf, name).createOrReplaceTempView(f"evidence_{name}")
+    return e.sql_evidence(spark, "SELECT r_name, count(*) AS nations FROM evidence_nation JOIN evidence_region ON n_regionkey = r_regionkey GROUP BY r_name")[0]
+
+
+@query("table_metadata", """
+SELECT UNNEST([0, 1, 2, 3, 4, 5])::BIGINT AS position, UNNEST(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS "column",
+  UNNEST(['bigint', 'bigint', 'string', 'double', 'timestamp_ntz', 'string']) AS type, (SELECT COUNT(*) FROM orders) AS rows""")
+def table_metadata(spark, sf):
+    table(spark, sf, "orders").createOrReplaceTempView("metadata_orders")
+    return rounded(e.table_metadata(spark, "metadata_orders").select("position", "column", "type", "rows"))
+
+
+@query("bounded_report", """
+SELECT COUNT(*) AS "rows", (SELECT COUNT(*) FROM orders) <= 5000 AS complete FROM (SELECT 1 FROM orders LIMIT 5000)""")
+def bounded_report(spark, sf):
+    """A report keeps 5,000 rows and says whether that is everything."""
+    part, complete = e.bounded(table(spark, sf, "orders"))
+    return part.agg(F.count(F.lit(1)).alias("rows")).withColumn("complete", F.lit(complete))
+
+
+@query("fingerprint_files")
+def fingerprint_files(spark, sf):
+    """sha256 of every file of the data folder (files are outside SQL's view)."""
+    files = e.fingerprint(spark, sf)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "sha256")
+
+
+@query("verify_fingerprint", """
+SELECT CASE WHEN doc_id % 50 = 0 THEN 'doc-' || doc_id ELSE 'doc-' || doc_id END AS path, CASE WHEN doc_id % 50 = 0 THEN 'missing' WHEN doc_id % 50 = 1 THEN 'changed' ELSE 'added' END AS change FROM documents WHERE doc_id % 50 <= 2""")
+def verify_fingerprint(spark, sf):
+    """Documents as files: some gone, some changed, some new since sealing."""
+    d = table(spark, sf, "documents")
+    k = F.col("doc_id") % 50
+    path = F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path")
+    sealed = d.where(k != 2).select(path, sha256_hex("text").alias("sha256"))
+    now = d.where(k != 0).select(path, sha256_hex(F.when(k == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("sha256"))
+    return e.verify_fingerprint(now, sealed).select("path", "change")
+
+
+@query("text_digests", "SELECT doc_id, sha256(text) AS digest FROM documents")
+def text_digests(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", sha256_hex("text").alias("digest"))
