@@ -121,6 +121,12 @@ def quantiles(
     return found.select(*by, "n", *columns)
 
 
+def middle_of(values: Column) -> Column:
+    """Median of a sorted array without nulls; null for an empty one."""
+    size = F.size(values)
+    return (F.get(values, F.floor((size - 1) / 2).cast("int")) + F.get(values, F.floor(size / 2).cast("int"))) / 2
+
+
 def median(df: DataFrame, by: Sequence[str], value: str, name: str = "median", largest: int | None = None) -> DataFrame:
     """Exact median: the middle value, or the mean of the two middle values."""
     found = order_statistics(df, by, value, [Rank("_lo", 0.5, _low(0.5)), Rank("_hi", 0.5, _high(0.5))], largest)

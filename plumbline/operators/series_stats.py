@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as fixed
 from plumbline.functions.relational import attach, check_columns, keyed, unkeyed
-from plumbline.operators.order_stats import leave_one_out_median, median, middle_three, quantiles, settle
+from plumbline.operators.order_stats import DIRECT_ROWS, leave_one_out_median, median, middle_of, middle_three, quantiles, settle
 from plumbline.operators.running import running_sums
 from plumbline.session import cut_lineage
 from plumbline.types import Detection
@@ -35,10 +35,16 @@ def _clean(value: str) -> Column:
 
 def _center(rows: DataFrame, groups: list[str], largest: int | None) -> DataFrame:
     """Center and scale of column ``v`` for every group of ``rows``, null when n < 3."""
-    center = median(rows, groups, "v", largest=largest)
-    spread = attach(rows, center, groups, "inner").select(*groups, F.abs(F.col("v") - F.col("median")).alias("_d"))
-    mad = median(spread, groups, "_d", "mad", largest).drop("n")
-    full = attach(attach(_groups(rows, groups), center, groups), mad, groups)
+    if largest is not None and largest <= DIRECT_ROWS:
+        values = F.array_sort(F.collect_list("v"))
+        lists = rows.groupBy(*groups).agg(values.alias("_a")).withColumn("n", F.size("_a").cast("bigint"))
+        lists = lists.withColumn("median", middle_of(F.col("_a")))
+        full = lists.withColumn("mad", middle_of(F.array_sort(F.transform("_a", lambda v: F.abs(v - F.col("median"))))))
+    else:
+        center = median(rows, groups, "v", largest=largest)
+        spread = attach(rows, center, groups, "inner").select(*groups, F.abs(F.col("v") - F.col("median")).alias("_d"))
+        mad = median(spread, groups, "_d", "mad", largest).drop("n")
+        full = attach(attach(_groups(rows, groups), center, groups), mad, groups)
     enough = F.col("n") >= 3
     return full.select(
         *groups, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
@@ -83,33 +89,62 @@ def robust_zscores(
     return Detection(unkeyed(verdict), unkeyed(flags))
 
 
+def _weekday_scores_split(dated: DataFrame, cell: list[str]) -> DataFrame:
+    """Peer median and peer MAD of every day by two rounds of exact order statistics."""
+    own = F.col("v")
+    centre = middle_three(dated, cell, "v").withColumnsRenamed({"below": "xb", "mid": "xm", "above": "xa"})
+    known = attach(dated, centre, cell, "inner").withColumn(
+        "peer_median", leave_one_out_median(F.col("n"), F.col("xb"), F.col("xm"), F.col("xa"), own))
+    sides = (F.lit(float("-inf")), F.col("xm"), F.lit(float("inf")))
+    candidates = F.array_distinct(F.array(*[
+        leave_one_out_median(F.col("n"), F.col("xb"), F.col("xm"), F.col("xa"), side) for side in sides]))
+    away = known.select(*cell, F.explode(candidates).alias("peer_median"), "v").where(F.col("peer_median").isNotNull())
+    spread = middle_three(
+        away.select(*cell, "peer_median", F.abs(own - F.col("peer_median")).alias("_d")), [*cell, "peer_median"], "_d"
+    ).drop("n").withColumnsRenamed({"below": "db", "mid": "dm", "above": "da"})
+    scored = attach(known, spread, [*cell, "peer_median"])
+    mad = leave_one_out_median(F.col("n"), F.col("db"), F.col("dm"), F.col("da"), F.abs(own - F.col("peer_median")))
+    return scored.withColumn("mad", mad)
+
+
+def _weekday_scores_direct(dated: DataFrame, cell: list[str]) -> DataFrame:
+    """The same for cells of a checked size: one shuffle, windows inside each weekday."""
+    inside = Window.partitionBy(*cell)
+
+    def middles(rows: DataFrame, value: Column, names: Sequence[str]) -> DataFrame:
+        ranked = rows.withColumn("_d", value).withColumn("_r", F.row_number().over(inside.orderBy("_d")))
+        at = F.floor(F.col("n") / 2) + 1
+        return ranked.withColumns({name: F.max(F.when(F.col("_r") == at + shift, F.col("_d"))).over(inside) for name, shift in zip(names, (-1, 0, 1))})
+
+    own = F.col("v")
+    rows = middles(dated.withColumn("n", F.count(F.lit(1)).over(inside)), own, ("xb", "xm", "xa"))
+
+    def center(side: Column) -> Column:
+        return leave_one_out_median(F.col("n"), F.col("xb"), F.col("xm"), F.col("xa"), side)
+
+    rows = rows.withColumn("peer_median", center(own)).withColumn("mad", F.lit(None).cast("double"))
+    for side in (F.lit(float("-inf")), F.col("xm"), F.lit(float("inf"))):
+        rows = middles(rows.withColumn("_c", center(side)), F.abs(own - F.col("_c")), ("db", "dm", "da"))
+        mad = leave_one_out_median(F.col("n"), F.col("db"), F.col("dm"), F.col("da"), F.abs(own - F.col("_c")))
+        rows = rows.withColumn("mad", F.coalesce("mad", F.when(F.col("peer_median") == F.col("_c"), mad)))
+    return rows
+
+
 def weekday_band(
     df: DataFrame, by: Sequence[str], date: str = "key", value: str = "value", threshold: float = 3.5, min_per_weekday: int = 4
 ) -> Detection:
     """Each day against the other days of its own weekday (median and MAD without the day itself).
 
     Leaving one member out moves the median to one of three values that depend only on the middle
-    of the sorted group, so no peer list is built: two rounds of exact order statistics are enough.
+    of the sorted group, so no peer list is built for a day.
     """
     base, groups = keyed(df, by)
     rows, largest = settle(base.select(*groups, F.col(date).cast("date").alias("day"), _clean(value).alias("v")), groups)
     dated = rows.where(F.col("v").isNotNull()).withColumn("wd", F.weekday("day"))
     cell = [*groups, "wd"]
-    centre = middle_three(dated, cell, "v", largest).withColumnsRenamed({"below": "xb", "mid": "xm", "above": "xa"})
     own = F.col("v")
-    known = attach(dated, centre, cell, "inner").withColumn(
-        "peer_median", leave_one_out_median(F.col("n"), F.col("xb"), F.col("xm"), F.col("xa"), own))
-    lowest, highest = F.lit(float("-inf")), F.lit(float("inf"))
-    candidates = F.array_distinct(F.array(*[
-        leave_one_out_median(F.col("n"), F.col("xb"), F.col("xm"), F.col("xa"), side)
-        for side in (lowest, F.col("xm"), highest)]))
-    away = known.select(*cell, F.explode(candidates).alias("peer_median"), "v").where(F.col("peer_median").isNotNull())
-    spread = middle_three(
-        away.select(*cell, "peer_median", F.abs(own - F.col("peer_median")).alias("_d")), [*cell, "peer_median"], "_d", largest
-    ).drop("n").withColumnsRenamed({"below": "db", "mid": "dm", "above": "da"})
-    scored = attach(known, spread, [*cell, "peer_median"])
-    mad = leave_one_out_median(F.col("n"), F.col("db"), F.col("dm"), F.col("da"), F.abs(own - F.col("peer_median")))
-    sigma = mad * fixed.MAD_SCALE
+    scored = (_weekday_scores_direct if largest <= DIRECT_ROWS else _weekday_scores_split)(dated, cell)
+    sigma = F.col("mad") * fixed.MAD_SCALE
     scale = F.when(sigma > 0, sigma).otherwise(F.greatest(F.lit(1.0), F.abs("peer_median") * fixed.SCALE_FLOOR_SHARE))
     judged = scored.withColumn("testable", F.col("n") >= min_per_weekday).withColumn(
         "score", F.when(F.col("testable") & (F.col("n") >= 4), (own - F.col("peer_median")) / scale))
@@ -181,64 +216,99 @@ def ratio_stability(
     return Detection(unkeyed(verdict), unkeyed(flags))
 
 
-def changepoints(
-    df: DataFrame, by: Sequence[str], order: str = "ord", value: str = "value", key: str = "key",
-    min_segment: int = 7, min_shift_sigma: float = 2.0, max_depth: int = 3,
-) -> Detection:
-    """Level shifts by binary segmentation on squared deviation, with a first-difference noise scale.
+def _deviation(total: Column, square: Column, size: Column) -> Column:
+    return square - total * total / size
+
+
+def _cut_cost() -> Column:
+    """Squared deviation left and right of a cut after ``idx``, from running sums."""
+    return (_deviation(F.col("s1") - F.col("b1"), F.col("s2") - F.col("b2"), F.col("idx") - F.col("start"))
+            + _deviation(F.col("e1") - F.col("s1"), F.col("e2") - F.col("s2"), F.col("stop") - F.col("idx")))
+
 
-    Running sums of the centred series are computed once; the cost of every cut is then a
-    difference of running sums. Each level works on the small segment table, which is
+def _whole_cost() -> Column:
+    return _deviation(F.col("e1") - F.col("b1"), F.col("e2") - F.col("b2"), F.col("stop") - F.col("start"))
+
+
+def _noise_scale(noise: Column, middle: Column) -> Column:
+    sigma = F.coalesce(noise, F.lit(0.0)) * fixed.MAD_SCALE / F.sqrt(F.lit(2.0))
+    return F.when(sigma > 0, sigma).otherwise(F.greatest(F.lit(1.0), F.abs(middle) * fixed.SCALE_FLOOR_SHARE))
+
+
+def _shifts_direct(rows: DataFrame, groups: list[str], min_segment: int, min_shift_sigma: float, max_depth: int) -> tuple[DataFrame, DataFrame]:
+    """Segmentation of series of a checked length: one shuffle by series, windows inside its segments."""
+    series_, ordered = Window.partitionBy(*groups), Window.partitionBy(*groups).orderBy("ord", "key")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    c = F.col("c")
+    p = rows.withColumn("c", F.col("v") - F.avg("v").over(series_)).withColumns({
+        "idx": F.row_number().over(ordered).cast("bigint"), "s1": F.sum(c).over(upto), "s2": F.sum(c * c).over(upto),
+        "_d": F.abs(F.col("v") - F.lag("v").over(ordered)), "stop": F.count(F.lit(1)).over(series_)})
+    p = p.withColumn("scale", _noise_scale(F.median("_d").over(series_), F.median("v").over(series_)))
+    zero = F.lit(0.0)
+    p = p.withColumns({
+        "n": F.col("stop"), "start": F.lit(0).cast("bigint"), "b1": zero, "b2": zero, "live": F.lit(True),
+        "e1": F.max(F.when(F.col("idx") == F.col("stop"), F.col("s1"))).over(series_), "e2": F.max(F.when(F.col("idx") == F.col("stop"), F.col("s2"))).over(series_),
+        "before_median": F.lit(None).cast("double"), "after_median": F.lit(None).cast("double")})
+    for _ in range(max_depth):
+        segment = Window.partitionBy(*groups, "start")
+        fits = F.col("live") & (F.col("idx") - F.col("start") >= min_segment) & (F.col("stop") - F.col("idx") >= min_segment)
+        p = p.withColumn("m", F.min(F.when(fits, F.struct(_cut_cost().alias("cost"), "idx", "s1", "s2"))).over(segment))
+        is_left = F.col("idx") <= F.col("m.idx")
+        p = p.withColumns({"_l": F.median(F.when(is_left, F.col("v"))).over(segment), "_r": F.median(F.when(~is_left, F.col("v"))).over(segment)})
+        wide = F.abs((F.col("_r") - F.col("_l")) / F.col("scale")) >= min_shift_sigma
+        p = p.withColumn("live", F.coalesce(F.col("live") & wide & (F.col("m.cost") < _whole_cost()), F.lit(False)))
+        here = F.col("live") & (F.col("idx") == F.col("m.idx") + 1)
+        p = p.withColumns({"before_median": F.when(here, F.col("_l")).otherwise(F.col("before_median")),
+                           "after_median": F.when(here, F.col("_r")).otherwise(F.col("after_median"))})
+        left, right = F.col("live") & is_left, F.col("live") & ~is_left
+        p = p.withColumns({
+            "stop": F.when(left, F.col("m.idx")).otherwise(F.col("stop")), "e1": F.when(left, F.col("m.s1")).otherwise(F.col("e1")), "e2": F.when(left, F.col("m.s2")).otherwise(F.col("e2")),
+            "start": F.when(right, F.col("m.idx")).otherwise(F.col("start")), "b1": F.when(right, F.col("m.s1")).otherwise(F.col("b1")), "b2": F.when(right, F.col("m.s2")).otherwise(F.col("b2"))})
+    shifts = p.where("before_median is not null").select(
+        *groups, "key", "before_median", "after_median", ((F.col("after_median") - F.col("before_median")) / F.col("scale")).alias("score"))
+    summary = p.groupBy(*groups).agg(F.max("n").alias("n"), F.max("scale").alias("scale"), F.count("before_median").alias("shifts"))
+    return shifts, summary
+
+
+def _shifts_split(rows: DataFrame, groups: list[str], min_segment: int, min_shift_sigma: float, max_depth: int) -> tuple[DataFrame, DataFrame]:
+    """Segmentation of long series: no step holds a whole series in one task.
+
+    Running sums are computed once in chunks; each level works on the small segment table, which is
     checkpointed so that a level never re-runs the ones before it.
     """
-    base, groups = keyed(df, by)
-    rows, largest = settle(base.select(*groups, F.col(order).alias("ord"), F.col(key).alias("key"), _clean(value).alias("v")), groups)
-    everyone = _groups(rows, groups)
-    rows = rows.where(F.col("v").isNotNull())
     mean = rows.groupBy(*groups).agg(F.avg("v").alias("mean"))
     centred = attach(rows, mean, groups, "inner").withColumn("c", F.col("v") - F.col("mean")).drop("mean")
     points = cut_lineage(running_sums(
-        centred, groups, "ord",
-        {"idx": F.lit(1).cast("bigint"), "s1": F.col("c"), "s2": F.col("c") * F.col("c")}, {"before": "v"}, ["key"], largest))
-    noise = median(points.where(F.col("before").isNotNull()).withColumn("_d", F.abs(F.col("v") - F.col("before"))),
-                   groups, "_d", "noise", largest).drop("n")
-    middle = median(points, groups, "v", "middle", largest)
-    scales = attach(middle, noise, groups).withColumn("_s", F.coalesce("noise", F.lit(0.0)) * fixed.MAD_SCALE / F.sqrt(F.lit(2.0)))
-    scales = scales.select(*groups, "n", F.when(F.col("_s") > 0, F.col("_s")).otherwise(
-        F.greatest(F.lit(1.0), F.abs("middle") * fixed.SCALE_FLOOR_SHARE)).alias("scale"))
-    whole = points.groupBy(*groups).agg(F.count(F.lit(1)).alias("stop"), F.sum("c").alias("e1"), F.sum(F.col("c") * F.col("c")).alias("e2"))
+        centred, groups, "ord", {"idx": F.lit(1).cast("bigint"), "s1": F.col("c"), "s2": F.col("c") * F.col("c")}, {"before": "v"}, ["key"]))
+    steps = points.where(F.col("before").isNotNull()).withColumn("_d", F.abs(F.col("v") - F.col("before")))
+    scales = attach(median(points, groups, "v", "middle"), median(steps, groups, "_d", "noise").drop("n"), groups)
+    scales = scales.select(*groups, "n", _noise_scale(F.col("noise"), F.col("middle")).alias("scale"))
+    whole = points.groupBy(*groups).agg(F.max(F.struct("idx", "s1", "s2")).alias("e"))
     zero = F.lit(0.0)
     # a segment covers idx in (start, stop]; b1/b2 and e1/e2 are the running sums at its two ends
-    segments = whole.select(*groups, F.lit(0).cast("bigint").alias("start"), "stop", zero.alias("b1"), zero.alias("b2"), "e1", "e2")
-    segments = cut_lineage(attach(segments, scales.drop("n"), groups))
+    segments = whole.select(*groups, F.lit(0).cast("bigint").alias("start"), F.col("e.idx").alias("stop"), zero.alias("b1"), zero.alias("b2"),
+                            F.col("e.s1").alias("e1"), F.col("e.s2").alias("e2"))
+    scales = cut_lineage(scales)
+    segments = attach(segments, scales.drop("n"), groups)
     accepted = []
     for _ in range(max_depth):
-        inside = attach(points, segments.groupBy(*groups).agg(F.collect_list(F.struct(
-            "start", "stop", "b1", "b2", "e1", "e2", "scale")).alias("parts")), groups, "inner")
-        inside = inside.withColumn("part", F.get(F.filter(
+        parts = segments.groupBy(*groups).agg(F.collect_list(F.struct("start", "stop", "b1", "b2", "e1", "e2", "scale")).alias("parts"))
+        inside = attach(points, parts, groups, "inner").withColumn("part", F.get(F.filter(
             "parts", lambda p: (F.col("idx") > p["start"]) & (F.col("idx") <= p["stop"])), F.lit(0))).where("part is not null")
-        inside = inside.select(*groups, "ord", "key", "v", "idx", "s1", "s2", "part.*")
-        left, right = F.col("idx") - F.col("start"), F.col("stop") - F.col("idx")
-
-        def deviation(total, square, size):
-            return square - total * total / size
-
-        cost = (deviation(F.col("s1") - F.col("b1"), F.col("s2") - F.col("b2"), left)
-                + deviation(F.col("e1") - F.col("s1"), F.col("e2") - F.col("s2"), right))
-        cuts = inside.where((left >= min_segment) & (right >= min_segment)).withColumn("cost", cost)
-        best = cuts.groupBy(*groups, "start").agg(F.min(F.struct("cost", "idx", "s1", "s2")).alias("m"))
+        inside = inside.select(*groups, "v", "idx", "s1", "s2", "part.*")
+        cuts = inside.where((F.col("idx") - F.col("start") >= min_segment) & (F.col("stop") - F.col("idx") >= min_segment))
+        best = cuts.groupBy(*groups, "start").agg(F.min(F.struct(_cut_cost().alias("cost"), "idx", "s1", "s2")).alias("m"))
         best = best.select(*groups, "start", F.col("m.cost").alias("cost"), F.col("m.idx").alias("cut"),
                            F.col("m.s1").alias("m1"), F.col("m.s2").alias("m2"))
-        best = attach(best, segments, [*groups, "start"], "inner")
+        best = cut_lineage(attach(best, segments, [*groups, "start"], "inner"))
         sides = attach(inside.select(*groups, "start", "idx", "v"), best.select(*groups, "start", "cut"), [*groups, "start"], "inner")
         sides = sides.withColumn("side", F.when(F.col("idx") <= F.col("cut"), "l").otherwise("r"))
-        levels = median(sides, [*groups, "start", "side"], "v", largest=largest).groupBy(*groups, "start").agg(
+        levels = median(sides, [*groups, "start", "side"], "v").groupBy(*groups, "start").agg(
             F.max(F.when(F.col("side") == "l", F.col("median"))).alias("before_median"),
             F.max(F.when(F.col("side") == "r", F.col("median"))).alias("after_median"))
         jump = (F.col("after_median") - F.col("before_median")) / F.col("scale")
-        total = deviation(F.col("e1") - F.col("b1"), F.col("e2") - F.col("b2"), F.col("stop") - F.col("start"))
         shifts = attach(best, levels, [*groups, "start"], "inner").withColumn("score", jump)
-        shifts = cut_lineage(shifts.where((F.abs("score") >= min_shift_sigma) & (F.col("cost") < total)))
+        shifts = cut_lineage(shifts.where((F.abs("score") >= min_shift_sigma) & (F.col("cost") < _whole_cost())))
         accepted.append(shifts.select(*groups, (F.col("cut") + 1).alias("idx"), "before_median", "after_median", "score"))
         segments = shifts.select(*groups, F.explode(F.array(
             F.struct(F.col("start"), F.col("cut").alias("stop"), "b1", "b2", F.col("m1").alias("e1"), F.col("m2").alias("e2"), "scale"),
@@ -247,11 +317,26 @@ def changepoints(
     shifts = accepted[0]
     for more in accepted[1:]:
         shifts = shifts.unionByName(more)
-    at = points.select(*groups, "idx", "key", "ord")
-    flags = attach(shifts, at, [*groups, "idx"], "inner").select(
-        *groups, "key", "before_median", "after_median", F.lit("level_shift").alias("reason"), "score")
-    counts = flags.groupBy(*groups).agg(F.count(F.lit(1)).alias("shifts"))
-    verdict = attach(attach(everyone, scales, groups), counts, groups)
+    shifts = attach(shifts, points.select(*groups, "idx", "key"), [*groups, "idx"], "inner").drop("idx")
+    counts = shifts.groupBy(*groups).agg(F.count(F.lit(1)).alias("shifts"))
+    return shifts, attach(scales, counts, groups)
+
+
+def changepoints(
+    df: DataFrame, by: Sequence[str], order: str = "ord", value: str = "value", key: str = "key",
+    min_segment: int = 7, min_shift_sigma: float = 2.0, max_depth: int = 3,
+) -> Detection:
+    """Level shifts by binary segmentation on squared deviation, with a first-difference noise scale.
+
+    The cost of every cut is a difference of running sums of the centred series.
+    """
+    base, groups = keyed(df, by)
+    rows, largest = settle(base.select(*groups, F.col(order).alias("ord"), F.col(key).alias("key"), _clean(value).alias("v")), groups)
+    present = rows.where(F.col("v").isNotNull())
+    find = _shifts_direct if largest <= DIRECT_ROWS else _shifts_split
+    shifts, summary = find(present, groups, min_segment, min_shift_sigma, max_depth)
+    flags = shifts.select(*groups, "key", "before_median", "after_median", F.lit("level_shift").alias("reason"), "score")
+    verdict = attach(_groups(rows, groups), summary, groups)
     n = F.coalesce("n", F.lit(0).cast("bigint"))
     found = F.coalesce("shifts", F.lit(0).cast("bigint"))
     status = F.when(n < 2 * min_segment, "inconclusive").when(found > 0, "flagged").otherwise("clean")

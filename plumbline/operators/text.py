@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,26 +45,31 @@ def url_pattern(allowed_hosts: Sequence[str] = fixed.ALLOWED_URL_HOSTS, allowed_
     return fixed.URL.replace("https?://", "https?://" + ("(?i:" + guard + ")" if guard else ""))
 
 
-def pii_steps(allowed_hosts: Sequence[str] = fixed.ALLOWED_URL_HOSTS, allowed_prefixes: Sequence[str] = ()) -> list[tuple[str, str, str]]:
-    """Kind, pattern and token in the order they are applied."""
+def pii_steps(allowed_hosts: Sequence[str] = fixed.ALLOWED_URL_HOSTS, allowed_prefixes: Sequence[str] = ()) -> list[tuple[str, str, str, str]]:
+    """Kind, pattern, token and a cheap necessary condition of a match, in the order they are applied."""
     return [
-        ("email", fixed.EMAIL, "[email]"), ("id", fixed.GUID, "[id]"), ("url", url_pattern(allowed_hosts, allowed_prefixes), "[url]"),
-        ("path", fixed.WINDOWS_USER_PATH, "[path]"), ("path", fixed.POSIX_USER_PATH, "[path]"), ("ip", fixed.IPV4, "[ip]"), ("phone", fixed.PHONE, "[phone]")]
+        ("email", fixed.EMAIL, "[email]", "@"), ("id", fixed.GUID, "[id]", "[0-9a-fA-F]{8}-"), ("url", url_pattern(allowed_hosts, allowed_prefixes), "[url]", "://"),
+        ("path", fixed.WINDOWS_USER_PATH, "[path]", "Users"), ("path", fixed.POSIX_USER_PATH, "[path]", "/(?:home|Users)/"), ("ip", fixed.IPV4, "[ip]", r"\p{Nd}\.\p{Nd}"),
+        ("phone", fixed.PHONE, "[phone]", r"\p{Nd}{3}[ .\-]\p{Nd}{4}")]
 
 
 def redact_pii(df: DataFrame, text: str, allowed_hosts: Sequence[str] = fixed.ALLOWED_URL_HOSTS, allowed_prefixes: Sequence[str] = (),
                counts: str = "pii_hits") -> DataFrame:
     """Replace e-mail, id, URL, user path, IPv4 and phone by tokens, with a struct of counts per kind.
 
-    Each step works on the output of the one before, in its own projection, so no pattern runs twice
-    on the same text.
+    Each step works on the output of the one before, in its own projection. A text without the
+    character or digits a pattern needs skips that pattern.
     """
     out, totals = df, {}
-    for i, (kind, pattern, token) in enumerate(pii_steps(allowed_hosts, allowed_prefixes)):
-        out = out.withColumns({f"_h{i}": F.regexp_count(F.col(text), F.lit(pattern)), text: F.regexp_replace(F.col(text), pattern, _literal(token))})
+    for i, (kind, pattern, token, needs) in enumerate(pii_steps(allowed_hosts, allowed_prefixes)):
+        body = F.col(text)
+        possible = F.contains(body, F.lit(needs)) if needs in ("@", "://", "Users") else body.rlike(needs)
+        out = out.withColumn("_may", F.coalesce(possible, F.lit(False)))
+        out = out.withColumns({f"_h{i}": F.when(F.col("_may"), F.regexp_count(body, F.lit(pattern))).otherwise(F.when(body.isNotNull(), 0)),
+                               text: F.when(F.col("_may"), F.regexp_replace(body, pattern, _literal(token))).otherwise(body)})
         totals.setdefault(kind, []).append(f"_h{i}")
     total = [sum((F.col(c) for c in cols[1:]), F.col(cols[0])).alias(kind) for kind, cols in totals.items()]
-    return out.withColumn(counts, F.struct(*total)).drop(*[c for cols in totals.values() for c in cols])
+    return out.withColumn(counts, F.struct(*total)).drop("_may", *[c for cols in totals.values() for c in cols])
 
 
 def residual_scan(df: DataFrame, keys: Sequence[str], text: str, terms: Sequence[str] = (), allow: Sequence[str] = ()) -> DataFrame:
@@ -71,12 +77,12 @@ def residual_scan(df: DataFrame, keys: Sequence[str], text: str, terms: Sequence
     lines = df.select(*keys, F.posexplode(F.split(F.col(text), fixed.LINE_BREAK)).alias("_p", "_line"))
     lines = lines.where("_line != ''").withColumn("line", (F.col("_p") + 1).cast("bigint"))
     line = F.col("_line")
-    usual = F.array(*[F.lit(w) for w in sorted({*fixed.COMMON_CAPITALISED, *[a.lower() for a in allow]})])
+    usual = sorted({*fixed.COMMON_CAPITALISED, *[a.lower() for a in allow]})
     allowed = F.array(*[F.lit(a.lower()) for a in allow]) if allow else F.array().cast("array<string>")
 
     def unusual(word: Column) -> Column:
         shouting = (F.upper(word) == word) & word.rlike("[A-Z]") & (F.length(word) >= 3)
-        return ~F.array_contains(usual, F.lower(word)) & ~shouting
+        return ~F.lower(word).isin(*usual) & ~shouting
 
     names = F.filter(F.regexp_extract_all(line, F.lit(fixed.CAPITALISED), F.lit(0)), lambda m: ~F.array_contains(allowed, F.lower(m))
                      & (F.size(F.filter(F.split(m, "[ -]"), unusual)) >= 2))
@@ -119,8 +125,7 @@ def stem(token: Column) -> Column:
 def tokens(text: Column | str) -> Column:
     """Lower-case alphanumeric tokens longer than two characters, without stop words, lightly stemmed."""
     body = F.lower((F.col(text) if isinstance(text, str) else text).cast("string"))
-    stop = F.array(*[F.lit(w) for w in fixed.STOPWORDS])
-    kept = F.filter(F.regexp_extract_all(body, F.lit(r"[a-z0-9]+"), F.lit(0)), lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t))
+    kept = F.filter(F.regexp_extract_all(body, F.lit(r"[a-z0-9]+"), F.lit(0)), lambda t: (F.length(t) > 2) & ~t.isin(*fixed.STOPWORDS))
     return F.transform(kept, stem)
 
 
@@ -128,9 +133,15 @@ def tokenise(df: DataFrame, text: str, name: str = "tokens") -> DataFrame:
     return df.withColumn(name, tokens(text))
 
 
+def _words(df: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
+    """One row per kept token (column ``term``). Exploding first keeps the per-token work in generated code."""
+    raw = df.select(*keys, F.explode(F.regexp_extract_all(F.lower(text.cast("string")), F.lit(r"[a-z0-9]+"), F.lit(0))).alias("term"))
+    return raw.where((F.length("term") > 2) & ~F.col("term").isin(*fixed.STOPWORDS)).withColumn("term", stem(F.col("term")))
+
+
 def keywords(df: DataFrame, key: Sequence[str], text: str, n: int = 20) -> DataFrame:
     """Distinctive terms per document: term frequency with a mild boost for longer terms."""
-    counts = df.select(*key, F.explode(tokens(text)).alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = _words(df, key, F.col(text)).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
     score = F.col("tf") * (1 + F.ln(F.length("term").cast("double")))
     order = Window.partitionBy(*key).orderBy(score.desc(), "term")
     return counts.withColumns({"score": score, "rank": F.row_number().over(order)}).where(F.col("rank") <= n)
@@ -143,27 +154,32 @@ def query_terms(spark, query: str) -> list[str]:
 def tfidf_search(docs: DataFrame, query: str, topic: str | None = None, k: int = 5) -> DataFrame:
     """Articles ranked for a query over weighted fields; the k best, score descending then path.
 
-    ``docs``: path, title, summary, topics ARRAY, tags ARRAY, body. Only the query's own terms are
-    exploded, so the shuffle grows with the matches, not with the corpus.
+    ``docs``: path, title, summary, topics ARRAY, tags ARRAY, body. The tokens of a field are counted
+    where they are read: only its length and its count per query term leave the map side.
     """
-    terms = query_terms(docs.sparkSession, query)
+    spark = docs.sparkSession
+    terms = query_terms(spark, query)
+    empty = F.array().cast("array<string>")
     candidates = docs if topic is None else docs.where(F.array_contains("topics", topic))
-    wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    labels = F.concat_ws(" ", F.coalesce("topics", F.array().cast("array<string>")), F.coalesce("tags", F.array().cast("array<string>")))
+    if not terms:
+        return candidates.limit(0).select("path", F.lit(0.0).alias("score"))
+    labels = F.concat_ws(" ", F.coalesce("topics", empty), F.coalesce("tags", empty))
     texts = {"title": F.col("title"), "summary": F.col("summary"), "labels": labels, "body": F.col("body")}
-    fields = F.array(*[F.struct(F.lit(name).alias("field"), F.lit(float(fixed.FIELD_WEIGHTS[name])).alias("weight"),
-                                tokens(F.coalesce(texts[name], F.lit(""))).alias("tokens")) for name in texts])
+    fields = F.array(*[F.struct(F.lit(float(fixed.FIELD_WEIGHTS[name])).alias("weight"), F.lit(name).alias("field"), F.coalesce(texts[name], F.lit("")).alias("text")) for name in texts])
     spread = candidates.select("path", F.explode(fields).alias("f")).select("path", "f.*")
-    length = F.greatest(F.size("tokens"), F.lit(1)).cast("double")
-    hits = spread.select("path", "field", "weight", length.alias("length"), F.explode(F.filter("tokens", lambda t: F.array_contains(wanted, t))).alias("term"))
-    counts = hits.groupBy("path", "field", "weight", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    spreads = counts.select("path", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = candidates.agg(F.count(F.lit(1))).scalar()
-    idf = spreads.withColumn("idf", F.ln((total + 1) / (1 + F.col("df"))) + 1)
-    weight = F.col("weight") * F.col("idf") * (1 + F.ln(F.col("tf").cast("double"))) / F.sqrt("length")
-    # at most one row per query term
-    scored = counts.join(F.broadcast(idf), "term").groupBy("path").agg(F.sum(weight).alias("score")).where("score > 0")
-    return scored.withColumn("score", F.round("score", 4)).orderBy(F.desc("score"), "path").limit(k)
+    found = [f"_t{i}" for i in range(len(terms))]
+    counted = _words(spread, ["path", "field", "weight"], F.col("text")).groupBy("path", "field", "weight").agg(
+        F.count(F.lit(1)).alias("length"), *[F.count_if(F.col("term") == term).alias(c) for c, term in zip(found, terms)])
+    hits = cut_lineage(counted.where(F.greatest(*[F.col(c) for c in found], F.lit(0)) > 0))
+    # one number per query term comes to the driver
+    spreads = hits.groupBy("path").agg(*[F.max(c).alias(c) for c in found]).agg(*[F.count_if(F.col(c) > 0).alias(c) for c in found]).first()
+    total = candidates.count()
+    score = F.lit(0.0)
+    for c in found:
+        idf = math.log((total + 1) / (1 + (spreads[c] or 0))) + 1
+        score = score + F.when(F.col(c) > 0, F.col("weight") * idf * (1 + F.ln(F.col(c).cast("double"))) / F.sqrt(F.col("length").cast("double"))).otherwise(0.0)
+    scored = hits.groupBy("path").agg(F.round(F.sum(score), 4).alias("score")).where("score > 0")
+    return scored.orderBy(F.desc("score"), "path").limit(k)
 
 
 def snippet(df: DataFrame, key: Sequence[str], text: str, terms: Sequence[str], width: int = 200) -> DataFrame:

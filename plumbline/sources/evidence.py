@@ -61,6 +61,18 @@ def read_table(spark: SparkSession, source: str, **options: str) -> DataFrame:
     return check_output_names(spark.read.format(source).options(**options).load())
 
 
+def read_texts(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """Text columns of a parquet source for CPU-heavy jobs.
+
+    A file with one row group is one task. When there are fewer files than cores the rows are spread
+    once; a source of many files is read as it is.
+    """
+    frame = spark.read.parquet(path)
+    frame = frame.select(*columns) if columns else frame
+    cores = spark.sparkContext.defaultParallelism
+    return frame.repartition(cores) if len(frame.inputFiles()) < cores else frame
+
+
 def read_evidence(spark: SparkSession, path: str, schema: str | None = None) -> tuple[DataFrame, bool]:
     """Rows of a saved JSON result set and its ``complete`` flag. ``schema`` is the row schema."""
     reader = spark.read.option("multiLine", True)
