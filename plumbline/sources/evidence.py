@@ -131,7 +131,7 @@ def scan_events_jsonl(spark: SparkSession, path: str, since_days: int | None = N
 
 def scan_articles(spark: SparkSession, path: str) -> DataFrame:
     """Markdown files with their front matter split from the body."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("text"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("text"))
     return front_matter(files, "text")
 
 
