@@ -231,21 +231,28 @@ def front_matter(df: DataFrame, text: str) -> DataFrame:
     headed = body.rlike(shape)
     rows = df.withColumn("_head", F.when(headed, F.regexp_extract(body, shape, 1)).otherwise("")).withColumn(
         "body", F.when(headed, F.regexp_replace(F.regexp_extract(body, shape, 2), r"^\n+", "")).otherwise(body))
-    lines = F.filter(F.split("_head", fixed.LINE_BREAK), lambda line: F.contains(line, F.lit(":")))
-    entries = F.transform(lines, lambda line: F.struct(F.trim(F.substring_index(line, ":", 1)).alias("key"), F.trim(F.regexp_replace(line, r"^[^:]*:", "")).alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
-    rows = rows.withColumn("_meta", F.map_from_entries(last))
+    rows = rows.withColumn("_lines", F.filter(F.split("_head", fixed.LINE_BREAK), lambda line: F.contains(line, F.lit(":"))))
+
+    def key_of(line: Column) -> Column:
+        return F.trim(F.substring_index(line, ":", 1))
+
+    def value_of(line: Column) -> Column:
+        return F.trim(F.substr(line, F.instr(line, ":") + 1))
+
+    def raw(name: str) -> Column:
+        """The last line of a key wins."""
+        return value_of(F.try_element_at(F.filter("_lines", lambda line: key_of(line) == name), F.lit(-1)))
 
     def scalar(name: str) -> Column:
-        return _unquote(F.try_element_at("_meta", F.lit(name)))
+        return _unquote(raw(name))
 
     def listed(name: str) -> Column:
-        raw = F.try_element_at("_meta", F.lit(name))
-        inner = F.regexp_extract(raw, r"(?s)^\[(.*)\]$", 1)
+        inner = F.regexp_extract(raw(name), r"(?s)^\[(.*)\]$", 1)
         parts = F.filter(F.regexp_extract_all(inner, F.lit(r'"(?:[^"\\]|\\.)*"|[^,\[\]]+'), F.lit(0)), lambda p: F.trim(p) != "")
         return F.coalesce(F.transform(parts, _unquote), F.array().cast("array<string>"))
 
-    meta = F.transform_values("_meta", lambda k, v: _unquote(v))
+    later = F.filter("_lines", lambda line, i: ~F.exists(F.slice("_lines", i + 2, F.size("_lines")), lambda x: key_of(x) == key_of(line)))
+    meta = F.map_from_entries(F.transform(later, lambda line: F.struct(key_of(line).alias("key"), _unquote(value_of(line)).alias("value"))))
     return rows.select(*df.columns, scalar("title").alias("title"), F.coalesce(scalar("date"), F.lit("")).alias("date"), listed("topics").alias("topics"),
                        listed("tags").alias("tags"), F.coalesce(scalar("summary"), F.lit("")).alias("summary"), meta.alias("meta"), "body")
 
