@@ -11,8 +11,9 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.functions.relational import check_columns
+from plumbline.functions.relational import any_of, check_columns
 
 
 class Comparison(NamedTuple):
@@ -23,16 +24,32 @@ class Comparison(NamedTuple):
     keys: DataFrame
 
 
+def _common_type(old: T.DataType, new: T.DataType) -> T.DataType:
+    """The type both sides are compared in; two numeric types meet as decimals, nothing is narrowed."""
+    if old == new:
+        return old
+    if isinstance(old, T.NumericType) and isinstance(new, T.NumericType):
+        return T.DecimalType(38, 18)
+    return T.StringType()
+
+
 def _paired(before: DataFrame, after: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """One row per key: how often it occurs on each side, and each side's values (``_old_x``, ``_new_x``).
+
+    Every value is its own aggregate, so numbers stay in a hash aggregation.
+    """
     check_columns(before, *keys, *values)
     check_columns(after, *keys, *values)
-    payload = F.struct(*[F.col(v).alias(v) for v in values])
-    both = before.select(*keys, payload.alias("_v"), F.lit(0).alias("_s")).unionByName(
-        after.select(*keys, F.struct(*[F.col(v).cast(before.schema[v].dataType).alias(v) for v in values]).alias("_v"), F.lit(1).alias("_s")))
-    old, new = F.col("_s") == 0, F.col("_s") == 1
+    kinds = {v: _common_type(before.schema[v].dataType, after.schema[v].dataType) for v in values}
+
+    def side(df: DataFrame, mine: str, other: str, tag: int) -> DataFrame:
+        own = [F.col(v).cast(kinds[v]).alias(f"_{mine}_{v}") for v in values]
+        return df.select(*keys, *own, *[F.lit(None).cast(kinds[v]).alias(f"_{other}_{v}") for v in values], F.lit(tag).alias("_s"))
+
+    both = side(before, "old", "new", 0).unionByName(side(after, "new", "old", 1))
     return both.groupBy(*keys).agg(
-        F.count_if(old).alias("_olds"), F.count_if(new).alias("_news"),
-        F.max(F.when(old, F.col("_v"))).alias("_old"), F.max(F.when(new, F.col("_v"))).alias("_new"))
+        F.count_if(F.col("_s") == 0).alias("_olds"), F.count_if(F.col("_s") == 1).alias("_news"),
+        *[F.max(f"_old_{v}").alias(f"_old_{v}") for v in values], *[F.max(f"_new_{v}").alias(f"_new_{v}") for v in values])
 
 
 def _exact(column):
@@ -55,7 +72,7 @@ def keyed_compare(
     limit = F.lit(str(tolerance)).cast("decimal(38,18)")
     fields = []
     for v in values:
-        old, new = F.col(f"_old.{v}"), F.col(f"_new.{v}")
+        old, new = F.col(f"_old_{v}"), F.col(f"_new_{v}")
         delta = _exact(new) - _exact(old)
         changed = F.when(old.isNull() | new.isNull(), ~old.eqNullSafe(new)).otherwise(F.abs(delta) > limit)
         fields.append(F.when(changed, F.struct(
@@ -82,13 +99,13 @@ def restatement_split(old: DataFrame, new: DataFrame, keys: Sequence[str], amoun
     """Late arrivals, deletions, updates and unchanged rows of the same period, with their amounts."""
     values = [amount] + ([period] if period else [])
     paired = _paired(old, new, keys, values)
-    before = F.coalesce(F.col(f"_old.{amount}"), F.lit(0)).cast("decimal(38,6)")
-    after = F.coalesce(F.col(f"_new.{amount}"), F.lit(0)).cast("decimal(38,6)")
+    before = F.coalesce(F.col(f"_old_{amount}"), F.lit(0)).cast("decimal(38,6)")
+    after = F.coalesce(F.col(f"_new_{amount}"), F.lit(0)).cast("decimal(38,6)")
     kind = (F.when(F.col("_olds") == 0, "late_arrival").when(F.col("_news") == 0, "deletion")
-            .when(~F.col("_old").eqNullSafe(F.col("_new")), "update").otherwise("unchanged"))
+            .when(any_of([~F.col(f"_old_{v}").eqNullSafe(F.col(f"_new_{v}")) for v in values]), "update").otherwise("unchanged"))
     groups = [kind.alias("kind")]
     if period:
-        groups.insert(0, F.coalesce(F.col(f"_new.{period}"), F.col(f"_old.{period}")).alias("period"))
+        groups.insert(0, F.coalesce(F.col(f"_new_{period}"), F.col(f"_old_{period}")).alias("period"))
     return paired.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("keys"), F.sum(before).cast("double").alias("before_amount"),
         F.sum(after).cast("double").alias("after_amount"), (F.sum(after) - F.sum(before)).cast("double").alias("delta"))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as fixed
+from plumbline.functions.relational import attach
 from plumbline.session import cut_lineage
 
 FINDING = ["model", "method", "severity", "object", "kind", "fragment"]
@@ -177,19 +178,25 @@ def similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))
 
 
+NAMES_PER_CHUNK = 500
+
+
 def closest_name(names: DataFrame, candidates: DataFrame, scope: list[str], name: str, cutoff: float = 0.6) -> DataFrame:
     """Best fuzzy match of each name within its own scope (one model, one table), or null.
 
-    The candidate list of a scope is a model's own vocabulary, so it travels as one array and no
-    name/candidate pair becomes a row. A null scope value matches a null one.
+    Candidates travel in chunks of about ``NAMES_PER_CHUNK`` names, so a scope of any size is spread
+    over many rows and no name/candidate pair becomes a row. A null scope value matches a null one.
     """
-    lists = candidates.groupBy(*scope).agg(F.collect_set("candidate").alias("_c"))
-    right = lists.withColumnsRenamed({s: f"_s_{s}" for s in scope})
-    condition = reduce(lambda a, b: a & b, [names[s].eqNullSafe(right[f"_s_{s}"]) for s in scope])
-    joined = names.join(right, condition, "left")
+    known = candidates.select(*scope, "candidate").distinct()
+    sizes = known.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"))
+    pieces = F.ceil(F.col("_n") / NAMES_PER_CHUNK)
+    chunked = attach(known, sizes, scope, "inner").withColumn("_chunk", F.pmod(F.xxhash64("candidate"), pieces))
+    lists = chunked.groupBy(*scope, "_chunk").agg(F.collect_list("candidate").alias("_c")).withColumnsRenamed({s: f"_s_{s}" for s in scope})
+    condition = reduce(lambda a, b: a & b, [names[s].eqNullSafe(lists[f"_s_{s}"]) for s in scope])
+    joined = names.join(lists, condition, "left")
     scored = F.transform(F.coalesce("_c", F.array().cast("array<string>")), lambda c: F.struct((-similarity(c, F.col(name))).alias("d"), c.alias("c")))
-    best = F.array_min(F.filter(scored, lambda s: s["d"] <= -cutoff))
-    return joined.select(*names.columns, best["c"].alias("closest"))
+    best = joined.withColumn("_best", F.array_min(F.filter(scored, lambda s: s["d"] <= -cutoff)))
+    return best.groupBy(*names.columns).agg(F.min("_best").alias("_best")).select(*names.columns, F.col("_best.c").alias("closest"))
 
 
 def _words(expression: Column) -> Column:

@@ -148,31 +148,34 @@ def journal(verdicts: DataFrame) -> DataFrame:
     return verdicts.select(*identity, F.to_json(F.struct(*figures)).alias("summary"))
 
 
+# methods that run although the published list has no entry for them
+EXTRA_ENTRIES = (
+    ("stat.robust_zscores", "Value far from the series median", "stat", "time", "medium", None, "Values sit within the robust band of their series."),
+    ("lint.unresolved_measure", "Visual bound to a missing measure", "lint", "presentation", "medium", None, "Every bound measure exists in the model."),
+)
+
+
 def catalog_frame(spark: SparkSession) -> DataFrame:
     """The detector catalog: 20 entries plus the two methods that run without one."""
-    extra = (
-        ("stat.robust_zscores", "Value far from the series median", "stat", "time", "medium", None, "Values sit within the robust band of their series."),
-        ("lint.unresolved_measure", "Visual bound to a missing measure", "lint", "presentation", "medium", None, "Every bound measure exists in the model."),
-    )
     schema = "id string, title string, kind string, domain string, severity string, implemented_as string, claim string"
-    return spark.createDataFrame([*fixed.CATALOG, *extra], schema)
+    return spark.createDataFrame([*fixed.CATALOG, *EXTRA_ENTRIES], schema)
 
 
 def catalog_lookup(df: DataFrame, method: str) -> DataFrame:
     """Add ``catalog_title`` and ``catalog_claim`` of a method id; the first entry that is or implements it wins.
 
-    The catalog is a fixed list of 22 entries, so it is broadcast.
+    The catalog is a fixed list of 22 entries, so it is a literal map inside the expression.
     """
-    catalog = catalog_frame(df.sparkSession).withColumn("_o", F.monotonically_increasing_id())
-    names = catalog.select("id", "title", "claim", "_o").unionByName(
-        catalog.where("implemented_as is not null").select(F.col("implemented_as").alias("id"), "title", "claim", "_o"))
-    first = names.groupBy("id").agg(F.min_by(F.struct("title", "claim"), "_o").alias("_e"))
-    joined = df.join(F.broadcast(first.withColumnRenamed("id", "_id")), F.col(method) == F.col("_id"), "left")
-    fallback = F.regexp_replace(F.regexp_replace(F.col(method), r"^.*\.", ""), "_", " ")
-    return joined.withColumns({
-        "catalog_title": F.coalesce("_e.title", fallback),
-        "catalog_claim": F.coalesce("_e.claim", F.concat(F.lit("Detector "), F.col(method), F.lit(" expectation holds."))),
-    }).drop("_id", "_e")
+    titles, claims = {}, {}
+    for entry_id, title, _, _, _, implemented_as, claim in (*fixed.CATALOG, *EXTRA_ENTRIES):
+        for name in filter(None, (entry_id, implemented_as)):
+            titles.setdefault(name, title)
+            claims.setdefault(name, claim)
+    key = F.col(method)
+    last_part = F.regexp_replace(F.regexp_replace(key, r"^.*\.", ""), "_", " ")
+    return df.withColumns({
+        "catalog_title": F.coalesce(lookup(key, titles), last_part),
+        "catalog_claim": F.coalesce(lookup(key, claims), F.concat(F.lit("Detector "), key, F.lit(" expectation holds.")))})
 
 
 def detector_select(components: DataFrame) -> DataFrame:

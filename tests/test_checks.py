@@ -90,6 +90,19 @@ def test_keyed_compare_nulls_tolerance_and_keys(spark, rows):
         compare.keyed_compare(text, text, ["k"], ["v"]).verdict.collect()
 
 
+def test_compare_does_not_narrow_types(spark, rows):
+    before = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    after = spark.createDataFrame([("a", 1.4), ("b", 2.0)], "k string, v double")
+    assert rows(compare.keyed_compare(before, after, ["k"], ["v"]).changes, "k", "delta") == [("a", 0.4)]
+
+
+def test_closest_name_over_many_chunks(spark, monkeypatch, rows):
+    monkeypatch.setattr(metadata, "NAMES_PER_CHUNK", 3)
+    candidates = spark.createDataFrame([("M", f"column_{i}") for i in range(40)] + [("M", "amount"), ("N", "amounts")], "model string, candidate string")
+    names = spark.createDataFrame([("M", "amout"), ("M", "zzz"), ("N", "amout")], "model string, name string")
+    assert rows(metadata.closest_name(names, candidates, ["model"], "name")) == [("M", "amout", "amount"), ("M", "zzz", None), ("N", "amout", "amounts")]
+
+
 # --- captured figures -----------------------------------------------------------------------
 
 
