@@ -1,9 +1,12 @@
 """Sources: evidence queries, metadata and fingerprints over the supplied tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.base import query, rounded, table
 from plumbline.functions.scalars import sha256_hex
+from plumbline.session import shared_folder
 from plumbline.sources import evidence as e
 
 
@@ -52,3 +55,26 @@ def verify_fingerprint(spark, sf):
 @query("text_digests", "SELECT doc_id, sha256(text) AS digest FROM documents")
 def text_digests(spark, sf):
     return table(spark, sf, "documents").select("doc_id", sha256_hex("text").alias("digest"))
+
+
+@query("evidence_round_trip", """
+SELECT o_orderstatus, COUNT(*) AS orders, ROUND(CAST(SUM(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE), 2) AS amount FROM orders GROUP BY 1""")
+def evidence_round_trip(spark, sf):
+    """A result set written once to the shared folder and read back."""
+    folder = f"{shared_folder(spark)}/evidence-{uuid.uuid4()}/orders"
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,4)").alias("amount"))
+    e.write_evidence(orders, folder)
+    kept = e.read_table(spark, "parquet", path=folder)
+    return rounded(kept.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders"), F.sum("amount").cast("double").alias("amount")), 2)
+
+
+@query("scan_event_files", """
+SELECT CAST(conv_id AS VARCHAR) AS session_id, role AS type, COUNT(*) AS events, (SELECT COUNT(*) FROM conversations WHERE turn % 7 = 6) AS malformed FROM conversations WHERE turn % 7 <> 6 GROUP BY 1, 2""")
+def scan_event_files(spark, sf):
+    """Conversations written as JSON-lines files, some lines cut short, and scanned again."""
+    folder = f"{shared_folder(spark)}/events-{uuid.uuid4()}"
+    line = F.to_json(F.struct(F.col("conv_id").cast("string").alias("sessionId"), F.col("role").alias("type"), F.struct(F.col("text").alias("content")).alias("message")))
+    table(spark, sf, "conversations").select(F.when(F.col("turn") % 7 == 6, F.substring(line, 1, 25)).otherwise(line).alias("value")).write.text(folder)
+    events, counts = e.scan_events_jsonl(spark, folder, since_days=1)
+    malformed = counts.agg(F.sum("malformed_lines")).scalar()
+    return events.groupBy("session_id", "type").agg(F.count(F.lit(1)).alias("events")).withColumn("malformed", malformed)

@@ -26,14 +26,12 @@ def build_session(app: str = "plumbline", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Used between rounds of an iterative operator, so that round k does not re-run rounds
-    1..k-1. The folder comes from the session; only a local session without one gets a
-    scratch folder, because a machine-local path would not survive the loss of an executor.
+    Only a local session without that setting gets a scratch folder, because a machine-local path
+    would not survive the loss of an executor.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -42,4 +40,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder.
+
+    Used between rounds of an iterative operator, so that round k does not re-run rounds 1..k-1.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
