@@ -27,12 +27,15 @@ def attach(rows: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "lef
 
     With real grouping columns Spark picks the join from the actual sizes (broadcast when the
     statistics are small, otherwise a sort-merge join that adaptive execution splits on skew).
-    The single constant group has exactly one statistics row, so that one is broadcast.
+    The single constant group has at most one statistics row, which is read as a scalar instead.
     """
+    if list(by) == [WHOLE]:
+        names = [c for c in stats.columns if c != WHOLE]
+        out = rows.withColumn("_stats", stats.select(F.struct(*names)).scalar())
+        out = out.where("_stats is not null") if how == "inner" else out
+        return out.withColumns({c: F.col(f"_stats.{c}") for c in names}).drop("_stats")
     renamed = {b: f"_k_{b}" for b in by}
     right = stats.withColumnsRenamed(renamed)
-    if list(by) == [WHOLE]:
-        right = F.broadcast(right)
     condition = reduce(lambda a, b: a & b, [rows[b].eqNullSafe(right[renamed[b]]) for b in by])
     return rows.join(right, condition, how).drop(*renamed.values())
 
