@@ -232,12 +232,13 @@ def called_measures(edges: DataFrame, measures: DataFrame, depth: int = 4) -> Da
 
     Each level keeps distinct pairs, so a cycle or a much-called measure cannot multiply rows.
     """
-    pairs = edges.select("model", F.col("measure").alias("_from"), F.col("called").alias("_to")).distinct()
+    # every level reads the call pairs again, so they are worked out once
+    pairs = cut_lineage(edges.select(F.col("model").alias("_model"), F.col("measure").alias("_from"), F.col("called").alias("_to")).distinct())
     frontier = measures.select("model", "measure", F.col("measure").alias("reached")).distinct()
     levels = [frontier.withColumn("level", F.lit(0))]
     for level in range(1, depth + 1):
-        hop = frontier.join(pairs, (frontier["model"] == pairs["model"]) & (frontier["reached"] == pairs["_from"]))
-        frontier = cut_lineage(hop.select(frontier["model"], "measure", F.col("_to").alias("reached")).distinct())
+        hop = frontier.join(pairs, (F.col("model") == F.col("_model")) & (F.col("reached") == F.col("_from")))
+        frontier = cut_lineage(hop.select("model", "measure", F.col("_to").alias("reached")).distinct())
         levels.append(frontier.withColumn("level", F.lit(level)))
     return _union(levels).groupBy("model", "measure", "reached").agg(F.min("level").alias("level"))
 
