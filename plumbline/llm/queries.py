@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import quality
+from plumbline.llm import line_dedup, near_dedup, packing, quality, secrets
+from plumbline.llm.tokens import vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,3 +53,48 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _op7_sql() -> str:
+    def one(rank: int, r: secrets.Rule) -> str:
+        p = "'" + r.pattern.replace("'", "''") + "'"
+        return (f"SELECT doc_id, '{r.kind}' AS kind, {rank} AS rank, {r.least} AS least, regexp_extract_all(text, {p}, 0) AS hits, "
+                f"regexp_extract_all(text, {p}, {r.group}) AS tested, regexp_split_to_array(text, {p}) AS gaps FROM d")
+    scans = " UNION ALL ".join(one(i, r) for i, r in enumerate(secrets.RULES))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS ({scans}),
+m AS (SELECT doc_id, kind, rank, least, unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS hit, unnest(tested) AS val, unnest(gaps[1:len(hits)]) AS gap FROM s),
+p AS (SELECT doc_id, kind, rank, length(val) >= least AS ok, length(hit) AS size,
+    sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM m),
+k AS (SELECT doc_id, kind, rank, (stop - size)::BIGINT AS start, kind || ':' || (stop - size)::BIGINT || ':' || stop::BIGINT AS span FROM p WHERE ok),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h,
+    string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(c, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+
+
+@query("op7_secret_scan", _op7_sql())
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.report(table(spark, sf, "documents"))
+    base = F.filter("spans", lambda x: x["rank"] < len(secrets.BASE))
+    def said(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+@query("op5_line_dedup")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf, "documents")).select("doc_id", "n_lines", "n_removed", F.array_join(F.col("kept_lines").cast("array<string>"), ",").alias("kept_lines"))
+
+
+@query("op1_near_dedup")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf, "documents"), rules=near_dedup.Rules(words=4))
+
+
+@query("op3_packing")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
