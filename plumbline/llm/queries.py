@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import line_dedup, near_dedup, packing, quality, secrets
+from plumbline.llm import ann, bpe, chat, line_dedup, near_dedup, packing, quality, revisit, secrets, token_files
 from plumbline.llm.tokens import vocabulary
+from plumbline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,3 +100,39 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_packing")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
+
+
+@query("op2_token_files")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf, "documents"), folder, vocabulary("word_bpe_49k.json"), end_id=2)
+    return token_files.read(spark, folder)
+
+
+@query("op4_bpe_round_trip")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    path = vocabulary("byte_bpe_50k.json")
+    return bpe.digests(bpe.encode(table(spark, sf, "documents"), path), path)
+
+
+@query("op6_revisits")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as WARC records and back, every revisit resolved."""
+    records = revisit.read_records(revisit.write_records(revisit.captures_of(table(spark, sf, "pages"))))
+    found = revisit.resolve(records)
+    said = F.array_join(F.transform("headers", lambda h: F.concat_ws(": ", h["name"], h["value"])), "\n")
+    return found.select("record_id", "uri", "state", "source_id", F.size("headers").cast("bigint").alias("n_headers"), said.alias("headers"), "payload_digest")
+
+
+@query("op8_permutation_index")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+@query("op10_chat_format")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(chat.read_turns(chat.format_turns(turns)))
