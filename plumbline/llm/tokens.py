@@ -12,19 +12,28 @@ from functools import lru_cache
 
 import numpy as np
 
-PIECES = 250_000  # pieces kept by a worker, twice: the current ones and those before
+PIECES = 300_000  # pieces kept by a worker, twice: the current ones and those before
 LONGEST = 64  # longer pieces are encoded each time
 
 
+#: Byte-level BPE spells byte b as this character: itself where printable, else the next free one from U+0100 on.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTES = [chr(b) if b in _SHOWN else chr(0x100 + b - sum(s < b for s in _SHOWN)) for b in range(256)]
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
+
 class _Pieces(dict):
-    def __init__(self, tokenizer, before: str):
+    """Ids of pieces that follow ``before``; a piece not seen yet is taken apart where the pre-tokenizers always cut."""
+
+    def __init__(self, encoder: "Encoder", before: str):
         super().__init__()
-        self.tokenizer, self.before, self.old = tokenizer, before, {}
+        self.encoder, self.before, self.old = encoder, before, {}
+        self.spelt = before and BYTES[ord(before)]
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = np.array(self.tokenizer.encode(self.before + piece, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self.apart(piece)
         if len(piece) <= LONGEST:
             if len(self) >= PIECES:
                 self.old = dict(self)
@@ -32,6 +41,21 @@ class _Pieces(dict):
             self[piece] = ids
         return ids
 
+    def apart(self, piece: str) -> bytes:
+        e = self.encoder
+        if "\n" in piece:
+            parts = piece.split("\n")
+            if all(parts) and not (e.blank and any(p[0].isspace() or p[-1].isspace() for p in parts)):
+                return self[parts[0]] + b"".join(e.line + e.first[p] for p in parts[1:])
+        elif len(piece) > 1 and piece[-1] in ".," and piece[-2].lower().isalpha():
+            return self[piece[:-1]] + e.first[piece[-1]]
+        elif e.lower and piece[:1].isupper() and (small := piece.lower()) != piece and len(small) == len(piece) and "\u03a3" not in piece:
+            return self[small]
+        elif _LATIN.fullmatch(piece) and not (e.lower and piece != piece.lower()):  # one pre-token, nothing to normalise
+            spelt = self.spelt + (piece if piece.isascii() else "".join(map(BYTES.__getitem__, piece.encode())))
+            return np.array([t.id for t in e.tokenizer.model.tokenize(spelt)], "<u4").tobytes()
+        return e.whole(self.before + piece)
+
 
 class Encoder:
     """``encode`` gives the ids of a text as little-endian 32-bit integers."""
@@ -42,13 +66,18 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.blank = bool(self.tokenizer.encode("a b", add_special_tokens=False).ids != self.tokenizer.encode("a\nb", add_special_tokens=False).ids)
-        self.first = _Pieces(self.tokenizer, "")
-        self.rest = _Pieces(self.tokenizer, " ") if self.blank else self.first
+        self.blank = self.whole("a b") != self.whole("a\nb")
+        self.lower = self.whole("A") == self.whole("a")
+        self.line = self.whole("\n")
+        self.first = _Pieces(self, "")
+        self.rest = _Pieces(self, " ") if self.blank else self.first
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.whole(text)
         pieces = text.split(" ")
         if self.blank and _BEFORE_SPACE.search(text):
             pieces = _CUT.split(text)
