@@ -92,5 +92,7 @@ def clean(docs: DataFrame, text: str = "text", limits: Limits = Limits()) -> Dat
     """The kept rows with their cleaned text; all other columns as they came, whatever their names."""
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    kept = _judged(rows, ["row"], limits).where("kept")
+    # a column that is not deterministic keeps the filter above the projections; pushed down, it would repeat them
+    judged = _judged(rows, ["row"], limits).withColumn("stays", F.col("kept") & (F.monotonically_increasing_id() >= 0))
+    kept = judged.where("stays")
     return kept.select(*[F.col("cleaned").alias(c) if c == text else F.col(f"row.`{c}`") for c in names])
