@@ -279,7 +279,7 @@ def visual_bindings(spark, sf):
 
 
 @query("filter_restrictions", f"""WITH {PART}
-SELECT model, 'visual' AS level, page, visual, 'dim_customer[name]' AS field, 'Categorical' AS kind, 'restricted' AS state, CAST(k % 11 + 1 AS BIGINT) AS listed, ARRAY_TO_STRING(GENERATE_SERIES(1, LEAST(k % 11 + 1, 8)), ';') AS "values" FROM bd
+SELECT model, 'visual' AS level, page, visual, 'dim_customer[name]' AS field, 'Categorical' AS kind, 'restricted' AS state, CAST(k % 11 + 1 AS BIGINT) AS listed, ARRAY_TO_STRING(GENERATE_SERIES(1, k % 11 + 1), ';') AS "values" FROM bd
 UNION ALL SELECT DISTINCT model, 'report', '', '', 'dim_customer[name]', 'Advanced', 'offered', CAST(0 AS BIGINT), '' FROM bd""")
 def filter_restrictions(spark, sf):
     return rounded(m.filter_restrictions(m.flatten_report(_reports(spark, sf))))

@@ -210,7 +210,7 @@ def figure_delta(spark, sf):
 
 
 @query("changed_filters", """
-SELECT c AS component, k::BIGINT AS capture_ord, CASE WHEN k IN (1, 2) THEN 'Status: Multiple selections' ELSE 'as baseline' END AS changed_filters
+SELECT c AS component, k::BIGINT AS capture_ord, CASE WHEN k = 0 THEN 'all values selected' WHEN k IN (1, 2) THEN 'Status: Multiple selections' ELSE 'as baseline' END AS changed_filters
 FROM (SELECT DISTINCT o_custkey AS c FROM orders), (SELECT UNNEST([0, 1, 2, 3]) AS k)""")
 def changed_filters(spark, sf):
     return rounded(ob.changed_filters(_captures(spark, sf)).drop("context"))
@@ -274,7 +274,7 @@ def shared_without_match(spark, sf):
 @query("observed_table", f"""WITH {FIGS},
 w AS (SELECT c, k, MAX(value) FILTER (WHERE f = 'card:orders') AS n, MAX(value) FILTER (WHERE f = 'card:revenue') AS r, MAX(value - bv) FILTER (WHERE f = 'card:orders') AS dn,
   MAX(value - bv) FILTER (WHERE f = 'card:revenue') AS dr, COUNT(*) FILTER (WHERE disp <> bd) AS differing FROM base GROUP BY 1, 2)
-SELECT c AS component, k AS capture_ord, CASE WHEN k IN (1, 2) THEN 'Status: Multiple selections' ELSE 'as baseline' END AS changed_filters, n AS orders, ROUND(r, 4) AS revenue,
+SELECT c AS component, k AS capture_ord, CASE WHEN k = 0 THEN 'all values selected' WHEN k IN (1, 2) THEN 'Status: Multiple selections' ELSE 'as baseline' END AS changed_filters, n AS orders, ROUND(r, 4) AS revenue,
   CASE WHEN k > 0 THEN dn END AS orders_change, CASE WHEN k > 0 THEN ROUND(dr, 4) END AS revenue_change,
   CASE WHEN k = 3 AND c % 5 <> 0 THEN CASE WHEN differing > 0 THEN 'Differs from baseline' ELSE 'Back to baseline' END END AS back_to_baseline FROM w""")
 def observed_table(spark, sf):

@@ -58,7 +58,8 @@ def to_claims(spark, sf):
 @query("lint_to_claims", """
 WITH f AS (SELECT CASE l_linenumber % 2 WHEN 0 THEN 'lint.raw_division' ELSE 'lint.stale_query_name' END AS method, CAST(l_orderkey AS VARCHAR) AS object, CAST(l_linenumber AS VARCHAR) AS fragment FROM lineitem GROUP BY ALL),
 t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY method ORDER BY object, fragment) AS rn FROM f)
-SELECT CASE method WHEN 'lint.raw_division' THEN 'LINT-raw-division' ELSE 'LINT-stale-query-name' END AS id, COUNT(*) AS hits, STRING_AGG(object, '; ' ORDER BY rn) FILTER (WHERE rn <= 12) AS objects FROM t GROUP BY method""")
+SELECT CASE method WHEN 'lint.raw_division' THEN 'LINT-raw-division' ELSE 'LINT-stale-query-name' END AS id, COUNT(*) AS hits,
+  STRING_AGG(object, '; ' ORDER BY rn) FILTER (WHERE rn <= 12) || CASE WHEN COUNT(*) > 12 THEN ' and ' || (COUNT(*) - 12) || ' more' ELSE '' END AS objects FROM t GROUP BY method""")
 def lint_to_claims(spark, sf):
     method = F.when(F.col("l_linenumber") % 2 == 0, "lint.raw_division").otherwise("lint.stale_query_name")
     found = table(spark, sf, "lineitem").select(method.alias("method"), F.lit("low").alias("severity"), F.col("l_orderkey").cast("string").alias("object"), F.col("l_linenumber").cast("string").alias("fragment")).distinct()
@@ -66,7 +67,8 @@ def lint_to_claims(spark, sf):
 
 
 @query("failed_to_findings", f"""WITH {BASE} SELECT 'FD-' || id AS id, 'Balance of customer ' || k || ' stays positive; checked monthly' AS title, COALESCE(severity, 'medium') AS severity, id AS claim_ids,
-  'Probe ' || detector || ' failed: ' || detector || ': Observed ' || n || ' == expected 0: does not hold' AS explanation FROM cl WHERE status = 'failed'""")
+  'Probe ' || detector || ' failed: ' || detector || ': Observed ' || n || ' == expected 0: does not hold' AS explanation,
+  'The checked rule does not hold for these rows, and every figure built on them is off by as much.' AS impact, 'probes/' || id || '.json' AS evidence FROM cl WHERE status = 'failed'""")
 def failed_to_findings(spark, sf):
     return rounded(r.failed_to_findings(_base(spark, sf)))
 

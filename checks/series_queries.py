@@ -221,7 +221,7 @@ def ratio_of_totals_vs_mean(spark, sf):
 
 @query("fan_out", """
 WITH p AS (SELECT COUNT(*) AS joined FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
-SELECT CASE WHEN joined <> base OR keys <> base THEN 'flagged' ELSE 'clean' END AS status, base AS base_rows, joined AS joined_rows,
+SELECT CASE WHEN joined <> base OR keys <> base THEN 'flagged' ELSE 'clean' END AS status, base AS base_rows, CAST(joined AS DOUBLE) AS joined_rows,
   ROUND(joined / CAST(base AS DOUBLE), 8) AS multiplier, unmatched AS unmatched_rows, keys AS distinct_keys, base - keys AS duplicate_rows
 FROM p, (SELECT COUNT(*) AS base, COUNT(DISTINCT o_orderkey) AS keys, COUNT(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)) AS unmatched FROM orders)""")
 def fan_out(spark, sf):

@@ -12,7 +12,7 @@ TERMS = {"that": "[w1]", "hein": "[w2]", "of the": "[w3]", "the": "[w4]", "la":
 
 
 def _docs(spark, sf):
-    return read_texts(spark, f"{sf}/documents.parquet", "doc_id", "text", "lang", "source")
+    return read_texts(spark, f"{sf}/documents.parquet", "doc_id", "text", "lang", "source", partitions=spark.sparkContext.defaultParallelism)
 
 
 
@@ -60,7 +60,7 @@ def redact_pii_counts(spark, sf):
 @query("redact_page_urls", r"""
 SELECT page_id, md5(regexp_replace(regexp_replace(url || ' ' || html, '\bhttps?://[^\s)\]}>\"''`]+', '[url]', 'g'), '/(?:home|Users)/[^/\s\"''`<>|]+(?:/[^\s\"''`<>|]*)*', '[path]', 'g')) AS digest FROM pages""")
 def redact_page_urls(spark, sf):
-    pages = read_texts(spark, f"{sf}/pages.parquet", "page_id", "url", "html").select("page_id", F.concat_ws(" ", "url", "html").alias("body"))
+    pages = read_texts(spark, f"{sf}/pages.parquet", "page_id", "url", "html", partitions=spark.sparkContext.defaultParallelism).select("page_id", F.concat_ws(" ", "url", "html").alias("body"))
     body = F.regexp_replace(F.regexp_replace("body", t.url_pattern(), "[url]"), fixed.POSIX_USER_PATH, "[path]")
     return pages.select("page_id", F.md5(body).alias("digest"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 from collections import Counter
 from decimal import Decimal
@@ -51,7 +52,7 @@ def main(argv):
     from checks import QUERIES, SQL
     from plumbline import build_session
     sf = argv[0] if argv else "/root/testdata/sf0.01"
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="plumbline-verify-"), "spark.driver.memory": "12g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("OFF")
     con = duckdb.connect()
     for t in TABLES:

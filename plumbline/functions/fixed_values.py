@@ -12,7 +12,6 @@ PSI_FLOOR = 1e-4
 
 # --- dates and status --------------------------------------------------------
 DATE_FORMATS = ("yyyy-M-d", "M/d/yyyy h:m:s a", "M/d/yyyy", "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m:s")
-MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 METHOD_STATUS = {"clean": "passed", "flagged": "review", "inconclusive": "inconclusive", "informational": "inconclusive"}
 CLASSIFICATIONS = ("preserved", "expected change pending review", "new regression", "defect fixed", "still open", "inconclusive")
 CLASSIFICATION_SEVERITY = ("new regression", "still open", "expected change pending review", "inconclusive", "defect fixed", "preserved")
@@ -101,6 +100,25 @@ ALIAS = r'"([^"\r\n]*)"'
 SOURCE_STEP = r'\[\s*Name\s*=\s*"([^"]+)"\s*,\s*Kind\s*=\s*"(%s)"\s*\]'
 SOURCE_CONNECTOR = r"([A-Za-z][A-Za-z0-9]*)\.[A-Za-z][A-Za-z0-9]*\s*\("
 NATIVE_QUERY = r"(?i)Value\.NativeQuery\s*\("
+# Connector names and visual types as a reader would say them.
+CONNECTOR_WORDS = {
+    "GoogleBigQuery": "Google BigQuery", "Sql": "SQL Server", "AmazonRedshift": "Amazon Redshift", "Snowflake": "Snowflake",
+    "PostgreSQL": "PostgreSQL", "MySQL": "MySQL", "Oracle": "Oracle", "Excel": "an Excel workbook", "Csv": "a CSV file",
+    "Databricks": "Databricks", "AzureStorage": "Azure Storage", "Web": "a web source", "Odbc": "an ODBC source"}
+VISUAL_TYPES = {
+    "card": "card", "cardVisual": "card", "multiRowCard": "multi-row card", "kpi": "KPI", "tableEx": "table", "table": "table",
+    "pivotTable": "matrix", "matrix": "matrix", "slicer": "slicer", "advancedSlicerVisual": "slicer", "textbox": "text box",
+    "image": "image", "shape": "shape", "basicShape": "shape", "actionButton": "button", "group": "group of visuals",
+    "lineChart": "line chart", "areaChart": "area chart", "stackedAreaChart": "stacked area chart", "columnChart": "column chart",
+    "clusteredColumnChart": "column chart", "stackedColumnChart": "stacked column chart",
+    "hundredPercentStackedColumnChart": "100% stacked column chart", "barChart": "bar chart", "clusteredBarChart": "bar chart",
+    "stackedBarChart": "stacked bar chart", "hundredPercentStackedBarChart": "100% stacked bar chart",
+    "lineClusteredColumnComboChart": "line and column combo chart", "lineStackedColumnComboChart": "line and stacked column combo chart",
+    "pieChart": "pie chart", "donutChart": "donut chart", "treemap": "treemap", "funnel": "funnel", "gauge": "gauge",
+    "waterfallChart": "waterfall chart", "scatterChart": "scatter chart", "map": "map", "filledMap": "filled map",
+    "shapeMap": "shape map", "azureMap": "map", "ribbonChart": "ribbon chart", "decompositionTreeVisual": "decomposition tree",
+    "keyDriversVisual": "key influencers", "qnaVisual": "Q&A visual", "esriVisual": "map", "scriptVisual": "script visual",
+    "pythonVisual": "Python visual"}
 
 # --- redaction patterns, in the order they are applied ------------------------------
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
@@ -116,7 +134,6 @@ ALLOWED_URL_HOSTS = ("docs.microsoft.com", "learn.microsoft.com")
 CAPITALISED = r"(?U)\b[A-Z][A-Za-z0-9]+(?:[ \-][A-Z][A-Za-z0-9]+)+\b"
 CURRENCY = r"(?U)[$€£¥]\s?\d[\d,]*(?:\.\d+)?|\b\d[\d,]*(?:\.\d+)?\s?(?:USD|EUR|GBP|CAD|AUD|ILS|CHF)\b"
 BIG_NUMBER = r"(?U)\b\d{1,3}(?:,\d{3})+\b|\b\d{5,}\b"
-PORT_PREFIX = r"(?i)port\s*$"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 COMMON_CAPITALISED = tuple("""
 power bi desktop service google ads meta ga4 bigquery dbt dax
@@ -157,7 +174,6 @@ crm-vs-platform reporting-gaps timezone-day-boundary campaign-windows freshness-
 statistical-detection qa-process bi-acceleration power-bi-desktop-automation bigquery dbt regression-testing
 sign-off-and-governance headless-agents visual-rendering
 """.split())
-DIGEST_SECTIONS = ("user_prompts", "skills", "errors", "assistant_texts", "bash_commands")
 
 # --- wording an analyst should not have to read ---------------------------------------
 DAX_FUNCTIONS = tuple("""

@@ -158,7 +158,8 @@ def pointer_value(document: ColumnLike, pointer: str) -> Column:
 def type_tag(json_text: ColumnLike) -> Column:
     """Type of a JSON value; every fractional number counts as one type, whole numbers as another."""
     tag = F.schema_of_variant(F.try_parse_json(_c(json_text)))
-    return F.regexp_replace(tag, r"DECIMAL\(\d+,\d+\)|DOUBLE", "FLOAT")
+    # a whole number beyond 64 bits is held as a decimal too; its text tells
+    return F.when(_c(json_text).rlike(r"^\s*-?[0-9]+\s*$"), "BIGINT").otherwise(F.regexp_replace(tag, r"DECIMAL\(\d+,\d+\)|DOUBLE", "FLOAT"))
 
 
 def typed_equal(a: ColumnLike, b: ColumnLike) -> Column:

@@ -25,12 +25,14 @@ class Comparison(NamedTuple):
 
 
 def _common_type(old: T.DataType, new: T.DataType) -> T.DataType:
-    """The type both sides are compared in; two numeric types meet as decimals, nothing is narrowed."""
+    """The type both sides are compared in: whole numbers and decimals meet in the larger scale, a fraction makes both doubles."""
     if old == new:
         return old
-    if isinstance(old, T.NumericType) and isinstance(new, T.NumericType):
-        return T.DecimalType(38, 18)
-    return T.StringType()
+    if not (isinstance(old, T.NumericType) and isinstance(new, T.NumericType)):
+        return T.StringType()
+    if any(isinstance(t, T.FractionalType) and not isinstance(t, T.DecimalType) for t in (old, new)):
+        return T.DoubleType()
+    return T.DecimalType(38, max(t.scale if isinstance(t, T.DecimalType) else 0 for t in (old, new)))
 
 
 def _paired(before: DataFrame, after: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -52,8 +54,16 @@ def _paired(before: DataFrame, after: DataFrame, keys: Sequence[str], values: Se
         *[F.max(f"_old_{v}").alias(f"_old_{v}") for v in values], *[F.max(f"_new_{v}").alias(f"_new_{v}") for v in values])
 
 
-def _exact(column):
-    return column.cast("string").cast("decimal(38,18)")
+def _delta(old, new, kind):
+    """Exact difference where 38 digits hold it (whole numbers, decimals in their own scale, doubles below 1e19), else in doubles."""
+    if isinstance(kind, T.DecimalType):
+        exact = f"decimal(38,{kind.scale})"
+        return new.cast(exact) - old.cast(exact)
+    if isinstance(kind, T.IntegralType):
+        return new.cast("decimal(38,0)") - old.cast("decimal(38,0)")
+    number = [c.cast("string").try_cast("decimal(38,18)") for c in (new, old)]
+    small = (F.abs(new.try_cast("double")) < 1e19) & (F.abs(old.try_cast("double")) < 1e19)
+    return F.when(small, number[0] - number[1])
 
 
 def keyed_compare(
@@ -70,14 +80,17 @@ def keyed_compare(
     paired = _paired(before, after, keys, values)
     shared = paired.where("_olds > 0 and _news > 0")
     limit = F.lit(str(tolerance)).cast("decimal(38,18)")
+    kinds = {v: _common_type(before.schema[v].dataType, after.schema[v].dataType) for v in values}
     fields = []
     for v in values:
         old, new = F.col(f"_old_{v}"), F.col(f"_new_{v}")
-        delta = _exact(new) - _exact(old)
-        changed = F.when(old.isNull() | new.isNull(), ~old.eqNullSafe(new)).otherwise(F.abs(delta) > limit)
+        exact, wide = _delta(old, new, kinds[v]), new.cast("double") - old.cast("double")
+        moved = F.coalesce(F.abs(exact) > limit, F.abs(wide) > float(tolerance))
+        changed = F.when(old.isNull() | new.isNull(), ~old.eqNullSafe(new)).otherwise(moved)
+        delta = F.coalesce(exact.cast("double"), wide)
         fields.append(F.when(changed, F.struct(
             F.lit(v).alias("field"), old.cast("string").alias("before"), new.cast("string").alias("after"),
-            delta.cast("double").alias("delta"))))
+            delta.alias("delta"))))
     found = shared.withColumn("_c", F.filter(F.array(*fields), lambda c: c.isNotNull()))
     changes = found.select(*keys, F.explode("_c").alias("c")).select(*keys, "c.*")
     side = F.when(F.col("_olds") == 0, "added").when(F.col("_news") == 0, "removed")

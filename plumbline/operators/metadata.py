@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as fixed
 from plumbline.functions.relational import attach
+from plumbline.functions.scalars import lookup
 from plumbline.session import cut_lineage
 
 FINDING = ["model", "method", "severity", "object", "kind", "fragment"]
@@ -36,32 +37,32 @@ def _field(name: str) -> Column:
     return F.concat(F.coalesce("table", F.lit("?")), F.lit("["), F.coalesce(name, F.lit("")), F.lit("]"))
 
 
-def _head(limit: int) -> Column:
-    return F.substring(F.trim("expression"), 1, limit)
+def _expression() -> Column:
+    return F.trim("expression")
 
 
 def lint_volatile_columns(columns: DataFrame) -> DataFrame:
     bad = (F.col("kind") == "calculated") & F.col("expression").rlike(fixed.VOLATILE)
-    return _finding(columns, bad, "lint.volatile_time_in_column", "high", _field("column"), "calculated_column", _head(240))
+    return _finding(columns, bad, "lint.volatile_time_in_column", "high", _field("column"), "calculated_column", _expression())
 
 
 def lint_volatile_measures(measures: DataFrame) -> DataFrame:
-    return _finding(measures, F.col("expression").rlike(fixed.VOLATILE), "lint.volatile_time_in_measure", "medium", _field("measure"), "measure", _head(240))
+    return _finding(measures, F.col("expression").rlike(fixed.VOLATILE), "lint.volatile_time_in_measure", "medium", _field("measure"), "measure", _expression())
 
 
 def lint_date_context(measures: DataFrame) -> DataFrame:
-    fragment = F.substring(F.regexp_extract("expression", fixed.DATE_CONTEXT_REMOVAL, 0), 1, 160)
+    fragment = F.regexp_extract("expression", fixed.DATE_CONTEXT_REMOVAL, 0)
     return _finding(measures, F.col("expression").rlike(fixed.DATE_CONTEXT_REMOVAL), "lint.date_context_removed", "medium", _field("measure"), "measure", fragment)
 
 
 def lint_raw_division(measures: DataFrame) -> DataFrame:
     bad = F.col("expression").rlike(fixed.RAW_DIVISION) & ~F.contains(F.upper("expression"), F.lit("DIVIDE"))
-    return _finding(measures, bad, "lint.raw_division", "low", _field("measure"), "measure", _head(160))
+    return _finding(measures, bad, "lint.raw_division", "low", _field("measure"), "measure", _expression())
 
 
 def lint_freshness_measures(measures: DataFrame) -> DataFrame:
     bad = F.col("measure").rlike(fixed.FRESHNESS_WORDS) & ~F.coalesce("expression", F.lit("")).rlike(fixed.FRESHNESS_SOURCE)
-    return _finding(measures, bad, "lint.freshness_label_on_business_date", "medium", _field("measure"), "measure", F.coalesce(_head(160), F.lit("")))
+    return _finding(measures, bad, "lint.freshness_label_on_business_date", "medium", _field("measure"), "measure", F.coalesce(_expression(), F.lit("")))
 
 
 def lint_integer_formats(measures: DataFrame) -> DataFrame:
@@ -70,15 +71,13 @@ def lint_integer_formats(measures: DataFrame) -> DataFrame:
     return _finding(measures, bad, "lint.format_hides_precision", "low", _field("measure"), "measure", fragment)
 
 
-def lint_relationship_paths(relationships: DataFrame, shown: int = 12) -> DataFrame:
-    """Several relationships between the same two tables; the first columns in name order are listed."""
+def lint_relationship_paths(relationships: DataFrame) -> DataFrame:
+    """Several relationships between the same two tables, all of them listed in name order (as many as the two tables have columns)."""
     pair = ["model", "from_table", "to_table"]
     rows = relationships.where("from_table is not null and to_table is not null")
     counts = rows.groupBy(*pair).agg(F.count(F.lit(1)).alias("paths")).where("paths > 1")
-    order = Window.partitionBy(*pair).orderBy("from_column", "to_column")
     path = F.concat(F.col("from_column"), F.lit(" -> "), F.col("to_column"), F.when(F.col("active"), "").otherwise(" (inactive)"))
-    listed = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= shown).groupBy(*pair).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", path.alias("p")))), lambda x: x["p"]), "; ").alias("fragment"))
+    listed = rows.groupBy(*pair).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("from_column", "to_column", path.alias("p")))), lambda x: x["p"]), "; ").alias("fragment"))
     found = counts.join(listed, pair)
     obj = F.concat(F.col("from_table"), F.lit(" -> "), F.col("to_table"))
     return _finding(found, F.lit(True), "lint.multiple_relationship_paths", "medium", obj, "relationship", F.col("fragment"))
@@ -108,7 +107,7 @@ def lint_unresolved(bindings: DataFrame, measures: DataFrame) -> DataFrame:
 def lint_freshness_titles(bindings: DataFrame, measures: DataFrame) -> DataFrame:
     titled = bindings.where(F.col("title").rlike(fixed.FRESHNESS_WORDS)).join(measures.select("model", "measure", "expression"), ["model", "measure"])
     bad = ~F.coalesce("expression", F.lit("")).rlike(fixed.FRESHNESS_SOURCE)
-    fragment = F.concat(F.lit('title "'), F.col("title"), F.lit('" bound to '), F.col("measure"), F.lit(" = "), F.coalesce(_head(120), F.lit("")))
+    fragment = F.concat(F.lit('title "'), F.col("title"), F.lit('" bound to '), F.col("measure"), F.lit(" = "), F.coalesce(_expression(), F.lit("")))
     return _finding(titled, bad, "lint.freshness_label_on_business_date", "medium", _where_used(), "visual", fragment)
 
 
@@ -135,9 +134,11 @@ def check_references(queries: DataFrame, columns: DataFrame, measures: DataFrame
     """References of stored query text that the model does not have, with the closest real name.
 
     ``queries``: model, query_id, text. A bare ``[X]`` is accepted when it is a measure, a measure or
-    alias the query defines itself, or a column of a table the query already names.
+    alias the query defines itself, or a column of a table the query already names. A model without captured
+    columns says nothing about its queries, which are then left out.
     """
     text = F.col("text")
+    queries = queries.join(columns.select("model").distinct(), "model", "left_semi")
     local = F.concat(F.regexp_extract_all(text, F.lit(fixed.DEFINED_MEASURE), F.lit(1)), F.regexp_extract_all(text, F.lit(fixed.ALIAS), F.lit(1)))
     scan = F.regexp_replace(text, fixed.DEFINED_MEASURE, " ")
     q = queries.select("model", "query_id", F.transform(local, lambda x: F.lower(F.trim(x))).alias("_local"), scan.alias("_scan"))
@@ -250,8 +251,17 @@ def measure_closure(measures: DataFrame, tables: DataFrame, depth: int = 4) -> D
     return reach.join(direct, ["model", "reached"]).groupBy("model", "measure", "table").agg(F.min("level").alias("level"))
 
 
+def measure_places(bindings: DataFrame) -> DataFrame:
+    """Every place that binds a measure, one row each: model, measure, place."""
+    bound = bindings.where("measure is not null and measure != ''")
+    return bound.select("model", F.trim("measure").alias("measure"), _where_used().alias("place")).distinct()
+
+
 def measures_used(bindings: DataFrame, measures: DataFrame, shown: int = 12) -> DataFrame:
-    """Every bound or defined measure: captured or not, used or not, where (first places in name order)."""
+    """Every bound or defined measure: captured or not, used or not, and where.
+
+    ``used_by`` shows the first ``shown`` places in name order with the number of the rest; ``measure_places`` has all as rows.
+    """
     key = F.lower(F.trim("measure"))
     bound = bindings.where("measure is not null and measure != ''").withColumn("_m", key)
     counts = bound.groupBy("model", "_m").agg(F.count(F.lit(1)).alias("uses"), F.min(F.trim("measure")).alias("_name"))
@@ -259,7 +269,9 @@ def measures_used(bindings: DataFrame, measures: DataFrame, shown: int = 12) ->
     order = Window.partitionBy("model", "_m").orderBy("_p")
     lists = places.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= shown).groupBy("model", "_m").agg(
         F.array_join(F.array_sort(F.collect_list("_p")), "; ").alias("used_by"))
-    used = counts.join(lists, ["model", "_m"])
+    total = places.groupBy("model", "_m").agg(F.count(F.lit(1)).alias("_places"))
+    rest = F.when(F.col("_places") > shown, F.format_string(" and %d more", F.col("_places") - shown)).otherwise("")
+    used = counts.join(lists, ["model", "_m"]).join(total, ["model", "_m"]).withColumn("used_by", F.concat("used_by", rest))
     known = measures.select("model", key.alias("_m"), F.col("measure").alias("_defined"), "expression").dropDuplicates(["model", "_m"])
     both = known.join(used, ["model", "_m"], "full")
     return both.select(
@@ -275,23 +287,29 @@ def table_sources(partitions: DataFrame) -> DataFrame:
         hits = F.regexp_extract_all(text, F.lit(fixed.SOURCE_STEP % kind), F.lit(1))
         return F.try_element_at(hits, F.lit(-1))
 
-    connector = F.nullif(F.regexp_extract(text, fixed.SOURCE_CONNECTOR, 1), F.lit(""))
+    raw = F.nullif(F.regexp_extract(text, fixed.SOURCE_CONNECTOR, 1), F.lit(""))
+    connector = F.coalesce(lookup(raw, fixed.CONNECTOR_WORDS), raw)
     table, schema, database = F.coalesce(step("Table"), step("View")), step("Schema"), step("Database")
     relation = F.concat_ws(".", F.when(schema.isNull(), database), schema, table)
     source = (F.when(text == "", "not captured").when(F.col("kind") == "calculated", "calculated inside the model")
               .when(table.isNotNull(), F.concat_ws(", ", connector, F.concat(F.lit("table "), relation)))
               .when(text.rlike(fixed.NATIVE_QUERY), F.concat_ws(", ", connector, F.lit("a native query")))
               .when(connector.isNotNull(), F.concat(connector, F.lit(" (the query does not name a single table)")))
-              .otherwise(F.substring(F.trim(F.regexp_extract(text, r"^\s*([^\r\n]+)", 1)), 1, 110)))
+              .otherwise(F.trim(F.regexp_extract(text, r"^\s*([^\r\n]+)", 1))))
     rows = partitions.withColumn("source", source)
     return rows.groupBy("model", "table", "source").agg(F.count(F.lit(1)).alias("partitions"))
 
 
+def _sources_of(sources: DataFrame) -> DataFrame:
+    """All sources of a table in one text, in name order (a table has as many as its partitions name)."""
+    return sources.groupBy("model", "table").agg(F.array_join(F.array_sort(F.collect_set("source")), "; ").alias("source"))
+
+
 def tables_for_measures(closure: DataFrame, used: DataFrame, sources: DataFrame) -> DataFrame:
     """Tables behind the used measures with their source; facts first, then dimensions."""
     wanted = used.where("used").select("model", "measure")
     counts = closure.join(wanted, ["model", "measure"], "left_semi").groupBy("model", "table").agg(F.count(F.lit(1)).alias("measures"))
-    known = sources.groupBy("model", "table").agg(F.min("source").alias("source"))
+    known = _sources_of(sources)
     prefix = F.lower(F.substring_index("table", "_", 1))
     out = counts.join(known, ["model", "table"], "left").withColumn("source", F.coalesce("source", F.lit("not captured")))
     return out.withColumn("rank", F.when(prefix == "fact", 0).when(prefix == "dim", 1).otherwise(2))
@@ -303,7 +321,7 @@ def expression_chips(measures: DataFrame, depth: int = 4) -> DataFrame:
     clean = F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", " "), r"(?m)(//|--).*$", " ")
     own = measures.select("model", F.col("measure").alias("reached"), clean.alias("_e")).select("model", "reached", F.explode(F.filter(F.array(
         F.when(F.col("_e").rlike(fixed.VOLATILE), F.lit("reads the clock")), F.when(F.col("_e").rlike(fixed.FILTER_REMOVAL), F.lit("removes filters")),
-        F.when(F.col("_e").rlike(fixed.RAW_DIVISION) & ~F.contains(F.upper("_e"), F.lit("DIVIDE")), F.lit("divides without a guard"))), lambda c: c.isNotNull())).alias("chip"))
+        F.when(F.col("_e").rlike(fixed.RAW_DIVISION), F.lit("divides without a guard"))), lambda c: c.isNotNull())).alias("chip"))
     reach = called_measures(expression_measures(measures), measures, depth)
     return reach.join(own, ["model", "reached"]).groupBy("model", "measure", "chip").agg(
         F.min_by("reached", F.struct("level", "reached")).alias("found_in"), F.min("level").alias("level"))
@@ -316,7 +334,7 @@ def number_chains(bindings: DataFrame, measures: DataFrame, closure: DataFrame,
     figures = shown.select("model", "page", "visual", "measure", F.when(headline, "on a card").otherwise("as a table total").alias("how"))
     known = measures.select("model", "measure", F.col("expression")).dropDuplicates(["model", "measure"])
     chain = figures.join(known, ["model", "measure"], "left").join(closure.select("model", "measure", "table"), ["model", "measure"], "left")
-    where = sources.groupBy("model", "table").agg(F.min("source").alias("source"))
+    where = _sources_of(sources)
     return chain.join(where, ["model", "table"], "left").select("model", "page", "visual", "how", "measure", "expression", "table", "source")
 
 
@@ -348,6 +366,12 @@ _REPORT = ("filters string, sections array<struct<name string, displayName strin
            "visualContainers array<struct<config string, filters string>>>>")
 
 
+def _type_word(name: Column | str) -> Column:
+    """What a reader calls a visual type; a type without such a word keeps its name."""
+    kind = F.col(name) if isinstance(name, str) else name
+    return F.coalesce(lookup(kind, fixed.VISUAL_TYPES), kind)
+
+
 def flatten_report(reports: DataFrame) -> DataFrame:
     """Report definitions (``model``, ``document`` JSON) as one row per visual.
 
@@ -372,7 +396,7 @@ def flatten_report(reports: DataFrame) -> DataFrame:
 
     empty = F.array().cast("array<struct<role:string,query_name:string>>")
     return c.select(
-        "model", "page_id", "page", F.col("c.name").alias("visual"), F.col("c.singleVisual.visualType").alias("type"), F.coalesce("c.isHidden", F.lit(False)).alias("hidden"),
+        "model", "page_id", "page", F.col("c.name").alias("visual"), _type_word("c.singleVisual.visualType").alias("type"), F.coalesce("c.isHidden", F.lit(False)).alias("hidden"),
         F.regexp_replace(title, r"^'+|'+$", "").alias("title"), F.transform(F.coalesce(roles, empty), resolved).alias("projections"),
         "report_filters", "page_filters", F.col("v.filters").alias("visual_filters"))
 
@@ -394,7 +418,7 @@ def flatten_visuals(visuals: DataFrame) -> DataFrame:
         return F.col(name) if name in visuals.columns else F.lit(None).cast("string").alias(name)
 
     return c.select(
-        "model", "page_id", "page", F.col("c.name").alias("visual"), F.coalesce("c.visual.visualType", F.lit("group")).alias("type"),
+        "model", "page_id", "page", F.col("c.name").alias("visual"), _type_word(F.coalesce("c.visual.visualType", F.lit("group"))).alias("type"),
         F.coalesce("c.isHidden", F.lit(False)).alias("hidden"), F.regexp_replace(title, r"^'+|'+$", "").alias("title"), F.coalesce(roles, empty).alias("projections"),
         optional("report_filters"), optional("page_filters"), F.col("c.filterConfig").alias("visual_filters"))
 
@@ -405,8 +429,8 @@ def visual_bindings(flat: DataFrame) -> DataFrame:
     return rows.select("model", "page", "visual", "type", "p.role", "title", "p.query_name", "p.measure", F.coalesce("p.column", "p.measure").alias("label"))
 
 
-def filter_restrictions(flat: DataFrame, shown: int = 8) -> DataFrame:
-    """Every report, page and visual filter: field, number of listed values and the first of them."""
+def filter_restrictions(flat: DataFrame) -> DataFrame:
+    """Every report, page and visual filter: field, number of listed values and the values."""
     report = flat.select("model", F.lit("report").alias("level"), F.lit("").alias("page"), F.lit("").alias("visual"), F.col("report_filters").alias("text")).distinct()
     page = flat.select("model", F.lit("page").alias("level"), "page", F.lit("").alias("visual"), F.col("page_filters").alias("text")).distinct()
     visual = flat.select("model", F.lit("visual").alias("level"), "page", "visual", F.col("visual_filters").alias("text"))
@@ -422,8 +446,7 @@ def filter_restrictions(flat: DataFrame, shown: int = 8) -> DataFrame:
     values = F.transform(F.regexp_extract_all(where, F.lit(r'"Literal"\s*:\s*\{\s*"Value"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1)), lambda v: F.regexp_replace(F.trim(v), r"^'+|'+$", ""))
     state = F.when(F.size("values") > 0, "restricted").when(where.isin("", "[]"), "offered").otherwise("condition")
     rows = rows.withColumns({"field": field, "kind": F.coalesce("f.type", F.lit("filter")), "values": values})
-    return rows.withColumn("state", state).select("model", "level", "page", "visual", "field", "kind", "state", F.size("values").cast("bigint").alias("listed"),
-                                                 F.slice("values", 1, shown).alias("values"))
+    return rows.withColumn("state", state).select("model", "level", "page", "visual", "field", "kind", "state", F.size("values").cast("bigint").alias("listed"), "values")
 
 
 def model_catalog(tables: DataFrame, columns: DataFrame, measures: DataFrame, relationships: DataFrame, partitions: DataFrame) -> DataFrame:

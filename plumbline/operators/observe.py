@@ -29,14 +29,18 @@ POINT = ["component", "capture_ord", "figure_key"]
 def check_expectations(observed: DataFrame, expected: DataFrame, by: Sequence[str] = ("capture",)) -> DataFrame:
     """Every expected pointer must be present with the same JSON type and value.
 
-    Both frames hold ``by…, pointer, value`` with ``value`` as JSON text.
+    Both frames hold ``by…, pointer, value`` with ``value`` as JSON text. An empty set of expectations fails the job:
+    nothing would have been checked.
     """
     keys = [*by, "pointer"]
     seen = observed.select(*keys, F.col("value").alias("actual"), F.lit(True).alias("present"))
     joined = expected.select(*keys, F.col("value").alias("expected")).join(seen, keys, "left")
     present = F.coalesce("present", F.lit(False))
     status = F.when(present & typed_equal("actual", "expected"), "passed").otherwise("failed")
-    return joined.select(*keys, "expected", "actual", status.alias("status"), F.when(~present, "Missing observation").alias("error"))
+    out = joined.select(*keys, "expected", "actual", status.alias("status"), F.when(~present, "Missing observation").alias("error"))
+    nothing = expected.agg(F.count(F.lit(1)).alias("_n")).where("_n = 0")
+    refused = nothing.select(*[F.raise_error(F.lit("no expectations to check")).cast(f.dataType).alias(f.name) for f in out.schema.fields])
+    return out.unionByName(refused)
 
 
 def resolve_expectations(expected: DataFrame, oracles: DataFrame) -> DataFrame:
@@ -172,12 +176,23 @@ def context_key(date_start: Column | str = "date_start", date_end: Column | str
 
 
 def changed_filters(captures: DataFrame) -> DataFrame:
-    """Slicer captions that differ from the baseline capture, as sorted text."""
+    """Slicer captions that differ from the baseline capture, as sorted text; the baseline lists its own selections."""
     base = captures.where("capture_ord = 0").select("component", F.col("slicers").alias("_base"))
     joined = captures.join(base, "component", "left")
     differing = F.map_filter("slicers", lambda k, v: ~v.eqNullSafe(F.try_element_at("_base", k)))
     text = F.array_join(F.transform(F.array_sort(F.map_entries(differing)), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("")))), ", ")
-    return joined.select(*CAPTURE, F.when(text == "", "as baseline").otherwise(text).alias("changed_filters"), context_key().alias("context"))
+    own = F.filter(F.array_sort(F.map_entries("slicers")), lambda e: ~F.lower(F.trim(F.coalesce(e["value"], F.lit("")))).isin("", "all", "all values"))
+    chosen = F.array_join(F.transform(own, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), ", ")
+    listed = F.when(F.coalesce(F.size("slicers"), F.lit(0)) == 0, "as captured").when(chosen == "", "all values selected").otherwise(chosen)
+    shown = F.when((F.col("capture_ord") == 0) | F.col("_base").isNull(), listed).when(text == "", "as baseline").otherwise(text)
+    return joined.select(*CAPTURE, shown.alias("changed_filters"), context_key().alias("context"))
+
+
+def reset_differences(captures: DataFrame, figures: DataFrame, restored: DataFrame | None = None) -> DataFrame:
+    """The figures behind a failed reset: component, capture_ord, figure_key, what the baseline showed and what is shown."""
+    failed = reset_check(captures, figures, restored).where("status = 'fail'").select(*CAPTURE)
+    rows = _with_baseline(figures).where(F.col("base_display").isNotNull() & (F.col("display") != F.col("base_display")))
+    return rows.join(failed, CAPTURE, "left_semi").select(*POINT, "base_display", "display")
 
 
 def reset_check(captures: DataFrame, figures: DataFrame, restored: DataFrame | None = None) -> DataFrame:

@@ -12,17 +12,19 @@ from plumbline.functions.scalars import lookup
 
 
 def classify_changes(claims: DataFrame, verdicts: DataFrame, strict: bool = True) -> DataFrame:
-    """Attach each claim's classification; unknown ids and values are refused.
+    """Attach each claim's classification; unknown ids and values, and a second verdict for a claim, are refused.
 
     ``claims``: id, …; ``verdicts``: id, change_classification, note. With ``strict`` an unknown entry
     fails the job; otherwise it is returned with its ``problem``.
     """
     value = F.lower(F.trim(F.coalesce("change_classification", F.lit(""))))
     given = verdicts.select("id", value.alias("change_classification"), F.nullif(F.trim("note"), F.lit("")).alias("change_note"), F.lit(True).alias("_given"))
+    given = given.groupBy("id").agg(*[F.max(c).alias(c) for c in ("change_classification", "change_note", "_given")], F.count(F.lit(1)).alias("_verdicts"))
     joined = claims.withColumn("_known", F.lit(True)).join(given, "id", "full")
     problem = F.when(F.col("_known").isNull(), F.concat(F.lit("unknown claim "), F.col("id").cast("string"))).when(
         F.col("_given") & ~F.col("change_classification").isin(*fixed.CLASSIFICATIONS),
-        F.concat(F.lit("unknown change_classification "), F.col("change_classification")))
+        F.concat(F.lit("unknown change_classification "), F.col("change_classification"))).when(
+        F.col("_verdicts") > 1, F.concat(F.lit("several verdicts for claim "), F.col("id").cast("string")))
     if strict:
         checked = F.when(problem.isNotNull(), F.raise_error(problem).cast("string")).otherwise(F.col("change_classification"))
         return joined.withColumn("change_classification", checked).select(*claims.columns, "change_classification", "change_note")

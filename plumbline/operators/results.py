@@ -29,16 +29,29 @@ def to_claims(verdicts: DataFrame, probe: str = "probe") -> DataFrame:
         status.alias("status"), F.lit("engine").alias("layer"), severity.alias("severity"), F.col("status").alias("probe_status"))
 
 
+def _lint_id() -> Column:
+    return F.concat(F.lit("LINT-"), F.regexp_replace(F.regexp_replace("method", r"^[^.]*\.", ""), "_", "-"))
+
+
+def lint_objects(findings: DataFrame) -> DataFrame:
+    """Every object behind a lint claim, one row each: claim id, object, fragment."""
+    return findings.select(_lint_id().alias("id"), "object", "fragment")
+
+
 def lint_to_claims(findings: DataFrame, shown: int = 12) -> DataFrame:
-    """One claim per lint method with its hit count and the first objects in name order."""
+    """One claim per lint method with its hit count, why it matters, and the first objects in name order with the number of the rest.
+
+    ``lint_objects`` has all of them as rows.
+    """
     order = Window.partitionBy("method").orderBy("object", "fragment")
     listed = findings.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= shown)
     objects = listed.groupBy("method").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "object"))), lambda x: x["object"]), "; ").alias("objects"))
     counts = findings.groupBy("method").agg(F.count(F.lit(1)).alias("hits"), F.min("severity").alias("severity"))
     claims = catalog_lookup(counts.join(objects, "method"), "method")
-    cid = F.concat(F.lit("LINT-"), F.regexp_replace(F.regexp_replace("method", r"^[^.]*\.", ""), "_", "-"))
-    return claims.select(
-        cid.alias("id"), F.col("method").alias("detector"), F.col("catalog_claim").alias("expected"),
+    rest = F.when(F.col("hits") > shown, F.format_string(" and %d more", F.col("hits") - shown)).otherwise("")
+    objects = F.concat("objects", rest)
+    return claims.withColumn("objects", objects).select(
+        _lint_id().alias("id"), F.col("method").alias("detector"), F.col("catalog_claim").alias("expected"),
         F.concat(F.col("hits").cast("string"), F.lit(" object(s). Hits: "), F.col("objects")).alias("observed"),
         F.lit("inconclusive").alias("status"), F.lit("cross-layer").alias("layer"), "severity", "hits", "objects")
 
@@ -47,8 +60,10 @@ def failed_to_findings(claims: DataFrame) -> DataFrame:
     """One finding per failed probe claim."""
     failed = claims.where("status = 'failed'")
     return failed.select(
-        F.concat(F.lit("FD-"), F.col("id")).alias("id"), F.col("expected").alias("title"), F.coalesce("severity", F.lit("medium")).alias("severity"),
-        F.array("id").alias("claim_ids"), F.concat(F.lit("Probe "), F.col("detector"), F.lit(" failed: "), F.substring("observed", 1, 400)).alias("explanation"))
+        F.concat(F.lit("FD-"), F.col("id")).alias("id"), F.coalesce(F.nullif(F.trim("expected"), F.lit("")), F.regexp_replace("id", "^PRB-", "")).alias("title"), F.coalesce("severity", F.lit("medium")).alias("severity"),
+        F.array("id").alias("claim_ids"), F.concat(F.lit("Probe "), F.col("detector"), F.lit(" failed: "), F.col("observed")).alias("explanation"),
+        F.lit("The checked rule does not hold for these rows, and every figure built on them is off by as much.").alias("impact"),
+        (F.col("evidence") if "evidence" in claims.columns else F.array(F.concat(F.lit("probes/"), F.regexp_replace("id", "^PRB-", ""), F.lit(".json")))).alias("evidence"))
 
 
 def outcome_text(verdicts: DataFrame, flags: DataFrame, by: Sequence[str], shown: int = 8) -> DataFrame:

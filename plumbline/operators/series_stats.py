@@ -443,7 +443,7 @@ def fan_out(
         pairs = condition if pairs is None else pairs & condition
     counts = left.join(right, pairs, "left").agg(
         F.coalesce(F.sum("_l"), F.lit(0)).alias("base_rows"),
-        F.coalesce(F.sum(F.col("_l") * F.coalesce("_r", F.lit(0).cast("bigint"))), F.lit(0)).alias("joined_rows"),
+        F.coalesce(F.sum(F.col("_l").cast("decimal(19,0)") * F.coalesce("_r", F.lit(0).cast("bigint")).cast("decimal(19,0)")), F.lit(0)).alias("joined_rows"),
         F.coalesce(F.sum(F.when(F.col("_r").isNull(), F.col("_l"))), F.lit(0)).alias("unmatched_rows"))
     if business_key:
         distinct = base.select(*business_key).distinct().agg(F.count(F.lit(1)))

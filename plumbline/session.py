@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,14 +30,14 @@ def build_session(app: str = "plumbline", master: str | None = None, **conf: str
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session without that setting gets a scratch folder, because a machine-local path
-    would not survive the loss of an executor.
+    Only a session whose executors are threads of this process gets a scratch folder of its own; everywhere
+    else a machine-local path would be lost with its executor, and the setting is required.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not context.master.startswith("local"):
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
         context.setCheckpointDir(folder)

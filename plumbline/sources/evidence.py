@@ -12,6 +12,10 @@ from plumbline.functions.scalars import sha256_hex
 from plumbline.operators.text import front_matter
 
 
+#: Parsed statements that write although they are no commands yet.
+WRITING_NODES = ("InsertIntoStatement", "CacheTable", "UncacheTable", "CreateTable", "CreateTableAsSelect", "ReplaceTable", "ReplaceTableAsSelect", "InsertIntoDir")
+
+
 def check_output_names(df: DataFrame) -> DataFrame:
     """Refuse a result whose column names repeat (case-insensitive, as Spark resolves them)."""
     seen: set[str] = set()
@@ -23,10 +27,21 @@ def check_output_names(df: DataFrame) -> DataFrame:
 
 
 def sql_evidence(spark: SparkSession, query: str) -> tuple[DataFrame, DataFrame]:
-    """A read-only query as a frame, with a one-row frame that describes it."""
-    first = query.strip().split(None, 1)[0].lower() if query.strip() else ""
-    if first not in ("select", "with", "from", "values", "table", "("):
+    """A read-only query as a frame, with a one-row frame that describes it.
+
+    The query is parsed before anything runs, and refused if any part of it is more than a query.
+    """
+    def refuse(node) -> None:
+        if command.isInstance(node) or node.getClass().getSimpleName() in WRITING_NODES:
+            raise ValueError("evidence queries must be a single SELECT")
+        parts = node.children()
+        for i in range(parts.size()):
+            refuse(parts.apply(i))
+
+    if not query.strip():
         raise ValueError("evidence queries must be a single SELECT")
+    command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
+    refuse(spark._jsparkSession.sessionState().sqlParser().parsePlan(query))
     frame = check_output_names(spark.sql(query))
     columns = [f"{f.name} {f.dataType.simpleString()}" for f in frame.schema.fields]
     about = spark.createDataFrame(
@@ -61,16 +76,14 @@ def read_table(spark: SparkSession, source: str, **options: str) -> DataFrame:
     return check_output_names(spark.read.format(source).options(**options).load())
 
 
-def read_texts(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """Text columns of a parquet source for CPU-heavy jobs.
+def read_texts(spark: SparkSession, path: str, *columns: str, partitions: int | None = None) -> DataFrame:
+    """Text columns of a parquet source, split as its row groups are.
 
-    A file with one row group is one task. When there are fewer files than cores the rows are spread
-    once; a source of many files is read as it is.
+    ``partitions`` spreads the rows of a source with few large row groups first, which shuffles all text.
     """
     frame = spark.read.parquet(path)
     frame = frame.select(*columns) if columns else frame
-    cores = spark.sparkContext.defaultParallelism
-    return frame.repartition(cores) if len(frame.inputFiles()) < cores else frame
+    return frame if partitions is None else frame.repartition(partitions)
 
 
 def read_evidence(spark: SparkSession, path: str, schema: str | None = None) -> tuple[DataFrame, bool]:
@@ -91,9 +104,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def write_evidence(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write once: an existing path, or a folder that a manifest seals, is refused."""
     spark = df.sparkSession
-    parent = path.rstrip("/").rsplit("/", 1)[0]
-    if _exists(spark, f"{parent}/manifest.json"):
-        raise ValueError(f"{parent} is sealed; write into a new folder")
+    scheme, bare = path.split("://", 1) if "://" in path else ("", path)
+    start, parts = (f"{scheme}://" if scheme else ""), bare.rstrip("/").split("/")
+    for depth in range(len(parts) - 1, 0, -1):  # the seal of any folder above counts
+        parent = start + "/".join(parts[:depth])
+        if parent and parent != start and _exists(spark, f"{parent}/manifest.json"):
+            raise ValueError(f"{parent} is sealed; write into a new folder")
     check_output_names(df).write.mode("errorifexists").format(fmt).save(path)
 
 
