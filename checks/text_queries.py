@@ -218,6 +218,18 @@ def char_budget(spark, sf):
     return t.char_budget(c, ["conv_id"], "role", "turn", "text", ["user", "assistant", "system"], 2500).select("conv_id", "turn", "role")
 
 
+@query("budget_summary", """
+WITH i AS (SELECT conv_id, turn, role, len(text) AS size, SUM(len(text)) OVER (PARTITION BY conv_id, role ORDER BY turn) AS upto FROM conversations),
+k1 AS (SELECT * FROM i WHERE role = 'user' AND upto <= 2500), r1 AS (SELECT conv_id, MAX(upto) AS used FROM k1 GROUP BY 1),
+k2 AS (SELECT i.* FROM i LEFT JOIN r1 USING (conv_id) WHERE role = 'assistant' AND upto <= 2500 - COALESCE(used, 0)), k AS (SELECT * FROM k1 UNION ALL SELECT * FROM k2),
+s AS (SELECT conv_id, COUNT(*) AS kept, SUM(size) AS chars FROM k GROUP BY 1)
+SELECT conv_id, COALESCE(kept, 0) AS kept, CAST(COALESCE(chars, 0) AS BIGINT) AS chars, n - COALESCE(kept, 0) AS dropped, n > COALESCE(kept, 0) AS truncated
+FROM (SELECT conv_id, COUNT(*) AS n FROM conversations GROUP BY 1) LEFT JOIN s USING (conv_id)""")
+def budget_summary(spark, sf):
+    c = table(spark, sf, "conversations")
+    return t.budget_summary(c, t.char_budget(c, ["conv_id"], "role", "turn", "text", ["user", "assistant"], 2500), ["conv_id"], "text")
+
+
 SENTENCES = ("Is the {} total right?", "COUNTROWS ( {} ) should match", "Compare 'Sales'[{}] with [Base]", "The fact_orders table holds {}", "See evidence/{}.json for details", "The receipt for {} is missing")
 
 

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from plumbline.functions import fixed_values as fixed
 from plumbline.functions.relational import attach
 from plumbline.functions.scalars import format_number, range_relation, typed_equal
-from plumbline.operators.order_stats import settle
 from plumbline.operators.running import running_sums
 
 CAPTURE = ["component", "capture_ord"]
@@ -282,17 +281,16 @@ def shared_without_match(figures: DataFrame, captures: DataFrame, limit: int = 1
         "name", "position", "component", F.col("first.capture_ord").alias("capture_ord"), "context", F.col("first.display").alias("display"))
 
 
-def _since_baseline(steps: DataFrame) -> tuple[DataFrame, int]:
-    """Steps with the number of captures before them, and the size of the longest plan."""
-    kept, largest = settle(steps, ["component"])
+def _since_baseline(steps: DataFrame) -> DataFrame:
+    """Steps with the number of captures before them."""
     capture = (F.col("kind") == "capture").cast("bigint")
-    placed = running_sums(kept, ["component"], "step_ord", {"_seen": capture}, largest=largest)
-    return placed.withColumn("captures_before", F.col("_seen") - capture).drop("_seen"), largest
+    placed = running_sums(steps, ["component"], "step_ord", {"_seen": capture})
+    return placed.withColumn("captures_before", F.col("_seen") - capture).drop("_seen")
 
 
 def actions_between(steps: DataFrame) -> DataFrame:
     """Every action with the capture that follows it (capture_ord); actions after the last capture are dropped."""
-    placed, _ = _since_baseline(steps)
+    placed = _since_baseline(steps)
     captures = placed.where("kind = 'capture'").select("component", "captures_before", F.col("label").alias("capture_label"))
     return placed.where("kind != 'capture'").drop("label").join(captures, ["component", "captures_before"]).withColumnRenamed("captures_before", "capture_ord")
 
@@ -304,13 +302,13 @@ def restored_captures(steps: DataFrame) -> DataFrame:
     running sum is zero. A member is away while its selection differs from the one before its first
     toggle; an option or a clicked mark is away after an odd number of steps.
     """
-    placed, largest = _since_baseline(steps)
+    placed = _since_baseline(steps)
     # nothing before the first capture counts as a change
     moves = placed.where("captures_before > 0 and kind in ('toggle_member', 'select_option', 'click_mark')").withColumn(
         "member", F.when(F.col("kind") != "select_option", F.coalesce("member", F.lit("")))
         .otherwise(F.lit(""))).withColumn("control", F.coalesce("control", F.lit("")))
     control = ["component", "kind", "control", "member"]
-    counted = running_sums(moves, control, "step_ord", {"_nth": F.lit(1).cast("bigint")}, {"_last": "selected"}, largest=largest)
+    counted = running_sums(moves, control, "step_ord", {"_nth": F.lit(1).cast("bigint")}, {"_last": "selected"})
     start = moves.groupBy(*control).agg(F.min_by(~F.coalesce("selected", F.lit(False)), "step_ord").alias("_initial"))
     counted = attach(counted, start, control)
     toggled = F.coalesce("selected", F.lit(False)) != F.col("_initial")
@@ -319,7 +317,7 @@ def restored_captures(steps: DataFrame) -> DataFrame:
     change = F.when(F.col("kind") == "toggle_member", toggled.cast("int") - was.cast("int")).otherwise(by_parity)
     changes = counted.select("component", "step_ord", change.cast("bigint").alias("_away"))
     marks = placed.where("kind = 'capture'").select("component", "step_ord", F.lit(0).cast("bigint").alias("_away"), "label", F.col("captures_before").alias("capture_ord"))
-    line = running_sums(changes.unionByName(marks, allowMissingColumns=True), ["component"], "step_ord", {"_off": F.col("_away")}, largest=largest)
+    line = running_sums(changes.unionByName(marks, allowMissingColumns=True), ["component"], "step_ord", {"_off": F.col("_away")})
     return line.where("capture_ord is not null").select("component", "capture_ord", "label", (F.col("_off") == 0).alias("restored"))
 
 

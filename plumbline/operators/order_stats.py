@@ -3,8 +3,9 @@
 Spark's ``percentile`` keeps every distinct value of a group in one aggregation buffer, and a
 window over the group sorts all of it in one task. Both break when one group holds a third of
 a large table. Here a bounded sketch first brackets each wanted rank; all values outside the
-brackets collapse (map side) into one counted row per gap, and only the few tenths of a percent
-inside a bracket are ranked. The brackets only decide what is collapsed: any bracket that
+brackets collapse (map side) into one counted row per gap, equal values into one row each. A bracket is cut into
+``CHUNKS`` equal spans of values: the counts of the spans, a fixed number of rows per group, say which span holds
+the rank, and only the values of that span are ranked. The brackets and spans only decide what is ranked: any bracket that
 contains the wanted rank gives the same exact answer, so a recomputed sketch changes nothing.
 A bracket that missed its rank raises instead of returning a wrong number.
 """
@@ -12,18 +13,18 @@ A bracket that missed its rank raises instead of returning a wrong number.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.relational import attach
-from plumbline.session import cut_lineage
 
 SKETCH_ACCURACY = 10_000
 BRACKET = 0.002
-SMALL_GROUP = 4_096
-DIRECT_ROWS = 200_000
+SMALL_GROUP = 4_096  # below, three places are more than a bracket holds, so a bracket takes the whole group
+CHUNKS = 4_096
 
 
 class Rank(NamedTuple):
@@ -43,50 +44,44 @@ def _cells(rows: DataFrame, groups: list[str], qs: list[float]) -> DataFrame:
     )
     seen = attach(rows, sketch, groups, "inner")
     v = F.col("_v")
-    gap = F.lit(len(qs))
+    none = F.lit(None).cast("int")
+    section, chunk = F.lit(2 * len(qs)), none
     for i in reversed(range(len(qs))):
-        low = F.col("_e")[2 * i] if qs[i] - BRACKET > 0 else F.lit(float("-inf"))
-        high = F.col("_e")[2 * i + 1] if qs[i] + BRACKET < 1 else F.lit(float("inf"))
-        gap = F.when(v <= high, F.when(v >= low, F.lit(None)).otherwise(F.lit(i))).otherwise(gap)
-    gap = F.when(F.col("_n") > SMALL_GROUP, gap)
+        edge_low, edge_high = F.col("_e")[2 * i], F.col("_e")[2 * i + 1]
+        low = edge_low if qs[i] - BRACKET > 0 else F.lit(float("-inf"))
+        high = edge_high if qs[i] + BRACKET < 1 else F.lit(float("inf"))
+        span = F.floor((v - edge_low) / F.nullif(edge_high - edge_low, F.lit(0.0)) * CHUNKS)
+        span = F.greatest(F.lit(0), F.least(F.lit(CHUNKS - 1), F.coalesce(span, F.lit(0)))).cast("int")
+        section = F.when(v > high, section).when(v >= low, F.lit(2 * i + 1)).otherwise(F.lit(2 * i))
+        chunk = F.when(v > high, chunk).when(v >= low, span).otherwise(none)
+    small = F.col("_n") <= SMALL_GROUP
+    placed = seen.withColumns({"_section": F.when(small, 1).otherwise(section), "_chunk": F.when(small, 0).otherwise(chunk)})
     return (
-        seen.withColumn("_gap", gap)
-        .groupBy(*groups, "_gap", F.when(F.col("_gap").isNull(), v).alias("_cell"))
+        placed.groupBy(*groups, "_section", "_chunk", F.when(F.col("_chunk").isNotNull(), v).alias("_cell"))
         .agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_pos"), F.max("_n").alias("_n"))
     )
 
 
-def settle(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, int]:
-    """Materialise a series frame once and measure its largest group.
-
-    The operators read their input several times, so the work behind it must not be repeated;
-    the measured size then decides between the direct plan and the split one.
-    """
-    kept = cut_lineage(df)
-    largest = kept.groupBy(*by).count().agg(F.max("count")).first()[0]
-    return kept, largest or 0
-
-
-def order_statistics(
-    df: DataFrame, by: Sequence[str], value: str, ranks: Sequence[Rank], largest: int | None = None
-) -> DataFrame:
-    """Per group: ``n`` (non-null values) and the exact value at every requested rank.
-
-    ``largest`` is a measured upper bound of the group size. Up to ``DIRECT_ROWS`` a sorted array
-    per group is cheapest; beyond that, or when the size is unknown, the bracketed plan is used.
-    """
+def order_statistics(df: DataFrame, by: Sequence[str], value: str, ranks: Sequence[Rank]) -> DataFrame:
+    """Per group: ``n`` (non-null values) and the exact value at every requested rank."""
     groups = list(by)
     rows = df.select(*groups, F.col(value).cast("double").alias("_v"))
     rows = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    if largest is not None and largest <= DIRECT_ROWS:
-        lists = rows.groupBy(*groups).agg(F.sort_array(F.collect_list("_v")).alias("_a")).withColumn("n", F.size("_a").cast("bigint"))
-        wanted = [F.get("_a", r.position(F.col("n")).cast("int")).alias(r.name) for r in ranks]
-        return lists.select(*groups, "n", *wanted)
     cells = _cells(rows, groups, sorted({r.q for r in ranks}))
-    upto = Window.partitionBy(*groups).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = cells.withColumn("_end", F.sum("_c").over(upto))
+    spans = cells.groupBy(*groups, "_section", "_chunk").agg(F.sum("_c").alias("_size"), F.max("_n").alias("_n"))
+    before = Window.partitionBy(*groups).orderBy("_section", "_chunk").rowsBetween(Window.unboundedPreceding, -1)  # a fixed number of rows per group
+    spans = spans.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+
+    def held(start: Column, size: Column) -> Column:
+        return reduce(lambda a, b: a | b, [(r.position(F.col("_n")) >= start) & (r.position(F.col("_n")) < start + size) for r in ranks])
+
+    # the first span always comes along, so that a group whose ranks all lie outside 0..n-1 keeps its size
+    wanted = spans.where(held(F.col("_start"), F.col("_size")) | (F.col("_start") == 0)).select(*groups, "_section", "_chunk", "_start")
+    near = attach(cells, wanted, [*groups, "_section", "_chunk"], "inner")
+    upto = Window.partitionBy(*groups, "_section", "_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = near.withColumn("_end", F.col("_start") + F.sum("_c").over(upto))
     n = F.col("_n")
-    exact = F.when(F.col("_gap").isNull(), F.col("_pos")).otherwise(
+    exact = F.when(F.col("_chunk").isNotNull(), F.col("_pos")).otherwise(
         F.raise_error(F.lit("order statistic fell outside its bracket")).cast("double")
     )
     hits = [
@@ -104,14 +99,12 @@ def _high(q: float) -> Callable[[Column], Column]:
     return lambda n: F.ceil((n - 1) * F.lit(q))
 
 
-def quantiles(
-    df: DataFrame, by: Sequence[str], value: str, wanted: dict[str, float], largest: int | None = None
-) -> DataFrame:
+def quantiles(df: DataFrame, by: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
     """Inclusive linear-interpolation quantiles (rank ``(n-1)*q``); columns ``n`` and each name."""
     ranks = []
     for name, q in wanted.items():
         ranks += [Rank(f"_lo_{name}", q, _low(q)), Rank(f"_hi_{name}", q, _high(q))]
-    found = order_statistics(df, by, value, ranks, largest)
+    found = order_statistics(df, by, value, ranks)
     n = F.col("n")
     columns = []
     for name, q in wanted.items():
@@ -121,24 +114,18 @@ def quantiles(
     return found.select(*by, "n", *columns)
 
 
-def middle_of(values: Column) -> Column:
-    """Median of a sorted array without nulls; null for an empty one."""
-    size = F.size(values)
-    return (F.get(values, F.floor((size - 1) / 2).cast("int")) + F.get(values, F.floor(size / 2).cast("int"))) / 2
-
-
-def median(df: DataFrame, by: Sequence[str], value: str, name: str = "median", largest: int | None = None) -> DataFrame:
+def median(df: DataFrame, by: Sequence[str], value: str, name: str = "median") -> DataFrame:
     """Exact median: the middle value, or the mean of the two middle values."""
-    found = order_statistics(df, by, value, [Rank("_lo", 0.5, _low(0.5)), Rank("_hi", 0.5, _high(0.5))], largest)
+    found = order_statistics(df, by, value, [Rank("_lo", 0.5, _low(0.5)), Rank("_hi", 0.5, _high(0.5))])
     return found.select(*by, "n", ((F.col("_lo") + F.col("_hi")) / 2).alias(name))
 
 
-def middle_three(df: DataFrame, by: Sequence[str], value: str, largest: int | None = None) -> DataFrame:
+def middle_three(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """The values at ranks m-1, m and m+1 with m = n div 2: all a leave-one-out median needs."""
     def at(shift: int) -> Callable[[Column], Column]:
         return lambda n: F.floor(n / 2) + shift
     wanted = [Rank("below", 0.5, at(-1)), Rank("mid", 0.5, at(0)), Rank("above", 0.5, at(1))]
-    return order_statistics(df, by, value, wanted, largest)
+    return order_statistics(df, by, value, wanted)
 
 
 def leave_one_out_median(n: Column, below: Column, mid: Column, above: Column, own: Column) -> Column:

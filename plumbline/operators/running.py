@@ -1,9 +1,9 @@
-"""Running sums and previous values over an ordered series, split into chunks of the order key.
+"""Running sums and previous values over an ordered series, split into chunks of the order.
 
-A plain window puts a whole series into one task. Here the order key is cut into chunks of
-about ``CHUNK_ROWS`` rows, the chunk totals are accumulated (a few rows per series), and every
-chunk then runs its own window from its starting offset. Chunks come from min, max and count,
-which do not depend on row order, so a retried task sees the same chunks.
+A plain window puts a whole series into one task. Here the rows are sorted into ranges of (series, order): ranges
+hold about equally many rows whatever the distribution of the order key, and a long series spans many of them. The chunk
+totals are accumulated (at most one row per series and range), and every chunk then runs its own window from its
+starting offset. The ranges are materialised once, so that totals and rows see the same ones.
 """
 
 from __future__ import annotations
@@ -12,53 +12,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.functions.relational import attach
-
-CHUNK_ROWS = 50_000
-
-
-def order_number(df: DataFrame, order: str) -> Column:
-    """A number that sorts like the order column (dates, timestamps and numbers)."""
-    kind = df.schema[order].dataType
-    if isinstance(kind, T.DateType):
-        return F.unix_date(order).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        epoch = F.lit("1970-01-01 00:00:00").cast(kind)
-        return F.timestamp_diff("MICROSECOND", epoch, F.col(order)).cast("double")
-    if isinstance(kind, T.NumericType):
-        return F.col(order).cast("double")
-    raise ValueError(f"order column {order} must be a date, timestamp or number, not {kind.simpleString()}")
+from plumbline.session import cut_lineage
 
 
 def running_sums(
-    df: DataFrame, by: Sequence[str], order: str, sums: dict[str, Column], previous: dict[str, str] | None = None,
-    tie: Sequence[str] = (), largest: int | None = None,
+    df: DataFrame, by: Sequence[str], order: str, sums: dict[str, Column], previous: dict[str, str] | None = None, tie: Sequence[str] = (),
 ) -> DataFrame:
     """Add inclusive running totals (``sums``: name -> expression) and previous-row values.
 
     ``previous`` maps a new column to the column whose value on the preceding row it takes.
-    ``tie`` breaks ties of the order column. ``largest`` is a measured bound of the series length;
-    a series that fits one chunk needs no splitting.
+    ``tie`` breaks ties of the order column.
     """
     previous = previous or {}
     by = list(by)
-    if largest is not None and largest <= CHUNK_ROWS:
-        inside = Window.partitionBy(*by).orderBy(order, *tie)
-        upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-        added = {n: F.sum(e).over(upto) for n, e in sums.items()}
-        return df.withColumns(added | {n: F.lag(c).over(inside) for n, c in previous.items()})
-    rows = df.withColumn("_o", order_number(df, order)).withColumns({f"_s_{n}": e for n, e in sums.items()})
-    span = rows.groupBy(*by).agg(
-        F.min("_o").alias("_o_min"), F.max("_o").alias("_o_max"), F.count(F.lit(1)).alias("_o_n")
-    )
-    pieces = F.ceil(F.col("_o_n") / F.lit(CHUNK_ROWS))
-    place = (F.col("_o") - F.col("_o_min")) / F.nullif(F.col("_o_max") - F.col("_o_min"), F.lit(0.0))
-    chunked = attach(rows, span, by, "inner").withColumn(
-        "_chunk", F.coalesce(F.least(F.floor(place * pieces), pieces - 1), F.lit(0).cast("bigint"))
-    ).drop("_o_min", "_o_max", "_o_n")
-    sequence = F.struct("_o", *tie)
+    rows = df.withColumns({f"_s_{n}": e for n, e in sums.items()})
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunked = cut_lineage(rows.repartitionByRange(ranges, *by, order, *tie).withColumn("_chunk", F.spark_partition_id()))
+    sequence = F.struct(order, *tie)
     totals = chunked.groupBy(*by, "_chunk").agg(
         *[F.sum(f"_s_{n}").alias(f"_t_{n}") for n in sums],
         *[F.max_by(F.struct(F.col(c).alias("v")), sequence).alias(f"_z_{n}") for n, c in previous.items()],
@@ -71,7 +43,7 @@ def running_sums(
         *[F.lag(f"_z_{n}").over(chunks).alias(f"_p_{n}") for n in previous],
     )
     placed = attach(chunked, offsets, [*by, "_chunk"], "inner")
-    inside = Window.partitionBy(*by, "_chunk").orderBy("_o", *tie)
+    inside = Window.partitionBy(*by, "_chunk").orderBy(order, *tie)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     added = {n: F.col(f"_b_{n}") + F.sum(f"_s_{n}").over(upto) for n in sums}
     added |= {

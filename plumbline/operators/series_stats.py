@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as fixed
 from plumbline.functions.relational import attach, check_columns, keyed, unkeyed
-from plumbline.operators.order_stats import DIRECT_ROWS, leave_one_out_median, median, middle_of, middle_three, quantiles, settle
+from plumbline.operators.order_stats import leave_one_out_median, median, middle_three, quantiles
 from plumbline.operators.running import running_sums
 from plumbline.session import cut_lineage
 from plumbline.types import Detection
@@ -33,18 +33,12 @@ def _clean(value: str) -> Column:
     return F.when(~F.isnan(number), number)
 
 
-def _center(rows: DataFrame, groups: list[str], largest: int | None) -> DataFrame:
+def _center(rows: DataFrame, groups: list[str]) -> DataFrame:
     """Center and scale of column ``v`` for every group of ``rows``, null when n < 3."""
-    if largest is not None and largest <= DIRECT_ROWS:
-        values = F.array_sort(F.collect_list("v"))
-        lists = rows.groupBy(*groups).agg(values.alias("_a")).withColumn("n", F.size("_a").cast("bigint"))
-        lists = lists.withColumn("median", middle_of(F.col("_a")))
-        full = lists.withColumn("mad", middle_of(F.array_sort(F.transform("_a", lambda v: F.abs(v - F.col("median"))))))
-    else:
-        center = median(rows, groups, "v", largest=largest)
-        spread = attach(rows, center, groups, "inner").select(*groups, F.abs(F.col("v") - F.col("median")).alias("_d"))
-        mad = median(spread, groups, "_d", "mad", largest).drop("n")
-        full = attach(attach(_groups(rows, groups), center, groups), mad, groups)
+    center = median(rows, groups, "v")
+    spread = attach(rows, center, groups, "inner").select(*groups, F.abs(F.col("v") - F.col("median")).alias("_d"))
+    mad = median(spread, groups, "_d", "mad").drop("n")
+    full = attach(attach(_groups(rows, groups), center, groups), mad, groups)
     enough = F.col("n") >= 3
     return full.select(
         *groups, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
@@ -56,8 +50,7 @@ def _center(rows: DataFrame, groups: list[str], largest: int | None) -> DataFram
 def robust_center(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
     """n, median, MAD and MAD-based sigma per group; all but n null when n < 3."""
     rows, groups = keyed(df, by)
-    points, largest = settle(rows.select(*groups, _clean(value).alias("v")), groups)
-    return unkeyed(_center(points, groups, largest))
+    return unkeyed(_center(rows.select(*groups, _clean(value).alias("v")), groups))
 
 
 def quantile_inc(df: DataFrame, by: Sequence[str], value: str, q: float) -> DataFrame:
@@ -71,8 +64,8 @@ def robust_zscores(
 ) -> Detection:
     """Median/MAD z-scores; a point is flagged when ``abs(z) > threshold``."""
     rows, groups = keyed(df, by)
-    points, largest = settle(rows.select(*groups, F.col(key).alias("key"), _clean(value).alias("v")), groups)
-    center = _center(points, groups, largest)
+    points = rows.select(*groups, F.col(key).alias("key"), _clean(value).alias("v"))
+    center = _center(points, groups)
     testable = (F.col("n") >= min_points) & (F.col("sigma") > 0)
     scored = attach(points, center, groups, "inner").where(testable & F.col("v").isNotNull())
     flags = scored.withColumn("score", (F.col("v") - F.col("median")) / F.col("sigma")).where(F.abs("score") > threshold).select(
@@ -89,7 +82,7 @@ def robust_zscores(
     return Detection(unkeyed(verdict), unkeyed(flags))
 
 
-def _weekday_scores_split(dated: DataFrame, cell: list[str]) -> DataFrame:
+def _weekday_scores(dated: DataFrame, cell: list[str]) -> DataFrame:
     """Peer median and peer MAD of every day by two rounds of exact order statistics."""
     own = F.col("v")
     centre = middle_three(dated, cell, "v").withColumnsRenamed({"below": "xb", "mid": "xm", "above": "xa"})
@@ -107,29 +100,6 @@ def _weekday_scores_split(dated: DataFrame, cell: list[str]) -> DataFrame:
     return scored.withColumn("mad", mad)
 
 
-def _weekday_scores_direct(dated: DataFrame, cell: list[str]) -> DataFrame:
-    """The same for cells of a checked size: one shuffle, windows inside each weekday."""
-    inside = Window.partitionBy(*cell)
-
-    def middles(rows: DataFrame, value: Column, names: Sequence[str]) -> DataFrame:
-        ranked = rows.withColumn("_d", value).withColumn("_r", F.row_number().over(inside.orderBy("_d")))
-        at = F.floor(F.col("n") / 2) + 1
-        return ranked.withColumns({name: F.max(F.when(F.col("_r") == at + shift, F.col("_d"))).over(inside) for name, shift in zip(names, (-1, 0, 1))})
-
-    own = F.col("v")
-    rows = middles(dated.withColumn("n", F.count(F.lit(1)).over(inside)), own, ("xb", "xm", "xa"))
-
-    def center(side: Column) -> Column:
-        return leave_one_out_median(F.col("n"), F.col("xb"), F.col("xm"), F.col("xa"), side)
-
-    rows = rows.withColumn("peer_median", center(own)).withColumn("mad", F.lit(None).cast("double"))
-    for side in (F.lit(float("-inf")), F.col("xm"), F.lit(float("inf"))):
-        rows = middles(rows.withColumn("_c", center(side)), F.abs(own - F.col("_c")), ("db", "dm", "da"))
-        mad = leave_one_out_median(F.col("n"), F.col("db"), F.col("dm"), F.col("da"), F.abs(own - F.col("_c")))
-        rows = rows.withColumn("mad", F.coalesce("mad", F.when(F.col("peer_median") == F.col("_c"), mad)))
-    return rows
-
-
 def weekday_band(
     df: DataFrame, by: Sequence[str], date: str = "key", value: str = "value", threshold: float = 3.5, min_per_weekday: int = 4
 ) -> Detection:
@@ -139,11 +109,11 @@ def weekday_band(
     of the sorted group, so no peer list is built for a day.
     """
     base, groups = keyed(df, by)
-    rows, largest = settle(base.select(*groups, F.col(date).cast("date").alias("day"), _clean(value).alias("v")), groups)
+    rows = base.select(*groups, F.col(date).cast("date").alias("day"), _clean(value).alias("v"))
     dated = rows.where(F.col("v").isNotNull()).withColumn("wd", F.weekday("day"))
     cell = [*groups, "wd"]
     own = F.col("v")
-    scored = (_weekday_scores_direct if largest <= DIRECT_ROWS else _weekday_scores_split)(dated, cell)
+    scored = _weekday_scores(dated, cell)
     sigma = F.col("mad") * fixed.MAD_SCALE
     scale = F.when(sigma > 0, sigma).otherwise(F.greatest(F.lit(1.0), F.abs("peer_median") * fixed.SCALE_FLOOR_SHARE))
     judged = scored.withColumn("testable", F.col("n") >= min_per_weekday).withColumn(
@@ -183,13 +153,14 @@ def ratio_stability(
                        F.col(num).cast("double").alias("numerator"), F.col(den).cast("double").alias("denominator"))
     usable = F.col("numerator").isNotNull() & F.col("denominator").isNotNull() & (F.col("denominator") != 0)
     rows = rows.withColumn("ratio", F.when(usable, F.try_divide("numerator", "denominator")))
-    rows, largest = settle(rows.withColumn("testable", usable & (F.col("denominator") >= min_den)), groups)
+    rows = rows.withColumn("testable", usable & (F.col("denominator") >= min_den))
     testable = rows.where("testable")
-    band = quantiles(testable, groups, "ratio", {"q1": 0.25, "q3": 0.75}, largest).drop("n")
+    band = quantiles(testable, groups, "ratio", {"q1": 0.25, "q3": 0.75}).drop("n")
     counts = rows.groupBy(*groups).agg(
         F.count_if("testable").alias("n"), F.count_if(~F.col("testable")).alias("low_volume"))
     reach = (F.col("q3") - F.col("q1")) * iqr_mult
-    summary = attach(counts, band, groups).withColumns({
+    both = counts.unionByName(band, allowMissingColumns=True)  # one row per group on either side
+    summary = both.groupBy(*groups).agg(*[F.max(c).alias(c) for c in ("n", "low_volume", "q1", "q3")]).withColumns({
         "band_tested": F.col("n") >= 8,
         "low": F.when(F.col("n") >= 8, F.col("q1") - reach), "high": F.when(F.col("n") >= 8, F.col("q3") + reach)})
     judged = attach(testable, summary.select(*groups, "low", "high"), groups)
@@ -235,42 +206,7 @@ def _noise_scale(noise: Column, middle: Column) -> Column:
     return F.when(sigma > 0, sigma).otherwise(F.greatest(F.lit(1.0), F.abs(middle) * fixed.SCALE_FLOOR_SHARE))
 
 
-def _shifts_direct(rows: DataFrame, groups: list[str], min_segment: int, min_shift_sigma: float, max_depth: int) -> tuple[DataFrame, DataFrame]:
-    """Segmentation of series of a checked length: one shuffle by series, windows inside its segments."""
-    series_, ordered = Window.partitionBy(*groups), Window.partitionBy(*groups).orderBy("ord", "key")
-    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    c = F.col("c")
-    p = rows.withColumn("c", F.col("v") - F.avg("v").over(series_)).withColumns({
-        "idx": F.row_number().over(ordered).cast("bigint"), "s1": F.sum(c).over(upto), "s2": F.sum(c * c).over(upto),
-        "_d": F.abs(F.col("v") - F.lag("v").over(ordered)), "stop": F.count(F.lit(1)).over(series_)})
-    p = p.withColumn("scale", _noise_scale(F.median("_d").over(series_), F.median("v").over(series_)))
-    zero = F.lit(0.0)
-    p = p.withColumns({
-        "n": F.col("stop"), "start": F.lit(0).cast("bigint"), "b1": zero, "b2": zero, "live": F.lit(True),
-        "e1": F.max(F.when(F.col("idx") == F.col("stop"), F.col("s1"))).over(series_), "e2": F.max(F.when(F.col("idx") == F.col("stop"), F.col("s2"))).over(series_),
-        "before_median": F.lit(None).cast("double"), "after_median": F.lit(None).cast("double")})
-    for _ in range(max_depth):
-        segment = Window.partitionBy(*groups, "start")
-        fits = F.col("live") & (F.col("idx") - F.col("start") >= min_segment) & (F.col("stop") - F.col("idx") >= min_segment)
-        p = p.withColumn("m", F.min(F.when(fits, F.struct(_cut_cost().alias("cost"), "idx", "s1", "s2"))).over(segment))
-        is_left = F.col("idx") <= F.col("m.idx")
-        p = p.withColumns({"_l": F.median(F.when(is_left, F.col("v"))).over(segment), "_r": F.median(F.when(~is_left, F.col("v"))).over(segment)})
-        wide = F.abs((F.col("_r") - F.col("_l")) / F.col("scale")) >= min_shift_sigma
-        p = p.withColumn("live", F.coalesce(F.col("live") & wide & (F.col("m.cost") < _whole_cost()), F.lit(False)))
-        here = F.col("live") & (F.col("idx") == F.col("m.idx") + 1)
-        p = p.withColumns({"before_median": F.when(here, F.col("_l")).otherwise(F.col("before_median")),
-                           "after_median": F.when(here, F.col("_r")).otherwise(F.col("after_median"))})
-        left, right = F.col("live") & is_left, F.col("live") & ~is_left
-        p = p.withColumns({
-            "stop": F.when(left, F.col("m.idx")).otherwise(F.col("stop")), "e1": F.when(left, F.col("m.s1")).otherwise(F.col("e1")), "e2": F.when(left, F.col("m.s2")).otherwise(F.col("e2")),
-            "start": F.when(right, F.col("m.idx")).otherwise(F.col("start")), "b1": F.when(right, F.col("m.s1")).otherwise(F.col("b1")), "b2": F.when(right, F.col("m.s2")).otherwise(F.col("b2"))})
-    shifts = p.where("before_median is not null").select(
-        *groups, "key", "before_median", "after_median", ((F.col("after_median") - F.col("before_median")) / F.col("scale")).alias("score"))
-    summary = p.groupBy(*groups).agg(F.max("n").alias("n"), F.max("scale").alias("scale"), F.count("before_median").alias("shifts"))
-    return shifts, summary
-
-
-def _shifts_split(rows: DataFrame, groups: list[str], min_segment: int, min_shift_sigma: float, max_depth: int) -> tuple[DataFrame, DataFrame]:
+def _shifts(rows: DataFrame, groups: list[str], min_segment: int, min_shift_sigma: float, max_depth: int) -> tuple[DataFrame, DataFrame]:
     """Segmentation of long series: no step holds a whole series in one task.
 
     Running sums are computed once in chunks; each level works on the small segment table, which is
@@ -331,10 +267,9 @@ def changepoints(
     The cost of every cut is a difference of running sums of the centred series.
     """
     base, groups = keyed(df, by)
-    rows, largest = settle(base.select(*groups, F.col(order).alias("ord"), F.col(key).alias("key"), _clean(value).alias("v")), groups)
+    rows = base.select(*groups, F.col(order).alias("ord"), F.col(key).alias("key"), _clean(value).alias("v"))
     present = rows.where(F.col("v").isNotNull())
-    find = _shifts_direct if largest <= DIRECT_ROWS else _shifts_split
-    shifts, summary = find(present, groups, min_segment, min_shift_sigma, max_depth)
+    shifts, summary = _shifts(present, groups, min_segment, min_shift_sigma, max_depth)
     flags = shifts.select(*groups, "key", "before_median", "after_median", F.lit("level_shift").alias("reason"), "score")
     verdict = attach(_groups(rows, groups), summary, groups)
     n = F.coalesce("n", F.lit(0).cast("bigint"))

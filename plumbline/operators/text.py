@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from plumbline.functions import fixed_values as fixed
 from plumbline.functions.relational import attach
 from plumbline.functions.scalars import technical_token, term_pattern
-from plumbline.operators.order_stats import settle
 from plumbline.operators.running import running_sums
 from plumbline.session import cut_lineage
 
@@ -326,17 +325,28 @@ def char_budget(items: DataFrame, by: Sequence[str], section: str, position: str
     A section stops at its first item that no longer fits; the next section goes on with what is
     left. Running lengths are computed once; each section then needs only its own maximum.
     """
-    kept_items, largest = settle(items.where(F.col(section).isin(*sections)), [*by, section])
-    measured = cut_lineage(running_sums(kept_items, [*by, section], position, {"_upto": F.length(text).cast("bigint")}, largest=largest))
+    # only keys and lengths are summed and materialised; the texts are joined once at the end
+    sized = items.where(F.col(section).isin(*sections)).select(*by, section, position, F.length(text).cast("bigint").alias("_len"))
+    measured = cut_lineage(running_sums(sized, [*by, section], position, {"_upto": F.col("_len")}))
     spent = measured.select(*by).distinct().withColumn("_spent", F.lit(0).cast("bigint"))
     kept = None
     for name in sections:
         here = attach(measured.where(F.col(section) == name), spent, by, "inner").where(F.col("_upto") <= max_chars - F.col("_spent"))
-        part = here.drop("_spent", "_upto")
+        part = here.select(*by, section, position)
         kept = part if kept is None else kept.unionByName(part)
         used = here.groupBy(*by).agg(F.max("_upto").alias("_used"))
         spent = cut_lineage(attach(spent, used, by).select(*by, (F.col("_spent") + F.coalesce("_used", F.lit(0).cast("bigint"))).alias("_spent")))
-    return kept
+    return attach(items, kept.withColumn("_kept", F.lit(True)), [*by, section, position], "inner").drop("_kept")
+
+
+def budget_summary(items: DataFrame, kept: DataFrame, by: Sequence[str], text: str) -> DataFrame:
+    """Per session: items and characters kept, items left out, and whether anything was cut (``truncated``)."""
+    def sized(df: DataFrame, n: str, chars: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.count(F.lit(1)).alias(n), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias(chars))
+    zero = F.lit(0).cast("bigint")
+    both = attach(sized(items, "_items", "_all"), sized(kept, "kept", "chars"), by)
+    out = both.select(*by, F.coalesce("kept", zero).alias("kept"), F.coalesce("chars", zero).alias("chars"), (F.col("_items") - F.coalesce("kept", zero)).alias("dropped"))
+    return out.withColumn("truncated", F.col("dropped") > 0)
 
 
 def technical(df: DataFrame, text: str) -> DataFrame:

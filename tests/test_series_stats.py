@@ -1,4 +1,4 @@
-"""Boundary behaviour of the series detectors, and direct against split plans and brute force."""
+"""Boundary behaviour of the series detectors, under few and many ranges, against brute force."""
 
 import datetime as dt
 import math
@@ -9,7 +9,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import order_stats, running
+from plumbline.operators import running
 from plumbline.operators import series_stats as s
 
 MONDAY = dt.date(2024, 1, 1)
@@ -20,14 +20,13 @@ def daily(spark, values, series="a", start=MONDAY):
     return spark.createDataFrame(rows, "id string, key date, value double").withColumn("ord", F.col("key"))
 
 
-@pytest.fixture(params=["direct", "split"])
-def plan(request, monkeypatch):
-    """Both plans: the one for checked sizes, and the one that never holds a group in one task."""
-    if request.param == "split":
-        monkeypatch.setattr(s, "DIRECT_ROWS", 0)
-        monkeypatch.setattr(order_stats, "DIRECT_ROWS", 0)
-        monkeypatch.setattr(running, "CHUNK_ROWS", 7)
-    return request.param
+@pytest.fixture(params=["2", "7"])
+def plan(request, spark):
+    """A series in few ranges and in many."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def noisy(n, seed, shifts=()):
@@ -229,8 +228,7 @@ def test_mean_of_ratios_skips_zero_denominators(spark):
     assert (row["ratio_of_totals"], row["mean_of_member_ratios"], row["members"]) == (1.0, 0.5, 1)
 
 
-def test_running_sums_chunked_equal_window(spark, monkeypatch):
-    monkeypatch.setattr(running, "CHUNK_ROWS", 5)
+def test_running_sums_chunked_equal_window(spark, plan):
     df = spark.createDataFrame([("a", i * i, float(i)) for i in range(53)] + [("b", 1, 2.0)], "g string, o int, v double").repartition(6)
     out = running.running_sums(df, ["g"], "o", {"t": F.col("v")}, {"p": "v"}).collect()
     for r in out:
