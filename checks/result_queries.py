@@ -87,12 +87,12 @@ def outcome_text(spark, sf):
 
 @query("facts_check", f"""WITH {BASE} SELECT id, CASE WHEN k % 5 = 0 THEN 'differs' WHEN k % 5 = 1 THEN 'missing value' WHEN k % 5 = 2 THEN 'missing evidence' ELSE 'matches' END AS status FROM cl""")
 def facts_check(spark, sf):
-    """A fact written as 3.0 for an observed 3 differs; fields and documents can be missing."""
+    """A fact written as 3.0 for an observed 3 differs; fields and documents can be missing; pointers reach into arrays."""
     b = _base(spark, sf)
     kind = F.col("k") % 5
-    evidence = b.where("k % 5 != 2").select(F.col("id").alias("evidence"), F.to_json(F.struct("n", "status")).alias("document"))
+    evidence = b.where("k % 5 != 2").select(F.col("id").alias("evidence"), F.to_json(F.struct("n", "status", F.array(F.struct(F.col("n").alias("n.o"))).alias("cells"))).alias("document"))
     value = F.when(kind == 0, F.concat(F.col("n").cast("string"), F.lit(".0"))).otherwise(F.col("n").cast("string"))
-    facts = b.select("id", F.col("id").alias("evidence"), F.when(kind == 1, "absent").otherwise("n").alias("field"), value.alias("value"))
+    facts = b.select("id", F.col("id").alias("evidence"), F.when(kind == 1, "absent").when(kind == 3, "cells/0/n.o").otherwise("/n").alias("field"), value.alias("value"))
     return r.facts_check(facts, evidence).select("id", "status")
 
 

@@ -78,3 +78,27 @@ def scan_event_files(spark, sf):
     events, counts = e.scan_events_jsonl(spark, folder, since_days=1)
     malformed = counts.agg(F.sum("malformed_lines")).scalar()
     return events.groupBy("session_id", "type").agg(F.count(F.lit(1)).alias("events")).withColumn("malformed", malformed)
+
+
+@query("evidence_result_sets", """
+SELECT n_regionkey, COUNT(*) AS nations, TRUE AS complete FROM nation GROUP BY 1""")
+def evidence_result_sets(spark, sf):
+    """Result sets saved as JSON documents, one per region, and read back with their completeness."""
+    folder = f"{shared_folder(spark)}/results-{uuid.uuid4()}"
+    cells = F.struct("n_nationkey", "n_regionkey")
+    table(spark, sf, "nation").groupBy("n_regionkey").agg(F.collect_list(cells).alias("rows")).select(
+        F.lit(True).alias("complete"), "rows", F.col("n_regionkey").alias("part")).write.partitionBy("part").json(folder)
+    found, complete = e.read_evidence(spark, f"{folder}/*/*.json", "n_nationkey int, n_regionkey int")
+    return found.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("nations")).select(F.col("n_regionkey").cast("bigint").alias("n_regionkey"), "nations", F.lit(complete).alias("complete"))
+
+
+@query("scan_article_files", """
+SELECT 'Nation ' || n_name AS title, '2024-01-' || lpad(CAST(n_nationkey + 1 AS VARCHAR), 2, '0') AS date, 'About ' || n_name || '.' AS body FROM nation""")
+def scan_article_files(spark, sf):
+    """Articles written as one Markdown file each and scanned with their front matter."""
+    folder = f"{shared_folder(spark)}/articles-{uuid.uuid4()}"
+    day = F.lpad((F.col("n_nationkey") + 1).cast("string"), 2, "0")
+    text = F.concat(F.lit("---\ntitle: Nation "), F.col("n_name"), F.lit("\ndate: 2024-01-"), day, F.lit("\n---\nAbout "), F.col("n_name"), F.lit("."))
+    table(spark, sf, "nation").select(text.alias("value"), "n_nationkey").repartition(25, "n_nationkey").sortWithinPartitions("n_nationkey").select(
+        "value", "n_nationkey").write.partitionBy("n_nationkey").text(folder)
+    return e.scan_articles(spark, f"{folder}/*/*.txt").select("title", "date", F.trim(F.regexp_replace("body", "\\s+$", "")).alias("body"))

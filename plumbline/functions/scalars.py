@@ -155,6 +155,13 @@ def pointer_value(document: ColumnLike, pointer: str) -> Column:
     return F.to_json(F.try_variant_get(F.try_parse_json(_c(document)), path, "variant"))
 
 
+def pointer_path(pointer: ColumnLike) -> Column:
+    """Path of a JSON pointer held in a column: every token one step, numbers as positions; the leading slash is optional."""
+    steps = F.transform(F.split(F.regexp_replace(_c(pointer), "^/", ""), "/"), lambda t: F.when(t.rlike("^[0-9]+$"), F.concat(F.lit("["), t, F.lit("]"))).otherwise(
+        F.concat(F.lit("['"), F.replace(F.replace(F.replace(t, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")), F.lit("'"), F.lit("\\'")), F.lit("']"))))
+    return F.concat(F.lit("$"), F.array_join(steps, ""))
+
+
 def type_tag(json_text: ColumnLike) -> Column:
     """Type of a JSON value; every fractional number counts as one type, whole numbers as another."""
     tag = F.schema_of_variant(F.try_parse_json(_c(json_text)))

@@ -202,7 +202,7 @@ def closest_name(names: DataFrame, candidates: DataFrame, scope: list[str], name
 
 def _words(expression: Column) -> Column:
     quoted = F.regexp_extract_all(expression, F.lit(r"'([^']+)'"), F.lit(1))
-    return F.array_distinct(F.concat(quoted, F.regexp_extract_all(expression, F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))))
+    return F.array_distinct(F.concat(quoted, *[F.regexp_extract_all(expression, F.lit(p), F.lit(0)) for p in (r"[\p{L}_][\p{L}\p{N}_]*", r"[\p{L}_][\p{L}\p{N}_]*(?:-[\p{L}\p{N}_]+)+")]))
 
 
 def expression_tables(measures: DataFrame, tables: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def expression_tables(measures: DataFrame, tables: DataFrame) -> DataFrame:
 def expression_measures(measures: DataFrame) -> DataFrame:
     """Measures of the model an expression calls: a bracketed name that no table qualifies."""
     text = F.coalesce("expression", F.lit(""))
-    qualified = r"'[^']+'\s*\[[^\]\[]+\]|\b[A-Za-z_][A-Za-z0-9_ ]*?\s*\[[^\]\[]+\]"
+    qualified = r"'[^']+'\s*\[[^\]\[]+\]|(?<![\p{L}\p{N}_])[\p{L}_][\p{L}\p{N}_ -]*?\s*\[[^\]\[]+\]"
     free = F.regexp_replace(text, qualified, " ")
     called = F.array_distinct(F.transform(F.regexp_extract_all(free, F.lit(r"(?<!\])\[([^\]\[]+)\]"), F.lit(1)), lambda m: F.lower(F.trim(m))))
     calls = measures.select("model", "measure", F.explode(called).alias("_m"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import fixed_values as fixed
 from plumbline.functions.relational import any_of
 from plumbline.functions.scalars import (
-    first_clause, first_sentence, lookup, strip_prefix, technical_token, typed_equal)
+    first_clause, first_sentence, lookup, pointer_path, strip_prefix, technical_token, typed_equal)
 from plumbline.plans.registry import catalog_lookup
 
 
@@ -87,10 +87,11 @@ def outcome_text(verdicts: DataFrame, flags: DataFrame, by: Sequence[str], shown
 def facts_check(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     """A stored fact must equal the value its evidence holds, JSON type included.
 
-    ``facts``: id, evidence, field, value (JSON text); ``evidence``: evidence, document (JSON text).
+    ``facts``: id, evidence, field (a JSON pointer; the leading slash may be left out), value (JSON text);
+    ``evidence``: evidence, document (JSON text).
     """
     joined = facts.join(evidence.withColumn("_there", F.lit(True)), "evidence", "left")
-    actual = F.to_json(F.try_variant_get(F.try_parse_json("document"), F.concat(F.lit("$."), F.col("field")), "variant"))
+    actual = F.to_json(F.try_variant_get(F.try_parse_json("document"), pointer_path("field"), "variant"))
     status = (F.when(F.col("_there").isNull(), "missing evidence").when(F.col("actual").isNull(), "missing value")
               .when(typed_equal("actual", "value"), "matches").otherwise("differs"))
     return joined.withColumn("actual", actual).select("id", "evidence", "field", "value", "actual", status.alias("status"))
@@ -157,34 +158,29 @@ def constraint_violations(claims: DataFrame, findings: DataFrame, components: Da
     ``claims``: id, expected, source, status, layer, required, seen, evidence; ``findings``: id,
     title, severity, claim_ids, impact; ``components``: component, name, claim_ids, scenarios BIGINT.
     """
-    def rule(df: DataFrame, kind: str, key: str, bad: Column, problem: Column | str) -> DataFrame:
-        text = F.lit(problem) if isinstance(problem, str) else problem
-        return df.where(bad).select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), text.alias("problem"))
-
-    out = []
-    repeated = claims.groupBy("id").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1 or id is null")
-    out.append(rule(repeated, "claim", "id", F.lit(True), "claim ids must be unique and present"))
-    for name in ("expected", "source", "status", "layer"):
-        out.append(rule(claims, "claim", "id", F.col(name).isNull() | (F.trim(name) == ""), f"missing {name}"))
-    out.append(rule(claims, "claim", "id", ~F.col("status").isin(*fixed.CLAIM_STATUSES), "invalid status"))
-    if layers:
-        out.append(rule(claims, "claim", "id", ~F.col("layer").isin(*layers), "unknown layer"))
+    def broken(df: DataFrame, kind: str, key: str, rules: list[tuple[Column, Column | str]]) -> DataFrame:
+        """All rules of a table in one pass over it."""
+        told = F.array(*[F.when(bad, F.lit(text) if isinstance(text, str) else text) for bad, text in rules])
+        return df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), F.explode(F.filter(told, lambda p: p.isNotNull())).alias("problem"))
+
+    def missing(*names: str) -> list[tuple[Column, Column | str]]:
+        return [(F.col(n).isNull() | (F.trim(n) == ""), f"missing {n}") for n in names]
+
     bare = F.col("status").isin("passed", "failed") & (F.coalesce(F.size("evidence"), F.lit(0)) == 0)
-    out.append(rule(claims, "claim", "id", bare, "measured claim needs evidence"))
     unseen = F.array_except("required", F.coalesce("seen", F.array().cast("array<string>")))
-    out.append(rule(claims, "claim", "id", (F.col("status") == "passed") & (F.size(unseen) > 0),
-                    F.concat(F.lit("passed claim has unobserved required layers "), F.array_join(F.array_sort(unseen), ","))))
-    for name in ("title", "severity", "impact"):
-        out.append(rule(findings, "finding", "id", F.col(name).isNull() | (F.trim(name) == ""), f"missing {name}"))
-    known = claims.select(F.col("id").alias("claim_id"))
-    dangling = findings.select("id", F.explode("claim_ids").alias("claim_id")).join(known, "claim_id", "left_anti")
-    out.append(rule(dangling, "finding", "id", F.lit(True), F.concat(F.lit("references unknown claim "), F.col("claim_id"))))
-    lost = components.select("component", F.explode("claim_ids").alias("claim_id")).join(known, "claim_id", "left_anti")
-    out.append(rule(lost, "component", "component", F.lit(True), F.concat(F.lit("references unknown claim "), F.col("claim_id"))))
-    out.append(rule(components, "component", "component", F.col("name").isNull() | (F.trim("name") == ""), "missing name"))
-    out.append(rule(components, "component", "component", F.coalesce("scenarios", F.lit(0)) == 0, "has no captured scenarios"))
-    result = out[0]
-    for more in out[1:]:
+    of_claim = missing("expected", "source", "status", "layer") + [(~F.col("status").isin(*fixed.CLAIM_STATUSES), "invalid status")]
+    if layers:
+        of_claim.append((~F.col("layer").isin(*layers), "unknown layer"))
+    of_claim += [(bare, "measured claim needs evidence"), (
+        (F.col("status") == "passed") & (F.size(unseen) > 0), F.concat(F.lit("passed claim has unobserved required layers "), F.array_join(F.array_sort(unseen), ",")))]
+    of_component = missing("name") + [(F.coalesce("scenarios", F.lit(0)) == 0, "has no captured scenarios")]
+    ids = claims.groupBy("id").agg(F.count(F.lit(1)).alias("_c"))
+    references = findings.select(F.lit("finding").alias("kind"), F.col("id").cast("string").alias("id"), F.explode("claim_ids").alias("claim_id")).unionByName(
+        components.select(F.lit("component").alias("kind"), F.col("component").cast("string").alias("id"), F.explode("claim_ids").alias("claim_id")))
+    known = ids.select(F.col("id").alias("claim_id"))
+    dangling = references.join(known, "claim_id", "left_anti").select("kind", "id", F.concat(F.lit("references unknown claim "), F.col("claim_id")).alias("problem"))
+    result = broken(claims, "claim", "id", of_claim).unionByName(broken(ids.where("_c > 1 or id is null"), "claim", "id", [(F.lit(True), "claim ids must be unique and present")]))
+    for more in (broken(findings, "finding", "id", missing("title", "severity", "impact")), broken(components, "component", "component", of_component), dangling):
         result = result.unionByName(more)
     return result
 
