@@ -113,6 +113,7 @@ def resolve(records: DataFrame) -> DataFrame:
     keyed = records.select("record_id", "kind", "uri", canonical_url(F.col("uri")).alias("url"), "at", "headers", "payload_digest", (F.col("status") == 200).alias("full"))
     keyed = keyed.where((F.col("kind") == "revisit") | ((F.col("kind") == "response") & F.col("full")))
     keyed = keyed.withColumn("rank", F.when(F.col("kind") == "revisit", 0).otherwise(1))  # a revisit looks strictly before its own time
+    keyed = cut_lineage(keyed)  # the range sort samples its input, which must not read all records again for that
     ordered = keyed.repartitionByRange("url", "at", "rank", "record_id").withColumn("part", F.spark_partition_id())
     ordered = cut_lineage(ordered)
     can_match = (F.col("url") != "") & F.col("at").isNotNull()
