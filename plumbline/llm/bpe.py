@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.tokens import BYTES, encoder
+from plumbline.llm.tokens import BYTES, encoder, small
 
 LEAF = 16_384
 MARGIN = 4  # tokens that must agree on either side of a window
@@ -92,22 +92,33 @@ def decode(path: str, ids: np.ndarray) -> str:
     return b"".join(map(token_bytes(path).__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", leaf: int = LEAF) -> DataFrame:
+def _digest(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
+    data = batch.column("ids").to_pylist()
+    return pa.RecordBatch.from_arrays([
+        batch.column("doc_id"), pa.array([len(i) // 4 for i in data], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in data], pa.string()),
+        pa.array([hashlib.sha256(decode(path, np.frombuffer(i, "<u4")).encode()).hexdigest() for i in data], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", leaf: int = LEAF, digests: bool = False) -> DataFrame:
     """(doc_id, ids): per row of ``docs`` the ids of its whole text as little-endian 32-bit integers.
 
     Null and empty texts have no ids; repeated rows and null keys are encoded like any other. Further columns are not read.
-    Only leaves of texts longer than one leaf are shuffled.
+    Only leaves of texts longer than one leaf are shuffled. With ``digests`` the task that has the ids decodes them and
+    gives (doc_id, n_tokens, ids_sha256, decoded_sha256) instead.
     """
+    def result(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return _digest(batch, path) if digests else batch
+
     docs = docs.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(encoder(path).encode, batch.column(1).to_pylist())), pa.binary())], ["doc_id", "ids"])
+        for batch in small(batches):
+            yield result(pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(encoder(path).encode, batch.column(1).to_pylist())), pa.binary())], ["doc_id", "ids"]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in small(batches, 16):
             for i, t in enumerate(batch.column(1).to_pylist()):
                 found = leaves(t, encoder(path).special, leaf)
                 n = len(found)
@@ -117,7 +128,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 row += 1
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 64):
             ids = pa.array(list(map(encoder(path).encode, batch.column("text").to_pylist())), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
 
@@ -125,8 +136,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         at, parts, doc = None, [], None
         def done() -> pa.RecordBatch:
             ids = concatenate(path, [(t.encode(), np.frombuffer(i, "<u4"), h) for t, i, h in parts])
-            return pa.RecordBatch.from_arrays([doc, pa.array([ids.astype("<u4").tobytes()], pa.binary())], ["doc_id", "ids"])
-        for batch in batches:
+            return result(pa.RecordBatch.from_arrays([doc, pa.array([ids.astype("<u4").tobytes()], pa.binary())], ["doc_id", "ids"]))
+        for batch in small(batches, 64):
             for k, (part, row, t, h, i) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("part", "row", "text", "hard", "ids")))):
                 if at != (part, row):
                     if at is not None:
@@ -136,17 +147,18 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         if at is not None:
             yield done()
 
+    made = f"doc_id {kind}, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids binary")
     short, long = docs.where(F.length("text") <= leaf), docs.where(F.length("text") > leaf)
     shape = f"doc_id {kind}, part bigint, row bigint, leaf bigint, text string, hard boolean"
     spread = long.mapInArrow(cut, shape).repartition("part", "row", "leaf").mapInArrow(each, shape + ", ids binary")
-    joined = spread.repartition("part", "row").sortWithinPartitions("part", "row", "leaf").mapInArrow(gather, f"doc_id {kind}, ids binary")
-    return short.mapInArrow(whole, f"doc_id {kind}, ids binary").union(joined)
+    joined = spread.repartition("part", "row").sortWithinPartitions("part", "row", "leaf").mapInArrow(gather, made)
+    return short.mapInArrow(whole, made).union(joined)
 
 
 def decoded(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, text) from the output of ``encode``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [decode(path, np.frombuffer(i, "<u4")) for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema.fields)
@@ -156,9 +168,5 @@ def decoded(encoded: DataFrame, path: str) -> DataFrame:
 def digests(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) from the output of ``encode``; no text leaves the task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = batch.column("ids").to_pylist()
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([len(i) // 4 for i in data], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in data]),
-                pa.array([hashlib.sha256(decode(path, np.frombuffer(i, "<u4")).encode()).hexdigest() for i in data])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        return (_digest(batch, path) for batch in small(batches))
     return encoded.mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

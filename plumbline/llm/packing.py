@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.tokens import encoder
+from plumbline.llm.tokens import encoder, small
 from plumbline.session import cut_lineage
 
 WINDOW, BARS, DEPTH = 2048, 256, 3
@@ -167,7 +167,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, window: int = WINDOW,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(path).encode, TaskContext.get().partitionId()
         seen, row, end = np.zeros(window + 1, np.int64), 0, np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in small(batches):
             keys, out = [], {c: [] for c in ("row", "start", "length", "crc", "tokens", "number", "ids")}
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = encode(text or "") + end

@@ -112,7 +112,7 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_bpe_round_trip")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.json")
-    return bpe.digests(bpe.encode(table(spark, sf, "documents"), path), path)
+    return bpe.encode(table(spark, sf, "documents"), path, digests=True)
 
 
 @query("op6_revisits")

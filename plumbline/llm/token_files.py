@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.tokens import encoder
+from plumbline.llm.tokens import encoder, small
 
 MAGIC = b"PLID"
 BLOCK = 4096  # ids of a block
@@ -244,7 +244,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, key: str = "doc_
                 pa.array([[len(d) // 4 for d in data]], pa.list_(pa.int64())), pa.array([compress(ids, bits)], pa.binary())],
                 ["part", "segment", "n_ids", "doc_ids", "lengths", "payload"])
 
-        for batch in batches:
+        for batch in small(batches):
             for i, t in enumerate(batch.column(1).to_pylist()):
                 ids = tokens.encode(t) + end
                 keys.append(batch.column(0).slice(i, 1))

@@ -8,11 +8,13 @@ ids of its pieces one after another. A text that holds a special token's string
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
-PIECES = 300_000  # pieces kept by a worker, twice: the current ones and those before
+PIECES = 400_000  # pieces kept by a worker, twice: the current ones and those before
 LONGEST = 64  # longer pieces are encoded each time
 
 
@@ -93,6 +95,13 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that a task's Python lists stay small whatever the texts weigh."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def vocabulary(name: str) -> str:
     """Place of a public vocabulary file on this machine; the same on every executor."""
     import public_tokenizers
