@@ -238,6 +238,11 @@ def direction_check(figures: DataFrame, captures: DataFrame, actions: DataFrame)
     return out.withColumn("status", F.when(F.col("wrong") > 0, "fail").otherwise("pass"))
 
 
+def consistency_failures(results: DataFrame, by: Sequence[str] = ("component",)) -> DataFrame:
+    """The captures behind a failing pair, one row each."""
+    return results.where("status = 'inconsistent'").select(*by, "label", *[c for c in ("capture_ord", "note") if c in results.columns])
+
+
 def consistency_rollup(results: DataFrame, by: Sequence[str] = ("component",)) -> DataFrame:
     """One row per pair: fail if any capture disagrees, pass if any compares, else unknown."""
     out = results.groupBy(*by, "label").agg(

@@ -206,11 +206,12 @@ def snippet(df: DataFrame, key: Sequence[str], text: str, terms: Sequence[str],
 
 
 def search(docs: DataFrame, query: str, topic: str | None = None, k: int = 5) -> DataFrame:
-    """Ranked hits with their snippets."""
+    """Ranked hits with title, date and topics, as far as the articles have them, and their snippets."""
     top = tfidf_search(docs, query, topic, k)
     bodies = docs.join(F.broadcast(top), "path")  # k rows
     cut = snippet(bodies, ["path"], "body", query_terms(docs.sparkSession, query))
-    return bodies.select("path", "title", "score").join(cut, "path").orderBy(F.desc("score"), "path")
+    shown = [c for c in ("title", "date", "topics") if c in docs.columns]
+    return bodies.select("path", *shown, "score").join(cut, "path").orderBy(F.desc("score"), "path")
 
 
 # --- articles ----------------------------------------------------------------------------
