@@ -6,12 +6,13 @@ hashes of its shingles, so sketches of parts merge by taking maxima and equal re
 similar. Bands of registers propose pairs, the joint maximum-likelihood estimate of the similarity drops those far below
 the threshold, and every link is confirmed on the full sets.
 
-Documents with equal sets are one node from the start. In a bucket all members are compared with one pivot;
-only buckets whose members are still in different components afterwards are compared among themselves, in tiles
+Documents with equal sets are one node from the start. In a bucket all members are compared with one pivot,
+the one that shares most bands; only buckets whose members are still in different components afterwards are compared among themselves, in tiles
 of a fixed number of sketches, and again only what the likelihood lets through is confirmed.
 
-Chance of missing a pair at exactly 0.8: no common band (1 - 0.8^6)^48 < 1e-6, estimate six standard
-deviations low 1e-9.
+Chance of missing a pair at exactly 0.8: no common band (1 - 0.8^6)^48 < 1e-6, estimate four and a half standard
+deviations low 3e-6 (pairs with a pivot), three and a half 3e-4 (pairs inside a family whose pivot did not link them);
+it falls fast above, and a missed pair matters only where no other path links the two.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from plumbline.session import cut_lineage
 BASE, RATE = 1.1, 20.0
 BAND, BANDS = 6, 48
 REGISTERS = BAND * BANDS
+DEVIATIONS = 4.5  # what a pair may be estimated below the threshold
+WITHIN = 3.5  # the same inside families that their pivot did not bring together
 TILE = 1024
 FAN = 256
 WORDS = 300_000  # cached word hashes of a worker
@@ -105,9 +108,9 @@ def estimate(above: np.ndarray, below: np.ndarray, nx: np.ndarray, ny: np.ndarra
     return best
 
 
-def _floor(percent: int) -> float:
+def _floor(percent: int, deviations: float = DEVIATIONS) -> float:
     t = percent / 100
-    return t - 6 * float(np.sqrt(t * (1 - t) / REGISTERS))
+    return t - deviations * float(np.sqrt(t * (1 - t) / REGISTERS))
 
 
 def _sketches(docs: DataFrame, rules: Rules) -> DataFrame:
@@ -128,7 +131,7 @@ def _sketches(docs: DataFrame, rules: Rules) -> DataFrame:
 
 def _bands(nodes: DataFrame) -> DataFrame:
     keys = [F.xxhash64(F.lit(i), F.substring("registers", i * BAND + 1, BAND)) for i in range(BANDS)]
-    return nodes.select(F.explode(F.array(*keys)).alias("key"), "node")
+    return nodes.select(F.posexplode(F.array(*keys)).alias("band", "key"), "node")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, rules: Rules) -> DataFrame:
@@ -151,7 +154,10 @@ def _likely(pairs: DataFrame, nodes: DataFrame, rules: Rules) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rules: Rules) -> DataFrame:
-    """Pairs (x, y) linked on full sets. Partners of one x are split into groups of about ``FAN``; a task holds one x at a time."""
+    """Pairs (x, y) with the size of their intersection (``both``) and whether full sets link them.
+
+    Partners of one x are split into groups of about ``FAN``; a task holds one x at a time.
+    """
     words, percent = rules.words, rules.percent
     parts = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / F.lit(FAN)).alias("parts"))
     dealt = pairs.join(parts, "x").select("x", F.pmod(F.hash("y"), F.col("parts").cast("int")).alias("part"), "y")
@@ -164,7 +170,7 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rules: Rules)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, None
         for b in batches:
-            xs, ys = [], []
+            xs, ys, shared, good = [], [], [], []
             for x, part, role, node, mark, text in zip(*(b.column(i).to_pylist() for i in range(6))):
                 found = shingles(text, words)
                 if hashlib.blake2b(found.tobytes(), digest_size=16).digest() != mark:
@@ -175,38 +181,64 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rules: Rules)
                     small, large = (own, found) if len(own) < len(found) else (found, own)
                     where = np.minimum(np.searchsorted(large, small), len(large) - 1)
                     both = int((large[where] == small).sum())
-                    if 100 * both >= percent * (len(own) + len(found) - both):
-                        xs.append(x)
-                        ys.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
+                    xs.append(x)
+                    ys.append(node)
+                    shared.append(both)
+                    good.append(100 * both >= percent * (len(own) + len(found) - both))
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in (xs, ys, shared)), pa.array(good, pa.bool_())], ["x", "y", "both", "linked"])
 
-    return rows.mapInArrow(run, "x bigint, y bigint").distinct()
+    return rows.mapInArrow(run, "x bigint, y bigint, both bigint, linked boolean").distinct()
 
 
 def _across(members: DataFrame, nodes: DataFrame, rules: Rules) -> DataFrame:
-    """Likely pairs between different components of one bucket, from tiles of at most about 2 * ``TILE`` sketches."""
-    floor, percent = _floor(rules.percent), rules.percent
-    blocks = members.withColumn("block", F.pmod(F.hash("node"), F.col("blocks").cast("int")))
-    tiled = blocks.select("key", "node", "component", "pivot", "block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("other"))
-    tiled = tiled.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "pivot")
+    """Likely pairs between different components of one bucket, from tiles of at most about 2 * ``TILE`` sketches.
+
+    Insiders share the pivot's component, and no two of them are compared, so they are not copied for each other:
+    every block of insiders meets every block of outsiders, and blocks of outsiders meet among themselves.
+    ``shared`` is the size of a member's intersection with the pivot, where that was counted: two members share no more
+    than the smaller of their parts inside the pivot and the smaller of those outside. A pair is told in the first of its
+    common bands only.
+    """
+    floor, percent = _floor(rules.percent, WITHIN), rules.percent
+    inside = (F.col("component") == F.col("home")).cast("int")
+    sized = members.groupBy("key").agg(F.sum(inside).alias("n_in"), F.sum(1 - inside).alias("n_out"))
+    blocks = [F.greatest(F.ceil(F.col(c) / F.lit(TILE)), F.lit(1)).cast("int") for c in ("n_in", "n_out")]
+    dealt = members.join(sized, "key").select("key", "band", "node", "component", "pivot", F.coalesce("shared", F.lit(-1)).alias("shared"), (inside == 1).alias("inside"), blocks[0].alias("ins"), blocks[1].alias("outs"))
+    own = F.when(F.col("inside"), F.pmod(F.hash("node"), F.col("ins"))).otherwise(F.pmod(F.hash("node"), F.col("outs")))
+    def tile(kind: int, i: Column, j: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    def each(n: str, make) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col(n) - 1), make)
+    among = F.filter(each("outs", lambda j: tile(1, F.least("own", j), F.greatest("own", j))), lambda t: t["i"] != t["j"])
+    tiles = F.when(F.col("inside"), each("outs", lambda j: tile(0, F.col("own"), j))).otherwise(F.concat(each("ins", lambda i: tile(0, i, F.col("own"))), among))
+    tiled = dealt.withColumn("own", own).select("key", "band", "node", "component", "pivot", "shared", "inside", "own", F.inline(tiles))
     rows = tiled.join(nodes.select("node", "n", "registers"), "node")
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        node, comp, n = (group.column(c).to_numpy() for c in ("node", "component", "n"))
-        block, pivot = group.column("block").to_numpy(), group.column("pivot").to_numpy()
+        _, kind, i, _ = (k.as_py() for k in key)
+        node, comp, n, own, pivot = (group.column(c).to_numpy() for c in ("node", "component", "n", "own", "pivot"))
+        inner, c, band = group.column("inside").to_numpy(), group.column("shared").to_numpy(), group.column("band")[0].as_py()
         regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint8).reshape(-1, REGISTERS)
         xs, ys = [], []
-        for a in range(len(node)):
-            rest = np.flatnonzero((node > node[a]) & (comp != comp[a]) & (node != pivot) & (node[a] != pivot[a]) & ((block != block[a]) | (key[1].as_py() == key[2].as_py()))
-                                  & (np.minimum(n, n[a]) * 100 >= np.maximum(n, n[a]) * percent))
+        for a in np.flatnonzero(~inner):
+            partner = (inner & (node != pivot)) if i else (inner & (node != pivot)) | (~inner & (node > node[a]))
+            if kind:
+                partner = (own > own[a])
+            rest = np.flatnonzero(partner & (comp != comp[a]) & (np.minimum(n, n[a]) * 100 >= np.maximum(n, n[a]) * percent))
+            if c[a] >= 0:
+                most = np.minimum(c[a], c[rest]) + np.minimum(n[a] - c[a], n[rest] - c[rest])
+                rest = rest[(c[rest] < 0) | (100 * most >= percent * (n[a] + n[rest] - most))]
+            if band and len(rest):
+                earlier = (regs[a, :band * BAND] == regs[rest, :band * BAND]).reshape(len(rest), band, BAND).all(axis=2).any(axis=1)
+                rest = rest[~earlier]
             if len(rest):
                 more, less = (regs[a] > regs[rest]).sum(axis=1), (regs[a] < regs[rest]).sum(axis=1)
                 good = rest[estimate(more, less, np.full(len(rest), float(n[a])), n[rest].astype(float)) >= floor]
-                xs += [int(node[a])] * len(good)
-                ys += node[good].tolist()
+                xs += np.minimum(node[a], node[good]).tolist()
+                ys += np.maximum(node[a], node[good]).tolist()
         return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
 
-    return rows.groupBy("key", "i", "j").applyInArrow(run, "x bigint, y bigint").distinct()
+    return rows.groupBy("key", "kind", "i", "j").applyInArrow(run, "x bigint, y bigint").distinct()
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -223,19 +255,27 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Rule
     sets = full.groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
     nodes = cut_lineage(sets.select(F.monotonically_increasing_id().alias("node"), "mark", "doc_id", "n", "registers"))
     bands = _bands(nodes)
-    buckets = cut_lineage(bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1"))
-    members = cut_lineage(bands.join(buckets, "key"))
+    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = cut_lineage(bands.join(buckets, "key"))
+    # the original of a family shares more bands with its copies than they do with each other, so it becomes their pivot
+    weights = shared.groupBy("node").agg(F.sum("c").alias("weight"))
+    weighed = shared.join(weights, "node")
+    pivots = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("low"))).alias("top"))
+    members = cut_lineage(weighed.join(pivots.select("key", (-F.col("top.low")).alias("pivot")), "key").drop("weight"))
     pairs = members.where("node != pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct()
-    links = cut_lineage(_confirm(cut_lineage(_likely(pairs, nodes, rules)), nodes, docs, rules))
+    tested = cut_lineage(_confirm(cut_lineage(_likely(pairs, nodes, rules)), nodes, docs, rules))
+    links = tested.where("linked").select("x", "y")
     labels = components(links)
 
     # buckets of three or more that the pivots did not bring together
     placed = members.where("c > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    open_members = placed.join(split, "key").withColumn("blocks", F.ceil(F.col("c") / F.lit(TILE)))
+    home = placed.where("node = pivot").select("key", F.col("component").alias("home"))
+    counted = tested.select(F.col("x").alias("pivot"), F.col("y").alias("node"), F.col("both").alias("shared"))
+    open_members = placed.join(split, "key").join(home, "key").join(counted, ["pivot", "node"], "left")
     more = cut_lineage(_across(open_members, nodes, rules))
     if not more.isEmpty():
-        labels = components(links.union(_confirm(more, nodes, docs, rules)))
+        labels = components(links.union(_confirm(more, nodes, docs, rules).where("linked").select("x", "y")))
 
     named = nodes.select("node", "mark", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -247,5 +287,6 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Rule
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """``docs`` with one row of each group, the one with the smallest id; rows repeated under that id stay."""
-    kept = groups(docs, key, text, rules).where("kept").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept["_key"]), "left_semi")
+    kept = groups(docs, key, text, rules).where("kept").select(F.col("doc_id").alias("other")).distinct()
+    held = docs.select(F.col(f"`{key}`").alias("own"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return held.join(kept, F.col("own").eqNullSafe(F.col("other")), "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
