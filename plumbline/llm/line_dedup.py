@@ -3,51 +3,68 @@
 A line is the set of its lower-cased words. Lines with equal sets collapse first, so that a line copied into
 a third of all documents is one row. Two sets with Jaccard similarity of at least ``threshold`` share a word among
 their rarest ones (prefix filter), so only the prefixes are joined, with length and positional filters inside
-the join; the surviving pairs are verified on the full sets. A line goes when an earlier line, by document and
+the join, and a bit per word hash that bounds how much two sets can share; the surviving pairs are verified on the full sets. A line goes when an earlier line, by document and
 line number, is as similar as that.
 
-Rarity comes from exact counts over all words, taken per hash bucket: the order stays one total order over
-words, which is all that exactness needs, and the table of ``BUCKETS`` ranks has a fixed size. Words are
-compared as 63-bit hashes.
+Families of many similar lines would make the join emit all their pairs, though one earlier match is enough for a
+line to go. So every line is first compared with the earliest line that shares two neighbours among its three rarest words; lines
+that go by this look for no further match in the join, where they still count as earlier lines.
+
+Rarity comes from exact counts over all words, taken per hash bucket in steps of an eighth of an octave: the order stays
+one total order over words, which is all that exactness needs, and the table of ``BUCKETS`` bytes has a fixed size.
+Words are compared as 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.graph import maybe_in
-from plumbline.llm.words import has_word, lines, texts, words
+from plumbline.llm.words import has_word, lines, texts
 from plumbline.session import cut_lineage
 
-BUCKETS = 1 << 15  # ranks stay below 2 ** 15, above 48 bits of hash
-LOW = (1 << 48) - 1
+BUCKET_BITS = 19
+BUCKETS = 1 << BUCKET_BITS
+LOW = (1 << 54) - 1
+ODD_SPACE = r"[\t\x0B\f\r]"
+
+
+def _plain(text: Column) -> Column:
+    """The text in lower case with every white space within a line as a blank."""
+    low = F.lower(text)
+    return F.when(low.rlike(ODD_SPACE), F.regexp_replace(low, ODD_SPACE, " ")).otherwise(low)
 
 
 def _hashes(line: Column) -> Column:
-    """Hashes of the words of a line, A-Z lower-cased, repeats included."""
-    return F.transform(words(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), lambda w: F.xxhash64(w))
+    """Distinct hashes of the words of a plain line."""
+    return F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
 
 
 def _bucket(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 49).cast("int")
+    return F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
 
 
-def rarity(rows: DataFrame) -> Column:
-    """One array: the rank of every bucket by the number of words in it (ties by bucket), rarest first."""
-    counts = rows.select(F.explode(_hashes(F.col("text"))).alias("h")).groupBy(_bucket(F.col("h")).alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    found = {r["b"]: r["c"] for r in counts.collect()}  # at most BUCKETS rows
-    ranks = [0] * BUCKETS
-    for place, b in enumerate(sorted(range(BUCKETS), key=lambda b: (found.get(b, 0), b))):
-        ranks[b] = place
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
+def rarity(plain: DataFrame) -> Column:
+    """One byte per bucket: how many words fall into it, as eighths of an octave."""
+    each = plain.select(F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("w")).where("w != ''")
+    counts = each.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    steps = bytearray(BUCKETS)
+    for batch in counts.toArrow().to_batches():  # at most BUCKETS rows of two numbers
+        for b, c in zip(batch.column("b").to_pylist(), batch.column("c").to_pylist()):
+            steps[b] = min(255, int(8 * math.log2(c)))
+    return F.lit(bytes(steps))
 
 
-def _tokens(line: Column, ranks: Column) -> Column:
-    """The set of a line, rarest word first: rank above, hash below, so that a plain sort orders by rarity."""
-    return F.sort_array(F.transform(F.array_distinct(_hashes(line)), lambda h: F.shiftleft(F.get(ranks, _bucket(h)), 48).bitwiseOR(h.bitwiseAND(F.lit(LOW)))))
+def _ordered(hashes: Column, steps: Column) -> Column:
+    """A set with its rarest word first: step above, hash below, so that a plain sort orders by rarity."""
+    def key(h: Column) -> Column:
+        step = F.ascii(F.decode(F.substring(steps, _bucket(h) + 1, F.lit(1)), "ISO-8859-1"))
+        return F.shiftleft(step.cast("bigint"), 54).bitwiseOR(h.bitwiseAND(F.lit(LOW)))
+    return F.sort_array(F.transform(hashes, key))
 
 
 def _least(n: Column, t: Fraction) -> Column:
@@ -55,62 +72,80 @@ def _least(n: Column, t: Fraction) -> Column:
     return F.floor((n * t.numerator + (t.denominator - 1)) / F.lit(t.denominator)).cast("int")
 
 
-def _overlap(a: Column, b: Column, t: Fraction) -> Column:
-    """Smallest intersection of sets of sizes a and b that reaches the threshold: ceil(t / (1 + t) * (a + b))."""
-    return _least(a + b, t / (1 + t))
+def _confirmed(pairs: DataFrame, plain: DataFrame, t: Fraction) -> DataFrame:
+    """The later lines ``y`` of pairs (x, y) that reach the threshold on their full sets."""
+    members = pairs.select(F.explode(F.array("x", "y")).alias("line")).distinct()
+    inside = plain.where(maybe_in(members.select(F.col("line.doc_id").alias("doc")), "doc")("doc_id"))
+    again = inside.select("doc_id", F.posexplode(lines(F.col("text"))).alias("line_no", "body")).where(has_word(F.col("body")))
+    full = again.select(F.struct("doc_id", "line_no").alias("line"), _hashes(F.col("body")).alias("tokens"))
+    whole = members.join(full, "line").dropDuplicates(["line"])
+    x, y = (whole.select(F.col("line").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "xy")
+    both = F.size(F.array_intersect("x_tokens", "y_tokens"))
+    alike = both * t.denominator >= (F.size("x_tokens") + F.size("y_tokens") - both) * t.numerator
+    return pairs.join(x, "x").join(y, "y").where(alike).select(F.col("y").alias("line")).distinct()
 
 
 def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: str = "0.8") -> DataFrame:
     """(doc_id, line_no) of every line with a word that no earlier line resembles; numbers start at 0.
 
-    Rows without a key count as one document that comes first. Rows that share a key are one document too: equal lines
-    at the same place in them count once. A null or empty text has no lines; further columns are not read.
+    Rows without a key count as one document that comes first. Rows that share a key are one document too: a line
+    number that stays in one of them stays in all. A null or empty text has no lines; further columns are not read.
     """
     t = Fraction(threshold)
-    rows = texts(docs, key, text).withColumn("doc_id", F.struct(F.col("doc_id").alias("id")))
-    ranks = rarity(rows)
-    each = rows.select("doc_id", F.posexplode(lines(F.col("text"))).alias("line_no", "line")).where(has_word(F.col("line")))
-    sets = each.select("doc_id", "line_no", _tokens(F.col("line"), ranks).alias("tokens"))
+    plain = texts(docs, key, text).select(F.struct(F.col("doc_id").alias("id")).alias("doc_id"), _plain(F.col("text")).alias("text"))
+    steps = rarity(plain)
+    each = plain.select("doc_id", F.posexplode(lines(F.col("text"))).alias("line_no", "body")).where(has_word(F.col("body")))
+    sets = each.select("doc_id", "line_no", _ordered(_hashes(F.col("body")), steps).alias("tokens"))
     n = F.size("tokens")
     heads = sets.select(
-        F.unhex(F.md5(F.array_join(F.col("tokens").cast("array<string>"), " "))).alias("mark"), F.struct("doc_id", "line_no").alias("first"), n.alias("n"),
-        F.slice("tokens", 1, n - _least(n, t) + 1).alias("prefix"))
-    same = heads.groupBy("mark").agg(F.min("first").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    kinds = cut_lineage(same.select(F.monotonically_increasing_id().alias("rid"), "first", "n", "prefix"))
-
-    posted = kinds.where("n > 3").select("rid", F.posexplode("prefix").alias("at", "token"), "n").select(
-        "token", "rid", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("at").cast("bigint")).alias("place"))
+        F.xxhash64("tokens").alias("m1"), F.xxhash64(F.lit(1), "tokens", n).alias("m2"), F.struct("doc_id", "line_no").alias("line"), n.alias("n"),
+        F.transform(F.slice("tokens", 1, n - _least(n, t) + 1), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
+        F.aggregate("tokens", F.lit(0).cast("bigint"), lambda bits, k: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int")))).alias("bits"))
+    same = heads.groupBy("m1", "m2").agg(F.min("line").alias("line"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits")])
+    kinds = cut_lineage(same.select("line", "n", "prefix", "bits"))
+
+    def could_share(n1: Column, bits1: Column, n2: Column, bits2: Column) -> Column:
+        """The sets differ in at least one word for every bit that differs; that leaves room for the overlap they need."""
+        return n1 + n2 - F.bit_count(bits1.bitwiseXOR(bits2)) >= 2 * _least(n1 + n2, t / (1 + t))
+
+    p = F.col("prefix")
+    twos = F.array(*[F.xxhash64(F.get(p, F.lit(i)), F.get(p, F.lit(j))) for i, j in ((0, 1), (1, 2))])
+    star = kinds.where("n > 3").select(F.col("line.doc_id.id").alias("id"), F.col("line.line_no").alias("line_no"), "n", "bits", F.explode(F.array_distinct(F.when(F.size(p) < 2, F.array(F.xxhash64(F.get(p, F.lit(0))))).when(F.size(p) < 3, F.slice(twos, 1, 1)).otherwise(twos))).alias("two"))
+    firsts = star.groupBy("two").agg(F.min(F.struct("id", "line_no", "n", "bits")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("two", "first")
+    close = F.col("first.n") * t.denominator >= F.col("n") * t.numerator
+    close &= F.col("n") * t.denominator >= F.col("first.n") * t.numerator
+    close &= could_share(F.col("n"), F.col("bits"), F.col("first.n"), F.col("first.bits"))
+    other = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line_no") == F.col("first.line_no")))
+    def place(id_: str, line_no: str) -> Column:
+        return F.struct(F.struct(F.col(id_).alias("id")).alias("doc_id"), F.col(line_no).alias("line_no"))
+    beside = star.join(firsts, "two").where(other & close).select(place("first.id", "first.line_no").alias("x"), place("id", "line_no").alias("y")).distinct()
+    gone = cut_lineage(_confirmed(cut_lineage(beside), plain, t))
+
+    posted = kinds.where("n > 3").join(gone.withColumn("gone", F.lit(True)), "line", "left")
+    # lines that go already have a negative size, which no later line of a pair may have: nothing to filter on one side alone, so
+    # both sides of the join read one and the same shuffle
+    posted = posted.select(F.posexplode("prefix").alias("at", "token"), F.col("line.doc_id.id").alias("id"), F.col("line.line_no").alias("line_no"),
+                           F.when(F.col("gone"), -F.col("n")).otherwise(F.col("n")).alias("n"), "bits")
     a, b = posted.alias("a"), posted.alias("b")
-    an, bn = (F.shiftright(f"{x}.place", 32).cast("int") for x in "ab")
-    ai, bi = (F.col(f"{x}.place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") for x in "ab")
+    an, bn, ai, bi = F.abs("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at")
     near = (
-        (F.col("a.token") == F.col("b.token")) & ((an < bn) | ((an == bn) & (F.col("a.rid") < F.col("b.rid"))))
-        & (an >= _least(bn, t)) & (1 + F.least(an - ai, bn - bi) - 1 >= _overlap(an, bn, t)))
-    pairs = cut_lineage(a.join(b.hint("shuffle_hash"), near).select(F.col("a.rid").alias("x"), F.col("b.rid").alias("y")).distinct())
-
-    # full sets again, only for lines that stand in a pair, out of documents that hold such a line
-    members = pairs.select(F.explode(F.array("x", "y")).alias("rid")).distinct().join(kinds.select("rid", "first"), "rid")
-    involved = members.select(F.col("first.doc_id").alias("doc"))
-    again = rows.where(maybe_in(involved, "doc")("doc_id")).select("doc_id", F.posexplode(lines(F.col("text"))).alias("line_no", "line")).where(has_word(F.col("line")))
-    full = again.select(F.struct("doc_id", "line_no").alias("first"), F.array_distinct(_hashes(F.col("line"))).alias("tokens"))
-    whole = cut_lineage(members.join(full, "first").select("rid", "first", "tokens").dropDuplicates(["rid"]))
-    left = whole.select(F.col("rid").alias("x"), F.col("first").alias("x_first"), F.col("tokens").alias("x_tokens"))
-    right = whole.select(F.col("rid").alias("y"), F.col("first").alias("y_first"), F.col("tokens").alias("y_tokens"))
-    both = F.size(F.array_intersect("x_tokens", "y_tokens"))
-    alike = both * t.denominator >= (F.size("x_tokens") + F.size("y_tokens") - both) * t.numerator
-    later = pairs.join(left, "x").join(right, "y").where(alike).select(F.when(F.col("x_first") > F.col("y_first"), F.col("x")).otherwise(F.col("y")).alias("rid"))
-    kept = kinds.join(later.distinct(), "rid", "left_anti")
-    return kept.select(F.col("first.doc_id.id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
+        (F.col("a.token") == F.col("b.token")) & (F.struct("a.id", "a.line_no") < F.struct("b.id", "b.line_no"))
+        & (F.least(an, bn) >= _least(F.greatest(an, bn), t)) & (F.least(an - ai, bn - bi) >= _least(an + bn, t / (1 + t)))
+        & could_share(an, F.col("a.bits"), bn, F.col("b.bits")))
+    pairs = cut_lineage(a.join(b, near).select(place("a.id", "a.line_no").alias("x"), place("b.id", "b.line_no").alias("y")).distinct())
+    later = gone.union(_confirmed(pairs, plain, t))
+    kept = kinds.select("line").join(later, "line", "left_anti")
+    return kept.select(F.col("line.doc_id.id").alias("doc_id"), F.col("line.line_no").alias("line_no"))
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: str = "0.8") -> DataFrame:
     """Per row of ``docs``: lines with a word, how many go, and the numbers of those that stay, in order."""
-    kept = kept_lines(docs, key, text, threshold).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("kept_lines"))
+    kept = kept_lines(docs, key, text, threshold).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("kept_lines"))
     kept = kept.withColumnRenamed("doc_id", "_key")
     rows = texts(docs, key, text).select("doc_id", F.size(F.filter(lines(F.col("text")), has_word)).cast("bigint").alias("n_lines"))
     joined = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_key"]), "left")
     stay = F.coalesce("kept_lines", F.array().cast("array<int>"))
-    return joined.select("doc_id", "n_lines", (F.col("n_lines") - F.size(stay)).alias("n_removed"), stay.alias("kept_lines"))
+    return joined.select("doc_id", "n_lines", F.greatest(F.col("n_lines") - F.size(stay), F.lit(0)).alias("n_removed"), stay.alias("kept_lines"))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: str = "0.8") -> DataFrame:
@@ -118,15 +153,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: s
 
     Lines without a word stay where they are, other columns as they came. Documents without any word stay.
     """
-    kept = kept_lines(docs, key, text, threshold).groupBy("doc_id").agg(F.collect_set("line_no").alias("_kept")).withColumnRenamed("doc_id", "_key")
-    joined = docs.join(kept, docs[key].eqNullSafe(kept["_key"]), "left")
-    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    kept = kept_lines(docs, key, text, threshold).groupBy("doc_id").agg(F.collect_set("line_no").alias("stay")).withColumnRenamed("doc_id", "other")
+    held = docs.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = held.join(kept, F.col("doc_id").eqNullSafe(F.col("other")), "left").where(F.col("stay").isNotNull() | ~has_word(F.col("body")))
     # every kept number sorts right before its line, which makes the lookup one sort of the document's own lines
-    marks = F.transform("_kept", lambda i: F.struct(i.alias("i"), F.lit(0).alias("of"), F.lit("").alias("line")))
-    merged = F.sort_array(F.concat(marks, F.transform(lines(body), lambda x, i: F.struct(i.alias("i"), F.lit(1).alias("of"), x.alias("line")))))
-    placed = joined.withColumn("_merged", merged)
+    marks = F.transform("stay", lambda i: F.struct(i.alias("i"), F.lit(0).alias("of"), F.lit("").alias("line")))
+    merged = F.sort_array(F.concat(marks, F.transform(lines(F.col("body")), lambda x, i: F.struct(i.alias("i"), F.lit(1).alias("of"), x.alias("line")))))
     def stays(x: Column, k: Column) -> Column:
-        return (x["of"] == 1) & (~has_word(x["line"]) | F.coalesce((F.get("_merged", k - 1)["of"] == 0), F.lit(False)))
-    left = F.array_join(F.transform(F.filter("_merged", stays), lambda x: x["line"]), "\n")
-    done = placed.where(F.col("_kept").isNotNull() | ~has_word(body))
-    return done.select(*[F.when(F.col("_kept").isNotNull(), left).otherwise(docs[c]).alias(c) if c == text else docs[c] for c in docs.columns])
+        return (x["of"] == 1) & (~has_word(x["line"]) | F.coalesce((F.get("merged", k - 1)["of"] == 0), F.lit(False)))
+    left = F.array_join(F.transform(F.filter("merged", stays), lambda x: x["line"]), "\n")
+    done = joined.select("row", merged.alias("merged")).select("row", left.alias("left"), F.col("merged").isNotNull().alias("cut"))
+    return done.select(*[F.when(F.col("cut"), F.col("left")).otherwise(F.col(f"row.`{c}`")).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -168,13 +168,13 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tupl
 
 def mask(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every span replaced by ``[kind]``; overlapping spans become one mark. Other columns stay."""
-    found = scan(docs, key, text, rules).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("_spans"))
-    found = found.withColumnRenamed("doc_id", "_key")
-    body, start = F.col(f"`{text}`"), F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    found = scan(docs, key, text, rules).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("spans"))
+    held = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("body"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    body, start = F.col("body"), F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     def step(acc: Column, x: Column) -> Column:
         gap = F.substring(body, (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
         sign = F.when(x["start"] >= acc["at"], F.concat(F.lit("["), x["kind"], F.lit("]"))).otherwise("")
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], gap, sign).alias("out"))
-    done = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), F.length(body))))
-    joined = docs.join(found, docs[key].eqNullSafe(found["_key"]), "left")
-    return joined.select(*[F.when(F.col("_spans").isNull(), body).otherwise(done).alias(c) if c == text else docs[c] for c in docs.columns])
+    done = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), F.length(body))))
+    masked = F.when(F.col("spans").isNull(), F.col(f"row.`{text}`")).otherwise(done)
+    return _same(held, found, "left").select(*[masked.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
