@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, shared_folder
 
 FLAGS = 1 << 18
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The frame as a table in the shared folder: cuts the lineage like a checkpoint, in the space of compressed columns."""
+    folder = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def maybe_in(keys: DataFrame, column: str) -> Callable[[Column | str], Column]:
     """A bit set over hashes of the keys: a filter with false positives only, at most ``FLAGS`` bits however many keys there are."""
     seen = keys.select(F.pmod(F.xxhash64(column), F.lit(FLAGS)).cast("int").alias("f")).distinct()

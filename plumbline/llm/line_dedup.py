@@ -23,9 +23,8 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.graph import maybe_in
+from plumbline.llm.graph import maybe_in, stored
 from plumbline.llm.words import has_word, lines, texts
-from plumbline.session import cut_lineage
 
 BUCKET_BITS = 19
 BUCKETS = 1 << BUCKET_BITS
@@ -102,7 +101,7 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
         F.transform(F.slice("tokens", 1, n - _least(n, t) + 1), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
         F.aggregate("tokens", F.lit(0).cast("bigint"), lambda bits, k: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int")))).alias("bits"))
     same = heads.groupBy("m1", "m2").agg(F.min("line").alias("line"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits")])
-    kinds = cut_lineage(same.select("line", "n", "prefix", "bits"))
+    kinds = stored(same.select("line", "n", "prefix", "bits"))
 
     def could_share(n1: Column, bits1: Column, n2: Column, bits2: Column) -> Column:
         """The sets differ in at least one word for every bit that differs; that leaves room for the overlap they need."""
@@ -119,7 +118,7 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     def place(id_: str, line_no: str) -> Column:
         return F.struct(F.struct(F.col(id_).alias("id")).alias("doc_id"), F.col(line_no).alias("line_no"))
     beside = star.join(firsts, "two").where(other & close).select(place("first.id", "first.line_no").alias("x"), place("id", "line_no").alias("y")).distinct()
-    gone = cut_lineage(_confirmed(cut_lineage(beside), plain, t))
+    gone = stored(_confirmed(stored(beside), plain, t))
 
     posted = kinds.where("n > 3").join(gone.withColumn("gone", F.lit(True)), "line", "left")
     # lines that go already have a negative size, which no later line of a pair may have: nothing to filter on one side alone, so
@@ -132,7 +131,7 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
         (F.col("a.token") == F.col("b.token")) & (F.struct("a.id", "a.line_no") < F.struct("b.id", "b.line_no"))
         & (F.least(an, bn) >= _least(F.greatest(an, bn), t)) & (F.least(an - ai, bn - bi) >= _least(an + bn, t / (1 + t)))
         & could_share(an, F.col("a.bits"), bn, F.col("b.bits")))
-    pairs = cut_lineage(a.join(b, near).select(place("a.id", "a.line_no").alias("x"), place("b.id", "b.line_no").alias("y")).distinct())
+    pairs = stored(a.join(b, near).select(place("a.id", "a.line_no").alias("x"), place("b.id", "b.line_no").alias("y")).distinct())
     later = gone.union(_confirmed(pairs, plain, t))
     kept = kinds.select("line").join(later, "line", "left_anti")
     return kept.select(F.col("line.doc_id.id").alias("doc_id"), F.col("line.line_no").alias("line_no"))
