@@ -5,6 +5,9 @@ every pivot has an inverted file: the place that each vector of the block gives
 beyond the prefix counted as the prefix length, i.e. not posted. A query reads the files of its own prefix pivots,
 ranks the block by the footrule distance of the prefixes, and reranks the best share of it by the exact inner product.
 
+Equal vectors are indexed once, with their k + 1 smallest ids and how often each occurs: no query can return more of
+them, however many copies there are. They become rows again after the rerank.
+
 Inner products are turned into nearness by the usual extra coordinate that makes all vectors equally long.
 """
 
@@ -17,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.graph import stored
+
 PIVOTS = 256
-SAMPLE = 4_096  # vectors from which the pivots are taken
-BLOCK = 8_192
+BLOCK = 8_192  # distinct vectors
 CHUNK = 1_024  # queries searched together
 SHARE = 0.12  # part of a block that is reranked
 LEAST = 256  # vectors of a block that are reranked at least
@@ -52,6 +56,17 @@ def places(x: np.ndarray, pivots: np.ndarray, prefix: int, longest: float | None
     return np.minimum(place, prefix).astype(np.int16).T.copy()
 
 
+def _kinds(base: DataFrame, k: int, width: int) -> DataFrame:
+    """Every distinct vector ``v``, filled up with zeros, with ``ids``: its k + 1 smallest ids in order, each with its rows ``c`` up to k.
+
+    A query leaves out one id at most, so what stays is enough for k rows.
+    """
+    filled = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v")))
+    counted = base.select("id", filled.alias("v")).groupBy("v", "id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("c"))
+    first = counted.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("place") <= k + 1)
+    return first.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("id", "c"))).alias("ids"))
+
+
 def search(base: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", share: float = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found per query, ties to the smaller id.
 
@@ -63,26 +78,28 @@ def search(base: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
         return df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     base, queries = rows(base), rows(queries)
     kind = base.schema["id"].dataType.simpleString()
-    shape = base.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest")).first()
+    shape = base.agg(F.max(F.size("v")).alias("width"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest")).first()
     asked = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
     out = f"query_id {kind}, rank int, vec_id {kind}, score double"
-    if not shape["n"] or not asked["n"]:
+    if not shape["width"] or not asked["n"]:
         return base.sparkSession.createDataFrame([], out)
     width, longest = max(shape["width"], asked["width"]), shape["longest"]
-    seen = base.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(SAMPLE).collect()
-    drawn = list({tuple(r["v"]): None for r in seen})[:PIVOTS]
+    kinds = stored(_kinds(base, k, width))
+    drawn = kinds.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(PIVOTS).collect()
     pivots = np.zeros((len(drawn), width + 1))
-    for i, v in enumerate(drawn):
-        pivots[i, :len(v)] = v
+    for i, r in enumerate(drawn):
+        pivots[i, :width] = r["v"]
     pivots[:, -1] = np.sqrt(np.maximum(longest ** 2 - (pivots * pivots).sum(axis=1), 0))
     prefix = max(1, len(pivots) // 2)
-    blocks, chunks = -(-shape["n"] // BLOCK), -(-asked["n"] // CHUNK)
+    blocks, chunks = -(-kinds.count() // BLOCK), -(-asked["n"] // CHUNK)
 
     def index(group: pa.Table) -> pa.Table:
         x = _matrix(group.column("v").combine_chunks(), width)
         files = places(x, pivots, prefix, longest)
-        ids = group.column("id").combine_chunks()
-        return pa.table({"block": group.column("block").slice(0, 1), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+        lists = group.column("ids").combine_chunks()
+        sizes, flat = np.diff(lists.offsets.to_numpy()).astype(np.int32), lists.flatten()
+        return pa.table({"block": group.column("block").slice(0, 1), "ids": pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat.field("id")),
+                         "times": pa.array([flat.field("c").to_numpy().astype(np.int32).tobytes()], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary()),
                          "vectors": pa.array([x.tobytes()], pa.binary()), "files": pa.array([files.tobytes()], pa.binary())})
 
     def chunk(group: pa.Table) -> pa.Table:
@@ -96,9 +113,11 @@ def search(base: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
                 q = np.frombuffer(batch.column("q_vectors")[r].as_py()).reshape(-1, width)
                 x = np.frombuffer(batch.column("vectors")[r].as_py()).reshape(-1, width)
                 files = np.frombuffer(batch.column("files")[r].as_py(), np.int16).reshape(len(pivots), -1)
-                take = min(len(x), max(LEAST, int(np.ceil(share * len(x)))))
+                times, sizes = (np.frombuffer(batch.column(c)[r].as_py(), np.int32) for c in ("times", "sizes"))
+                ends = np.cumsum(sizes)
                 view = places(q, pivots, prefix, None)
                 names = np.array(ids.to_pylist(), dtype=object) if not pa.types.is_integer(ids.type) else ids.to_numpy()
+                single, first = sizes == 1, names[ends - sizes]
                 found = ([], [], [])
                 far, one = np.empty(len(x), np.int32), np.empty(len(x), np.int16)
                 for i, who in enumerate(own.to_pylist()):
@@ -107,23 +126,31 @@ def search(base: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
                     for p in np.flatnonzero(view[:, i] < prefix):
                         np.maximum(files[p], view[p, i], out=one)
                         far += one
-                    best = np.argpartition(far, take - 1)[:take]
-                    best = best[names[best] != who]
+                    rest = np.flatnonzero(~(single & (first == who)))  # vectors that not only the query's own id has
+                    take = min(len(rest), max(LEAST, k + 1, int(np.ceil(share * len(x)))))
+                    if not take:
+                        continue
+                    near = far[rest]
+                    best = rest[near <= np.partition(near, take - 1)[take - 1]]
                     score = (x[best] * q[i]).sum(axis=1)
                     if len(best) > k:
-                        edge = np.partition(score, len(score) - k)[len(score) - k]
-                        on = np.flatnonzero(score >= edge)
+                        on = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
                         best, score = best[on], score[on]
-                    order = np.lexsort((names[best], -score))[:k]
+                    at = np.concatenate([np.arange(ends[b] - sizes[b], ends[b]) for b in best])
+                    score = np.repeat(score, sizes[best])
+                    other = names[at] != who
+                    at, score = at[other], score[other]
+                    at, score = np.repeat(at, times[at]), np.repeat(score, times[at])
+                    order = np.lexsort((names[at], -score))[:k]
                     found[0].extend([i] * len(order))
-                    found[1].extend(best[order].tolist())
+                    found[1].extend(at[order].tolist())
                     found[2].extend(score[order].tolist())
                 yield pa.RecordBatch.from_arrays([own.take(pa.array(found[0], pa.int64())), ids.take(pa.array(found[1], pa.int64())), pa.array(found[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    built = base.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(
-        index, f"block int, ids array<{kind}>, vectors binary, files binary")
+    built = kinds.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(
+        index, f"block int, ids array<{kind}>, times binary, sizes binary, vectors binary, files binary")
     asking = queries.withColumn("chunk", F.pmod(F.xxhash64("id", "v"), F.lit(chunks)).cast("int")).groupBy("chunk").applyInArrow(chunk, f"q_ids array<{kind}>, q_vectors binary")
     met = asking.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "q_ids", "q_vectors").join(built, "block")
-    near = met.select("q_ids", "q_vectors", "ids", "vectors", "files").mapInArrow(find, f"query_id {kind}, vec_id {kind}, score double")
+    near = met.select("q_ids", "q_vectors", "ids", "times", "sizes", "vectors", "files").mapInArrow(find, f"query_id {kind}, vec_id {kind}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
