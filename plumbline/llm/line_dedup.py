@@ -4,7 +4,7 @@ A line is the set of its lower-cased words. Lines with equal sets collapse first
 a third of all documents is one row. Two sets with Jaccard similarity of at least ``threshold`` share a word among
 their rarest ones (prefix filter), so only the prefixes are joined, with length and positional filters inside
 the join, and a bit per word hash that bounds how much two sets can share; the surviving pairs are verified on the full sets. A line goes when an earlier line, by document and
-line number, is as similar as that.
+line number, is as similar as that. Each distinct text under an id is a document of its own, named by the id and a hash of the text.
 
 Families of many similar lines would make the join emit all their pairs, though one earlier match is enough for a
 line to go. So every line is first compared with the earliest line that shares two neighbours among its three rarest words; lines
@@ -66,6 +66,11 @@ def _ordered(hashes: Column, steps: Column) -> Column:
     return F.sort_array(F.transform(hashes, key))
 
 
+def _document(id_: Column, mark: Column) -> Column:
+    """Name of a document; as parts of a struct, null ids are equal and come first."""
+    return F.struct(id_.alias("id"), mark.alias("mark"))
+
+
 def _least(n: Column, t: Fraction) -> Column:
     """ceil(t * n) in whole numbers."""
     return F.floor((n * t.numerator + (t.denominator - 1)) / F.lit(t.denominator)).cast("int")
@@ -85,13 +90,14 @@ def _confirmed(pairs: DataFrame, plain: DataFrame, t: Fraction) -> DataFrame:
 
 
 def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: str = "0.8") -> DataFrame:
-    """(doc_id, line_no) of every line with a word that no earlier line resembles; numbers start at 0.
+    """(doc_id, mark, line_no) of every line with a word that no earlier line resembles; numbers start at 0.
 
-    Rows without a key count as one document that comes first. Rows that share a key are one document too: a line
-    number that stays in one of them stays in all. A null or empty text has no lines; further columns are not read.
+    ``mark`` is the hash of the row's text. Rows without a key come first. Different texts that share a key, or have none, are
+    documents of their own, in the order of their marks; rows that repeat key and text are one. A null or empty text has no
+    lines; further columns are not read.
     """
     t = Fraction(threshold)
-    plain = texts(docs, key, text).select(F.struct(F.col("doc_id").alias("id")).alias("doc_id"), _plain(F.col("text")).alias("text"))
+    plain = texts(docs, key, text).select(_document(F.col("doc_id"), F.xxhash64("text")).alias("doc_id"), _plain(F.col("text")).alias("text"))
     steps = rarity(plain)
     each = plain.select("doc_id", F.posexplode(lines(F.col("text"))).alias("line_no", "body")).where(has_word(F.col("body")))
     sets = each.select("doc_id", "line_no", _ordered(_hashes(F.col("body")), steps).alias("tokens"))
@@ -109,40 +115,40 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
 
     p = F.col("prefix")
     twos = F.array(*[F.xxhash64(F.get(p, F.lit(i)), F.get(p, F.lit(j))) for i, j in ((0, 1), (1, 2))])
-    star = kinds.where("n > 3").select(F.col("line.doc_id.id").alias("id"), F.col("line.line_no").alias("line_no"), "n", "bits", F.explode(F.array_distinct(F.when(F.size(p) < 2, F.array(F.xxhash64(F.get(p, F.lit(0))))).when(F.size(p) < 3, F.slice(twos, 1, 1)).otherwise(twos))).alias("two"))
-    firsts = star.groupBy("two").agg(F.min(F.struct("id", "line_no", "n", "bits")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("two", "first")
+    star = kinds.where("n > 3").select(F.col("line.doc_id.id").alias("id"), F.col("line.doc_id.mark").alias("mark"), F.col("line.line_no").alias("line_no"), "n", "bits", F.explode(F.array_distinct(F.when(F.size(p) < 2, F.array(F.xxhash64(F.get(p, F.lit(0))))).when(F.size(p) < 3, F.slice(twos, 1, 1)).otherwise(twos))).alias("two"))
+    firsts = star.groupBy("two").agg(F.min(F.struct("id", "mark", "line_no", "n", "bits")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("two", "first")
     close = F.col("first.n") * t.denominator >= F.col("n") * t.numerator
     close &= F.col("n") * t.denominator >= F.col("first.n") * t.numerator
     close &= could_share(F.col("n"), F.col("bits"), F.col("first.n"), F.col("first.bits"))
-    other = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line_no") == F.col("first.line_no")))
-    def place(id_: str, line_no: str) -> Column:
-        return F.struct(F.struct(F.col(id_).alias("id")).alias("doc_id"), F.col(line_no).alias("line_no"))
-    beside = star.join(firsts, "two").where(other & close).select(place("first.id", "first.line_no").alias("x"), place("id", "line_no").alias("y")).distinct()
+    other = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")) & (F.col("line_no") == F.col("first.line_no")))
+    def place(of: str = "") -> Column:
+        return F.struct(_document(F.col(f"{of}id"), F.col(f"{of}mark")).alias("doc_id"), F.col(f"{of}line_no").alias("line_no"))
+    beside = star.join(firsts, "two").where(other & close).select(place("first.").alias("x"), place().alias("y")).distinct()
     gone = stored(_confirmed(stored(beside), plain, t))
 
     posted = kinds.where("n > 3").join(gone.withColumn("gone", F.lit(True)), "line", "left")
     # lines that go already have a negative size, which no later line of a pair may have: nothing to filter on one side alone, so
     # both sides of the join read one and the same shuffle
-    posted = posted.select(F.posexplode("prefix").alias("at", "token"), F.col("line.doc_id.id").alias("id"), F.col("line.line_no").alias("line_no"),
+    posted = posted.select(F.posexplode("prefix").alias("at", "token"), F.col("line.doc_id.id").alias("id"), F.col("line.doc_id.mark").alias("mark"), F.col("line.line_no").alias("line_no"),
                            F.when(F.col("gone"), -F.col("n")).otherwise(F.col("n")).alias("n"), "bits")
     a, b = posted.alias("a"), posted.alias("b")
     an, bn, ai, bi = F.abs("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at")
     near = (
-        (F.col("a.token") == F.col("b.token")) & (F.struct("a.id", "a.line_no") < F.struct("b.id", "b.line_no"))
+        (F.col("a.token") == F.col("b.token")) & (F.struct("a.id", "a.mark", "a.line_no") < F.struct("b.id", "b.mark", "b.line_no"))
         & (F.least(an, bn) >= _least(F.greatest(an, bn), t)) & (F.least(an - ai, bn - bi) >= _least(an + bn, t / (1 + t)))
         & could_share(an, F.col("a.bits"), bn, F.col("b.bits")))
-    pairs = stored(a.join(b, near).select(place("a.id", "a.line_no").alias("x"), place("b.id", "b.line_no").alias("y")).distinct())
+    pairs = stored(a.join(b, near).select(place("a.").alias("x"), place("b.").alias("y")).distinct())
     later = gone.union(_confirmed(pairs, plain, t))
     kept = kinds.select("line").join(later, "line", "left_anti")
-    return kept.select(F.col("line.doc_id.id").alias("doc_id"), F.col("line.line_no").alias("line_no"))
+    return kept.select(F.col("line.doc_id.id").alias("doc_id"), F.col("line.doc_id.mark").alias("mark"), F.col("line.line_no").alias("line_no"))
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: str = "0.8") -> DataFrame:
     """Per row of ``docs``: lines with a word, how many go, and the numbers of those that stay, in order."""
-    kept = kept_lines(docs, key, text, threshold).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("kept_lines"))
-    kept = kept.withColumnRenamed("doc_id", "_key")
-    rows = texts(docs, key, text).select("doc_id", F.size(F.filter(lines(F.col("text")), has_word)).cast("bigint").alias("n_lines"))
-    joined = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_key"]), "left")
+    kept = kept_lines(docs, key, text, threshold).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line_no")).alias("kept_lines"))
+    kept = kept.withColumnsRenamed({"doc_id": "_key", "mark": "_mark"})
+    rows = texts(docs, key, text).select("doc_id", F.xxhash64("text").alias("mark"), F.size(F.filter(lines(F.col("text")), has_word)).cast("bigint").alias("n_lines"))
+    joined = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_key"]) & (rows["mark"] == kept["_mark"]), "left")
     stay = F.coalesce("kept_lines", F.array().cast("array<int>"))
     return joined.select("doc_id", "n_lines", F.greatest(F.col("n_lines") - F.size(stay), F.lit(0)).alias("n_removed"), stay.alias("kept_lines"))
 
@@ -152,9 +158,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: s
 
     Lines without a word stay where they are, other columns as they came. Documents without any word stay.
     """
-    kept = kept_lines(docs, key, text, threshold).groupBy("doc_id").agg(F.collect_set("line_no").alias("stay")).withColumnRenamed("doc_id", "other")
+    kept = kept_lines(docs, key, text, threshold).groupBy("doc_id", "mark").agg(F.collect_set("line_no").alias("stay")).withColumnRenamed("doc_id", "other")
     held = docs.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = held.join(kept, F.col("doc_id").eqNullSafe(F.col("other")), "left").where(F.col("stay").isNotNull() | ~has_word(F.col("body")))
+    joined = held.join(kept, F.col("doc_id").eqNullSafe(F.col("other")) & (F.xxhash64("body") == F.col("mark")), "left").where(F.col("stay").isNotNull() | ~has_word(F.col("body")))
     # every kept number sorts right before its line, which makes the lookup one sort of the document's own lines
     marks = F.transform("stay", lambda i: F.struct(i.alias("i"), F.lit(0).alias("of"), F.lit("").alias("line")))
     merged = F.sort_array(F.concat(marks, F.transform(lines(F.col("body")), lambda x, i: F.struct(i.alias("i"), F.lit(1).alias("of"), x.alias("line")))))
