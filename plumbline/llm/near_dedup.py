@@ -118,15 +118,15 @@ def _sketches(docs: DataFrame, rules: Rules) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, marks, registers = batch.column(0), [], [], []
-            for text in batch.column(1).to_pylist():
+            ids, held, sizes, marks, registers = batch.column(0), batch.column(1), [], [], []
+            for text in batch.column(2).to_pylist():
                 found = shingles(text, words)
                 sizes.append(len(found))
                 marks.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 registers.append(sketch(found).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(registers, pa.binary())], ["doc_id", "n_shingles", "mark", "registers"])
+            yield pa.RecordBatch.from_arrays([ids, held, pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(registers, pa.binary())], ["doc_id", "held", "n_shingles", "mark", "registers"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, mark binary, registers binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held bigint, n_shingles bigint, mark binary, registers binary")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -153,9 +153,15 @@ def _likely(pairs: DataFrame, nodes: DataFrame, rules: Rules) -> DataFrame:
     return sized.select("x", "y", "nx", "ny", "rx", "ry").mapInArrow(run, "x bigint, y bigint")
 
 
+def _name() -> Column:
+    """Name of a row's text; as parts of a struct, null ids are equal."""
+    return F.struct("doc_id", "held")
+
+
 def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rules: Rules) -> DataFrame:
     """Pairs (x, y) with the size of their intersection (``both``) and whether full sets link them.
 
+    The text of a node is that of one row, named by its id, which may be null, and the hash of its text.
     Partners of one x are split into groups of about ``FAN``; a task holds one x at a time.
     """
     words, percent = rules.words, rules.percent
@@ -163,8 +169,8 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rules: Rules)
     dealt = pairs.join(parts, "x").select("x", F.pmod(F.hash("y"), F.col("parts").cast("int")).alias("part"), "y")
     roles = dealt.select("x", "part", F.lit(1).alias("role"), F.col("y").alias("node")).union(
         dealt.select("x", "part").distinct().select("x", "part", F.lit(0).alias("role"), F.col("x").alias("node")))
-    named = cut_lineage(roles.join(nodes.select("node", F.col("doc_id").alias("key"), "mark"), "node"))
-    held = docs.where(maybe_in(named, "key")("doc_id")).select(F.col("doc_id").alias("key"), "text")
+    named = cut_lineage(roles.join(nodes.select("node", _name().alias("key"), "mark"), "node"))
+    held = docs.where(maybe_in(named, "key")(_name())).select(_name().alias("key"), "text").dropDuplicates(["key"])
     rows = named.join(held, "key").select("x", "part", "role", "node", "mark", "text").repartition("x", "part").sortWithinPartitions("x", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +180,7 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rules: Rules)
             for x, part, role, node, mark, text in zip(*(b.column(i).to_pylist() for i in range(6))):
                 found = shingles(text, words)
                 if hashlib.blake2b(found.tobytes(), digest_size=16).digest() != mark:
-                    continue  # another text under the same id
+                    continue  # another text with the same hash under the same id
                 if role == 0:
                     at, own = (x, part), found
                 elif at == (x, part):
@@ -250,10 +256,12 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Rule
     same result each. Further columns of ``docs`` are not read.
     """
     docs = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("held"), "text")
     rows = cut_lineage(_sketches(docs, rules))
     full = rows.where("mark is not null")
-    sets = full.groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
-    nodes = cut_lineage(sets.select(F.monotonically_increasing_id().alias("node"), "mark", "doc_id", "n", "registers"))
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "held")).alias("row")
+    sets = full.groupBy("mark").agg(row, F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+    nodes = cut_lineage(sets.select(F.monotonically_increasing_id().alias("node"), "mark", "row.doc_id", "row.held", "n", "registers"))
     bands = _bands(nodes)
     buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = cut_lineage(bands.join(buckets, "key"))
