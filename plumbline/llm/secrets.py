@@ -101,32 +101,32 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
 
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The inverted index: (trigram, doc_id) for the trigrams that rules ask for, over whole texts."""
-    low = docs.select("doc_id", F.lower("text").alias("low"))
+    """The inverted index: (trigram, doc_id, mark) for the trigrams that rules ask for, over whole texts."""
+    low = docs.select("doc_id", "mark", F.lower("text").alias("low"))
     present = F.filter(F.lit(trigrams), lambda t: F.contains(F.col("low"), t))
-    return low.select("doc_id", F.explode(present).alias("trigram"))
+    return low.select("doc_id", "mark", F.explode(present).alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(doc_id, kind) of every document whose postings satisfy a rule's query; rules here have trigrams."""
+    """(doc_id, mark, kind) of every document whose postings satisfy a rule's query; rules here have trigrams."""
     asked = [(r.kind, i, t, len(alternative)) for r in rules for i, alternative in enumerate(trigram_query(r.pattern)) for t in sorted(alternative)]
     clauses = docs.sparkSession.createDataFrame(asked, "kind string, clause int, trigram string, needed int")
     index = postings(docs, sorted({a[2] for a in asked}))
-    met = index.join(F.broadcast(clauses), "trigram").groupBy("doc_id", "kind", "clause").agg(
+    met = index.join(F.broadcast(clauses), "trigram").groupBy("doc_id", "mark", "kind", "clause").agg(
         F.count_distinct("trigram").alias("met"), F.first("needed").alias("needed"))
-    return met.where("met = needed").select("doc_id", "kind").distinct()
+    return met.where("met = needed").select("doc_id", "mark", "kind").distinct()
 
 
 def _same(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """Join on ``doc_id``; a null key equals a null key."""
-    other = right.withColumnRenamed("doc_id", "_other")
-    return left.join(other, left["doc_id"].eqNullSafe(other["_other"]), how).drop("_other")
+    """Join on ``doc_id`` and ``mark``, the hash of the text; a null key equals a null key."""
+    other = right.withColumnsRenamed({"doc_id": "_other", "mark": "_mark"})
+    return left.join(other, left["doc_id"].eqNullSafe(other["_other"]) & (left["mark"] == other["_mark"]), how).drop("_other", "_mark")
 
 
 def _matches(rows: DataFrame, rule: Rule) -> DataFrame:
     """One row per match: its number, its length, its tested length and the text length before it."""
     found = rows.where(F.col("text").rlike(rule.pattern)).select(
-        "doc_id", F.xxhash64("text").alias("mark"), F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0)).alias("hits"),
+        "doc_id", "mark", F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0)).alias("hits"),
         F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(rule.group)).alias("tested"), F.split("text", rule.pattern).alias("gaps"))
     each = F.transform("hits", lambda h, i: F.struct(
         i.alias("i"), F.length(h).alias("size"), F.length(F.get("tested", i)).alias("tested"), F.length(F.get("gaps", i)).alias("gap")))
@@ -134,17 +134,17 @@ def _matches(rows: DataFrame, rule: Rule) -> DataFrame:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, kind, start, end) of every secret, leftmost and non-overlapping per kind, in code points, end exclusive.
+    """(doc_id, mark, kind, start, end) of every secret, leftmost and non-overlapping per kind, in code points, end exclusive.
 
-    Null and empty texts hold nothing; a null key is a key like any other. A repeated row is reported once,
+    ``mark`` is the hash of the row's text, so different texts under one key, or without a key, keep their own spans. Null and empty texts hold nothing; a null key is a key like any other. A repeated row is reported once,
     equal texts under different keys are all reported. Further columns of ``docs`` are not read.
     """
-    docs = texts(docs, key, text)
+    docs = texts(docs, key, text).withColumn("mark", F.xxhash64("text"))
     plain = [r for r in rules if trigram_query(r.pattern) is None]
     indexed = tuple(r for r in rules if r not in plain)
     found = [_matches(docs, r) for r in plain]
     if indexed:
-        maybe = candidates(docs, indexed).groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
+        maybe = candidates(docs, indexed).groupBy("doc_id", "mark").agg(F.collect_set("kind").alias("kinds"))
         verify = _same(docs, maybe)
         found += [_matches(verify.where(F.array_contains("kinds", r.kind)), r) for r in indexed]
     every = found[0]
@@ -153,23 +153,24 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[
     upto = Window.partitionBy("doc_id", "mark", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     least = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.least)])
     end = F.sum(F.col("gap") + F.col("size")).over(upto)
-    placed = every.distinct().select("doc_id", "kind", "tested", (end - F.col("size")).alias("start"), end.alias("end"))
-    return placed.where(F.col("tested") >= least[F.col("kind")]).select("doc_id", "kind", "start", "end").distinct()
+    placed = every.distinct().select("doc_id", "mark", "kind", "tested", (end - F.col("size")).alias("start"), end.alias("end"))
+    return placed.where(F.col("tested") >= least[F.col("kind")]).select("doc_id", "mark", "kind", "start", "end")
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per row of ``docs``: its spans in order, as ``spans`` array<struct<start, rank, end, kind>> (empty for none)."""
     rank = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
-    found = scan(docs, key, text, rules).groupBy("doc_id").agg(F.sort_array(F.collect_list(
+    found = scan(docs, key, text, rules).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(
         F.struct("start", rank[F.col("kind")].alias("rank"), "end", "kind"))).alias("spans"))
     empty = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
-    return _same(docs.select(F.col(f"`{key}`").alias("doc_id")), found, "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))
+    return _same(texts(docs, key, text).select("doc_id", F.xxhash64("text").alias("mark")), found, "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))
 
 
 def mask(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every span replaced by ``[kind]``; overlapping spans become one mark. Other columns stay."""
-    found = scan(docs, key, text, rules).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("spans"))
-    held = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("body"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = scan(docs, key, text, rules).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("spans"))
+    string = F.col(f"`{text}`").cast("string")
+    held = docs.select(F.col(f"`{key}`").alias("doc_id"), F.xxhash64(F.coalesce(string, F.lit(""))).alias("mark"), string.alias("body"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     body, start = F.col("body"), F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     def step(acc: Column, x: Column) -> Column:
         gap = F.substring(body, (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
