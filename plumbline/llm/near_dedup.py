@@ -10,9 +10,9 @@ Documents with equal sets are one node from the start. In a bucket all members a
 the one that shares most bands; only buckets whose members are still in different components afterwards are compared among themselves, in tiles
 of a fixed number of sketches, and again only what the likelihood lets through is confirmed.
 
-Chance of missing a pair at exactly 0.8: no common band (1 - 0.8^6)^48 < 1e-6, estimate four and a half standard
-deviations low 3e-6 (pairs with a pivot), three and a half 3e-4 (pairs inside a family whose pivot did not link them);
-it falls fast above, and a missed pair matters only where no other path links the two.
+Chance of missing a pair at exactly 0.8: no common band (1 - 0.8^6)^48 < 1e-6, estimate six standard
+deviations low 1e-9, for pairs with a pivot as inside families; it falls fast above, and a missed pair matters only
+where no other path links the two.
 """
 
 from __future__ import annotations
@@ -32,8 +32,7 @@ from plumbline.session import cut_lineage
 BASE, RATE = 1.1, 20.0
 BAND, BANDS = 6, 48
 REGISTERS = BAND * BANDS
-DEVIATIONS = 4.5  # what a pair may be estimated below the threshold
-WITHIN = 3.5  # the same inside families that their pivot did not bring together
+DEVIATIONS = 6  # what a pair may be estimated below the threshold
 TILE = 1024
 FAN = 256
 WORDS = 300_000  # cached word hashes of a worker
@@ -108,9 +107,9 @@ def estimate(above: np.ndarray, below: np.ndarray, nx: np.ndarray, ny: np.ndarra
     return best
 
 
-def _floor(percent: int, deviations: float = DEVIATIONS) -> float:
+def _floor(percent: int) -> float:
     t = percent / 100
-    return t - deviations * float(np.sqrt(t * (1 - t) / REGISTERS))
+    return t - DEVIATIONS * float(np.sqrt(t * (1 - t) / REGISTERS))
 
 
 def _sketches(docs: DataFrame, rules: Rules) -> DataFrame:
@@ -205,7 +204,7 @@ def _across(members: DataFrame, nodes: DataFrame, rules: Rules) -> DataFrame:
     than the smaller of their parts inside the pivot and the smaller of those outside. A pair is told in the first of its
     common bands only.
     """
-    floor, percent = _floor(rules.percent, WITHIN), rules.percent
+    floor, percent = _floor(rules.percent), rules.percent
     inside = (F.col("component") == F.col("home")).cast("int")
     sized = members.groupBy("key").agg(F.sum(inside).alias("n_in"), F.sum(1 - inside).alias("n_out"))
     blocks = [F.greatest(F.ceil(F.col(c) / F.lit(TILE)), F.lit(1)).cast("int") for c in ("n_in", "n_out")]
