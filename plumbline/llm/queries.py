@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, bpe, chat, line_dedup, near_dedup, packing, quality, revisit, secrets, token_files
+from plumbline.llm import ann, bpe, chat, hard_negatives, line_dedup, near_dedup, packing, quality, quality_fm, revisit, secrets, token_files, vector_codes
 from plumbline.llm.tokens import vocabulary
 from plumbline.session import shared_folder
 
@@ -136,3 +136,64 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     return chat.digests(chat.read_turns(chat.format_turns(turns)))
+
+
+@query("op11_quality_classifier")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of all documents by a machine fitted on labels outside the held-out fold; the only metadata is the stated length."""
+    docs = table(spark, sf, "documents")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    machine = quality_fm.train(docs, table(spark, sf, "labels").where(fold != 1), ["n_chars"])
+    held_out = F.coalesce(fold == 1, F.lit(False)).alias("held_out")
+    return quality_fm.score(docs, machine).select("doc_id", held_out, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def _op12_sql(s: vector_codes.Settings = vector_codes.Settings()) -> str:
+    """Rounds of integer k-means one after another, every part against every entry."""
+    steps = [f"""
+w AS (SELECT CAST(ceil(max(len(embedding)) / {s.parts}.0) AS BIGINT) AS size FROM embeddings WHERE embedding IS NOT NULL),
+kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+    list_resize(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {s.scale}) AS BIGINT)), (SELECT size * {s.parts} FROM w), CAST(0 AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (SELECT r, p, v[p * size + 1:(p + 1) * size] AS x FROM kept, w, (SELECT unnest(range({s.parts})) AS p)),
+book0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM part WHERE r <= {s.entries})"""]
+    near = "list_sum(list_transform(list_zip(x, c), lambda z: CAST((z[1] - z[2]) * (z[1] - z[2]) AS BIGINT)))"
+    for i in range(s.rounds + 1):
+        steps.append(f"""
+took{i} AS MATERIALIZED (SELECT r, p, x, arg_min(e, (d, e)) AS e, CAST(min(d) AS BIGINT) AS d FROM (SELECT r, part.p, x, e, {near} AS d FROM part JOIN book{i} USING (p)) GROUP BY r, p, x)""")
+        if i < s.rounds:
+            steps.append(f"""
+mean{i} AS MATERIALIZED (SELECT p, e, list((t - ((t % n) + n) % n) // n ORDER BY pos) AS c FROM (SELECT p, e, pos, CAST(sum(y) AS BIGINT) AS t, count(*) AS n
+    FROM (SELECT p, e, unnest(x) AS y, unnest(range(len(x))) AS pos FROM took{i}) GROUP BY p, e, pos) GROUP BY p, e),
+book{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{i} b LEFT JOIN mean{i} m USING (p, e))""")
+    return "WITH" + ",".join(steps) + f""",
+codes AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM took{s.rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{s.rounds}) AS codebooks_sha256 FROM kept JOIN codes USING (r)"""
+
+
+@query("op12_vector_codes", _op12_sql())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf, "embeddings"))
+    return vector_codes.label_errors(codes).select(
+        F.col("id").alias("vec_id"), F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+OP13_SQL = """
+WITH v AS MATERIALIZED (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, o.vec_id, a.label = o.label AS same, CAST(list_sum(list_transform(list_zip(a.x, o.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v o ON a.vec_id % 100 = 0 AND a.vec_id <> o.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+  WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(row_number() OVER k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n
+WINDOW k AS (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) QUALIFY row_number() OVER k <= 5"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.col("label").cast("bigint")
+    vectors = table(spark, sf, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
