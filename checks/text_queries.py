@@ -1,11 +1,15 @@
 """Text jobs over whole documents, conversations and pages."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.base import query, rounded, table
 from plumbline.functions import fixed_values as fixed
 from plumbline.functions import scalars as sc
+from plumbline.operators import search_index
 from plumbline.operators import text as t
+from plumbline.session import shared_folder
 from plumbline.sources.evidence import parse_events, read_texts
 
 TERMS = {"that": "[w1]", "hein": "[w2]", "of the": "[w3]", "the": "[w4]", "la": "[w5]"}
@@ -180,6 +184,40 @@ def snippet(spark, sf):
     return t.snippet(_docs(spark, sf), ["doc_id"], "text", SNIP_TERMS)
 
 
+TOPIC = "CASE item_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'ga4' WHEN 2 THEN 'dbt' ELSE 'attribution' END"
+
+
+@query("search_hits", f"""WITH {ART}, b AS (SELECT item_id AS query_id, {TOPIC} AS topic, {_tokens_sql('text')} AS k FROM benchmark), q AS (SELECT DISTINCT query_id, topic, UNNEST(k) AS term FROM b),
+f AS (SELECT path, 3.0::DOUBLE AS w, {_tokens_sql('title')} AS k FROM art UNION ALL SELECT path, 2.0, {_tokens_sql("'about ' || lang")} FROM art
+  UNION ALL SELECT path, 3.0, {_tokens_sql("topic || ' attribution ' || lang || ' ' || source")} FROM art UNION ALL SELECT path, 1.0, {_tokens_sql('body')} FROM art),
+e AS (SELECT path, w, len(k) AS len, UNNEST(k) AS term FROM f), h AS (SELECT path, w, len, term, COUNT(*) AS tf FROM e GROUP BY ALL),
+m AS (SELECT query_id, q.topic, term, path, w, len, tf FROM q JOIN h USING (term) JOIN art USING (path) WHERE q.topic IS NULL OR q.topic = 'attribution' OR q.topic = art.topic),
+d AS (SELECT query_id, term, ln((CAST(any_value(n) AS DOUBLE) + 1) / (1 + COUNT(DISTINCT path))) + 1 AS idf
+  FROM m JOIN (SELECT query_id AS qid, (SELECT COUNT(*) FROM art WHERE b.topic IS NULL OR b.topic = 'attribution' OR b.topic = art.topic) AS n FROM b) ON query_id = qid GROUP BY 1, 2),
+s AS (SELECT query_id, path, ROUND(SUM(w * idf * (1 + ln(tf)) / sqrt(len)), 4) AS score FROM m JOIN d USING (query_id, term) GROUP BY 1, 2),
+t AS (SELECT query_id, path, score, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM s QUALIFY rank <= 5),
+w AS (SELECT query_id, path, string_split(trim(regexp_replace(body, '[\\s\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{3000}}]+', ' ', 'g')), ' ') AS ws FROM t JOIN art USING (path)),
+u AS (SELECT query_id, path, UNNEST(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM w), x AS (SELECT *, regexp_replace(lower(word), '[^a-z0-9]', '', 'g') AS bare FROM u),
+y AS (SELECT *, CASE WHEN bare LIKE '%ss' THEN bare WHEN bare LIKE '%ing' AND len(bare) >= 6 THEN bare[:-4] WHEN bare LIKE '%ed' AND len(bare) >= 5 THEN bare[:-3] WHEN bare LIKE '%es' AND len(bare) >= 5 THEN bare[:-3]
+  WHEN bare LIKE '%s' AND len(bare) >= 4 THEN bare[:-2] ELSE bare END AS stem FROM x),
+z AS (SELECT y.query_id, path, i, word, CASE WHEN q.term IS NULL THEN 0 ELSE 1 END AS hit FROM y LEFT JOIN q ON q.query_id = y.query_id AND q.term = y.stem),
+p AS (SELECT *, SUM(len(word) + 1) OVER (PARTITION BY query_id, path ORDER BY i) AS stop, SUM(hit) OVER (PARTITION BY query_id, path ORDER BY i) AS hs FROM z),
+c AS (SELECT a.query_id, a.path, a.i, COALESCE(COUNT(o.i), 0) AS n, COALESCE(MAX(o.hs), a.hs - a.hit) - (a.hs - a.hit) AS hits FROM p a LEFT JOIN p o ON a.query_id = o.query_id AND a.path = o.path AND o.i >= a.i AND o.i < a.i + 101
+  AND o.stop <= a.stop - len(a.word) - 1 + 200 GROUP BY a.query_id, a.path, a.i, a.hs, a.hit),
+g AS (SELECT * FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY query_id, path ORDER BY hits DESC, i) = 1)
+SELECT query_id, rank, path, title, date, topic || ';attribution' AS topics, score,
+  CASE WHEN i > 0 THEN '… ' ELSE '' END || array_to_string(ws[i + 1 : i + n], ' ') || CASE WHEN i + n < len(ws) THEN ' …' ELSE '' END AS snippet
+FROM t JOIN art USING (path) JOIN g USING (query_id, path) JOIN w USING (query_id, path)""")
+def search_hits(spark, sf):
+    """Every benchmark text is a query, a quarter of them over all articles and the others within a topic."""
+    folder = f"{shared_folder(spark)}/search-index-{uuid.uuid4().hex}"
+    search_index.build(t.front_matter(_articles(spark, sf), "text"), folder)
+    k = F.col("item_id") % 4
+    topic = F.when(k == 1, "ga4").when(k == 2, "dbt").when(k == 3, "attribution")
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), topic.alias("topic"), F.col("text").alias("query"))
+    return rounded(search_index.search(spark, folder, queries))
+
+
 def _log(spark, sf):
     """Conversations as event lines; every tenth turn is a broken line."""
     c = table(spark, sf, "conversations")

@@ -138,9 +138,14 @@ def _words(df: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
     return raw.where((F.length("term") > 2) & ~F.col("term").isin(*fixed.STOPWORDS)).withColumn("term", stem(F.col("term")))
 
 
+def counted_words(df: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
+    """(keys…, term, tf): how often each kept token occurs per key."""
+    return _words(df, keys, text).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def keywords(df: DataFrame, key: Sequence[str], text: str, n: int = 20) -> DataFrame:
     """Distinctive terms per document: term frequency with a mild boost for longer terms."""
-    counts = _words(df, key, F.col(text)).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = counted_words(df, key, F.col(text))
     score = F.col("tf") * (1 + F.ln(F.length("term").cast("double")))
     order = Window.partitionBy(*key).orderBy(score.desc(), "term")
     return counts.withColumns({"score": score, "rank": F.row_number().over(order)}).where(F.col("rank") <= n)
@@ -181,17 +186,19 @@ def tfidf_search(docs: DataFrame, query: str, topic: str | None = None, k: int =
     return scored.orderBy(F.desc("score"), "path").limit(k)
 
 
-def snippet(df: DataFrame, key: Sequence[str], text: str, terms: Sequence[str], width: int = 200) -> DataFrame:
+def snippet(df: DataFrame, key: Sequence[str], text: str, terms: Sequence[str] | Column, width: int = 200) -> DataFrame:
     """The window of at most ``width`` characters that carries the most query terms; the first one wins.
 
-    Words get their character offset; a range frame over the offsets gives each start its window.
+    ``terms`` are fixed, or an array column with the terms of each row. Words get their character offset; a range frame
+    over the offsets gives each start its window.
     Meant for the few documents of a result list.
     """
     body = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+", " "))
     words = F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, " "))
-    rows = df.select(*key, F.posexplode(F.concat(words, F.array(F.lit(None).cast("string")))).alias("at", "word"))
+    wanted = terms if isinstance(terms, Column) else F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+    rows = df.select(*key, wanted.alias("_terms"), F.posexplode(F.concat(words, F.array(F.lit(None).cast("string")))).alias("at", "word"))
     bare = stem(F.regexp_replace(F.lower("word"), "[^a-z0-9]", ""))
-    hit = F.coalesce(F.array_contains(F.array(*[F.lit(t) for t in terms]), bare), F.lit(False)).cast("int") if terms else F.lit(0)
+    hit = F.coalesce(F.array_contains("_terms", bare), F.lit(False)).cast("int")
     inside = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("hit", hit).withColumns({
         "start": F.coalesce(F.sum(F.length("word") + 1).over(inside), F.lit(0).cast("bigint")), "hits_before": F.coalesce(F.sum("hit").over(inside), F.lit(0).cast("bigint"))})
