@@ -80,10 +80,7 @@ PART = """pt AS (SELECT p_partkey AS k, p_size % 8 AS s, p_size AS size, 'M' ||
 md AS (SELECT DISTINCT model FROM pt),
 edge AS (SELECT a.model, a.k, a.name, b.k AS to_k, b.name AS called FROM pt a JOIN pt b ON a.model = b.model AND b.k = a.k - 1 WHERE a.s IN (2, 3, 6) AND b.s <> 5),
 direct AS (SELECT model, k, name, UNNEST(CASE s WHEN 1 THEN ['fact_sales', 'dim_date'] WHEN 3 THEN ['fact_sales'] WHEN 4 THEN ['fact_sales'] WHEN 5 THEN ['dim_customer'] WHEN 6 THEN ['fact_sales'] WHEN 7 THEN ['dim_customer'] ELSE [] END) AS tab FROM pt),
-l0 AS (SELECT model, name, k, name AS reached, k AS rk, 0 AS lvl FROM pt),
-l1 AS (SELECT l.model, l.name, l.k, e.called AS reached, e.to_k AS rk, 1 AS lvl FROM l0 l JOIN edge e ON e.k = l.rk), l2 AS (SELECT l.model, l.name, l.k, e.called, e.to_k AS rk, 2 AS lvl FROM l1 l JOIN edge e ON e.k = l.rk),
-l3 AS (SELECT l.model, l.name, l.k, e.called, e.to_k AS rk, 3 AS lvl FROM l2 l JOIN edge e ON e.k = l.rk), l4 AS (SELECT l.model, l.name, l.k, e.called, e.to_k AS rk, 4 AS lvl FROM l3 l JOIN edge e ON e.k = l.rk),
-reach AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3 UNION ALL SELECT * FROM l4),
+reach AS (WITH RECURSIVE step AS (SELECT model, name, k, name AS reached, k AS rk, 0 AS lvl FROM pt UNION ALL SELECT l.model, l.name, l.k, e.called, e.to_k, l.lvl + 1 FROM step l JOIN edge e ON e.k = l.rk) SELECT * FROM step),
 closure AS (SELECT r.model, r.name, d.tab, MIN(r.lvl) AS lvl FROM reach r JOIN direct d ON d.k = r.rk GROUP BY 1, 2, 3),
 bd AS (SELECT *, 'P' || (k % 3) AS page, 'V' || k AS visual, CASE k % 4 WHEN 0 THEN 'card' WHEN 1 THEN 'table' WHEN 2 THEN 'chart' ELSE 'text box' END AS type, CASE WHEN k % 5 = 0 THEN 'Ghost ' || k ELSE name END AS bound,
    CASE WHEN k % 6 = 0 THEN 'Updated on' ELSE 'Sales' END AS title FROM pt WHERE k % 9 <> 0)"""
@@ -175,6 +172,39 @@ def closest_name(spark, sf):
     return out.where("kind != 'measure'").select("model", "kind", "name", "closest").distinct()
 
 
+#: Longest common block of two texts, the earliest in the first and then in the second: length k, negated places i and j.
+BLOCK = """list_max(flatten(list_transform(range(1, len(a) + 1), lambda i: list_transform(range(1, len(b) + 1), lambda j:
+  {'k': len(list_filter(range(1, least(len(a) - i, len(b) - j) + 2), lambda n: a[i:i + n - 1] = b[j:j + n - 1])), 'i': -i, 'j': -j}))))"""
+#: Similarity of the texts x and y of ``pairs`` by longest matching blocks.
+RATIOS = f"""seg AS (SELECT x, y, x AS a, y AS b, CAST(0 AS BIGINT) AS k FROM pairs UNION ALL SELECT x, y, s.a, s.b, s.k FROM (
+  SELECT x, y, UNNEST([{{'a': a[:-m.i - 1], 'b': b[:-m.j - 1], 'k': m.k}}, {{'a': a[-m.i + m.k:], 'b': b[-m.j + m.k:], 'k': 0}}]) AS s FROM (SELECT x, y, a, b, {BLOCK} AS m FROM seg WHERE a <> '' AND b <> '') WHERE m.k > 0)),
+ratio AS (SELECT x, y, 2.0 * SUM(k) / (len(x) + len(y)) AS r FROM seg GROUP BY x, y)"""
+
+
+@query("closest_measure", f"""WITH RECURSIVE {PART}, asked AS (SELECT DISTINCT model, 'Measure ' || k AS name FROM pt WHERE k % 4 = 3 AND s = 5),
+pairs AS (SELECT DISTINCT lower(p.name) AS x, lower(a.name) AS y FROM asked a JOIN pt p USING (model)), {RATIOS}
+SELECT a.model, a.name, ARG_MAX(p.name, (r, x)) AS closest FROM asked a LEFT JOIN (pt p JOIN ratio ON x = lower(p.name) AND r >= 0.6) ON p.model = a.model AND y = lower(a.name) GROUP BY 1, 2""")
+def closest_measure(spark, sf):
+    """Unknown measures against all measures of their model, by longest matching blocks."""
+    out = m.check_references(_texts(spark, sf), _columns(spark, sf), _measures(spark, sf))
+    return out.where("kind = 'measure'").select("model", "name", "closest").distinct()
+
+
+@query("error_suggestions", f"""WITH RECURSIVE {PART}, told AS (SELECT model, CAST(k AS VARCHAR) AS error_id, UNNEST(['Measur ' || (k // 20) || CASE WHEN k % 2 = 0 THEN '7' ELSE '12' END, 'dim_custmer', 'amout']) AS name FROM pt),
+known AS (SELECT model, name FROM pt UNION ALL SELECT model, UNNEST(['fact_sales', 'dim_customer', 'dim_date', 'amount', 'price', 'joined', 'name', 'day', 'is_current']) FROM md),
+pairs AS (SELECT DISTINCT lower(k.name) AS x, lower(t.name) AS y FROM told t JOIN known k USING (model)), {RATIOS},
+best AS (SELECT model, y, STRING_AGG(name, ', ' ORDER BY r DESC, x DESC) AS names FROM (SELECT k.model, k.name, x, y, r FROM (SELECT DISTINCT model, lower(name) AS y FROM told) JOIN ratio USING (y) JOIN known k USING (model)
+  WHERE x = lower(k.name) AND r >= 0.6 QUALIFY ROW_NUMBER() OVER (PARTITION BY k.model, y ORDER BY r DESC, x DESC) <= 3) GROUP BY 1, 2)
+SELECT t.model, error_id, t.name, 'Engine mentioned ''' || t.name || '''; closest model names: ' || names AS note FROM told t JOIN best b ON b.model = t.model AND b.y = lower(t.name)
+WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.model = t.model AND lower(k.name) = lower(t.name))""")
+def error_suggestions(spark, sf):
+    """Engine errors that quote a mistyped measure, table and column each, and one real name."""
+    ending = F.when(_k() % 2 == 0, "7").otherwise("12")
+    message = F.concat(F.lit("Column 'amout' in \"dim_custmer\" or measure 'Measur "), F.floor(_k() / 20).cast("string"), ending, F.lit("' cannot be found; see 'fact_sales'."))
+    errors = _part(spark, sf).select("model", _k().cast("string").alias("error_id"), message.alias("message"))
+    return m.suggest_from_error(errors, _columns(spark, sf), _measures(spark, sf)).select("model", "error_id", "name", "note")
+
+
 @query("unfilled_placeholders", f"WITH {PART} SELECT CAST(k AS VARCHAR) AS query_id, CASE WHEN k % 4 = 1 THEN '<fact>' ELSE '<date_key>' END AS placeholders FROM pt WHERE k % 4 IN (1, 3)")
 def unfilled_placeholders(spark, sf):
     return rounded(m.unfilled_placeholders(_texts(spark, sf), "text").where("size(placeholders) > 0").select("query_id", "placeholders"))
@@ -196,6 +226,48 @@ def measure_closure(spark, sf):
     return rounded(m.measure_closure(_measures(spark, sf), _tables(spark, sf)))
 
 
+CHAIN = """pt AS (SELECT p_partkey AS k, p_partkey // 20 AS g, 'M' || (p_partkey // 20) AS model, 'Measure ' || p_partkey AS name FROM part),
+edge AS (SELECT a.model, a.name, b.name AS called FROM pt a JOIN pt b ON a.g = b.g AND (b.k = a.k - 1 OR (a.g % 2 = 0 AND a.k % 20 = 0 AND b.k % 20 = 19))),
+step AS (SELECT model, name, name AS reached, 0 AS lvl FROM pt UNION ALL SELECT s.model, s.name, e.called, lvl + 1 FROM step s JOIN edge e ON e.model = s.model AND e.name = s.reached WHERE lvl < 20),
+reach AS (SELECT model, name, reached, MIN(lvl) AS lvl FROM step GROUP BY 1, 2, 3)"""
+
+
+def _chained(spark, sf):
+    """Measures that each call the one before; in every other model the first calls the last, so that all twenty are a cycle."""
+    g = F.floor(_k() / 20)
+    last = F.concat(F.lit("[Measure "), (_k() + 19).cast("string"), F.lit("]"))
+    first = F.when(g % 2 == 0, F.concat(last, F.lit(" + COUNTROWS(dim_date)"))).otherwise("COUNTROWS(dim_date)")
+    formula = F.when(_k() % 20 == 0, first).otherwise(F.concat(F.lit("[Measure "), (_k() - 1).cast("string"), F.lit("] + 1")))
+    return _part(spark, sf).select("model", F.concat(F.lit("Measure "), _k().cast("string")).alias("measure"), formula.alias("expression"))
+
+
+@query("closure_long_chains", f"""WITH RECURSIVE {CHAIN} SELECT model, name AS measure, 'dim_date' AS "table", CAST(lvl AS BIGINT) AS level FROM reach WHERE CAST(substr(reached, 9) AS BIGINT) % 20 = 0""")
+def closure_long_chains(spark, sf):
+    """Tables behind up to nineteen calls."""
+    return rounded(m.measure_closure(_chained(spark, sf), _tables(spark, sf)))
+
+
+def _flags_sql(depth):
+    return f"""WITH RECURSIVE {CHAIN}, near AS (SELECT * FROM reach WHERE lvl <= {depth}), onward AS (SELECT DISTINCT r.model, r.name, e.called FROM near r JOIN edge e ON e.model = r.model AND e.name = r.reached)
+SELECT n.model, n.name AS measure, COUNT(*) - 1 AS reached, CAST(MAX(lvl) AS BIGINT) AS levels, COALESCE(BOOL_OR(around), FALSE) AS cyclic, COALESCE(BOOL_OR(missing), FALSE) AS cut FROM near n
+LEFT JOIN (SELECT o.model, o.name, BOOL_OR(o.called = o.name) AS around, BOOL_OR(x.reached IS NULL) AS missing FROM onward o LEFT JOIN near x ON x.model = o.model AND x.name = o.name AND x.reached = o.called GROUP BY 1, 2) f USING (model, name) GROUP BY 1, 2"""
+
+
+@query("closure_flags", _flags_sql(20))
+def closure_flags(spark, sf):
+    x = _chained(spark, sf)
+    edges = m.expression_measures(x)
+    return rounded(m.reach_flags(m.called_measures(edges, x), edges))
+
+
+@query("closure_flags_cut", _flags_sql(4))
+def closure_flags_cut(spark, sf):
+    """The same calls followed four times only: whatever that leaves out is flagged."""
+    x = _chained(spark, sf)
+    edges = m.expression_measures(x)
+    return rounded(m.reach_flags(m.called_measures(edges, x, depth=4), edges))
+
+
 @query("measures_used", f"""WITH {PART}, u AS (SELECT model, bound, COUNT(*) AS uses, STRING_AGG(page || '/' || visual, '; ' ORDER BY page || '/' || visual) AS used_by FROM bd GROUP BY 1, 2)
 SELECT COALESCE(p.model, u.model) AS model, COALESCE(name, bound) AS measure, u.uses IS NOT NULL AS used, p.name IS NOT NULL AS captured, COALESCE(uses, 0) AS uses, COALESCE(used_by, '') AS used_by
 FROM pt p FULL JOIN u ON p.model = u.model AND p.name = u.bound""")
@@ -220,7 +292,7 @@ def tables_for_measures(spark, sf):
     return rounded(m.tables_for_measures(m.measure_closure(x, _tables(spark, sf)), used, m.table_sources(_partitions(spark, sf))))
 
 
-@query("expression_chips", f"""WITH {PART}, own AS (SELECT k AS rk, CASE s WHEN 0 THEN 'reads the clock' WHEN 1 THEN 'removes filters' ELSE 'divides without a guard' END AS chip FROM pt WHERE s IN (0, 1, 2))
+@query("expression_chips", f"""WITH {PART}, own AS (SELECT k AS rk, CASE s WHEN 0 THEN 'reads the clock' WHEN 1 THEN 'removes filters' ELSE 'divides without a guard' END AS chip FROM pt WHERE s IN (0, 1, 2, 3))
 SELECT model, name AS measure, chip, ARG_MIN(reached, lvl) AS found_in, CAST(MIN(lvl) AS BIGINT) AS level FROM reach JOIN own USING (rk) GROUP BY 1, 2, 3""")
 def expression_chips(spark, sf):
     return rounded(m.expression_chips(_measures(spark, sf)))

@@ -92,6 +92,7 @@ STATISTIC = r"(?i)(?U)\b(MEDIAN|MEDIANX|PERCENTILE\.INC|PERCENTILE\.EXC|PERCENTI
 INTEGER_FORMAT = r'^\s*"?(#,##0|#,0|0)(?![.0-9])'
 FRESHNESS_WORDS = r"(?i)refresh|updated|as of|last load|data through"
 FRESHNESS_SOURCE = r"(?i)refresh|partition|NOW\(|UTCNOW"
+ERROR_IDENTIFIER = "'[^'\\r\\n]{1,80}'|\"[^\"\\r\\n]{1,80}\""
 PLACEHOLDER = r"<[A-Za-z_][A-Za-z0-9_]*>"
 QUALIFIED_REFERENCE = r"(?:'([^'\r\n]+)'|(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]*))\s*\[([^\]\r\n]+)\]"
 BRACKETED = r"\[([^\]\r\n]+)\]"

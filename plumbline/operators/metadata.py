@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as fixed
-from plumbline.functions.relational import attach
 from plumbline.functions.scalars import lookup
+from plumbline.operators.names import similar_names
 from plumbline.session import cut_lineage
 
 FINDING = ["model", "method", "severity", "object", "kind", "fragment"]
@@ -170,34 +170,42 @@ def check_references(queries: DataFrame, columns: DataFrame, measures: DataFrame
     column_names = columns.select("model", F.lit("column").alias("kind"), F.lower("table").alias("_t"), F.col("column").alias("candidate"))
     measure_names = measures.select("model", F.lit("measure").alias("kind"), F.lit(None).cast("string").alias("_t"), F.col("measure").alias("candidate"))
     candidates = table_names.unionByName(column_names).unionByName(measure_names)
-    return closest_name(problems, candidates, ["model", "kind", "_t"], "name").drop("_t")
+    # a measure may also be meant as a column of a table that its query names
+    columns_too = problems.where("kind = 'measure'").select("model", "query_id", "name").join(refs.where("_table is not null").select("model", "query_id", "_t").distinct(), ["model", "query_id"])
+    own = problems.select("model", "query_id", "name", "kind", "_t", F.col("kind").alias("_shown"))
+    places = own.unionByName(columns_too.select("model", "query_id", "name", F.lit("column").alias("kind"), "_t", F.lit("measure").alias("_shown")))
+    found = similar_names(places.select("model", "kind", "_t", "name"), candidates, ["model", "kind", "_t"], "name").withColumnsRenamed(
+        {"model": "_m", "kind": "_k", "_t": "_tt", "name": "_n"})
+    met = places.join(found, (F.col("model") == F.col("_m")) & (F.col("kind") == F.col("_k")) & F.col("_t").eqNullSafe(F.col("_tt")) & (F.lower("name") == F.col("_n")), "left")
+    return met.groupBy("model", "query_id", F.col("_shown").alias("kind"), "name").agg(F.max_by("closest", F.struct("ratio", F.lower("closest").alias("_c"))).alias("closest"))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 - edit distance / longer length, on lower-case text."""
-    x, y = F.lower(a), F.lower(b)
-    return 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))
-
-
-NAMES_PER_CHUNK = 500
+def closest_name(names: DataFrame, candidates: DataFrame, scope: list[str], name: str, cutoff: float = 0.6) -> DataFrame:
+    """Best match of each name within its own scope (one model, one table), or null. A null scope value matches a null one."""
+    found = similar_names(names, candidates, scope, name, 1, cutoff).drop("rank", "ratio")
+    other = found.withColumnsRenamed({c: f"_f_{c}" for c in (*scope, name)})
+    condition = reduce(lambda a, b: a & b, [names[s].eqNullSafe(other[f"_f_{s}"]) for s in scope], F.lower(names[name]) == other[f"_f_{name}"])
+    return names.join(other, condition, "left").select(*names.columns, "closest")
 
 
-def closest_name(names: DataFrame, candidates: DataFrame, scope: list[str], name: str, cutoff: float = 0.6) -> DataFrame:
-    """Best fuzzy match of each name within its own scope (one model, one table), or null.
+def suggest_from_error(errors: DataFrame, columns: DataFrame, measures: DataFrame, top: int = 3) -> DataFrame:
+    """Closest real names for the identifiers that an engine's error text quotes and its model lacks.
 
-    Candidates travel in chunks of about ``NAMES_PER_CHUNK`` names, so a scope of any size is spread
-    over many rows and no name/candidate pair becomes a row. A null scope value matches a null one.
+    ``errors``: model, error_id, message. One row per unknown identifier with a similar name: the ``names`` in order and the note that
+    shows them. A model without captured columns says nothing about its errors.
     """
-    known = candidates.select(*scope, "candidate").distinct()
-    sizes = known.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"))
-    pieces = F.ceil(F.col("_n") / NAMES_PER_CHUNK)
-    chunked = attach(known, sizes, scope, "inner").withColumn("_chunk", F.pmod(F.xxhash64("candidate"), pieces))
-    lists = chunked.groupBy(*scope, "_chunk").agg(F.collect_list("candidate").alias("_c")).withColumnsRenamed({s: f"_s_{s}" for s in scope})
-    condition = reduce(lambda a, b: a & b, [names[s].eqNullSafe(lists[f"_s_{s}"]) for s in scope])
-    joined = names.join(lists, condition, "left")
-    scored = F.transform(F.coalesce("_c", F.array().cast("array<string>")), lambda c: F.struct((-similarity(c, F.col(name))).alias("d"), c.alias("c")))
-    best = joined.withColumn("_best", F.array_min(F.filter(scored, lambda s: s["d"] <= -cutoff)))
-    return best.groupBy(*names.columns).agg(F.min("_best").alias("_best")).select(*names.columns, F.col("_best.c").alias("closest"))
+    quoted = F.regexp_extract_all("message", F.lit(fixed.ERROR_IDENTIFIER), F.lit(0))
+    told = errors.join(columns.select("model").distinct(), "model", "left_semi").select("model", "error_id", F.explode(F.array_distinct(quoted)).alias("_q"))
+    told = told.withColumn("name", F.trim(F.substring("_q", F.lit(2), F.length("_q") - 2))).where("name != ''").drop("_q").distinct()
+    known = columns.select("model", F.col("table").alias("candidate")).unionByName(columns.select("model", F.col("column").alias("candidate"))).unionByName(
+        measures.select("model", F.col("measure").alias("candidate")))
+    low = known.select("model", F.lower("candidate").alias("_low")).distinct()
+    unknown = told.withColumn("_low", F.lower("name")).join(low, ["model", "_low"], "left_anti")
+    found = similar_names(unknown.select("model", F.col("_low").alias("name")), known, ["model"], "name", top, row_numbers=True)
+    lists = found.groupBy("model", F.col("name").alias("_low")).agg(F.sort_array(F.collect_list(F.struct("rank", "closest"))).alias("_l"))
+    shown = unknown.join(lists, ["model", "_low"]).withColumn("names", F.transform("_l", lambda x: x["closest"]))
+    note = F.concat(F.lit("Engine mentioned '"), F.col("name"), F.lit("'; closest model names: "), F.array_join("names", ", "))
+    return shown.select("model", "error_id", "name", "names", note.alias("note"))
 
 
 def _words(expression: Column) -> Column:
@@ -228,23 +236,40 @@ def expression_references(measures: DataFrame, tables: DataFrame) -> DataFrame:
     return a.unionByName(expression_measures(measures).select("model", "measure", F.lit("measure").alias("kind"), F.col("called").alias("name"))).distinct()
 
 
-def called_measures(edges: DataFrame, measures: DataFrame, depth: int = 4) -> DataFrame:
-    """Measures reached from each measure within ``depth`` calls, with the smallest level (0 = itself).
+def called_measures(edges: DataFrame, measures: DataFrame, depth: int | None = None) -> DataFrame:
+    """Measures reached from each measure, with the smallest number of calls (0 = itself).
 
-    Each level keeps distinct pairs, so a cycle or a much-called measure cannot multiply rows.
+    Every round follows the calls of the pairs that the round before found first, until none is new; so a cycle ends, a much-called
+    measure cannot multiply rows, and a round costs what it adds. ``depth`` bounds the calls; ``reach_flags`` tells where that left something out.
     """
-    # every level reads the call pairs again, so they are worked out once
+    # every round reads the call pairs again, so they are worked out once
     pairs = cut_lineage(edges.select(F.col("model").alias("_model"), F.col("measure").alias("_from"), F.col("called").alias("_to")).distinct())
-    frontier = measures.select("model", "measure", F.col("measure").alias("reached")).distinct()
-    levels = [frontier.withColumn("level", F.lit(0))]
-    for level in range(1, depth + 1):
-        hop = frontier.join(pairs, (F.col("model") == F.col("_model")) & (F.col("reached") == F.col("_from")))
-        frontier = cut_lineage(hop.select("model", "measure", F.col("_to").alias("reached")).distinct())
-        levels.append(frontier.withColumn("level", F.lit(level)))
-    return _union(levels).groupBy("model", "measure", "reached").agg(F.min("level").alias("level"))
-
-
-def measure_closure(measures: DataFrame, tables: DataFrame, depth: int = 4) -> DataFrame:
+    fresh = cut_lineage(measures.select("model", "measure", F.col("measure").alias("reached"), F.lit(0).alias("level")).distinct())
+    known = fresh
+    level = 0
+    while depth is None or level < depth:
+        level += 1
+        hop = fresh.join(pairs, (F.col("model") == F.col("_model")) & (F.col("reached") == F.col("_from"))).select("model", "measure", F.col("_to").alias("reached")).distinct()
+        fresh = cut_lineage(hop.join(known.select("model", "measure", "reached"), ["model", "measure", "reached"], "left_anti").withColumn("level", F.lit(level)))
+        if fresh.isEmpty():
+            break
+        known = known.unionByName(fresh)
+    return known
+
+
+def reach_flags(reach: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per measure of ``called_measures``: the number of measures it reaches, the longest way, ``cyclic`` if it reaches itself again,
+    ``cut`` if something it reaches calls a measure that the depth left out."""
+    calls = edges.select(F.col("model").alias("_model"), F.col("measure").alias("_from"), F.col("called").alias("_to")).distinct()
+    onward = reach.join(calls, (F.col("model") == F.col("_model")) & (F.col("reached") == F.col("_from"))).select("model", "measure", F.col("_to").alias("reached")).distinct()
+    missing = onward.join(reach, ["model", "measure", "reached"], "left_anti").select("model", "measure").distinct().withColumn("cut", F.lit(True))
+    around = onward.where("reached = measure").select("model", "measure").withColumn("cyclic", F.lit(True))
+    sizes = reach.groupBy("model", "measure").agg((F.count(F.lit(1)) - 1).alias("reached"), F.max("level").alias("levels"))
+    joined = sizes.join(around, ["model", "measure"], "left").join(missing, ["model", "measure"], "left")
+    return joined.select("model", "measure", "reached", "levels", F.coalesce("cyclic", F.lit(False)).alias("cyclic"), F.coalesce("cut", F.lit(False)).alias("cut"))
+
+
+def measure_closure(measures: DataFrame, tables: DataFrame, depth: int | None = None) -> DataFrame:
     """Tables each measure reads, through the measures it calls: model, measure, table, level."""
     reach = called_measures(expression_measures(measures), measures, depth)
     direct = expression_tables(measures, tables).withColumnRenamed("measure", "reached")
@@ -315,13 +340,30 @@ def tables_for_measures(closure: DataFrame, used: DataFrame, sources: DataFrame)
     return out.withColumn("rank", F.when(prefix == "fact", 0).when(prefix == "dim", 1).otherwise(2))
 
 
-def expression_chips(measures: DataFrame, depth: int = 4) -> DataFrame:
-    """Clock, filter removal and bare division in a measure or in a measure it calls (level 0 = its own)."""
-    text = F.coalesce("expression", F.lit(""))
-    clean = F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", " "), r"(?m)(//|--).*$", " ")
-    own = measures.select("model", F.col("measure").alias("reached"), clean.alias("_e")).select("model", "reached", F.explode(F.filter(F.array(
+def without_comments(expression: Column) -> Column:
+    """Expression text without comments and with empty string literals, so that neither is read as a formula."""
+    blank = F.regexp_replace(F.regexp_replace(expression, r"(?s)/\*.*?\*/", " "), r"(?m)(//|--).*$", " ")
+    return F.regexp_replace(blank, '"[^"]*"', '""')
+
+
+def short_divisions(text: Column) -> Column:
+    """Number of guarded divisions called with fewer than three arguments, at any depth of brackets.
+
+    Innermost brackets are judged and replaced by a plain word, one layer a step, at most as many as there are opening brackets.
+    """
+    def layer(acc: Column, _: Column) -> Column:
+        inner = F.regexp_extract_all(acc["rest"], F.lit(r"(?i)\bDIVIDE\s*\(([^()]*)\)"), F.lit(1))
+        few = F.size(F.filter(inner, lambda a: F.length(a) - F.length(F.replace(a, F.lit(","), F.lit(""))) < 2))
+        return F.struct(F.regexp_replace(acc["rest"], r"[\p{L}_.]*\s*\([^()]*\)", "x").alias("rest"), (acc["n"] + few).alias("n"))
+    layers = F.length(text) - F.length(F.replace(text, F.lit("("), F.lit("")))
+    return F.when(layers > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(layers, F.lit(1))), F.struct(text.alias("rest"), F.lit(0).alias("n")), layer, lambda acc: acc["n"])).otherwise(0)
+
+
+def expression_chips(measures: DataFrame, depth: int | None = None) -> DataFrame:
+    """Clock, filter removal, and division without a guard or without its third argument, in a measure or in a measure it calls (level 0 = its own)."""
+    own = measures.select("model", F.col("measure").alias("reached"), without_comments(F.coalesce("expression", F.lit(""))).alias("_e")).select("model", "reached", F.explode(F.filter(F.array(
         F.when(F.col("_e").rlike(fixed.VOLATILE), F.lit("reads the clock")), F.when(F.col("_e").rlike(fixed.FILTER_REMOVAL), F.lit("removes filters")),
-        F.when(F.col("_e").rlike(fixed.RAW_DIVISION), F.lit("divides without a guard"))), lambda c: c.isNotNull())).alias("chip"))
+        F.when(F.col("_e").rlike(fixed.RAW_DIVISION) | (short_divisions(F.col("_e")) > 0), F.lit("divides without a guard"))), lambda c: c.isNotNull())).alias("chip"))
     reach = called_measures(expression_measures(measures), measures, depth)
     return reach.join(own, ["model", "reached"]).groupBy("model", "measure", "chip").agg(
         F.min_by("reached", F.struct("level", "reached")).alias("found_in"), F.min("level").alias("level"))

@@ -71,10 +71,13 @@ def test_refuses_a_used_folder_and_unnamed_articles(spark, folder, tmp_path):
 
 def test_a_term_of_most_articles_spans_files(spark, tmp_path):
     many = spark.range(3000).selectExpr("concat('p', id) AS path", "'common' AS title", "'x' AS summary", "array('dbt') AS topics", "array('t') AS tags", "concat('common word', id) AS body", "'2024' AS date")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    usual = {n: spark.conf.get(n) for n in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
     try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "6")
         search_index.build(many, str(tmp_path / "hot"))
     finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        for name, value in usual.items():
+            spark.conf.set(name, value)
     index = spark.read.parquet(str(tmp_path / "hot" / "postings"))
     assert index.where("term = 'common'").selectExpr("input_file_name() AS f").distinct().count() > 1
