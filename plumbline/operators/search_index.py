@@ -1,9 +1,10 @@
 """Article search over a stored inverted index.
 
-``build`` tokenises every article once and writes four tables into a folder: ``articles``; ``postings`` with one row per
-(term, article, field) and its count and field length, in ranges of (term, path), so that a reader of few terms skips the
-other files and a term of very many articles spans several; ``frequencies`` with the articles per (term, topic), a null topic
-standing for all; and ``memberships`` with the topics of every article. ``totals`` comes last and makes the index complete.
+``build`` tokenises every article once and writes four tables into a folder: ``articles`` with a number for each;
+``postings`` with one row per (term, article, field), its count, the field's length and the article's topics; ``frequencies`` with the
+articles per (term, topic), a null topic standing for all; and ``totals``, which comes last and makes the index complete. Postings lie in
+segments, each a file over some articles, sorted by term: writing one needs no shuffle of postings, and a reader of few terms skips
+the pages of all others. A term of very many articles lies in all segments, never in one task.
 
 A batch of queries is one join: terms of all queries with their frequencies, then with the postings, summed per
 (query, article). Nothing is tokenised again but the queries and the bodies of the hits.
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from plumbline.functions import fixed_values as fixed
 from plumbline.operators.text import counted_words, snippet, tokens
 
-TABLES = ("articles", "postings", "memberships", "frequencies", "totals")
+TABLES = ("articles", "postings", "frequencies", "totals")
+PUSHED = 200  # distinct query terms up to which the scan of the postings is told the terms themselves
 
 
 def build(docs: DataFrame, folder: str) -> None:
@@ -29,24 +31,24 @@ def build(docs: DataFrame, folder: str) -> None:
     spark = docs.sparkSession
     empty = F.array().cast("array<string>")
     date = F.col("date").cast("string") if "date" in docs.columns else F.lit(None).cast("string")
-    docs.select("path", "title", date.alias("date"), F.coalesce("topics", empty).alias("topics"), F.coalesce("tags", empty).alias("tags"), "summary", "body").write.parquet(f"{folder}/articles")
+    docs.select(F.monotonically_increasing_id().alias("number"), "path", "title", date.alias("date"), F.array_distinct(F.coalesce("topics", empty)).alias("topics"),
+                F.coalesce("tags", empty).alias("tags"), "summary", "body").write.parquet(f"{folder}/articles")
     articles = spark.read.parquet(f"{folder}/articles")
-    named = articles.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("path is null or n > 1")
-    wrong = named.limit(1).collect()
+    wrong = articles.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("path is null or n > 1").limit(1).collect()
     if wrong:
         raise ValueError(f"an index needs one article per path; {wrong[0]['path']!r} has {wrong[0]['n']}")
     texts = {"title": F.col("title"), "summary": F.col("summary"), "labels": F.concat_ws(" ", "topics", "tags"), "body": F.col("body")}
     fields = F.array(*[F.struct(F.lit(name).alias("field"), F.coalesce(text, F.lit("")).alias("text")) for name, text in texts.items()])
-    spread = articles.select("path", F.explode(fields).alias("f")).select("path", "f.*")
-    counts = counted_words(spread, ["path", "field"], F.col("text"))
-    sized = counts.withColumn("length", F.sum("tf").over(Window.partitionBy("path", "field")))
-    sized.repartitionByRange("term", "path").sortWithinPartitions("term", "path").write.parquet(f"{folder}/postings")
+    # texts move once; counting, lengths and the mark of an article's first posting of a term stay where an article is
+    spread = articles.repartition("number").select("number", "topics", F.explode(fields).alias("f")).select("number", "topics", "f.*")
+    counts = counted_words(spread, ["number", "topics", "field"], F.col("text"))
+    sized = counts.withColumns({"length": F.sum("tf").over(Window.partitionBy("number", "field")),
+                                "first": F.row_number().over(Window.partitionBy("number", "term").orderBy("field")) == 1})
+    sized.sortWithinPartitions("term").write.parquet(f"{folder}/postings")
     everyone = F.array_union(F.array(F.lit(None).cast("string")), "topics")
-    articles.select("path", F.explode(everyone).alias("topic")).write.parquet(f"{folder}/memberships")
-    postings, memberships = (spark.read.parquet(f"{folder}/{t}") for t in ("postings", "memberships"))
-    seen = postings.select("path", "term").distinct().join(memberships, "path")
-    seen.groupBy("term", "topic").agg(F.count(F.lit(1)).alias("articles")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/frequencies")
-    memberships.groupBy("topic").agg(F.count(F.lit(1)).alias("total")).coalesce(1).write.parquet(f"{folder}/totals")
+    postings = spark.read.parquet(f"{folder}/postings")
+    postings.where("first").select("term", F.explode(everyone).alias("topic")).groupBy("term", "topic").agg(F.count(F.lit(1)).alias("articles")).sortWithinPartitions("term").write.parquet(f"{folder}/frequencies")
+    articles.select(F.explode(everyone).alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("total")).coalesce(1).write.parquet(f"{folder}/totals")
 
 
 def search(spark: SparkSession, folder: str, queries: DataFrame, k: int = 5, width: int = 200) -> DataFrame:
@@ -68,11 +70,16 @@ def search(spark: SparkSession, folder: str, queries: DataFrame, k: int = 5, wid
     for name, value in fixed.FIELD_WEIGHTS.items():
         weight = F.when(F.col("field") == name, float(value)).otherwise(weight)
     part = weight * F.col("idf") * (1 + F.ln(F.col("tf").cast("double"))) / F.sqrt(F.col("length").cast("double"))
-    met = parts["postings"].join(weighed, F.col("term") == F.col("_term"))
-    scored = met.groupBy("query_id", "_topic", F.col("path").alias("_path")).agg(F.round(F.sum(part), 4).alias("score")).where("score > 0")
-    scored = scored.join(parts["memberships"], (F.col("_path") == F.col("path")) & F.col("_topic").eqNullSafe(F.col("topic")), "left_semi")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "_path")
-    top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    hits = top.join(asked.select("query_id", "terms"), "query_id").join(parts["articles"], F.col("_path") == F.col("path"))
+    postings = parts["postings"]
+    named = [r["term"] for r in terms.select("term").distinct().limit(PUSHED + 1).collect()]
+    if len(named) <= PUSHED:
+        postings = postings.where(F.col("term").isin(named))
+    met = postings.join(weighed, (F.col("term") == F.col("_term")) & (F.col("_topic").isNull() | F.array_contains("topics", F.col("_topic"))))
+    scored = met.groupBy("query_id", "number").agg(F.round(F.sum(part), 4).alias("score")).where("score > 0")
+    shown = parts["articles"].select("number", "path", "title", "date", "topics", "body")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "path")
+    named_hits = scored.join(parts["articles"].select("number", "path"), "number")
+    top = named_hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("path")
+    hits = top.join(asked.select("query_id", "terms"), "query_id").join(shown, "number")
     hits = hits.select("query_id", "rank", "path", "title", "date", "topics", "score", "terms", "body")
     return hits.drop("terms", "body").join(snippet(hits, ["query_id", "path"], "body", F.col("terms"), width), ["query_id", "path"])

@@ -69,15 +69,8 @@ def test_refuses_a_used_folder_and_unnamed_articles(spark, folder, tmp_path):
         search_index.build(spark.createDataFrame(ARTICLES + ARTICLES[:1], SCHEMA), str(tmp_path / "twice"))
 
 
-def test_a_term_of_most_articles_spans_files(spark, tmp_path):
-    many = spark.range(3000).selectExpr("concat('p', id) AS path", "'common' AS title", "'x' AS summary", "array('dbt') AS topics", "array('t') AS tags", "concat('common word', id) AS body", "'2024' AS date")
-    usual = {n: spark.conf.get(n) for n in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
-    try:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-        spark.conf.set("spark.sql.shuffle.partitions", "6")
-        search_index.build(many, str(tmp_path / "hot"))
-    finally:
-        for name, value in usual.items():
-            spark.conf.set(name, value)
-    index = spark.read.parquet(str(tmp_path / "hot" / "postings"))
-    assert index.where("term = 'common'").selectExpr("input_file_name() AS f").distinct().count() > 1
+def test_postings_lie_in_sorted_segments(spark, folder):
+    index = spark.read.parquet(f"{folder}/postings")
+    assert index.where("term = 'order'").agg({"tf": "sum"}).first()[0] == sum(words(" ".join(filter(None, [a[1], a[2], *(a[3] or []), *(a[4] or []), a[5]]))).count("order") for a in ARTICLES)
+    for part in index.selectExpr("input_file_name() AS f", "term").toPandas().groupby("f"):
+        assert part[1]["term"].is_monotonic_increasing
