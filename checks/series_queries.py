@@ -128,7 +128,7 @@ sums AS (SELECT *, SUM(c) OVER (PARTITION BY p ORDER BY idx) AS s1, SUM(c * c) O
 noise AS (SELECT p, COUNT(*) AS n, MEDIAN(ABS(diff)) * 1.4826 / SQRT(2.0) AS s, MEDIAN(v) AS m FROM pts GROUP BY 1),
 scale AS (SELECT p, n, CASE WHEN s > 0 THEN s ELSE GREATEST(1.0, ABS(m) * 0.02) END AS scale FROM noise),
 seg0 AS (SELECT p, CAST(0 AS BIGINT) AS a, MAX(idx) AS b FROM pts GROUP BY 1)"""]
-    for k in range(depth):
+    for k in range(depth + 1):
         ctes.append(f"""
 ends{k} AS (SELECT s.p, s.a, s.b, COALESCE(x.s1, 0) AS a1, COALESCE(x.s2, 0) AS a2, y.s1 AS b1, y.s2 AS b2
             FROM seg{k} s LEFT JOIN sums x ON x.p = s.p AND x.idx = s.a JOIN sums y ON y.p = s.p AND y.idx = s.b),
@@ -142,6 +142,13 @@ shift{k} AS (SELECT l.*, (after_median - before_median) / scale AS score FROM le
              WHERE ABS((after_median - before_median) / scale) >= {sigma} AND cost < total),
 seg{k + 1} AS (SELECT p, a, cut AS b FROM shift{k} UNION ALL SELECT p, cut AS a, b FROM shift{k})""")
     ctes.append("\nshifts AS (" + " UNION ALL ".join(f"SELECT p, cut + 1 AS idx, before_median, after_median, score FROM shift{k}" for k in range(depth)) + ")")
+    ends = []
+    for k in range(depth + 1):
+        ends.append(f"SELECT p, a, b, 'too short to split' AS reason FROM seg{k} WHERE b - a < {2 * min_segment}")
+        reason = f"CASE WHEN cost >= total THEN 'no cut lowers the deviation' WHEN ABS((after_median - before_median) / scale) < {sigma} THEN 'shift below the threshold' ELSE 'depth reached' END"
+        stays = "TRUE" if k == depth else f"(p, a) NOT IN (SELECT (p, a) FROM shift{k})"
+        ends.append(f"SELECT p, a, b, {reason} FROM level{k} JOIN scale USING (p) WHERE {stays}")
+    ctes.append("\nsegments AS (" + " UNION ALL ".join(ends) + ")")
     return ",".join(ctes)
 
 
@@ -157,12 +164,19 @@ def changepoint_shifts(spark, sf):
 
 
 @query("changepoint_verdict", f"""WITH {CHANGES}
-SELECT p AS o_orderpriority, CASE WHEN n < 14 THEN 'inconclusive' WHEN shifts > 0 THEN 'flagged' ELSE 'clean' END AS status, n, ROUND(scale, 4) AS scale, shifts
-FROM (SELECT p, n, CASE WHEN n >= 14 THEN scale END AS scale, (SELECT COUNT(*) FROM shifts x WHERE x.p = scale.p) AS shifts FROM scale)""")
+SELECT p AS o_orderpriority, CASE WHEN n < 14 THEN 'inconclusive' WHEN shifts > 0 THEN 'flagged' ELSE 'clean' END AS status, n, ROUND(scale, 4) AS scale, shifts, unsplit
+FROM (SELECT p, n, CASE WHEN n >= 14 THEN scale END AS scale, (SELECT COUNT(*) FROM shifts x WHERE x.p = scale.p) AS shifts,
+  (SELECT COUNT(*) FROM segments g WHERE g.p = scale.p AND reason = 'depth reached') AS unsplit FROM scale)""")
 def changepoint_verdict(spark, sf):
     return rounded(s.changepoints(_series(spark, sf), BY, min_shift_sigma=0.05).verdict.drop("method"))
 
 
+@query("changepoint_segments", f"WITH {CHANGES} SELECT p AS o_orderpriority, a + 1 AS first, b AS last, reason FROM segments")
+def changepoint_segments(spark, sf):
+    """All segments with the reason why each was not split further."""
+    return s.changepoint_segments(_series(spark, sf), BY, min_shift_sigma=0.05)
+
+
 def _mix(spark, sf):
     half = F.when(F.to_date("ts") < F.lit("2024-01-16").cast("date"), "first").otherwise("second")
     return table(spark, sf, "events").groupBy(F.col("event_type"), half.alias("half")).agg(F.count(F.lit(1)).alias("events"))

@@ -1,13 +1,11 @@
-"""Exact order statistics per group without putting a group into one task.
+"""Exact order statistics per group by radix selection, without putting a group into one task.
 
 Spark's ``percentile`` keeps every distinct value of a group in one aggregation buffer, and a
 window over the group sorts all of it in one task. Both break when one group holds a third of
-a large table. Here a bounded sketch first brackets each wanted rank; all values outside the
-brackets collapse (map side) into one counted row per gap, equal values into one row each. A bracket is cut into
-``CHUNKS`` equal spans of values: the counts of the spans, a fixed number of rows per group, say which span holds
-the rank, and only the values of that span are ranked. The brackets and spans only decide what is ranked: any bracket that
-contains the wanted rank gives the same exact answer, so a recomputed sketch changes nothing.
-A bracket that missed its rank raises instead of returning a wrong number.
+a large table. Here every value becomes a 64-bit key that sorts like it. A round counts the rows of each group per leading
+bits of the key (combined where the rows are), so the counts say which leading bits hold a wanted rank; the next
+round looks only at rows with those bits and takes the bits that follow. It ends when every wanted rank's rows share one value, after
+three rounds at the latest. A round returns at most 2^22 counts per group and rank, whatever the values are distributed like.
 """
 
 from __future__ import annotations
@@ -16,15 +14,12 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.relational import attach
+from plumbline.session import stored
 
-SKETCH_ACCURACY = 10_000
-BRACKET = 0.002
-SMALL_GROUP = 4_096  # below, three places are more than a bracket holds, so a bracket takes the whole group
-CHUNKS = 4_096
+SHIFTS = (42, 21, 0)  # bits of the key that a round leaves out
 
 
 class Rank(NamedTuple):
@@ -35,60 +30,62 @@ class Rank(NamedTuple):
     position: Callable[[Column], Column]
 
 
-def _cells(rows: DataFrame, groups: list[str], qs: list[float]) -> DataFrame:
-    """Counted values: one row per value inside a bracket, one per gap between brackets."""
-    edges = [min(max(q + s, 0.0), 1.0) for q in qs for s in (-BRACKET, BRACKET)]
-    sketch = rows.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), F.lit(SKETCH_ACCURACY)).alias("_e"),
-    )
-    seen = attach(rows, sketch, groups, "inner")
-    v = F.col("_v")
-    none = F.lit(None).cast("int")
-    section, chunk = F.lit(2 * len(qs)), none
-    for i in reversed(range(len(qs))):
-        edge_low, edge_high = F.col("_e")[2 * i], F.col("_e")[2 * i + 1]
-        low = edge_low if qs[i] - BRACKET > 0 else F.lit(float("-inf"))
-        high = edge_high if qs[i] + BRACKET < 1 else F.lit(float("inf"))
-        span = F.floor((v - edge_low) / F.nullif(edge_high - edge_low, F.lit(0.0)) * CHUNKS)
-        span = F.greatest(F.lit(0), F.least(F.lit(CHUNKS - 1), F.coalesce(span, F.lit(0)))).cast("int")
-        section = F.when(v > high, section).when(v >= low, F.lit(2 * i + 1)).otherwise(F.lit(2 * i))
-        chunk = F.when(v > high, chunk).when(v >= low, span).otherwise(none)
-    small = F.col("_n") <= SMALL_GROUP
-    placed = seen.withColumns({"_section": F.when(small, 1).otherwise(section), "_chunk": F.when(small, 0).otherwise(chunk)})
-    return (
-        placed.groupBy(*groups, "_section", "_chunk", F.when(F.col("_chunk").isNotNull(), v).alias("_cell"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_pos"), F.max("_n").alias("_n"))
-    )
+def sort_key(value: Column) -> Column:
+    """A long that sorts like the double: exponent and mantissa of its size, mirrored for negative values. Both zeros are 0."""
+    size = F.abs(value)
+    guess = F.floor(F.log2(size))
+    power = F.pow(F.lit(2.0), guess)
+    # a logarithm next to a power of two may be rounded across it
+    exponent = guess + F.when(size < power, -1).when(size >= power * 2, 1).otherwise(0)
+    normal = (exponent + 1023) * F.lit(1 << 52) + ((size / F.pow(F.lit(2.0), exponent) - 1) * float(1 << 52)).cast("bigint")
+    tiny = (size * float(2.0 ** 537) * float(2.0 ** 537)).cast("bigint")
+    key = F.when(size < 2.0 ** -1022, tiny).when(size == float("inf"), F.lit(2047 << 52)).otherwise(normal)
+    return F.when(value < 0, -key).otherwise(key)
+
+
+def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Inner join with null-safe keys; Spark broadcasts the right side when its stored size allows."""
+    named = right.withColumnsRenamed({c: f"_k_{c}" for c in columns})
+    condition = reduce(lambda a, b: a & b, [left[c].eqNullSafe(named[f"_k_{c}"]) for c in columns])
+    return left.join(named, condition).drop(*[f"_k_{c}" for c in columns])
+
+
+def _round(rows: DataFrame, held: DataFrame | None, groups: list[str], ranks: Sequence[Rank], last: int | None, shift: int) -> tuple[DataFrame, bool]:
+    """Counts per bits beyond ``shift`` where a wanted rank lies: ``_n`` of the group, rows ``_from`` before, ``_c`` inside, their value if it is one."""
+    bits = F.shiftright("_key", shift).alias("_bits")
+    if held is None:
+        seen, inside = rows.select(*groups, bits, "_v"), list(groups)
+        offset, total = F.lit(0).cast("bigint"), F.sum("_c").over(Window.partitionBy(*groups))
+    else:
+        inside = [*groups, "_above"]
+        near = rows.select("*", F.shiftright("_key", last).alias("_above"))
+        seen = _same(near, held.select(*groups, F.col("_bits").alias("_above"), F.col("_n"), F.col("_from").alias("_base")), inside).select(*inside, bits, "_v", "_n", "_base")
+        offset, total = F.col("_base"), F.col("_n")
+    keep = [] if held is None else [F.max(c).alias(c) for c in ("_n", "_base")]
+    counts = seen.groupBy(*inside, "_bits").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), *keep)
+    before = Window.partitionBy(*inside).orderBy("_bits").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.select(*groups, "_bits", "_c", "_low", "_high", total.alias("_n"), (offset + F.coalesce(F.sum("_c").over(before), F.lit(0))).alias("_from"))
+    wanted = reduce(lambda a, b: a | b, [(r.position(F.col("_n")) >= F.col("_from")) & (r.position(F.col("_n")) < F.col("_from") + F.col("_c")) for r in ranks])
+    # the smallest value always comes along, so that a group whose ranks all lie outside 0..n-1 keeps its size
+    watch = Observation()
+    found = stored(placed.where(wanted | (F.col("_from") == 0)).observe(watch, F.count_if(F.col("_low") != F.col("_high")).alias("open")))
+    return found, watch.get["open"] == 0
 
 
 def order_statistics(df: DataFrame, by: Sequence[str], value: str, ranks: Sequence[Rank]) -> DataFrame:
     """Per group: ``n`` (non-null values) and the exact value at every requested rank."""
     groups = list(by)
-    rows = df.select(*groups, F.col(value).cast("double").alias("_v"))
-    rows = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    cells = _cells(rows, groups, sorted({r.q for r in ranks}))
-    spans = cells.groupBy(*groups, "_section", "_chunk").agg(F.sum("_c").alias("_size"), F.max("_n").alias("_n"))
-    before = Window.partitionBy(*groups).orderBy("_section", "_chunk").rowsBetween(Window.unboundedPreceding, -1)  # a fixed number of rows per group
-    spans = spans.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-
-    def held(start: Column, size: Column) -> Column:
-        return reduce(lambda a, b: a | b, [(r.position(F.col("_n")) >= start) & (r.position(F.col("_n")) < start + size) for r in ranks])
-
-    # the first span always comes along, so that a group whose ranks all lie outside 0..n-1 keeps its size
-    wanted = spans.where(held(F.col("_start"), F.col("_size")) | (F.col("_start") == 0)).select(*groups, "_section", "_chunk", "_start")
-    near = attach(cells, wanted, [*groups, "_section", "_chunk"], "inner")
-    upto = Window.partitionBy(*groups, "_section", "_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = near.withColumn("_end", F.col("_start") + F.sum("_c").over(upto))
+    number = F.col(value).cast("double")
+    rows = df.select(*groups, number.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")).withColumn("_key", sort_key(F.col("_v")))
+    held, last = None, None
+    for shift in SHIFTS:
+        held, done = _round(rows, held, groups, ranks, last, shift)
+        last = shift
+        if done:
+            break
     n = F.col("_n")
-    exact = F.when(F.col("_chunk").isNotNull(), F.col("_pos")).otherwise(
-        F.raise_error(F.lit("order statistic fell outside its bracket")).cast("double")
-    )
-    hits = [
-        F.max(F.when((r.position(n) < F.col("_end")) & (r.position(n) >= F.col("_end") - F.col("_c")), exact)).alias(r.name)
-        for r in ranks
-    ]
-    return ranked.groupBy(*groups).agg(F.max("_n").alias("n"), *hits)
+    hits = [F.max(F.when((r.position(n) >= F.col("_from")) & (r.position(n) < F.col("_from") + F.col("_c")), F.col("_high"))).alias(r.name) for r in ranks]
+    return held.groupBy(*groups).agg(F.max("_n").alias("n"), *hits)
 
 
 def _low(q: float) -> Callable[[Column], Column]:

@@ -1,7 +1,7 @@
 """Article search over a stored inverted index.
 
 ``build`` tokenises every article once and writes four tables into a folder: ``articles`` with a number for each;
-``postings`` with one row per (term, article, field), its count, the field's length and the article's topics; ``frequencies`` with the
+``postings`` with one row per (term, article), its count in every field, the fields' lengths and the article's topics; ``frequencies`` with the
 articles per (term, topic), a null topic standing for all; and ``totals``, which comes last and makes the index complete. Postings lie in
 segments, each a file over some articles, sorted by term: writing one needs no shuffle of postings, and a reader of few terms skips
 the pages of all others. A term of very many articles lies in all segments, never in one task.
@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as fixed
-from plumbline.operators.text import counted_words, snippet, tokens
+from plumbline.operators.text import kept_words, snippet, tokens
+from plumbline.session import stored
 
 TABLES = ("articles", "postings", "frequencies", "totals")
 PUSHED = 200  # distinct query terms up to which the scan of the postings is told the terms themselves
@@ -39,15 +40,16 @@ def build(docs: DataFrame, folder: str) -> None:
         raise ValueError(f"an index needs one article per path; {wrong[0]['path']!r} has {wrong[0]['n']}")
     texts = {"title": F.col("title"), "summary": F.col("summary"), "labels": F.concat_ws(" ", "topics", "tags"), "body": F.col("body")}
     fields = F.array(*[F.struct(F.lit(name).alias("field"), F.coalesce(text, F.lit("")).alias("text")) for name, text in texts.items()])
-    # texts move once; counting, lengths and the mark of an article's first posting of a term stay where an article is
+    # texts move once; counts and lengths are made where an article is
     spread = articles.repartition("number").select("number", "topics", F.explode(fields).alias("f")).select("number", "topics", "f.*")
-    counts = counted_words(spread, ["number", "topics", "field"], F.col("text"))
-    sized = counts.withColumns({"length": F.sum("tf").over(Window.partitionBy("number", "field")),
-                                "first": F.row_number().over(Window.partitionBy("number", "term").orderBy("field")) == 1})
+    words = kept_words(spread, ["number", "topics", "field"], F.col("text"))
+    counts = words.groupBy("number", "topics", "term").agg(*[F.count_if(F.col("field") == name).cast("int").alias(name) for name in texts])
+    article = Window.partitionBy("number")
+    sized = counts.withColumns({f"{name}_length": F.sum(name).over(article).cast("int") for name in texts})
     sized.sortWithinPartitions("term").write.parquet(f"{folder}/postings")
     everyone = F.array_union(F.array(F.lit(None).cast("string")), "topics")
     postings = spark.read.parquet(f"{folder}/postings")
-    postings.where("first").select("term", F.explode(everyone).alias("topic")).groupBy("term", "topic").agg(F.count(F.lit(1)).alias("articles")).sortWithinPartitions("term").write.parquet(f"{folder}/frequencies")
+    postings.select("term", F.explode(everyone).alias("topic")).groupBy("term", "topic").agg(F.count(F.lit(1)).alias("articles")).sortWithinPartitions("term").write.parquet(f"{folder}/frequencies")
     articles.select(F.explode(everyone).alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("total")).coalesce(1).write.parquet(f"{folder}/totals")
 
 
@@ -65,20 +67,23 @@ def search(spark: SparkSession, folder: str, queries: DataFrame, k: int = 5, wid
         "query_id", "_topic", terms["term"].alias("_term"), "articles")
     known = known.join(parts["totals"], F.col("_topic").eqNullSafe(F.col("topic")))
     idf = F.ln((F.col("total") + 1).cast("double") / (F.col("articles") + 1)) + 1
-    weighed = known.select("query_id", "_topic", "_term", idf.alias("idf"))
-    weight = F.lit(0.0)
-    for name, value in fixed.FIELD_WEIGHTS.items():
-        weight = F.when(F.col("field") == name, float(value)).otherwise(weight)
-    part = weight * F.col("idf") * (1 + F.ln(F.col("tf").cast("double"))) / F.sqrt(F.col("length").cast("double"))
+    # a table whose size Spark knows: it travels to the postings as long as it is small
+    weighed = stored(known.select("query_id", "_topic", "_term", idf.alias("idf")))
+    part = F.lit(0.0)
+    for name, weight in fixed.FIELD_WEIGHTS.items():
+        tf, length = F.col(name).cast("double"), F.col(f"{name}_length").cast("double")
+        part = part + F.when(tf > 0, float(weight) * F.col("idf") * (1 + F.ln(tf)) / F.sqrt(length)).otherwise(0.0)
     postings = parts["postings"]
     named = [r["term"] for r in terms.select("term").distinct().limit(PUSHED + 1).collect()]
     if len(named) <= PUSHED:
         postings = postings.where(F.col("term").isin(named))
     met = postings.join(weighed, (F.col("term") == F.col("_term")) & (F.col("_topic").isNull() | F.array_contains("topics", F.col("_topic"))))
     scored = met.groupBy("query_id", "number").agg(F.round(F.sum(part), 4).alias("score")).where("score > 0")
+    # whatever ties with the last one comes along until the paths decide
+    near = scored.withColumn("_r", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("_r") <= k).drop("_r")
     shown = parts["articles"].select("number", "path", "title", "date", "topics", "body")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "path")
-    named_hits = scored.join(parts["articles"].select("number", "path"), "number")
+    named_hits = stored(near).join(parts["articles"].select("number", "path"), "number")
     top = named_hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("path")
     hits = top.join(asked.select("query_id", "terms"), "query_id").join(shown, "number")
     hits = hits.select("query_id", "rank", "path", "title", "date", "topics", "score", "terms", "body")

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as fixed
 from plumbline.functions.relational import attach, check_columns, keyed, unkeyed
 from plumbline.operators.order_stats import leave_one_out_median, median, middle_three, quantiles
 from plumbline.operators.running import running_sums
-from plumbline.session import cut_lineage
+from plumbline.session import stored
 from plumbline.types import Detection
 
 
@@ -64,8 +65,8 @@ def robust_zscores(
 ) -> Detection:
     """Median/MAD z-scores; a point is flagged when ``abs(z) > threshold``."""
     rows, groups = keyed(df, by)
-    points = rows.select(*groups, F.col(key).alias("key"), _clean(value).alias("v"))
-    center = _center(points, groups)
+    points = stored(rows.select(*groups, F.col(key).alias("key"), _clean(value).alias("v")))
+    center = stored(_center(points, groups))
     testable = (F.col("n") >= min_points) & (F.col("sigma") > 0)
     scored = attach(points, center, groups, "inner").where(testable & F.col("v").isNotNull())
     flags = scored.withColumn("score", (F.col("v") - F.col("median")) / F.col("sigma")).where(F.abs("score") > threshold).select(
@@ -109,7 +110,7 @@ def weekday_band(
     of the sorted group, so no peer list is built for a day.
     """
     base, groups = keyed(df, by)
-    rows = base.select(*groups, F.col(date).cast("date").alias("day"), _clean(value).alias("v"))
+    rows = stored(base.select(*groups, F.col(date).cast("date").alias("day"), _clean(value).alias("v")))
     dated = rows.where(F.col("v").isNotNull()).withColumn("wd", F.weekday("day"))
     cell = [*groups, "wd"]
     own = F.col("v")
@@ -206,56 +207,76 @@ def _noise_scale(noise: Column, middle: Column) -> Column:
     return F.when(sigma > 0, sigma).otherwise(F.greatest(F.lit(1.0), F.abs(middle) * fixed.SCALE_FLOOR_SHARE))
 
 
-def _shifts(rows: DataFrame, groups: list[str], min_segment: int, min_shift_sigma: float, max_depth: int) -> tuple[DataFrame, DataFrame]:
-    """Segmentation of long series: no step holds a whole series in one task.
+def _shifts(rows: DataFrame, groups: list[str], min_segment: int, min_shift_sigma: float, max_depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segmentation of long series with a worklist: no step holds a whole series in one task.
 
-    Running sums are computed once in chunks; each level works on the small segment table, which is
-    checkpointed so that a level never re-runs the ones before it.
+    Running sums are computed once in chunks. The worklist holds the open segments of all series; a round finds the best cut of each
+    from the running sums and the medians on both sides of it in one counted pass, closes the segments without an acceptable cut
+    with the reason, and opens the two sides of the others. A round reads only series with an open segment and ends the work when none is left.
+    One round beyond ``max_depth`` only tells which segments the depth left unsplit.
+    Returns shifts, one row per series, and the final segments (first and last row number, reason).
     """
     mean = rows.groupBy(*groups).agg(F.avg("v").alias("mean"))
     centred = attach(rows, mean, groups, "inner").withColumn("c", F.col("v") - F.col("mean")).drop("mean")
-    points = cut_lineage(running_sums(
+    points = stored(running_sums(
         centred, groups, "ord", {"idx": F.lit(1).cast("bigint"), "s1": F.col("c"), "s2": F.col("c") * F.col("c")}, {"before": "v"}, ["key"]))
-    steps = points.where(F.col("before").isNotNull()).withColumn("_d", F.abs(F.col("v") - F.col("before")))
-    scales = attach(median(points, groups, "v", "middle"), median(steps, groups, "_d", "noise").drop("n"), groups)
-    scales = scales.select(*groups, "n", _noise_scale(F.col("noise"), F.col("middle")).alias("scale"))
+    # the level and the noise of a series are two groups of one selection
+    both = points.select(*groups, F.explode(F.array(F.struct(F.lit("level").alias("_of"), F.col("v").alias("_x")),
+                                                    F.struct(F.lit("noise").alias("_of"), F.abs(F.col("v") - F.col("before")).alias("_x")))).alias("_p")).select(*groups, "_p.*")
+    scales = median(both, [*groups, "_of"], "_x").groupBy(*groups).agg(
+        F.max(F.when(F.col("_of") == "level", F.struct("n", "median"))).alias("_l"), F.max(F.when(F.col("_of") == "noise", F.col("median"))).alias("_n"))
     whole = points.groupBy(*groups).agg(F.max(F.struct("idx", "s1", "s2")).alias("e"))
     zero = F.lit(0.0)
     # a segment covers idx in (start, stop]; b1/b2 and e1/e2 are the running sums at its two ends
-    segments = whole.select(*groups, F.lit(0).cast("bigint").alias("start"), F.col("e.idx").alias("stop"), zero.alias("b1"), zero.alias("b2"),
-                            F.col("e.s1").alias("e1"), F.col("e.s2").alias("e2"))
-    scales = cut_lineage(scales)
-    segments = attach(segments, scales.drop("n"), groups)
-    accepted = []
-    for _ in range(max_depth):
-        parts = segments.groupBy(*groups).agg(F.collect_list(F.struct("start", "stop", "b1", "b2", "e1", "e2", "scale")).alias("parts"))
-        inside = attach(points, parts, groups, "inner").withColumn("part", F.get(F.filter(
+    segments = stored(attach(whole, scales, groups).select(
+        *groups, F.lit(0).cast("bigint").alias("start"), F.col("e.idx").alias("stop"), zero.alias("b1"), zero.alias("b2"), F.col("e.s1").alias("e1"), F.col("e.s2").alias("e2"),
+        F.col("_l.n").alias("n"), _noise_scale(F.col("_n"), F.col("_l.median")).alias("scale")))
+    series_rows = segments.select(*groups, "n", "scale")
+    segments = segments.drop("n")
+    accepted, closed = [], []
+    for level in range(max_depth + 1):
+        long = F.col("stop") - F.col("start") >= 2 * min_segment
+        closed.append(segments.where(~long).select(*groups, "start", "stop", F.lit("too short to split").alias("reason")))
+        parts = segments.where(long).groupBy(*groups).agg(F.collect_list(F.struct("start", "stop", "b1", "b2", "e1", "e2", "scale")).alias("parts"))  # 2 ** max_depth at most
+        inside = attach(points.select(*groups, "v", "idx", "s1", "s2"), parts, groups, "inner").withColumn("part", F.get(F.filter(
             "parts", lambda p: (F.col("idx") > p["start"]) & (F.col("idx") <= p["stop"])), F.lit(0))).where("part is not null")
         inside = inside.select(*groups, "v", "idx", "s1", "s2", "part.*")
         cuts = inside.where((F.col("idx") - F.col("start") >= min_segment) & (F.col("stop") - F.col("idx") >= min_segment))
-        best = cuts.groupBy(*groups, "start").agg(F.min(F.struct(_cut_cost().alias("cost"), "idx", "s1", "s2")).alias("m"))
-        best = best.select(*groups, "start", F.col("m.cost").alias("cost"), F.col("m.idx").alias("cut"),
-                           F.col("m.s1").alias("m1"), F.col("m.s2").alias("m2"))
-        best = cut_lineage(attach(best, segments, [*groups, "start"], "inner"))
-        sides = attach(inside.select(*groups, "start", "idx", "v"), best.select(*groups, "start", "cut"), [*groups, "start"], "inner")
+        ends = ["stop", "b1", "b2", "e1", "e2", "scale"]
+        best = cuts.groupBy(*groups, "start").agg(F.min(F.struct(_cut_cost().alias("cost"), "idx", "s1", "s2", *ends)).alias("m"))
+        best = stored(best.select(*groups, "start", *[F.col(f"m.{c}").alias(c) for c in ends], F.col("m.cost").alias("cost"), F.col("m.idx").alias("cut"), F.col("m.s1").alias("m1"), F.col("m.s2").alias("m2")))
+        gains = best.where(F.col("cost") < _whole_cost())
+        sides = attach(inside.select(*groups, "start", "idx", "v"), gains.select(*groups, "start", "cut"), [*groups, "start"], "inner")
         sides = sides.withColumn("side", F.when(F.col("idx") <= F.col("cut"), "l").otherwise("r"))
         levels = median(sides, [*groups, "start", "side"], "v").groupBy(*groups, "start").agg(
             F.max(F.when(F.col("side") == "l", F.col("median"))).alias("before_median"),
             F.max(F.when(F.col("side") == "r", F.col("median"))).alias("after_median"))
-        jump = (F.col("after_median") - F.col("before_median")) / F.col("scale")
-        shifts = attach(best, levels, [*groups, "start"], "inner").withColumn("score", jump)
-        shifts = cut_lineage(shifts.where((F.abs("score") >= min_shift_sigma) & (F.col("cost") < _whole_cost())))
+        judged = attach(best, levels, [*groups, "start"]).withColumn("score", (F.col("after_median") - F.col("before_median")) / F.col("scale"))
+        fits = F.coalesce(F.abs("score") >= min_shift_sigma, F.lit(False))
+        watch = Observation()
+        judged = stored(judged.withColumn("fits", fits).observe(watch, F.count_if("fits").alias("shifts")))
+        reason = F.when(F.col("before_median").isNull(), "no cut lowers the deviation").when(~F.col("fits"), "shift below the threshold").otherwise("depth reached")
+        ended = ~F.col("fits") | F.lit(level == max_depth)
+        closed.append(judged.where(ended).select(*groups, "start", "stop", reason.alias("reason")))
+        if level == max_depth:
+            break
+        shifts = judged.where("fits")
         accepted.append(shifts.select(*groups, (F.col("cut") + 1).alias("idx"), "before_median", "after_median", "score"))
         segments = shifts.select(*groups, F.explode(F.array(
             F.struct(F.col("start"), F.col("cut").alias("stop"), "b1", "b2", F.col("m1").alias("e1"), F.col("m2").alias("e2"), "scale"),
             F.struct(F.col("cut").alias("start"), "stop", F.col("m1").alias("b1"), F.col("m2").alias("b2"), "e1", "e2", "scale"),
         )).alias("s")).select(*groups, "s.*")
-    shifts = accepted[0]
-    for more in accepted[1:]:
-        shifts = shifts.unionByName(more)
-    shifts = attach(shifts, points.select(*groups, "idx", "key"), [*groups, "idx"], "inner").drop("idx")
+        if watch.get["shifts"] == 0:
+            break
+    segments = reduce(DataFrame.unionByName, closed)
+    if not accepted:
+        empty = points.limit(0)
+        shifts = empty.select(*groups, "key", *[F.lit(None).cast("double").alias(c) for c in ("before_median", "after_median", "score")])
+    else:
+        shifts = attach(reduce(DataFrame.unionByName, accepted), points.select(*groups, "idx", "key"), [*groups, "idx"], "inner").drop("idx")
     counts = shifts.groupBy(*groups).agg(F.count(F.lit(1)).alias("shifts"))
-    return shifts, attach(scales, counts, groups)
+    cut_off = segments.where("reason = 'depth reached'").groupBy(*groups).agg(F.count(F.lit(1)).alias("unsplit"))
+    return shifts, attach(attach(series_rows, counts, groups), cut_off, groups), segments
 
 
 def changepoints(
@@ -264,23 +285,35 @@ def changepoints(
 ) -> Detection:
     """Level shifts by binary segmentation on squared deviation, with a first-difference noise scale.
 
-    The cost of every cut is a difference of running sums of the centred series.
+    The cost of every cut is a difference of running sums of the centred series. ``unsplit`` of the verdict counts segments with an acceptable
+    cut that ``max_depth`` left whole; ``changepoint_segments`` lists all segments with the reason they were not split.
     """
     base, groups = keyed(df, by)
     rows = base.select(*groups, F.col(order).alias("ord"), F.col(key).alias("key"), _clean(value).alias("v"))
     present = rows.where(F.col("v").isNotNull())
-    shifts, summary = _shifts(present, groups, min_segment, min_shift_sigma, max_depth)
+    shifts, summary, _ = _shifts(present, groups, min_segment, min_shift_sigma, max_depth)
     flags = shifts.select(*groups, "key", "before_median", "after_median", F.lit("level_shift").alias("reason"), "score")
     verdict = attach(_groups(rows, groups), summary, groups)
-    n = F.coalesce("n", F.lit(0).cast("bigint"))
-    found = F.coalesce("shifts", F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    n, found = F.coalesce("n", zero), F.coalesce("shifts", zero)
     status = F.when(n < 2 * min_segment, "inconclusive").when(found > 0, "flagged").otherwise("clean")
     verdict = verdict.select(
         *groups, F.lit("stat.changepoints").alias("method"), status.alias("status"), n.alias("n"),
-        F.when(n >= 2 * min_segment, F.col("scale")).alias("scale"), found.alias("shifts"))
+        F.when(n >= 2 * min_segment, F.col("scale")).alias("scale"), found.alias("shifts"), F.coalesce("unsplit", zero).alias("unsplit"))
     return Detection(unkeyed(verdict), unkeyed(flags))
 
 
+def changepoint_segments(
+    df: DataFrame, by: Sequence[str], order: str = "ord", value: str = "value", key: str = "key",
+    min_segment: int = 7, min_shift_sigma: float = 2.0, max_depth: int = 3,
+) -> DataFrame:
+    """The segments that ``changepoints`` ends with: row numbers of the first and last value (nulls not counted) and why it was not split."""
+    base, groups = keyed(df, by)
+    rows = base.select(*groups, F.col(order).alias("ord"), F.col(key).alias("key"), _clean(value).alias("v")).where(F.col("v").isNotNull())
+    segments = _shifts(rows, groups, min_segment, min_shift_sigma, max_depth)[2]
+    return unkeyed(segments.select(*groups, (F.col("start") + 1).alias("first"), F.col("stop").alias("last"), "reason"))
+
+
 def psi(
     df: DataFrame, by: Sequence[str], label: str, period: str, value: str, baseline, current, threshold: float = 0.25,
     top: int = 8,

@@ -132,20 +132,15 @@ def tokenise(df: DataFrame, text: str, name: str = "tokens") -> DataFrame:
     return df.withColumn(name, tokens(text))
 
 
-def _words(df: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
+def kept_words(df: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
     """One row per kept token (column ``term``). Exploding first keeps the per-token work in generated code."""
     raw = df.select(*keys, F.explode(F.regexp_extract_all(F.lower(text.cast("string")), F.lit(r"[a-z0-9]+"), F.lit(0))).alias("term"))
     return raw.where((F.length("term") > 2) & ~F.col("term").isin(*fixed.STOPWORDS)).withColumn("term", stem(F.col("term")))
 
 
-def counted_words(df: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
-    """(keys…, term, tf): how often each kept token occurs per key."""
-    return _words(df, keys, text).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def keywords(df: DataFrame, key: Sequence[str], text: str, n: int = 20) -> DataFrame:
     """Distinctive terms per document: term frequency with a mild boost for longer terms."""
-    counts = counted_words(df, key, F.col(text))
+    counts = kept_words(df, key, F.col(text)).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
     score = F.col("tf") * (1 + F.ln(F.length("term").cast("double")))
     order = Window.partitionBy(*key).orderBy(score.desc(), "term")
     return counts.withColumns({"score": score, "rank": F.row_number().over(order)}).where(F.col("rank") <= n)
@@ -172,7 +167,7 @@ def tfidf_search(docs: DataFrame, query: str, topic: str | None = None, k: int =
     fields = F.array(*[F.struct(F.lit(float(fixed.FIELD_WEIGHTS[name])).alias("weight"), F.lit(name).alias("field"), F.coalesce(texts[name], F.lit("")).alias("text")) for name in texts])
     spread = candidates.select("path", F.explode(fields).alias("f")).select("path", "f.*")
     found = [f"_t{i}" for i in range(len(terms))]
-    counted = _words(spread, ["path", "field", "weight"], F.col("text")).groupBy("path", "field", "weight").agg(
+    counted = kept_words(spread, ["path", "field", "weight"], F.col("text")).groupBy("path", "field", "weight").agg(
         F.count(F.lit(1)).alias("length"), *[F.count_if(F.col("term") == term).alias(c) for c, term in zip(found, terms)])
     hits = cut_lineage(counted.where(F.greatest(*[F.col(c) for c in found], F.lit(0)) > 0))
     # one number per query term comes to the driver
