@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.base import money, query, rounded, table
 from plumbline.operators import invariants as inv
+from plumbline.operators import time_joins
 
 
 def _orders_window(spark, sf):
@@ -156,6 +157,68 @@ def latest_version(spark, sf):
     return rounded(newest.select("user_id", "event_id", "event_type", "value"))
 
 
+#: A third of the facts and of the versions share key 0.
+VERSIONS = """f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate AS t, CASE WHEN l_orderkey % 3 = 0 THEN 0 WHEN l_orderkey % 101 = 0 THEN NULL ELSE l_suppkey END AS k FROM lineitem),
+v AS (SELECT o_orderkey, o_orderdate AS t, o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 100 END AS k FROM orders)"""
+
+
+def _facts_and_versions(spark, sf):
+    key = F.when(F.col("l_orderkey") % 3 == 0, 0).when(F.col("l_orderkey") % 101 == 0, None).otherwise(F.col("l_suppkey"))
+    facts = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_shipdate").alias("at"), key.cast("bigint").alias("k"))
+    own = F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(F.col("o_custkey") % 100)
+    versions = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").alias("at"), "o_orderpriority", own.cast("bigint").alias("k"))
+    return facts, versions
+
+
+@query("version_in_force", f"""WITH {VERSIONS}, one AS (SELECT * FROM v QUALIFY ROW_NUMBER() OVER (PARTITION BY k, t ORDER BY o_orderkey DESC) = 1)
+SELECT l_orderkey, l_linenumber, l_partkey, one.o_orderkey AS version_o_orderkey, CAST(one.t AS VARCHAR) AS version_at FROM f ASOF LEFT JOIN one ON f.k = one.k AND f.t >= one.t""")
+def version_in_force(spark, sf):
+    """Every line with the last order of its key at or before its shipping date."""
+    facts, versions = _facts_and_versions(spark, sf)
+    out = time_joins.as_of_join(facts, versions, ["k"], "at", "at", ["o_orderkey"])
+    return rounded(out.select("l_orderkey", "l_linenumber", "l_partkey", "version_o_orderkey", "version_at"))
+
+
+@query("eligible_version_in_force", f"""WITH {VERSIONS}, one AS (SELECT * FROM v QUALIFY ROW_NUMBER() OVER (PARTITION BY k, t ORDER BY o_orderkey DESC) = 1),
+j AS (SELECT f.k, one.o_orderkey AS o, one.o_orderpriority AS p FROM f ASOF LEFT JOIN one ON f.k = one.k AND f.t >= one.t)
+SELECT k, CASE WHEN p <> '1-URGENT' THEN p END AS priority, COUNT(*) AS lines FROM j GROUP BY 1, 2""")
+def eligible_version_in_force(spark, sf):
+    """Lines per key and priority of the version in force; an urgent version is no version, and does not give way to an older one."""
+    facts, versions = _facts_and_versions(spark, sf)
+    out = time_joins.as_of_join(facts, versions, ["k"], "at", "at", ["o_orderkey"], eligible=F.col("o_orderpriority") != "1-URGENT")
+    return out.groupBy("k", F.col("version_o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+COVER = f"""{VERSIONS}, w AS (SELECT k, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(t AS DATE) END AS s, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(t AS DATE) + CAST(o_orderkey % 40 - 3 AS INTEGER) END AS e FROM v),
+d AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(t AS DATE) AS day, k, ROW_NUMBER() OVER () AS r FROM f)"""
+
+
+def _covered(spark, sf):
+    facts, versions = _facts_and_versions(spark, sf)
+    day, o = F.to_date("at"), F.col("o_orderkey")
+    windows = versions.select("k", F.when(o % 17 != 0, day).alias("s"), F.when(o % 13 != 0, F.date_add(day, (o % 40 - 3).cast("int"))).alias("e"))
+    return facts.withColumn("day", day).drop("at"), windows
+
+
+@query("window_coverage", f"""WITH {COVER}, n AS (SELECT k, COUNT(*) AS windows FROM w WHERE s IS NOT NULL GROUP BY 1),
+g AS (SELECT k, day, COUNT(s) AS covering FROM (SELECT DISTINCT k, day FROM d) q LEFT JOIN w USING (k) WHERE s <= day AND (e IS NULL OR day <= e) GROUP BY 1, 2)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN d.k IS NOT NULL THEN COALESCE(windows, 0) END AS windows, CASE WHEN d.k IS NOT NULL THEN COALESCE(covering, 0) END AS covering
+FROM d LEFT JOIN n USING (k) LEFT JOIN g ON g.k = d.k AND g.day = d.day""")
+def window_coverage(spark, sf):
+    """How many of the overlapping windows of its key contain each line's day."""
+    facts, windows = _covered(spark, sf)
+    return time_joins.window_coverage(facts, windows, "k", "k", "day", "s", "e").select("l_orderkey", "l_linenumber", "l_partkey", "windows", "covering")
+
+
+@query("outside_all_windows", f"""WITH {COVER}, n AS (SELECT DISTINCT k FROM w WHERE s IS NOT NULL), g AS (SELECT DISTINCT q.k, day FROM (SELECT DISTINCT k, day FROM d) q JOIN w ON w.k = q.k AND s <= day AND day <= e)
+SELECT d.k, COUNT(*) AS outside FROM d JOIN n USING (k) LEFT JOIN g ON g.k = d.k AND g.day = d.day WHERE g.k IS NULL GROUP BY 1""")
+def outside_all_windows(spark, sf):
+    """Lines per key that no window contains; a window without an end contains nothing here."""
+    facts, windows = _covered(spark, sf)
+    out = time_joins.outside_all_windows(facts, windows, "k", "k", "day", "s", "e", open_end="outside")
+    return out.groupBy("k").agg(F.count(F.lit(1)).alias("outside"))
+
+
 @query("grain_check", """
 SELECT SUM(n)::BIGINT AS rows, COUNT(*) AS distinct_keys, COUNT(*) FILTER (WHERE n > 1) AS repeated_keys, MAX(n) AS worst, (SUM(n) - COUNT(*))::BIGINT AS duplicate_rows,
   CASE WHEN SUM(n) > COUNT(*) THEN 'flagged' ELSE 'clean' END AS status FROM (SELECT COUNT(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)""")

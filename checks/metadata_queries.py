@@ -221,9 +221,9 @@ def called_measures(spark, sf):
     return rounded(m.called_measures(m.expression_measures(x), x))
 
 
-@query("measure_closure", f'WITH {PART} SELECT model, name AS measure, tab AS "table", CAST(lvl AS BIGINT) AS level FROM closure')
+@query("measure_closure", f'WITH {PART} SELECT model, name AS measure, tab AS "table", CAST(lvl AS BIGINT) AS level FROM closure WHERE lvl <= 4')
 def measure_closure(spark, sf):
-    return rounded(m.measure_closure(_measures(spark, sf), _tables(spark, sf)))
+    return rounded(m.measure_closure(_measures(spark, sf), _tables(spark, sf), depth=4))
 
 
 CHAIN = """pt AS (SELECT p_partkey AS k, p_partkey // 20 AS g, 'M' || (p_partkey // 20) AS model, 'Measure ' || p_partkey AS name FROM part),

@@ -159,7 +159,7 @@ CHANGES = _changepoint_sql(7, 0.05, 3)
 SELECT p AS o_orderpriority, CAST(day AS VARCHAR) AS key, ROUND(before_median, 4) AS before_median, ROUND(after_median, 4) AS after_median, ROUND(score, 6) AS score
 FROM shifts JOIN pts USING (p, idx)""")
 def changepoint_shifts(spark, sf):
-    flags = s.changepoints(_series(spark, sf), BY, min_shift_sigma=0.05).flags.drop("reason")
+    flags = s.changepoints(_series(spark, sf), BY, min_shift_sigma=0.05, examine=False).flags.drop("reason")
     return rounded(flags.withColumns({"before_median": F.round("before_median", 4), "after_median": F.round("after_median", 4)}), 6)
 
 

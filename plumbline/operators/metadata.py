@@ -13,13 +13,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as fixed
 from plumbline.functions.scalars import lookup
 from plumbline.operators.names import similar_names
-from plumbline.session import cut_lineage
+from plumbline.session import stored
 
 FINDING = ["model", "method", "severity", "object", "kind", "fragment"]
 
@@ -243,15 +243,16 @@ def called_measures(edges: DataFrame, measures: DataFrame, depth: int | None = N
     measure cannot multiply rows, and a round costs what it adds. ``depth`` bounds the calls; ``reach_flags`` tells where that left something out.
     """
     # every round reads the call pairs again, so they are worked out once
-    pairs = cut_lineage(edges.select(F.col("model").alias("_model"), F.col("measure").alias("_from"), F.col("called").alias("_to")).distinct())
-    fresh = cut_lineage(measures.select("model", "measure", F.col("measure").alias("reached"), F.lit(0).alias("level")).distinct())
+    pairs = stored(edges.select(F.col("model").alias("_model"), F.col("measure").alias("_from"), F.col("called").alias("_to")).distinct())
+    fresh = stored(measures.select("model", "measure", F.col("measure").alias("reached"), F.lit(0).alias("level")).distinct())
     known = fresh
     level = 0
     while depth is None or level < depth:
         level += 1
         hop = fresh.join(pairs, (F.col("model") == F.col("_model")) & (F.col("reached") == F.col("_from"))).select("model", "measure", F.col("_to").alias("reached")).distinct()
-        fresh = cut_lineage(hop.join(known.select("model", "measure", "reached"), ["model", "measure", "reached"], "left_anti").withColumn("level", F.lit(level)))
-        if fresh.isEmpty():
+        watch = Observation()
+        fresh = stored(hop.join(known.select("model", "measure", "reached"), ["model", "measure", "reached"], "left_anti").withColumn("level", F.lit(level)).observe(watch, F.count(F.lit(1)).alias("rows")))
+        if watch.get["rows"] == 0:
             break
         known = known.unionByName(fresh)
     return known

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.relational import attach
-from plumbline.session import cut_lineage
+from plumbline.session import stored
 
 
 def running_sums(
@@ -29,7 +29,7 @@ def running_sums(
     by = list(by)
     rows = df.withColumns({f"_s_{n}": e for n, e in sums.items()})
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunked = cut_lineage(rows.repartitionByRange(ranges, *by, order, *tie).withColumn("_chunk", F.spark_partition_id()))
+    chunked = stored(rows.repartitionByRange(ranges, *by, order, *tie).withColumn("_chunk", F.spark_partition_id()))
     sequence = F.struct(order, *tie)
     totals = chunked.groupBy(*by, "_chunk").agg(
         *[F.sum(f"_s_{n}").alias(f"_t_{n}") for n in sums],

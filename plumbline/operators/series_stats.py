@@ -207,13 +207,13 @@ def _noise_scale(noise: Column, middle: Column) -> Column:
     return F.when(sigma > 0, sigma).otherwise(F.greatest(F.lit(1.0), F.abs(middle) * fixed.SCALE_FLOOR_SHARE))
 
 
-def _shifts(rows: DataFrame, groups: list[str], min_segment: int, min_shift_sigma: float, max_depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _shifts(rows: DataFrame, groups: list[str], min_segment: int, min_shift_sigma: float, max_depth: int, examine: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Segmentation of long series with a worklist: no step holds a whole series in one task.
 
     Running sums are computed once in chunks. The worklist holds the open segments of all series; a round finds the best cut of each
     from the running sums and the medians on both sides of it in one counted pass, closes the segments without an acceptable cut
     with the reason, and opens the two sides of the others. A round reads only series with an open segment and ends the work when none is left.
-    One round beyond ``max_depth`` only tells which segments the depth left unsplit.
+    One round beyond ``max_depth`` tells which segments the depth left unsplit; without ``examine`` all long ones count as left.
     Returns shifts, one row per series, and the final segments (first and last row number, reason).
     """
     mean = rows.groupBy(*groups).agg(F.avg("v").alias("mean"))
@@ -237,6 +237,9 @@ def _shifts(rows: DataFrame, groups: list[str], min_segment: int, min_shift_sigm
     for level in range(max_depth + 1):
         long = F.col("stop") - F.col("start") >= 2 * min_segment
         closed.append(segments.where(~long).select(*groups, "start", "stop", F.lit("too short to split").alias("reason")))
+        if level == max_depth and not examine:
+            closed.append(segments.where(long).select(*groups, "start", "stop", F.lit("depth reached").alias("reason")))
+            break
         parts = segments.where(long).groupBy(*groups).agg(F.collect_list(F.struct("start", "stop", "b1", "b2", "e1", "e2", "scale")).alias("parts"))  # 2 ** max_depth at most
         inside = attach(points.select(*groups, "v", "idx", "s1", "s2"), parts, groups, "inner").withColumn("part", F.get(F.filter(
             "parts", lambda p: (F.col("idx") > p["start"]) & (F.col("idx") <= p["stop"])), F.lit(0))).where("part is not null")
@@ -281,17 +284,17 @@ def _shifts(rows: DataFrame, groups: list[str], min_segment: int, min_shift_sigm
 
 def changepoints(
     df: DataFrame, by: Sequence[str], order: str = "ord", value: str = "value", key: str = "key",
-    min_segment: int = 7, min_shift_sigma: float = 2.0, max_depth: int = 3,
+    min_segment: int = 7, min_shift_sigma: float = 2.0, max_depth: int = 3, examine: bool = True,
 ) -> Detection:
     """Level shifts by binary segmentation on squared deviation, with a first-difference noise scale.
 
     The cost of every cut is a difference of running sums of the centred series. ``unsplit`` of the verdict counts segments with an acceptable
-    cut that ``max_depth`` left whole; ``changepoint_segments`` lists all segments with the reason they were not split.
+    cut that ``max_depth`` left whole, or without ``examine``, which saves a round, those it left unexamined; ``changepoint_segments`` lists all segments with the reason they were not split.
     """
     base, groups = keyed(df, by)
     rows = base.select(*groups, F.col(order).alias("ord"), F.col(key).alias("key"), _clean(value).alias("v"))
     present = rows.where(F.col("v").isNotNull())
-    shifts, summary, _ = _shifts(present, groups, min_segment, min_shift_sigma, max_depth)
+    shifts, summary, _ = _shifts(present, groups, min_segment, min_shift_sigma, max_depth, examine)
     flags = shifts.select(*groups, "key", "before_median", "after_median", F.lit("level_shift").alias("reason"), "score")
     verdict = attach(_groups(rows, groups), summary, groups)
     zero = F.lit(0).cast("bigint")
@@ -310,7 +313,7 @@ def changepoint_segments(
     """The segments that ``changepoints`` ends with: row numbers of the first and last value (nulls not counted) and why it was not split."""
     base, groups = keyed(df, by)
     rows = base.select(*groups, F.col(order).alias("ord"), F.col(key).alias("key"), _clean(value).alias("v")).where(F.col("v").isNotNull())
-    segments = _shifts(rows, groups, min_segment, min_shift_sigma, max_depth)[2]
+    segments = _shifts(rows, groups, min_segment, min_shift_sigma, max_depth, True)[2]
     return unkeyed(segments.select(*groups, (F.col("start") + 1).alias("first"), F.col("stop").alias("last"), "reason"))
 
 
