@@ -113,9 +113,11 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
         """The sets differ in at least one word for every bit that differs; that leaves room for the overlap they need."""
         return n1 + n2 - F.bit_count(bits1.bitwiseXOR(bits2)) >= 2 * _least(n1 + n2, t / (1 + t))
 
+    # a smaller set resembles none but itself: one word more on the other side is too many already
+    least = math.ceil(t / (1 - t)) if t < 1 else 1 << 30
     p = F.col("prefix")
     twos = F.array(*[F.xxhash64(F.get(p, F.lit(i)), F.get(p, F.lit(j))) for i, j in ((0, 1), (1, 2))])
-    star = kinds.where("n > 3").select(F.col("line.doc_id.id").alias("id"), F.col("line.doc_id.mark").alias("mark"), F.col("line.line_no").alias("line_no"), "n", "bits", F.explode(F.array_distinct(F.when(F.size(p) < 2, F.array(F.xxhash64(F.get(p, F.lit(0))))).when(F.size(p) < 3, F.slice(twos, 1, 1)).otherwise(twos))).alias("two"))
+    star = kinds.where(F.col("n") >= least).select(F.col("line.doc_id.id").alias("id"), F.col("line.doc_id.mark").alias("mark"), F.col("line.line_no").alias("line_no"), "n", "bits", F.explode(F.array_distinct(F.when(F.size(p) < 2, F.array(F.xxhash64(F.get(p, F.lit(0))))).when(F.size(p) < 3, F.slice(twos, 1, 1)).otherwise(twos))).alias("two"))
     firsts = star.groupBy("two").agg(F.min(F.struct("id", "mark", "line_no", "n", "bits")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("two", "first")
     close = F.col("first.n") * t.denominator >= F.col("n") * t.numerator
     close &= F.col("n") * t.denominator >= F.col("first.n") * t.numerator
@@ -126,7 +128,7 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     beside = star.join(firsts, "two").where(other & close).select(place("first.").alias("x"), place().alias("y")).distinct()
     gone = stored(_confirmed(stored(beside), plain, t))
 
-    posted = kinds.where("n > 3").join(gone.withColumn("gone", F.lit(True)), "line", "left")
+    posted = kinds.where(F.col("n") >= least).join(gone.withColumn("gone", F.lit(True)), "line", "left")
     # lines that go already have a negative size, which no later line of a pair may have: nothing to filter on one side alone, so
     # both sides of the join read one and the same shuffle
     posted = posted.select(F.posexplode("prefix").alias("at", "token"), F.col("line.doc_id.id").alias("id"), F.col("line.doc_id.mark").alias("mark"), F.col("line.line_no").alias("line_no"),

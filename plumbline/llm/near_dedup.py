@@ -246,14 +246,8 @@ def _across(members: DataFrame, nodes: DataFrame, rules: Rules) -> DataFrame:
     return rows.groupBy("key", "kind", "i", "j").applyInArrow(run, "x bigint, y bigint").distinct()
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``.
-
-    A text of fewer words than a shingle is one shingle of all its words; a null, empty or wordless text has
-    no shingle and is linked with nothing. Equal texts are linked. A null key takes part, as the largest id: its
-    row is kept only where nothing with an id is alike, and then has a null component. Repeated rows give the
-    same result each. Further columns of ``docs`` are not read.
-    """
+def _placed(docs: DataFrame, key: str, text: str, rules: Rules) -> DataFrame:
+    """Per row: ``doc_id``, ``held`` (hash of its text), ``n_shingles``, its ``component`` (null without a shingle) and the component's smallest id."""
     docs = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text").alias("held"), "text")
     rows = cut_lineage(_sketches(docs, rules))
@@ -286,14 +280,35 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Rule
 
     named = nodes.select("node", "mark", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    final = named.join(least, "component").select("mark", "component_id")
-    alone = rows.where("mark is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    linked = full.select("doc_id", "n_shingles", "mark").join(final, "mark").select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    final = named.join(least, "component").select("mark", "component", "component_id")
+    alone = rows.where("mark is null").select("doc_id", "held", "n_shingles", F.lit(None).cast("bigint").alias("component"), F.col("doc_id").alias("component_id"))
+    linked = full.select("doc_id", "held", "n_shingles", "mark").join(final, "mark").select("doc_id", "held", "n_shingles", "component", "component_id")
+    return linked.unionByName(alone)
+
+
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``.
+
+    A text of fewer words than a shingle is one shingle of all its words; a null, empty or wordless text has
+    no shingle and is linked with nothing. Equal texts are linked. A null key takes part, as the largest id: its
+    row is kept only where nothing with an id is alike, and then has a null component. Repeated rows give the
+    same result each. Further columns of ``docs`` are not read.
+    """
+    placed = _placed(docs, key, text, rules).select("doc_id", "n_shingles", "component_id")
+    return placed.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """``docs`` with one row of each group, the one with the smallest id; rows repeated under that id stay."""
-    kept = groups(docs, key, text, rules).where("kept").select(F.col("doc_id").alias("other")).distinct()
-    held = docs.select(F.col(f"`{key}`").alias("own"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return held.join(kept, F.col("own").eqNullSafe(F.col("other")), "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    """``docs`` with one text of each group: the one under the smallest id (null ids last), of several under it the one with the smallest hash.
+
+    Rows are told apart by id and text, so near copies go although they have no id or share one with a text that stays. Rows that
+    repeat both the id and the text of the one that stays stay with it, and so do all rows without a shingle. Columns stay as they came,
+    whatever their names; an empty table stays empty.
+    """
+    placed = cut_lineage(_placed(docs, key, text, rules).select("doc_id", "held", "component"))
+    first = placed.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "held")).alias("one"))
+    kept = first.select("one.doc_id", "one.held").unionByName(placed.where("component is null").select("doc_id", "held").distinct())
+    kept = kept.select(F.col("doc_id").alias("other"), F.col("held").alias("mark"))
+    own = docs.select(F.col(f"`{key}`").alias("own"), F.xxhash64(F.col(f"`{text}`").cast("string").cast("binary")).alias("held"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    stays = own.join(kept, F.col("own").eqNullSafe(F.col("other")) & F.col("held").eqNullSafe(F.col("mark")), "left_semi")
+    return stays.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -50,10 +50,10 @@ def pair(name: str, value: Column | str) -> Column:
 def write_records(rows: DataFrame) -> DataFrame:
     """``record``: the WARC/1.1 text of rows (record_id, kind, uri, at, status, headers, body); other columns stay behind.
 
-    ``kind`` is ``response`` or ``revisit``. A null body is an empty block, a null URI an empty header.
+    ``kind`` is ``response`` or ``revisit``. A null body is an empty block, a null URI an empty header, a null status an empty one; a null date has no header.
     """
     body = F.coalesce("body", F.lit(""))
-    http = F.concat(_block(F.concat(F.lit("HTTP/1.1 "), F.col("status").cast("string")), F.coalesce("headers", F.array().cast(HEADERS))), body)
+    http = F.concat(_block(F.concat(F.lit("HTTP/1.1 "), F.coalesce(F.col("status").cast("string"), F.lit(""))), F.coalesce("headers", F.array().cast(HEADERS))), body)
     revisit = F.col("kind") == "revisit"
     warc = F.array(
         pair("WARC-Type", F.col("kind")), pair("WARC-Record-ID", F.concat(F.lit("<urn:record:"), F.col("record_id").cast("string"), F.lit(">"))),
@@ -76,7 +76,10 @@ def _headers(block: Column) -> Column:
 
 
 def read_records(records: DataFrame, record: str = "record") -> DataFrame:
-    """The fields of WARC records again: record_id, kind, uri, at, status, headers, payload_digest, body. No record, no row."""
+    """The fields of WARC records again: record_id, kind, uri, at, status, headers, payload_digest, body. No record, no row.
+
+    A record that was cut off or holds no HTTP block keeps what can be read of it; the other fields are null, the date too where it is no date.
+    """
     r = F.col(f"`{record}`")
     split = records.where(r.isNotNull()).select(r.alias("r"), F.instr(r, CRLF + CRLF).alias("a")).where("a > 0")
     split = split.select(F.substring("r", F.lit(1), F.col("a") - 1).alias("warc"), F.substring("r", F.col("a") + 4, F.length("r")).alias("http"))
@@ -84,8 +87,8 @@ def read_records(records: DataFrame, record: str = "record") -> DataFrame:
     http = F.substring("http", F.lit(1), F.col("b") - 1)
     return split.select(
         F.regexp_extract(header(F.col("w"), "WARC-Record-ID"), "<urn:record:(.*)>", 1).alias("record_id"), header(F.col("w"), "WARC-Type").alias("kind"),
-        F.coalesce(header(F.col("w"), "WARC-Target-URI"), F.lit("")).alias("uri"), F.to_timestamp(header(F.col("w"), "WARC-Date")).alias("at"),
-        F.regexp_extract(http, r"^HTTP/[0-9.]+ (\d+)", 1).cast("int").alias("status"), _headers(http).alias("headers"),
+        F.coalesce(header(F.col("w"), "WARC-Target-URI"), F.lit("")).alias("uri"), F.try_to_timestamp(header(F.col("w"), "WARC-Date")).alias("at"),
+        F.regexp_extract(http, r"^HTTP/[0-9.]+ (\d+)", 1).try_cast("int").alias("status"), _headers(http).alias("headers"),
         header(F.col("w"), "WARC-Payload-Digest").alias("payload_digest"),
         F.substring("http", F.col("b") + 4, F.length("http") - F.col("b") - 7).alias("body"))
 

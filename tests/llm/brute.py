@@ -45,7 +45,7 @@ def near_groups(rows, words=5, percent=80):
 
 def kept_lines(rows, num=4, den=5):
     """{doc_id: [line numbers that stay]} for rows (doc_id, text) with distinct ids."""
-    earlier, out = [], {}
+    earlier, seen, out = [], set(), {}
     posted: dict = {}
     for doc, text in sorted(rows):
         out[doc] = []
@@ -59,22 +59,14 @@ def kept_lines(rows, num=4, den=5):
                     counts[k] = counts.get(k, 0) + 1
             if not any(c * den >= num * (len(tokens) + len(earlier[k]) - c) for k, c in counts.items()):
                 out[doc].append(i)
-            if tokens not in seen_sets(earlier):
+            if tokens not in seen:
+                seen.add(tokens)
                 for w in tokens:
                     posted.setdefault(w, []).append(len(earlier))
                 earlier.append(tokens)
     return out
 
 
-def seen_sets(earlier, _cache={}):
-    key = id(earlier)
-    done, sets = _cache.get(key, (0, set()))
-    sets.update(earlier[done:])
-    _cache.clear()
-    _cache[key] = (len(earlier), sets)
-    return sets
-
-
 def shingle_words(line):
     found = shingle_set(line, 1)
     if found:
