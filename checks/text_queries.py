@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.base import query, rounded, table
 from plumbline.functions import fixed_values as fixed
 from plumbline.functions import scalars as sc
-from plumbline.operators import search_index
+from plumbline.operators import search_index, term_dictionary
 from plumbline.operators import text as t
 from plumbline.session import shared_folder
 from plumbline.sources.evidence import parse_events, read_texts
@@ -33,6 +33,32 @@ def redact_terms(spark, sf):
     return t.redact_terms(_docs(spark, sf), "text", TERMS).select("doc_id", F.md5("text").alias("digest"))
 
 
+SYLLABLES = [a + b for a in "aeiours" for b in "dhlnrstw"] + ["th", "en", "ing", "ion", "ung", "que", "ment", "eau"]
+#: About four thousand words of two syllables, and pairs of words; no term of one piece is part of another.
+DICTIONARY = {a + b: "[w]" for a in SYLLABLES for b in SYLLABLES if a + b not in ("the", "of", *SYLLABLES)} | {f"{a} the": "[t]" for a in SYLLABLES} | {f"of {a}": "[o]" for a in SYLLABLES}
+PIECES = rf"""dictionary AS MATERIALIZED (SELECT UNNEST({[t for t in DICTIONARY if " " not in t]}) AS term), p0 AS (SELECT doc_id, UNNEST(regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+|(?s:.)')) AS piece, generate_subscripts(regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+|(?s:.)'), 1) AS i FROM documents),
+p1 AS (SELECT *, lower(piece) AS x, LEAD(lower(piece)) OVER w AS x1, LEAD(lower(piece), 2) OVER w AS x2, LEAD(lower(piece), 3) OVER w AS x3, LEAD(lower(piece), 4) OVER w AS x4 FROM p0 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+p2 AS (SELECT *, COALESCE(x IN {tuple(SYLLABLES)} AND x1 = ' ' AND x2 = 'the', FALSE) AS t, COALESCE(x = 'of' AND x1 = ' ' AND x2 IN {tuple(SYLLABLES)}, FALSE) AS o, COALESCE(x3 = ' ' AND x4 = 'the', FALSE) AS later FROM p1),
+p3 AS (SELECT *, t OR (o AND NOT later) AS multi FROM p2),
+p4 AS MATERIALIZED (SELECT p3.*, COALESCE(LAG(multi) OVER w, FALSE) OR COALESCE(LAG(multi, 2) OVER w, FALSE) AS inside, term IS NOT NULL AS single FROM p3 LEFT JOIN dictionary ON x = term WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+p5 AS (SELECT *, CASE WHEN inside THEN '' WHEN multi AND t THEN '[t]' WHEN multi THEN '[o]' WHEN single THEN '[w]' ELSE piece END AS out FROM p4)"""
+
+
+@query("redact_dictionary", f"""WITH {PIECES} SELECT d.doc_id, md5(COALESCE(string_agg(out, '' ORDER BY i), '')) AS digest, COUNT(*) FILTER (NOT inside AND (multi OR single)) AS hits
+FROM documents d LEFT JOIN p5 USING (doc_id) WHERE text IS NOT NULL GROUP BY d.doc_id""")
+def redact_dictionary(spark, sf):
+    """About four thousand terms in one pass."""
+    out = term_dictionary.redact_dictionary(_docs(spark, sf), "text", DICTIONARY)
+    total = F.aggregate(F.map_values("term_hits"), F.lit(0).cast("bigint"), lambda a, n: a + n)
+    return out.where("text is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), total.alias("hits"))
+
+
+@query("surviving_terms", f"""WITH {PIECES}, s AS (SELECT doc_id, x AS term FROM p4 WHERE single UNION SELECT doc_id, x || ' the' FROM p2 WHERE t UNION SELECT doc_id, 'of ' || x2 FROM p2 WHERE o)
+SELECT d.doc_id, COALESCE(string_agg(term, ';' ORDER BY term), '') AS surviving FROM documents d LEFT JOIN s USING (doc_id) GROUP BY 1""")
+def surviving_terms(spark, sf):
+    return rounded(term_dictionary.surviving_terms(_docs(spark, sf), "text", list(DICTIONARY)).select("doc_id", "surviving"))
+
+
 PHONE = r"(^|[^\w.\-])((?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)|\d{3})[ .\-]\d{3}[ .\-]\d{4})($|[^\d\-])"
 
 

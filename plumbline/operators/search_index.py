@@ -49,7 +49,9 @@ def build(docs: DataFrame, folder: str) -> None:
     sized.sortWithinPartitions("term").write.parquet(f"{folder}/postings")
     everyone = F.array_union(F.array(F.lit(None).cast("string")), "topics")
     postings = spark.read.parquet(f"{folder}/postings")
-    postings.select("term", F.explode(everyone).alias("topic")).groupBy("term", "topic").agg(F.count(F.lit(1)).alias("articles")).sortWithinPartitions("term").write.parquet(f"{folder}/frequencies")
+    # articles with the same topics count together before they count for each topic
+    alike = postings.groupBy("term", "topics").agg(F.count(F.lit(1)).alias("articles"))
+    alike.select("term", F.explode(everyone).alias("topic"), "articles").groupBy("term", "topic").agg(F.sum("articles").alias("articles")).sortWithinPartitions("term").write.parquet(f"{folder}/frequencies")
     articles.select(F.explode(everyone).alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("total")).coalesce(1).write.parquet(f"{folder}/totals")
 
 

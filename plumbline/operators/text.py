@@ -17,6 +17,10 @@ from plumbline.session import cut_lineage
 # --- redaction -------------------------------------------------------------------
 
 
+#: Runs of word characters, and every other character on its own.
+PIECE = r"(?U)\w+|(?s)\W"
+
+
 def ordered_terms(terms: Sequence[str]) -> list[str]:
     return sorted(terms, key=lambda t: (-len(t), t))
 
