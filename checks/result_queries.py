@@ -68,7 +68,7 @@ def lint_to_claims(spark, sf):
 
 @query("failed_to_findings", f"""WITH {BASE} SELECT 'FD-' || id AS id, 'Balance of customer ' || k || ' stays positive; checked monthly' AS title, COALESCE(severity, 'medium') AS severity, id AS claim_ids,
   'Probe ' || detector || ' failed: ' || detector || ': Observed ' || n || ' == expected 0: does not hold' AS explanation,
-  'The checked rule does not hold for these rows, and every figure built on them is off by as much.' AS impact, 'probes/' || id || '.json' AS evidence FROM cl WHERE status = 'failed'""")
+  'The checked rule does not hold for these rows, and every figure built on them is off by as much.' AS impact, '' AS evidence FROM cl WHERE status = 'failed'""")
 def failed_to_findings(spark, sf):
     return rounded(r.failed_to_findings(_base(spark, sf)))
 
