@@ -96,8 +96,7 @@ def test_compare_does_not_narrow_types(spark, rows):
     assert rows(compare.keyed_compare(before, after, ["k"], ["v"]).changes, "k", "delta") == [("a", 0.4)]
 
 
-def test_closest_name_over_many_chunks(spark, monkeypatch, rows):
-    monkeypatch.setattr(metadata, "NAMES_PER_CHUNK", 3)
+def test_closest_name_among_many_candidates(spark, rows):
     candidates = spark.createDataFrame([("M", f"column_{i}") for i in range(40)] + [("M", "amount"), ("N", "amounts")], "model string, candidate string")
     names = spark.createDataFrame([("M", "amout"), ("M", "zzz"), ("N", "amout")], "model string, name string")
     assert rows(metadata.closest_name(names, candidates, ["model"], "name")) == [("M", "amout", "amount"), ("M", "zzz", None), ("N", "amout", "amounts")]
@@ -180,7 +179,9 @@ def test_closure_survives_cycles_and_stops_at_depth(spark, rows):
     chain = [(f"m{i}", f"[m{i + 1}]") for i in range(6)] + [("m6", "SUM(fact_deep[x])"), ("a", "[b] + SUM('dim_a'[x])"), ("b", "[a] / [b]")]
     measures = spark.createDataFrame([("M", "t", n, e, None) for n, e in chain], "model string, table string, measure string, expression string, format string")
     tables = spark.createDataFrame([("M", "fact_deep"), ("M", "dim_a")], "model string, table string")
-    closure = metadata.measure_closure(measures, tables)
+    whole = rows(metadata.measure_closure(measures, tables), "measure", "table", "level")
+    assert ("m0", "fact_deep", 6) in whole and ("m1", "fact_deep", 5) in whole
+    closure = metadata.measure_closure(measures, tables, depth=4)
     assert rows(closure, "measure", "table", "level") == [("a", "dim_a", 0), ("b", "dim_a", 1), ("m2", "fact_deep", 4), ("m3", "fact_deep", 3), ("m4", "fact_deep", 2), ("m5", "fact_deep", 1), ("m6", "fact_deep", 0)]
 
 
