@@ -6,7 +6,7 @@ import importlib
 
 from checks.base import QUERIES, SQL
 
-for _name in ("series", "invariant", "compare", "observe", "result", "metadata", "text", "source"):
+for _name in ("series", "invariant", "compare", "observe", "result", "metadata", "text", "source", "session", "published"):
     importlib.import_module(f"checks.{_name}_queries")
 
 __all__ = ["QUERIES", "SQL"]

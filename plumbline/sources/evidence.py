@@ -96,7 +96,7 @@ def read_evidence(spark: SparkSession, path: str, schema: str | None = None) ->
     return check_output_names(document.select(F.inline("rows"))), bool(complete)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
@@ -108,7 +108,7 @@ def write_evidence(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     start, parts = (f"{scheme}://" if scheme else ""), bare.rstrip("/").split("/")
     for depth in range(len(parts) - 1, 0, -1):  # the seal of any folder above counts
         parent = start + "/".join(parts[:depth])
-        if parent and parent != start and _exists(spark, f"{parent}/manifest.json"):
+        if parent and parent != start and path_exists(spark, f"{parent}/manifest.json"):
             raise ValueError(f"{parent} is sealed; write into a new folder")
     check_output_names(df).write.mode("errorifexists").format(fmt).save(path)
 
