@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by inner product with a permutation index.
 
-A vector is represented by the order in which it sees a fixed set of pivots, nearest first. In a block of vectors
-every pivot has an inverted file: the place that each vector of the block gives the pivot, with all places
-beyond the prefix counted as the prefix length, i.e. not posted. A query reads the files of its own prefix pivots,
-ranks the block by the footrule distance of the prefixes, and reranks the best share of it by the exact inner product.
+A vector is represented by its ``PREFIX`` nearest of ``PIVOTS`` pivots, in order. In a block of vectors every pivot has an inverted
+file with the vectors that have the pivot in their prefix and the place it takes there: ``PREFIX / PIVOTS`` of the block on average. A
+query reads the files of its own prefix pivots only, ranks the block by the footrule distance of the prefixes (a pivot outside
+a prefix counts as just behind it), and reranks the best share of it by the exact inner product.
 
 Equal vectors are indexed once, with their k + 1 smallest ids and how often each occurs: no query can return more of
 them, however many copies there are. They become rows again after the rerank.
@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.graph import stored
 
-PIVOTS = 256
+PIVOTS = 2_048
+PREFIX = 64
 BLOCK = 8_192  # distinct vectors
 CHUNK = 1_024  # queries searched together
+SLICE = 512  # vectors whose nearness to all pivots is in memory at once
 SHARE = 0.12  # part of a block that is reranked
 LEAST = 256  # vectors of a block that are reranked at least
 
@@ -46,14 +48,26 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def places(x: np.ndarray, pivots: np.ndarray, prefix: int, longest: float | None) -> np.ndarray:
-    """Place of every pivot in the order of every vector (pivots x vectors), capped at ``prefix``."""
-    extra = np.zeros(len(x)) if longest is None else np.sqrt(np.maximum(longest ** 2 - (x * x).sum(axis=1), 0))
-    near = x @ pivots[:, :-1].T + extra[:, None] * pivots[None, :, -1]
-    order = np.argsort(-near, axis=1, kind="stable")
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(len(pivots))[None, :], 1)
-    return np.minimum(place, prefix).astype(np.int16).T.copy()
+def prefixes(x: np.ndarray, pivots: np.ndarray, size: int, longest: float | None) -> np.ndarray:
+    """The ``size`` nearest pivots of every vector, nearest first (vectors x size)."""
+    out = np.empty((len(x), size), np.int32)
+    for i in range(0, len(x), SLICE):
+        part = x[i:i + SLICE]
+        near = part @ pivots[:, :-1].T
+        if longest is not None:
+            near += np.sqrt(np.maximum(longest ** 2 - (part * part).sum(axis=1), 0))[:, None] * pivots[None, :, -1]
+        some = np.sort(np.argpartition(-near, size - 1, axis=1)[:, :size], axis=1)
+        order = np.argsort(-np.take_along_axis(near, some, 1), axis=1, kind="stable")
+        out[i:i + SLICE] = np.take_along_axis(some, order, 1)
+    return out
+
+
+def inverted(order: np.ndarray, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inverted files of a block: where each pivot's file starts (and the last one ends), the vectors, and their places."""
+    flat = order.ravel()
+    at = np.argsort(flat, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=pivots))]).astype(np.int32)
+    return starts, (at // order.shape[1]).astype(np.int32), (at % order.shape[1]).astype(np.int32)
 
 
 def _kinds(base: DataFrame, k: int, width: int) -> DataFrame:
@@ -90,17 +104,18 @@ def search(base: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
     for i, r in enumerate(drawn):
         pivots[i, :width] = r["v"]
     pivots[:, -1] = np.sqrt(np.maximum(longest ** 2 - (pivots * pivots).sum(axis=1), 0))
-    prefix = max(1, len(pivots) // 2)
+    prefix = min(PREFIX, -(-len(pivots) // 2))
     blocks, chunks = -(-kinds.count() // BLOCK), -(-asked["n"] // CHUNK)
 
     def index(group: pa.Table) -> pa.Table:
         x = _matrix(group.column("v").combine_chunks(), width)
-        files = places(x, pivots, prefix, longest)
+        starts, posted, placed = inverted(prefixes(x, pivots, prefix, longest), len(pivots))
         lists = group.column("ids").combine_chunks()
         sizes, flat = np.diff(lists.offsets.to_numpy()).astype(np.int32), lists.flatten()
         return pa.table({"block": group.column("block").slice(0, 1), "ids": pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat.field("id")),
                          "times": pa.array([flat.field("c").to_numpy().astype(np.int32).tobytes()], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary()),
-                         "vectors": pa.array([x.tobytes()], pa.binary()), "files": pa.array([files.tobytes()], pa.binary())})
+                         "vectors": pa.array([x.tobytes()], pa.binary()), "starts": pa.array([starts.tobytes()], pa.binary()),
+                         "posted": pa.array([posted.tobytes()], pa.binary()), "placed": pa.array([placed.tobytes()], pa.binary())})
 
     def chunk(group: pa.Table) -> pa.Table:
         ids = group.column("id").combine_chunks()
@@ -112,20 +127,17 @@ def search(base: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
                 own, ids = batch.column("q_ids")[r].values, batch.column("ids")[r].values
                 q = np.frombuffer(batch.column("q_vectors")[r].as_py()).reshape(-1, width)
                 x = np.frombuffer(batch.column("vectors")[r].as_py()).reshape(-1, width)
-                files = np.frombuffer(batch.column("files")[r].as_py(), np.int16).reshape(len(pivots), -1)
-                times, sizes = (np.frombuffer(batch.column(c)[r].as_py(), np.int32) for c in ("times", "sizes"))
+                times, sizes, starts, posted, placed = (np.frombuffer(batch.column(c)[r].as_py(), np.int32) for c in ("times", "sizes", "starts", "posted", "placed"))
                 ends = np.cumsum(sizes)
-                view = places(q, pivots, prefix, None)
+                view = prefixes(q, pivots, prefix, None)
                 names = np.array(ids.to_pylist(), dtype=object) if not pa.types.is_integer(ids.type) else ids.to_numpy()
                 single, first = sizes == 1, names[ends - sizes]
                 found = ([], [], [])
-                far, one = np.empty(len(x), np.int32), np.empty(len(x), np.int16)
                 for i, who in enumerate(own.to_pylist()):
-                    # sum of |a - b| over the prefixes is, up to a constant, twice the sum of max(a, b) over the query's own
-                    far[:] = 0
-                    for p in np.flatnonzero(view[:, i] < prefix):
-                        np.maximum(files[p], view[p, i], out=one)
-                        far += one
+                    # the footrule distance is a constant less twice the sum, over shared pivots, of what the larger place leaves of the prefix
+                    files = [slice(starts[p], starts[p + 1]) for p in view[i]]
+                    larger = np.concatenate([np.maximum(placed[f], place) for place, f in enumerate(files)])
+                    far = -np.bincount(np.concatenate([posted[f] for f in files]), prefix - larger, len(x))
                     rest = np.flatnonzero(~(single & (first == who)))  # vectors that not only the query's own id has
                     take = min(len(rest), max(LEAST, k + 1, int(np.ceil(share * len(x)))))
                     if not take:
@@ -148,9 +160,9 @@ def search(base: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
                 yield pa.RecordBatch.from_arrays([own.take(pa.array(found[0], pa.int64())), ids.take(pa.array(found[1], pa.int64())), pa.array(found[2], pa.float64())], ["query_id", "vec_id", "score"])
 
     built = kinds.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(
-        index, f"block int, ids array<{kind}>, times binary, sizes binary, vectors binary, files binary")
+        index, f"block int, ids array<{kind}>, times binary, sizes binary, vectors binary, starts binary, posted binary, placed binary")
     asking = queries.withColumn("chunk", F.pmod(F.xxhash64("id", "v"), F.lit(chunks)).cast("int")).groupBy("chunk").applyInArrow(chunk, f"q_ids array<{kind}>, q_vectors binary")
     met = asking.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "q_ids", "q_vectors").join(built, "block")
-    near = met.select("q_ids", "q_vectors", "ids", "times", "sizes", "vectors", "files").mapInArrow(find, f"query_id {kind}, vec_id {kind}, score double")
+    near = met.select("q_ids", "q_vectors", "ids", "times", "sizes", "vectors", "starts", "posted", "placed").mapInArrow(find, f"query_id {kind}, vec_id {kind}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
