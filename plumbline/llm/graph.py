@@ -20,15 +20,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def maybe_in(keys: DataFrame, column: str) -> Callable[[Column | str], Column]:
-    """A bit set over hashes of the keys: a filter with false positives only, at most ``FLAGS`` bits however many keys there are."""
-    seen = keys.select(F.pmod(F.xxhash64(column), F.lit(FLAGS)).cast("int").alias("f")).distinct()
-    bits = bytearray(FLAGS // 8)
-    for f in seen.toArrow().column(0).to_pylist():
-        bits[f >> 3] |= 1 << (f & 7)
+def maybe_in(keys: DataFrame, column: str, flags: int = FLAGS) -> Callable[[Column | str], Column]:
+    """A bit set over hashes of the keys: a filter with false positives only, at most ``flags`` bits however many keys there are."""
+    seen = keys.select(F.pmod(F.xxhash64(column), F.lit(flags)).cast("int").alias("f"))
+    octets = seen.groupBy(F.shiftright("f", 3).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("f").bitwiseAND(F.lit(7)))).alias("bits"))
+    bits = bytearray(flags // 8)
+    for at, some in octets.collect():  # at most flags / 8 rows of two numbers
+        bits[at] = some
 
     def test(key: Column | str) -> Column:
-        f = F.pmod(F.xxhash64(key), F.lit(FLAGS)).cast("int")
+        f = F.pmod(F.xxhash64(key), F.lit(flags)).cast("int")
         byte = F.ascii(F.decode(F.substring(F.lit(bytes(bits)), F.shiftright(f, 3) + 1, F.lit(1)), "ISO-8859-1"))
         return F.getbit(byte, f.bitwiseAND(F.lit(7))) == 1
 

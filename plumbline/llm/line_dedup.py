@@ -29,6 +29,7 @@ from plumbline.llm.words import has_word, lines, texts
 BUCKET_BITS = 19
 BUCKETS = 1 << BUCKET_BITS
 LOW = (1 << 54) - 1
+LINE_FLAGS = 1 << 22  # bits that tell which lines are confirmed
 ODD_SPACE = r"[\t\x0B\f\r]"
 
 
@@ -52,9 +53,8 @@ def rarity(plain: DataFrame) -> Column:
     each = plain.select(F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("w")).where("w != ''")
     counts = each.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("c"))
     steps = bytearray(BUCKETS)
-    for batch in counts.toArrow().to_batches():  # at most BUCKETS rows of two numbers
-        for b, c in zip(batch.column("b").to_pylist(), batch.column("c").to_pylist()):
-            steps[b] = min(255, int(8 * math.log2(c)))
+    for b, c in counts.select("b", F.least(F.floor(F.log2("c") * 8), F.lit(255)).cast("int")).collect():  # at most BUCKETS rows of two numbers
+        steps[b] = c
     return F.lit(bytes(steps))
 
 
@@ -77,16 +77,20 @@ def _least(n: Column, t: Fraction) -> Column:
 
 
 def _confirmed(pairs: DataFrame, plain: DataFrame, t: Fraction) -> DataFrame:
-    """The later lines ``y`` of pairs (x, y) that reach the threshold on their full sets."""
+    """The later lines ``y`` of pairs (x, y) that reach the threshold on their full sets.
+
+    Lines travel as texts, which take less room than the hashes of their words; only lines of pairs are hashed.
+    """
     members = pairs.select(F.explode(F.array("x", "y")).alias("line")).distinct()
     inside = plain.where(maybe_in(members.select(F.col("line.doc_id").alias("doc")), "doc")("doc_id"))
     again = inside.select("doc_id", F.posexplode(lines(F.col("text"))).alias("line_no", "body")).where(has_word(F.col("body")))
-    full = again.select(F.struct("doc_id", "line_no").alias("line"), _hashes(F.col("body")).alias("tokens"))
+    full = again.select(F.struct("doc_id", "line_no").alias("line"), "body").where(maybe_in(members, "line", LINE_FLAGS)("line"))
     whole = members.join(full, "line").dropDuplicates(["line"])
-    x, y = (whole.select(F.col("line").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "xy")
-    both = F.size(F.array_intersect("x_tokens", "y_tokens"))
-    alike = both * t.denominator >= (F.size("x_tokens") + F.size("y_tokens") - both) * t.numerator
-    return pairs.join(x, "x").join(y, "y").where(alike).select(F.col("y").alias("line")).distinct()
+    x, y = (whole.select(F.col("line").alias(c), F.col("body").alias(f"{c}_body")) for c in "xy")
+    met = pairs.join(x, "x").join(y, "y").select("y", _hashes(F.col("x_body")).alias("a"), _hashes(F.col("y_body")).alias("b"))
+    sized = met.select("y", F.size("a").alias("n1"), F.size("b").alias("n2"), F.size(F.array_intersect("a", "b")).alias("both"))
+    alike = F.col("both") * t.denominator >= (F.col("n1") + F.col("n2") - F.col("both")) * t.numerator
+    return sized.where(alike).select(F.col("y").alias("line")).distinct()
 
 
 def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: str = "0.8") -> DataFrame:
