@@ -119,6 +119,15 @@ def test_restored_replays_toggles_and_options(spark, rows):
     assert observe.actions_between(df).groupBy("capture_ord").count().where("capture_ord = 2").first()["count"] == 3
 
 
+def test_findings_cite_their_probe_files(spark):
+    claims = [("PRB-a", "does not hold", "high", "dax.assert", "n: 1", "failed"), ("b", "", None, "dax.assert", "n: 2", "failed"), ("c", "", None, "dax.assert", "n: 0", "passed")]
+    df = spark.createDataFrame(claims, "id string, expected string, severity string, detector string, observed string, status string")
+    told = {r["id"]: r["evidence"] for r in results.failed_to_findings(df).collect()}
+    assert told == {"FD-PRB-a": ["probes/a.json"], "FD-b": ["probes/b.json"]}
+    own = df.withColumn("evidence", F.array(F.lit("kept.json")))
+    assert {tuple(r["evidence"]) for r in results.failed_to_findings(own).collect()} == {("kept.json",)}
+
+
 def test_consistency_reasons(spark):
     f = figures(spark, [(0, "n", 66, None), (0, "d", 0, None), (0, "r", 3.3, None), (0, "k", None, "$240K")])
     assert observe.consistency_ratio(f, "n", "d", "r").first()["note"] == "the figure it is divided by is zero"
