@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as fixed
-from plumbline.functions.relational import attach
+from plumbline.functions.relational import attach, shuffled
 from plumbline.functions.scalars import format_number, range_relation, typed_equal
 from plumbline.operators.running import running_sums
 
@@ -149,13 +149,13 @@ def consistency_status(results: DataFrame) -> DataFrame:
 
 def _with_baseline(figures: DataFrame) -> DataFrame:
     base = figures.where("capture_ord = 0").select("component", "figure_key", F.col("value").alias("base_value"), F.col("display").alias("base_display"))
-    return figures.join(base, ["component", "figure_key"], "left")
+    return figures.join(shuffled(base), ["component", "figure_key"], "left")
 
 
 def _with_previous(figures: DataFrame) -> DataFrame:
     before = figures.select("component", (F.col("capture_ord") + 1).alias("capture_ord"), "figure_key",
                             F.col("value").alias("prev_value"), F.col("display").alias("prev_display"), F.lit(True).alias("had"))
-    return figures.join(before, POINT, "inner")
+    return figures.join(shuffled(before), POINT, "inner")
 
 
 def delta(figures: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def context_key(date_start: Column | str = "date_start", date_end: Column | str
 def changed_filters(captures: DataFrame) -> DataFrame:
     """Slicer captions that differ from the baseline capture, as sorted text; the baseline lists its own selections."""
     base = captures.where("capture_ord = 0").select("component", F.col("slicers").alias("_base"))
-    joined = captures.join(base, "component", "left")
+    joined = captures.join(shuffled(base), "component", "left")
     differing = F.map_filter("slicers", lambda k, v: ~v.eqNullSafe(F.try_element_at("_base", k)))
     text = F.array_join(F.transform(F.array_sort(F.map_entries(differing)), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("")))), ", ")
     own = F.filter(F.array_sort(F.map_entries("slicers")), lambda e: ~F.lower(F.trim(F.coalesce(e["value"], F.lit("")))).isin("", "all", "all values"))
@@ -201,12 +201,12 @@ def reset_check(captures: DataFrame, figures: DataFrame, restored: DataFrame | N
     """
     contexts = captures.select(*CAPTURE, context_key().alias("context"))
     base = contexts.where("capture_ord = 0").select("component", F.col("context").alias("_base"))
-    back = contexts.where("capture_ord > 0").join(base, "component").where("context = _base").select(*CAPTURE)
+    back = contexts.where("capture_ord > 0").join(shuffled(base), "component").where("context = _base").select(*CAPTURE)
     if restored is not None:
-        back = attach(back, restored.select(*CAPTURE, "restored"), CAPTURE).where("restored is null or restored").drop("restored")
+        back = attach(back, shuffled(restored.select(*CAPTURE, "restored")), CAPTURE).where("restored is null or restored").drop("restored")
     differs = F.col("base_display").isNotNull() & (F.col("display") != F.col("base_display"))
     counts = _with_baseline(figures).groupBy(*CAPTURE).agg(F.count_if(differs).alias("differing"))
-    out = attach(back, counts, CAPTURE).withColumn("differing", F.coalesce("differing", F.lit(0).cast("bigint")))
+    out = attach(back, shuffled(counts), CAPTURE).withColumn("differing", F.coalesce("differing", F.lit(0).cast("bigint")))
     return out.withColumn("status", F.when(F.col("differing") > 0, "fail").otherwise("pass"))
 
 
@@ -214,7 +214,7 @@ def changed_check(figures: DataFrame, actions: DataFrame) -> DataFrame:
     """After an action at least one figure must move. ``actions``: component, capture_ord, actions."""
     moved = _with_previous(figures).groupBy(*CAPTURE).agg(F.count_if(F.col("display") != F.col("prev_display")).alias("moved"))
     acted = actions.where("capture_ord > 0 and actions > 0").select(*CAPTURE, "actions")
-    out = attach(acted, moved, CAPTURE).withColumn("moved", F.coalesce("moved", F.lit(0).cast("bigint")))
+    out = attach(acted, shuffled(moved), CAPTURE).withColumn("moved", F.coalesce("moved", F.lit(0).cast("bigint")))
     return out.withColumn("status", F.when(F.col("moved") > 0, "pass").otherwise("fail"))
 
 
@@ -224,15 +224,15 @@ def direction_check(figures: DataFrame, captures: DataFrame, actions: DataFrame)
     ``actions``: component, capture_ord, actions BIGINT, kind STRING, selected BOOLEAN of the single action.
     """
     before = captures.select("component", (F.col("capture_ord") + 1).alias("capture_ord"), F.col("date_start").alias("_ps"), F.col("date_end").alias("_pe"))
-    spans = captures.select(*CAPTURE, "date_start", "date_end").join(before, CAPTURE)
-    joined = spans.join(actions.where("actions = 1"), CAPTURE)
+    spans = captures.select(*CAPTURE, "date_start", "date_end").join(shuffled(before), CAPTURE)
+    joined = spans.join(shuffled(actions.where("actions = 1")), CAPTURE)
     relation = range_relation("_ps", "_pe", "date_start", "date_end")
     expectation = (F.when(F.col("kind") == "toggle_member", F.when(F.col("selected"), "not_down").otherwise("not_up"))
                    .when((F.col("kind") == "set_date") & (relation == "narrowed"), "not_up")
                    .when((F.col("kind") == "set_date") & (relation == "widened"), "not_down"))
     judged = joined.select(*CAPTURE, expectation.alias("expectation")).where("expectation is not null")
     pairs = _with_previous(figures).select(*CAPTURE, "value", "prev_value")
-    scored = attach(judged, pairs, CAPTURE)
+    scored = attach(judged, shuffled(pairs), CAPTURE)
     wrong = F.when(F.col("expectation") == "not_up", F.col("value") > F.col("prev_value")).otherwise(F.col("value") < F.col("prev_value"))
     out = scored.groupBy(*CAPTURE, "expectation").agg(F.count_if(wrong).alias("wrong"))
     return out.withColumn("status", F.when(F.col("wrong") > 0, "fail").otherwise("pass"))
@@ -297,7 +297,7 @@ def actions_between(steps: DataFrame) -> DataFrame:
     """Every action with the capture that follows it (capture_ord); actions after the last capture are dropped."""
     placed = _since_baseline(steps)
     captures = placed.where("kind = 'capture'").select("component", "captures_before", F.col("label").alias("capture_label"))
-    return placed.where("kind != 'capture'").drop("label").join(captures, ["component", "captures_before"]).withColumnRenamed("captures_before", "capture_ord")
+    return placed.where("kind != 'capture'").drop("label").join(shuffled(captures), ["component", "captures_before"]).withColumnRenamed("captures_before", "capture_ord")
 
 
 def restored_captures(steps: DataFrame) -> DataFrame:
@@ -315,7 +315,7 @@ def restored_captures(steps: DataFrame) -> DataFrame:
     control = ["component", "kind", "control", "member"]
     counted = running_sums(moves, control, "step_ord", {"_nth": F.lit(1).cast("bigint")}, {"_last": "selected"})
     start = moves.groupBy(*control).agg(F.min_by(~F.coalesce("selected", F.lit(False)), "step_ord").alias("_initial"))
-    counted = attach(counted, start, control)
+    counted = attach(counted, shuffled(start), control)
     toggled = F.coalesce("selected", F.lit(False)) != F.col("_initial")
     was = F.when(F.col("_nth") > 1, F.coalesce("_last", F.lit(False)) != F.col("_initial")).otherwise(F.lit(False))
     by_parity = F.when(F.col("_nth") % 2 == 1, 1).otherwise(-1)
@@ -332,6 +332,6 @@ def observed_table(captures: DataFrame, figures: DataFrame, keys: Sequence[str],
         "change", F.when(F.col("capture_ord") > 0, F.col("value") - F.col("base_value")))
     wide = shown.groupBy(*CAPTURE).pivot("figure_key", list(keys)).agg(F.first("value", ignorenulls=True).alias("value"), F.first("change", ignorenulls=True).alias("change"))
     out = captures.select(*CAPTURE, "label", "date_start", "date_end")
-    out = attach(attach(out, changed_filters(captures).drop("context"), CAPTURE), wide, CAPTURE)
+    out = attach(attach(out, shuffled(changed_filters(captures).drop("context")), CAPTURE), shuffled(wide), CAPTURE)
     status = reset_check(captures, figures, restored).select(*CAPTURE, F.when(F.col("status") == "pass", "Back to baseline").otherwise("Differs from baseline").alias("back_to_baseline"))
-    return attach(out, status, CAPTURE)
+    return attach(out, shuffled(status), CAPTURE)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.relational import attach
+from plumbline.functions.relational import attach, shuffled
 from plumbline.session import stored
 
 
@@ -42,7 +42,8 @@ def running_sums(
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums],
         *[F.lag(f"_z_{n}").over(chunks).alias(f"_p_{n}") for n in previous],
     )
-    placed = attach(chunked, offsets, [*by, "_chunk"], "inner")
+    # short series have almost as many offsets as rows
+    placed = attach(chunked, shuffled(offsets), [*by, "_chunk"], "inner")
     inside = Window.partitionBy(*by, "_chunk").orderBy(order, *tie)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     added = {n: F.col(f"_b_{n}") + F.sum(f"_s_{n}").over(upto) for n in sums}

@@ -128,6 +128,20 @@ def test_findings_cite_their_probe_files(spark):
     assert {tuple(r["evidence"]) for r in results.failed_to_findings(own).collect()} == {("kept.json",)}
 
 
+def test_captures_are_not_sent_through_the_driver(spark):
+    """Repetitive steps make small files, by which Spark would broadcast every row of them."""
+    steps = spark.range(2000).selectExpr("id as component", "explode(array(0, 1, 2)) as step_ord").withColumns({
+        "kind": F.when(F.col("step_ord") == 1, "set_date").otherwise("capture"), "label": F.lit("x"), "selected": F.lit(None).cast("boolean")})
+    acts = observe.actions_between(steps)
+    shown = spark.range(2000).selectExpr("id as component", "explode(array(0, 1)) as capture_ord").withColumns({
+        "figure_key": F.lit("n"), "value": F.lit(1.0), "display": F.lit("1"), "date_start": F.lit("2020-01-01").cast("date"), "date_end": F.lit("2020-01-02").cast("date"), "slicers": F.create_map(F.lit("S"), F.lit("a"))})
+    told = acts.select("component", F.col("capture_ord"), F.lit(1).alias("actions"), "kind", "selected")
+    frames = [acts, observe.direction_check(shown, shown, told), observe.changed_check(shown, told), observe.reset_check(shown, shown)]
+    for frame in frames:
+        assert "Broadcast" not in frame._jdf.queryExecution().sparkPlan().toString()
+    assert acts.count() == 2000
+
+
 def test_consistency_reasons(spark):
     f = figures(spark, [(0, "n", 66, None), (0, "d", 0, None), (0, "r", 3.3, None), (0, "k", None, "$240K")])
     assert observe.consistency_ratio(f, "n", "d", "r").first()["note"] == "the figure it is divided by is zero"
