@@ -36,6 +36,20 @@ def test_finds_what_a_full_comparison_finds(spark):
             assert found.get(a.lower(), []) == best(a, known, top), a
 
 
+def test_name_search_keeps_its_plan_small_and_off_the_driver(spark):
+    """One plan over everything that the references were made from had 800,000 characters; broadcast names filled the driver."""
+    columns = spark.createDataFrame([("m", "fact_sales", "amount"), ("m", "dim_date", "day")], 'model string, `table` string, `column` string')
+    measures = spark.createDataFrame([("m", f"Measure {i}") for i in range(30)], "model string, measure string")
+    queries = spark.createDataFrame([("m", "q", "EVALUATE ROW(SUM(fact_sale[amount]), [Measure 31], fact_sales[amout])")], "model string, query_id string, text string")
+    errors = spark.createDataFrame([("m", "e", "Column 'amout' cannot be found; see 'fact_sales'.")], "model string, error_id string, message string")
+    checked, told = metadata.check_references(queries, columns, measures), metadata.suggest_from_error(errors, columns, measures)
+    for frame in (checked, told):
+        plan = frame._jdf.queryExecution().sparkPlan().toString()
+        assert len(plan) < 60_000 and "Broadcast" not in plan
+    assert {(r["kind"], r["name"], r["closest"]) for r in checked.collect()} == {("table", "fact_sale", "fact_sales"), ("column", "amout", "amount"), ("measure", "Measure 31", "Measure 3")}
+    assert [r["names"] for r in told.collect()] == [["amount"]]
+
+
 def test_null_scopes_and_a_low_cutoff(spark):
     one = spark.createDataFrame([(None, "amout"), ("t", "amout")], "t string, name string")
     two = spark.createDataFrame([(None, "amount")], "t string, candidate string")
