@@ -80,22 +80,35 @@ def evaluate_pairs(figures: DataFrame, pairs: DataFrame) -> DataFrame:
 
     ``pairs``: component, label, form (equality, ratio, sum, bound), inputs ARRAY<STRING>, target STRING,
     tolerance DOUBLE, percent BOOLEAN, min DOUBLE, max DOUBLE; ``inputs`` and ``target`` are figure keys.
-    A side that is missing, is text or divides by zero gives ``not_comparable`` with a note.
+    A side that is missing, is text or divides by zero gives ``not_comparable`` with a note. The figures of one capture travel
+    as one row, so no row is made per figure that a pair reads.
     """
-    captures = figures.select(*CAPTURE).distinct()
-    wide = captures.join(pairs, "component")
+    shape = ["label", "form", "tolerance", "percent", "min", "max", "_n"]
     wanted = F.when(F.col("target").isNull(), F.col("inputs")).otherwise(F.concat("inputs", F.array("target")))
-    reads = wide.withColumn("_n", F.size("inputs")).select("*", F.posexplode(wanted).alias("_i", "figure_key"))
-    values = reads.join(figures.select(*POINT, "value", "text"), POINT, "left")
+    reads = F.transform(wanted, lambda key, i: F.struct(i.alias("i"), key.alias("key")))
+    declared = pairs.withColumns({"_n": F.size("inputs"), "_reads": reads}).where(F.size("_reads") > 0)
+    # dealt by component once: grouping and the join find the rows where they are
+    declared = declared.repartition("component").groupBy("component", *shape).agg(F.flatten(F.collect_list("_reads")).alias("_reads"))
     number = F.when(~F.isnan("value"), F.col("value"))
-    unread = number.isNull()
-    is_part = F.col("_i") < F.col("_n")
-    shape = ["label", "form", "tolerance", "percent", "min", "max", "_n"]
-    out = values.groupBy(*CAPTURE, *shape).agg(
-        F.max(F.when(F.col("_i") == 0, number)).alias("first"), F.max(F.when(F.col("_i") == 1, number)).alias("second"),
-        F.sum(F.when(is_part, number)).alias("parts"), F.count_if(is_part & unread).alias("parts_missing"),
-        F.max(F.when(F.col("_i") == F.col("_n"), number)).alias("target"),
-        F.bool_or(unread & F.col("text").isNotNull() & (F.col("text") != "")).alias("text_only"))
+    shown = figures.repartition("component").groupBy(*CAPTURE).agg(F.collect_list(F.struct("figure_key", number.alias("number"), "text")).alias("_shown"))
+    wide = shown.join(shuffled(declared), "component")
+    nothing = F.array(F.struct(F.lit(None).cast("double").alias("number"), F.lit(None).cast("string").alias("text")))
+
+    def cells(read: Column) -> Column:
+        """What a capture shows under the key of ``read``; one empty cell if that is nothing."""
+        same = F.filter("_shown", lambda f: F.col("capture_ord").isNotNull() & (f["figure_key"] == read["key"]))
+        held = F.transform(same, lambda f: F.struct(f["number"], f["text"]))
+        return F.transform(F.when(F.size(held) > 0, held).otherwise(nothing), lambda c: F.struct(read["i"].alias("i"), c["number"].alias("number"), c["text"].alias("text")))
+
+    def numbers(test) -> Column:
+        return F.transform(F.filter("_cells", lambda c: test(c["i"]) & c["number"].isNotNull()), lambda c: c["number"])
+    summed = numbers(lambda i: i < F.col("_n"))
+    out = wide.withColumn("_cells", F.flatten(F.transform("_reads", cells))).select(
+        *CAPTURE, *shape, F.array_max(numbers(lambda i: i == 0)).alias("first"), F.array_max(numbers(lambda i: i == 1)).alias("second"),
+        F.when(F.size(summed) > 0, F.aggregate(summed, F.lit(0.0), lambda total, x: total + x)).alias("parts"),
+        F.size(F.filter("_cells", lambda c: (c["i"] < F.col("_n")) & c["number"].isNull())).alias("parts_missing"),
+        F.array_max(numbers(lambda i: i == F.col("_n"))).alias("target"),
+        F.exists("_cells", lambda c: c["number"].isNull() & c["text"].isNotNull() & (c["text"] != "")).alias("text_only"))
     form = F.col("form")
     factor = F.when(F.coalesce("percent", F.lit(False)), F.lit(100.0)).otherwise(F.lit(1.0))
     limit = F.coalesce("min", "max")
