@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,13 +25,13 @@ def maybe_in(keys: DataFrame, column: str, flags: int = FLAGS) -> Callable[[Colu
     """A bit set over hashes of the keys: a filter with false positives only, at most ``flags`` bits however many keys there are."""
     seen = keys.select(F.pmod(F.xxhash64(column), F.lit(flags)).cast("int").alias("f"))
     octets = seen.groupBy(F.shiftright("f", 3).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("f").bitwiseAND(F.lit(7)))).alias("bits"))
-    bits = bytearray(flags // 8)
-    for at, some in octets.collect():  # at most flags / 8 rows of two numbers
-        bits[at] = some
+    held = octets.toArrow()  # at most flags / 8 rows of two numbers, as columns: as Python rows they would take a hundred times the room
+    bits = np.zeros(flags // 8, np.uint8)
+    bits[held["at"].to_numpy()] = held["bits"].to_numpy()
 
     def test(key: Column | str) -> Column:
         f = F.pmod(F.xxhash64(key), F.lit(flags)).cast("int")
-        byte = F.ascii(F.decode(F.substring(F.lit(bytes(bits)), F.shiftright(f, 3) + 1, F.lit(1)), "ISO-8859-1"))
+        byte = F.ascii(F.decode(F.substring(F.lit(bits.tobytes()), F.shiftright(f, 3) + 1, F.lit(1)), "ISO-8859-1"))
         return F.getbit(byte, f.bitwiseAND(F.lit(7))) == 1
 
     return test

@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,10 +53,10 @@ def rarity(plain: DataFrame) -> Column:
     """One byte per bucket: how many words fall into it, as eighths of an octave."""
     each = plain.select(F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("w")).where("w != ''")
     counts = each.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    steps = bytearray(BUCKETS)
-    for b, c in counts.select("b", F.least(F.floor(F.log2("c") * 8), F.lit(255)).cast("int")).collect():  # at most BUCKETS rows of two numbers
-        steps[b] = c
-    return F.lit(bytes(steps))
+    held = counts.select("b", F.least(F.floor(F.log2("c") * 8), F.lit(255)).cast("int").alias("step")).toArrow()  # at most BUCKETS rows of two numbers
+    steps = np.zeros(BUCKETS, np.uint8)
+    steps[held["b"].to_numpy()] = held["step"].to_numpy()
+    return F.lit(steps.tobytes())
 
 
 def _ordered(hashes: Column, steps: Column) -> Column:
