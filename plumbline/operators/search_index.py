@@ -20,6 +20,7 @@ from plumbline.operators.text import kept_words, snippet, tokens
 from plumbline.session import stored
 
 TABLES = ("articles", "postings", "frequencies", "totals")
+SEGMENT = 8 << 20  # octets of text in a segment, about
 PUSHED = 200  # distinct query terms up to which the scan of the postings is told the terms themselves
 
 
@@ -40,8 +41,10 @@ def build(docs: DataFrame, folder: str) -> None:
         raise ValueError(f"an index needs one article per path; {wrong[0]['path']!r} has {wrong[0]['n']}")
     texts = {"title": F.col("title"), "summary": F.col("summary"), "labels": F.concat_ws(" ", "topics", "tags"), "body": F.col("body")}
     fields = F.array(*[F.struct(F.lit(name).alias("field"), F.coalesce(text, F.lit("")).alias("text")) for name, text in texts.items()])
-    # texts move once; counts and lengths are made where an article is
-    spread = articles.repartition("number").select("number", "topics", F.explode(fields).alias("f")).select("number", "topics", "f.*")
+    # texts move once; counts and lengths are made where an article is. A segment has a given size: Spark would measure it by its compressed
+    # texts, which take a hundredth of the room of their postings
+    room = articles.agg(F.sum(sum((F.coalesce(F.octet_length(text), F.lit(0)) for text in texts.values()), F.lit(0).cast("bigint"))).alias("octets")).first()["octets"] or 0
+    spread = articles.repartition(max(spark.sparkContext.defaultParallelism, -(-room // SEGMENT)), "number").select("number", "topics", F.explode(fields).alias("f")).select("number", "topics", "f.*")
     words = kept_words(spread, ["number", "topics", "field"], F.col("text"))
     counts = words.groupBy("number", "topics", "term").agg(*[F.count_if(F.col("field") == name).cast("int").alias(name) for name in texts])
     article = Window.partitionBy("number")

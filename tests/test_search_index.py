@@ -74,3 +74,10 @@ def test_postings_lie_in_sorted_segments(spark, folder):
     assert index.where("term = 'order'").selectExpr("sum(title + summary + labels + body) AS n").first()[0] == sum(words(" ".join(filter(None, [a[1], a[2], *(a[3] or []), *(a[4] or []), a[5]]))).count("order") for a in ARTICLES)
     for part in index.selectExpr("input_file_name() AS f", "term").toPandas().groupby("f"):
         assert part[1]["term"].is_monotonic_increasing
+
+
+def test_a_segment_has_a_given_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search_index, "SEGMENT", 2_000)
+    docs = spark.range(200).selectExpr("concat('p', id) AS path", "'t' AS title", "'s' AS summary", "array('a') AS topics", "array('b') AS tags", "repeat('word ', 20) AS body")
+    search_index.build(docs, f"{tmp_path}/index")
+    assert len(list((tmp_path / "index" / "postings").glob("part-*"))) >= 10
