@@ -12,7 +12,7 @@ from plumbline.functions import fixed_values as fixed
 from plumbline.functions.relational import attach
 from plumbline.functions.scalars import technical_token, term_pattern
 from plumbline.operators.running import running_sums
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, stored
 
 # --- redaction -------------------------------------------------------------------
 
@@ -188,14 +188,65 @@ def tfidf_search(docs: DataFrame, query: str, topic: str | None = None, k: int =
 def snippet(df: DataFrame, key: Sequence[str], text: str, terms: Sequence[str] | Column, width: int = 200) -> DataFrame:
     """The window of at most ``width`` characters that carries the most query terms; the first one wins.
 
-    ``terms`` are fixed, or an array column with the terms of each row. Words get their character offset; a range frame
-    over the offsets gives each start its window.
-    Meant for the few documents of a result list.
+    ``terms`` are fixed, or an array column with the terms of each row. A row is cut where it is read, in one walk over its words.
+    Rows that share their key are read as one text, word by word in turn; only they go through windows.
     """
-    body = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+", " "))
-    words = F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, " "))
+    again = _repeated(df, key)
     wanted = terms if isinstance(terms, Column) else F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-    rows = df.select(*key, wanted.alias("_terms"), F.posexplode(F.concat(words, F.array(F.lit(None).cast("string")))).alias("at", "word"))
+    told = attach(df.withColumn("_terms", wanted).select(*key, F.col(text).alias("_text"), "_terms"), again, key)
+    own = told.where("_c is null").select(*key, _normal("_text").alias("_body"), "_terms")
+    return own.select(*key, _window_of(F.col("_body"), F.col("_terms"), width).alias("snippet")).unionByName(
+        _shared_snippets(told.where("_c is not null").drop("_c"), key, width))
+
+
+def _repeated(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The keys of several rows with their number (``_c``), as a table: while they are few, no text moves to meet them."""
+    return stored(df.groupBy(*key).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1"))
+
+
+def _normal(text: str) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+", " "))
+
+
+def _window_of(body: Column, terms: Column, width: int) -> Column:
+    """The snippet of a text whose words stand one blank apart.
+
+    The best window begins at the first word from which the last hit of the fullest one is still within reach, so the walk keeps the
+    starts of the hits within reach of the latest one, the most that there were at once (``most``), and where that reach began (``at``).
+    """
+    bare = F.split(F.regexp_replace(F.lower(body), "[^a-z0-9 ]", ""), " ")
+    marked = F.zip_with(F.split(body, " "), bare, lambda word, b: F.struct(
+        (F.length(word) + 1).cast("bigint").alias("step"), F.coalesce(F.array_contains(terms, stem(b)), F.lit(False)).alias("hit")))
+
+    def state(here: Column, near: Column, most: Column, at: Column) -> Column:
+        return F.struct(here.alias("here"), near.alias("near"), most.alias("most"), at.alias("at"))
+
+    def walk(s: Column, word: Column) -> Column:
+        after = s["here"] + word["step"]
+        near = F.filter(F.concat(s["near"], F.array(s["here"])), lambda x: x >= after - width)
+        fuller = F.size(near) > s["most"]
+        met = state(after, near, F.greatest(F.size(near), s["most"]), F.when(fuller, F.greatest(after - width, F.lit(0).cast("bigint"))).otherwise(s["at"]))
+        return F.when(word["hit"], met).otherwise(state(after, s["near"], s["most"], s["at"]))
+    zero = F.lit(0).cast("bigint")
+    at = F.aggregate(marked, state(zero, F.array().cast("array<bigint>"), F.lit(0), zero), walk, lambda s: s["at"])
+
+    def cut(at: Column) -> Column:
+        start = F.when(at == 0, zero).otherwise(at - 1 + F.instr(F.substr(body, at), " "))
+        return F.get(F.transform(F.array(start), rest), F.lit(0))
+
+    def rest(start: Column) -> Column:
+        seen = F.substr(body, start + 1, F.lit(max(width, 0)))
+        whole = F.length(body) - start < width
+        piece = F.when(whole, seen).otherwise(F.regexp_extract(seen, "(?s)^(.*) ", 1))
+        return F.concat(F.when(start > 0, "… ").otherwise(""), piece, F.when(whole, "").otherwise(" …"))
+    return F.when(body == "", "").otherwise(F.get(F.transform(F.array(at), cut), F.lit(0)))
+
+
+def _shared_snippets(df: DataFrame, key: Sequence[str], width: int) -> DataFrame:
+    """Snippets of rows (key, _text, _terms) that share their key. A range frame over the offsets of their words gives each start its window."""
+    body = _normal("_text")
+    words = F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, " "))
+    rows = df.select(*key, "_terms", F.posexplode(F.concat(words, F.array(F.lit(None).cast("string")))).alias("at", "word"))
     bare = stem(F.regexp_replace(F.lower("word"), "[^a-z0-9]", ""))
     hit = F.coalesce(F.array_contains("_terms", bare), F.lit(False)).cast("int")
     inside = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
