@@ -128,7 +128,7 @@ def stem(token: Column) -> Column:
 def tokens(text: Column | str) -> Column:
     """Lower-case alphanumeric tokens longer than two characters, without stop words, lightly stemmed."""
     body = F.lower((F.col(text) if isinstance(text, str) else text).cast("string"))
-    kept = F.filter(F.regexp_extract_all(body, F.lit(r"[a-z0-9]+"), F.lit(0)), lambda t: (F.length(t) > 2) & ~t.isin(*fixed.STOPWORDS))
+    kept = F.filter(F.regexp_extract_all(body, F.lit(r"[a-z0-9]{3,}"), F.lit(0)), lambda t: ~t.isin(*fixed.STOPWORDS))
     return F.transform(kept, stem)
 
 
@@ -138,8 +138,8 @@ def tokenise(df: DataFrame, text: str, name: str = "tokens") -> DataFrame:
 
 def kept_words(df: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
     """One row per kept token (column ``term``). Exploding first keeps the per-token work in generated code."""
-    raw = df.select(*keys, F.explode(F.regexp_extract_all(F.lower(text.cast("string")), F.lit(r"[a-z0-9]+"), F.lit(0))).alias("term"))
-    return raw.where((F.length("term") > 2) & ~F.col("term").isin(*fixed.STOPWORDS)).withColumn("term", stem(F.col("term")))
+    raw = df.select(*keys, F.explode(F.regexp_extract_all(F.lower(text.cast("string")), F.lit(r"[a-z0-9]{3,}"), F.lit(0))).alias("term"))
+    return raw.where(~F.col("term").isin(*fixed.STOPWORDS)).withColumn("term", stem(F.col("term")))
 
 
 def keywords(df: DataFrame, key: Sequence[str], text: str, n: int = 20) -> DataFrame:
@@ -150,6 +150,17 @@ def keywords(df: DataFrame, key: Sequence[str], text: str, n: int = 20) -> DataF
     return counts.withColumns({"score": score, "rank": F.row_number().over(order)}).where(F.col("rank") <= n)
 
 
+def top_terms(text: Column, n: int = 20) -> Column:
+    """The terms that ``keywords`` gives for a text of its own, best first; empty for a null text."""
+    def counted(terms: Column) -> Column:
+        starts = F.filter(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("i"))), lambda x: (x["i"] == 0) | (F.get(terms, x["i"] - 1) != x["term"]))
+        return F.get(F.transform(F.array(starts), lambda found: F.transform(found, lambda x, j: F.struct(
+            x["term"], (F.coalesce(F.get(found, j + 1)["i"], F.size(terms)) - x["i"]).alias("tf")))), F.lit(0))
+    counts = F.get(F.transform(F.array(F.sort_array(tokens(text))), counted), F.lit(0))
+    ranked = F.sort_array(F.transform(counts, lambda c: F.struct((-(c["tf"] * (1 + F.ln(F.length(c["term"]).cast("double"))))).alias("low"), c["term"].alias("term"))))
+    return F.transform(F.slice(F.coalesce(ranked, F.array().cast("array<struct<low:double,term:string>>")), 1, n), lambda x: x["term"])
+
+
 def query_terms(spark, query: str) -> list[str]:
     return sorted(set(spark.range(1).select(tokens(F.lit(query)).alias("t")).first()["t"]))
 
@@ -315,12 +326,18 @@ def front_matter(df: DataFrame, text: str) -> DataFrame:
 
 
 def article_index(docs: DataFrame, key: str = "path", text: str = "text", n: int = 20) -> DataFrame:
-    """Index rows: header fields, top keywords and word count, newest first."""
-    parsed = front_matter(docs.select(key, text), text)
-    top = keywords(parsed, [key], "body", n).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("keywords"))
-    words = F.size(F.filter(F.split("body", r"(?U)\s+"), lambda w: w != "")).cast("bigint")
-    out = parsed.select(key, F.coalesce("title", F.regexp_extract(key, r"([^/]*?)(?:\.md)?$", 1)).alias("title"), "date", "topics", "tags", "summary", words.alias("words"))
-    return out.join(top, key, "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>"))).orderBy(F.desc("date"), F.desc(key))
+    """Index rows: header fields, top keywords and word count, newest first.
+
+    Terms are counted within the row of an article. Articles that share a key share their keywords, which are counted over all of them.
+    """
+    parsed = attach(front_matter(docs.select(key, text), text), _repeated(docs, [key]), [key])
+    shared = keywords(parsed.where("_c is not null"), [key], "body", n).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("_shared"))
+    own = F.when(F.col("_c").isNull() & F.col(key).isNotNull(), top_terms(F.col("body"), n))
+    words = F.regexp_count("body", F.lit(r"(?U)\S+")).cast("bigint")
+    out = parsed.select(key, F.coalesce("title", F.regexp_extract(key, r"([^/]*?)(?:\.md)?$", 1)).alias("title"), "date", "topics", "tags", "summary", words.alias("words"), own.alias("_own"))
+    out = out.join(shared, key, "left").withColumn("keywords", F.coalesce("_own", "_shared", F.array().cast("array<string>"))).drop("_own", "_shared")
+    # a sort reads its input twice, once to find its ranges: of these rows, not of the texts
+    return stored(out).orderBy(F.desc("date"), F.desc(key))
 
 
 def topic_counts(index: DataFrame, vocabulary: DataFrame, strict: bool = True) -> DataFrame:

@@ -36,3 +36,20 @@ def test_unshared_rows_go_through_no_window(spark):
 def test_snippets_of_shared_and_missing_keys(spark, rows):
     df = spark.createDataFrame([(1, "a term b"), (1, "a term b"), (None, "one term"), (2, "word")], "id int, text string")
     assert rows(t.snippet(df, ["id"], "text", ["term"], 100)) == [(1, "a term b"), (1, "a term b"), (2, "word"), (None, "one term")]
+
+
+def test_keywords_of_a_row_equal_those_over_rows(spark):
+    df = spark.createDataFrame(list(enumerate(_texts())), "id int, text string")
+    for n in (1, 3, 20):
+        slow = {}
+        for r in t.keywords(df, ["id"], "text", n).orderBy("id", "rank").collect():
+            slow.setdefault(r["id"], []).append(r["term"])
+        assert {r["id"]: r["top"] for r in df.select("id", t.top_terms(F.col("text"), n).alias("top")).collect()} == {i: slow.get(i, []) for i, _ in enumerate(_texts())}
+
+
+def test_article_index_counts_unshared_articles_in_their_row(spark):
+    df = spark.createDataFrame([("a.md", "---\ntitle: A\ndate: 2024-01-02\n---\nalpha alpha beta"), ("b.md", "gamma"), ("b.md", "delta gamma"), (None, "omega")], "path string, text string")
+    found = t.article_index(df)
+    got = [(r["path"], r["keywords"], r["words"]) for r in found.collect()]
+    assert got[0] == ("a.md", ["alpha", "beta"], 3) and sorted(got[1:], key=str) == sorted([("b.md", ["gamma", "delta"], 1), ("b.md", ["gamma", "delta"], 2), (None, [], 1)], key=str)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
