@@ -3,12 +3,14 @@
 A line is the set of its lower-cased words. Lines with equal sets collapse first, so that a line copied into
 a third of all documents is one row. Two sets with Jaccard similarity of at least ``threshold`` share a word among
 their rarest ones (prefix filter), so only the prefixes are joined, with length and positional filters inside
-the join, and a bit per word hash that bounds how much two sets can share; the surviving pairs are verified on the full sets. A line goes when an earlier line, by document and
+the join, and 128 parities of word hashes that bound how much two sets can share; the surviving pairs are verified on the full sets. A line goes when an earlier line, by document and
 line number, is as similar as that. Each distinct text under an id is a document of its own, named by the id and a hash of the text.
+Until they are verified, lines travel under their rank in that order.
 
 Families of many similar lines would make the join emit all their pairs, though one earlier match is enough for a
 line to go. So every line is first compared with the earliest line that shares two neighbours among its three rarest words; lines
-that go by this look for no further match in the join, where they still count as earlier lines.
+that go by this look for no further match in the join, where they still count as earlier lines. Of the pairs that the join
+finds, a later line is first verified with the earlier one whose parities are nearest, and with the others only if that fails.
 
 Rarity comes from exact counts over all words, taken per hash bucket in steps of an eighth of an octave: the order stays
 one total order over words, which is all that exactness needs, and the table of ``BUCKETS`` bytes has a fixed size.
@@ -24,6 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.relational import shuffled
 from plumbline.llm.graph import maybe_in, stored
 from plumbline.llm.words import has_word, lines, texts
 
@@ -77,21 +80,21 @@ def _least(n: Column, t: Fraction) -> Column:
     return F.floor((n * t.numerator + (t.denominator - 1)) / F.lit(t.denominator)).cast("int")
 
 
-def _confirmed(pairs: DataFrame, plain: DataFrame, t: Fraction) -> DataFrame:
-    """The later lines ``y`` of pairs (x, y) that reach the threshold on their full sets.
+def _confirmed(pairs: DataFrame, kinds: DataFrame, plain: DataFrame, t: Fraction) -> DataFrame:
+    """Ranks of the later lines ``y`` of pairs (x, y) that reach the threshold on their full sets.
 
     Lines travel as texts, which take less room than the hashes of their words; only lines of pairs are hashed.
     """
-    members = pairs.select(F.explode(F.array("x", "y")).alias("line")).distinct()
+    members = stored(pairs.select(F.explode(F.array("x", "y")).alias("rank")).distinct().join(shuffled(kinds.select("rank", "line")), "rank"))
     inside = plain.where(maybe_in(members.select(F.col("line.doc_id").alias("doc")), "doc")("doc_id"))
     again = inside.select("doc_id", F.posexplode(lines(F.col("text"))).alias("line_no", "body")).where(has_word(F.col("body")))
     full = again.select(F.struct("doc_id", "line_no").alias("line"), "body").where(maybe_in(members, "line", LINE_FLAGS)("line"))
-    whole = members.join(full, "line").dropDuplicates(["line"])
-    x, y = (whole.select(F.col("line").alias(c), F.col("body").alias(f"{c}_body")) for c in "xy")
-    met = pairs.join(x, "x").join(y, "y").select("y", _hashes(F.col("x_body")).alias("a"), _hashes(F.col("y_body")).alias("b"))
+    whole = shuffled(members).join(full, "line").dropDuplicates(["line"])
+    x, y = (whole.select(F.col("rank").alias(c), F.col("body").alias(f"{c}_body")) for c in "xy")
+    met = shuffled(pairs).join(x, "x").join(shuffled(y), "y").select("y", _hashes(F.col("x_body")).alias("a"), _hashes(F.col("y_body")).alias("b"))
     sized = met.select("y", F.size("a").alias("n1"), F.size("b").alias("n2"), F.size(F.array_intersect("a", "b")).alias("both"))
     alike = F.col("both") * t.denominator >= (F.col("n1") + F.col("n2") - F.col("both")) * t.numerator
-    return sized.where(alike).select(F.col("y").alias("line")).distinct()
+    return sized.where(alike).select(F.col("y").alias("rank")).distinct()
 
 
 def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: str = "0.8") -> DataFrame:
@@ -107,46 +110,55 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     each = plain.select("doc_id", F.posexplode(lines(F.col("text"))).alias("line_no", "body")).where(has_word(F.col("body")))
     sets = each.select("doc_id", "line_no", _ordered(_hashes(F.col("body")), steps).alias("tokens"))
     n = F.size("tokens")
+    def parities(half: int) -> Column:
+        """64 of the 128 parities: bit i tells whether an odd number of words fall on it."""
+        def one(k: Column) -> Column:
+            upper = F.shiftright(k, 6).bitwiseAND(F.lit(1))
+            return F.call_function("shiftleft", upper if half else F.lit(1) - upper, k.bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate("tokens", F.lit(0).cast("bigint"), lambda bits, k: bits.bitwiseXOR(one(k)))
     heads = sets.select(
         F.xxhash64("tokens").alias("m1"), F.xxhash64(F.lit(1), "tokens", n).alias("m2"), F.struct("doc_id", "line_no").alias("line"), n.alias("n"),
         F.transform(F.slice("tokens", 1, n - _least(n, t) + 1), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
-        F.aggregate("tokens", F.lit(0).cast("bigint"), lambda bits, k: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int")))).alias("bits"))
-    same = heads.groupBy("m1", "m2").agg(F.min("line").alias("line"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits")])
-    kinds = stored(same.select("line", "n", "prefix", "bits"))
+        parities(0).alias("low"), parities(1).alias("high"))
+    same = heads.groupBy("m1", "m2").agg(F.min("line").alias("line"), *[F.first(c).alias(c) for c in ("n", "prefix", "low", "high")])
+    kinds = stored(same.select("line", "n", "prefix", "low", "high").orderBy("line").withColumn("rank", F.monotonically_increasing_id()))
 
-    def could_share(n1: Column, bits1: Column, n2: Column, bits2: Column) -> Column:
-        """The sets differ in at least one word for every bit that differs; that leaves room for the overlap they need."""
-        return n1 + n2 - F.bit_count(bits1.bitwiseXOR(bits2)) >= 2 * _least(n1 + n2, t / (1 + t))
+    def differ(a: str, b: str) -> Column:
+        """The sets of two lines differ in at least one word for every parity that differs."""
+        return F.bit_count(F.col(f"{a}low").bitwiseXOR(F.col(f"{b}low"))) + F.bit_count(F.col(f"{a}high").bitwiseXOR(F.col(f"{b}high")))
+
+    def could_share(n1: Column, n2: Column, a: str, b: str) -> Column:
+        """What differs at least leaves room for the overlap that the sets need."""
+        return n1 + n2 - differ(a, b) >= 2 * _least(n1 + n2, t / (1 + t))
 
     # a smaller set resembles none but itself: one word more on the other side is too many already
     least = math.ceil(t / (1 - t)) if t < 1 else 1 << 30
     p = F.col("prefix")
     twos = F.array(*[F.xxhash64(F.get(p, F.lit(i)), F.get(p, F.lit(j))) for i, j in ((0, 1), (1, 2))])
-    star = kinds.where(F.col("n") >= least).select(F.col("line.doc_id.id").alias("id"), F.col("line.doc_id.mark").alias("mark"), F.col("line.line_no").alias("line_no"), "n", "bits", F.explode(F.array_distinct(F.when(F.size(p) < 2, F.array(F.xxhash64(F.get(p, F.lit(0))))).when(F.size(p) < 3, F.slice(twos, 1, 1)).otherwise(twos))).alias("two"))
-    firsts = star.groupBy("two").agg(F.min(F.struct("id", "mark", "line_no", "n", "bits")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("two", "first")
+    star = kinds.where(F.col("n") >= least).select("rank", "n", "low", "high", F.explode(F.array_distinct(F.when(F.size(p) < 2, F.array(F.xxhash64(F.get(p, F.lit(0))))).when(F.size(p) < 3, F.slice(twos, 1, 1)).otherwise(twos))).alias("two"))
+    firsts = star.groupBy("two").agg(F.min(F.struct("rank", "n", "low", "high")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("two", "first")
     close = F.col("first.n") * t.denominator >= F.col("n") * t.numerator
     close &= F.col("n") * t.denominator >= F.col("first.n") * t.numerator
-    close &= could_share(F.col("n"), F.col("bits"), F.col("first.n"), F.col("first.bits"))
-    other = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")) & (F.col("line_no") == F.col("first.line_no")))
-    def place(of: str = "") -> Column:
-        return F.struct(_document(F.col(f"{of}id"), F.col(f"{of}mark")).alias("doc_id"), F.col(f"{of}line_no").alias("line_no"))
-    beside = star.join(firsts, "two").where(other & close).select(place("first.").alias("x"), place().alias("y")).distinct()
-    gone = stored(_confirmed(stored(beside), plain, t))
-
-    posted = kinds.where(F.col("n") >= least).join(gone.withColumn("gone", F.lit(True)), "line", "left")
+    close &= could_share(F.col("n"), F.col("first.n"), "", "first.")
+    beside = star.join(firsts, "two").where((F.col("rank") != F.col("first.rank")) & close).select(F.col("first.rank").alias("x"), F.col("rank").alias("y")).distinct()
+    gone = stored(_confirmed(stored(beside), kinds, plain, t))
+
+    posted = kinds.where(F.col("n") >= least).join(shuffled(gone.withColumn("gone", F.lit(True))), "rank", "left")
     # lines that go already have a negative size, which no later line of a pair may have: nothing to filter on one side alone, so
     # both sides of the join read one and the same shuffle
-    posted = posted.select(F.posexplode("prefix").alias("at", "token"), F.col("line.doc_id.id").alias("id"), F.col("line.doc_id.mark").alias("mark"), F.col("line.line_no").alias("line_no"),
-                           F.when(F.col("gone"), -F.col("n")).otherwise(F.col("n")).alias("n"), "bits")
+    posted = posted.select(F.posexplode("prefix").alias("at", "token"), "rank", F.when(F.col("gone"), -F.col("n")).otherwise(F.col("n")).alias("n"), "low", "high")
     a, b = posted.alias("a"), posted.alias("b")
     an, bn, ai, bi = F.abs("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at")
     near = (
-        (F.col("a.token") == F.col("b.token")) & (F.struct("a.id", "a.mark", "a.line_no") < F.struct("b.id", "b.mark", "b.line_no"))
+        (F.col("a.token") == F.col("b.token")) & (F.col("a.rank") < F.col("b.rank"))
         & (F.least(an, bn) >= _least(F.greatest(an, bn), t)) & (F.least(an - ai, bn - bi) >= _least(an + bn, t / (1 + t)))
-        & could_share(an, F.col("a.bits"), bn, F.col("b.bits")))
-    pairs = stored(a.join(b, near).select(place("a.").alias("x"), place("b.").alias("y")).distinct())
-    later = gone.union(_confirmed(pairs, plain, t))
-    kept = kinds.select("line").join(later, "line", "left_anti")
+        & could_share(an, bn, "a.", "b."))
+    pairs = stored(a.join(b, near).select(F.col("a.rank").alias("x"), F.col("b.rank").alias("y"), differ("a.", "b.").alias("apart")).distinct())
+    nearest = stored(pairs.groupBy("y").agg(F.min(F.struct("apart", "x")).alias("one")).select("one.x", "y"))
+    gone = stored(gone.union(_confirmed(nearest, kinds, plain, t)))
+    others = pairs.select("x", "y").join(shuffled(gone.withColumnRenamed("rank", "y")), "y", "left_anti").join(shuffled(nearest), ["x", "y"], "left_anti")
+    later = gone.union(_confirmed(stored(others), kinds, plain, t))
+    kept = kinds.select("rank", "line").join(shuffled(later), "rank", "left_anti")
     return kept.select(F.col("line.doc_id.id").alias("doc_id"), F.col("line.doc_id.mark").alias("mark"), F.col("line.line_no").alias("line_no"))
 
 
