@@ -8,7 +8,8 @@ the threshold, and every link is confirmed on the full sets.
 
 Documents with equal sets are one node from the start. In a bucket all members are compared with one pivot,
 the one that shares most bands; only buckets whose members are still in different components afterwards are compared among themselves, in tiles
-of a fixed number of sketches, and again only what the likelihood lets through is confirmed.
+of bounded size. A tile holds the full sets of its members, so what the likelihood lets through is confirmed where it is found, and a
+tile tells no more links than join its components: a family just below the threshold leaves no pairs behind.
 
 Chance of missing a pair at exactly 0.8: no common band (1 - 0.8^6)^48 < 1e-6, estimate six standard
 deviations low 1e-9, for pairs with a pivot as inside families; it falls fast above, and a missed pair matters only
@@ -34,6 +35,7 @@ BAND, BANDS = 6, 48
 REGISTERS = BAND * BANDS
 DEVIATIONS = 6  # what a pair may be estimated below the threshold
 TILE = 1024
+TILE_HASHES = 1 << 20  # shingles of one side of a tile, on average
 FAN = 256
 WORDS = 300_000  # cached word hashes of a worker
 
@@ -195,9 +197,35 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rules: Rules)
     return rows.mapInArrow(run, "x bigint, y bigint, both bigint, linked boolean").distinct()
 
 
+def _sets(members: DataFrame, nodes: DataFrame, docs: DataFrame, rules: Rules) -> DataFrame:
+    """``node, n, registers, hashes`` of the nodes of ``members``, with their full sets as bytes."""
+    words = rules.words
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
+    named = cut_lineage(wanted.select("node", _name().alias("key"), "mark", "n", "registers"))
+    held = docs.where(maybe_in(named, "key")(_name())).select(_name().alias("key"), "text").dropDuplicates(["key"])
+    rows = named.join(held, "key").select("node", "n", "registers", "mark", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingles(t, words) for t in b.column("text").to_pylist()]
+            good = pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest() == m for h, m in zip(found, b.column("mark").to_pylist())], pa.bool_())
+            sets = pa.array([h.tobytes() for h in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([c.filter(good) for c in (b.column("node"), b.column("n"), b.column("registers"), sets)], ["node", "n", "registers", "hashes"])
+
+    return rows.mapInArrow(run, "node bigint, n bigint, registers binary, hashes binary")
+
+
+def _numbered(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The sets one after another with their hashes numbered from 0, and where each starts."""
+    starts = np.concatenate([[0], np.cumsum([len(x) // 8 for x in sets])])
+    return np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)[1], starts
+
+
 def _across(members: DataFrame, nodes: DataFrame, rules: Rules) -> DataFrame:
     """Likely pairs between different components of one bucket, from tiles of at most about 2 * ``TILE`` sketches.
 
+    Where ``nodes`` has the full sets (``hashes``), the pairs are links confirmed on them, at most as many as join the components of a tile.
+
     Insiders share the pivot's component, and no two of them are compared, so they are not copied for each other:
     every block of insiders meets every block of outsiders, and blocks of outsiders meet among themselves.
     ``shared`` is the size of a member's intersection with the pivot, where that was counted: two members share no more
@@ -206,8 +234,10 @@ def _across(members: DataFrame, nodes: DataFrame, rules: Rules) -> DataFrame:
     """
     floor, percent = _floor(rules.percent), rules.percent
     inside = (F.col("component") == F.col("home")).cast("int")
-    sized = members.groupBy("key").agg(F.sum(inside).alias("n_in"), F.sum(1 - inside).alias("n_out"))
-    blocks = [F.greatest(F.ceil(F.col(c) / F.lit(TILE)), F.lit(1)).cast("int") for c in ("n_in", "n_out")]
+    exact = "hashes" in nodes.columns
+    held = members.join(nodes.select("node", "n"), "node")
+    sized = held.groupBy("key").agg(F.sum(inside).alias("n_in"), F.sum(1 - inside).alias("n_out"), F.sum(inside * F.col("n")).alias("h_in"), F.sum((1 - inside) * F.col("n")).alias("h_out"))
+    blocks = [F.greatest(F.ceil(F.col(f"n_{c}") / F.lit(TILE)), F.ceil(F.col(f"h_{c}") / F.lit(TILE_HASHES)), F.lit(1)).cast("int") for c in ("in", "out")]
     dealt = members.join(sized, "key").select("key", "band", "node", "component", "pivot", F.coalesce("shared", F.lit(-1)).alias("shared"), (inside == 1).alias("inside"), blocks[0].alias("ins"), blocks[1].alias("outs"))
     own = F.when(F.col("inside"), F.pmod(F.hash("node"), F.col("ins"))).otherwise(F.pmod(F.hash("node"), F.col("outs")))
     def tile(kind: int, i: Column, j: Column) -> Column:
@@ -217,7 +247,7 @@ def _across(members: DataFrame, nodes: DataFrame, rules: Rules) -> DataFrame:
     among = F.filter(each("outs", lambda j: tile(1, F.least("own", j), F.greatest("own", j))), lambda t: t["i"] != t["j"])
     tiles = F.when(F.col("inside"), each("outs", lambda j: tile(0, F.col("own"), j))).otherwise(F.concat(each("ins", lambda i: tile(0, i, F.col("own"))), among))
     tiled = dealt.withColumn("own", own).select("key", "band", "node", "component", "pivot", "shared", "inside", "own", F.inline(tiles))
-    rows = tiled.join(nodes.select("node", "n", "registers"), "node")
+    rows = tiled.join(nodes.select("node", "n", "registers", *(["hashes"] if exact else [])), "node")
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         _, kind, i, _ = (k.as_py() for k in key)
@@ -225,6 +255,9 @@ def _across(members: DataFrame, nodes: DataFrame, rules: Rules) -> DataFrame:
         inner, c, band = group.column("inside").to_numpy(), group.column("shared").to_numpy(), group.column("band")[0].as_py()
         regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint8).reshape(-1, REGISTERS)
         xs, ys = [], []
+        if exact:
+            comp, (words, at) = comp.copy(), _numbered(group.column("hashes").to_pylist())
+            own_words = np.zeros(int(words.max()) + 1, bool)
         for a in np.flatnonzero(~inner):
             partner = (inner & (node != pivot)) if i else (inner & (node != pivot)) | (~inner & (node > node[a]))
             if kind:
@@ -239,6 +272,15 @@ def _across(members: DataFrame, nodes: DataFrame, rules: Rules) -> DataFrame:
             if len(rest):
                 more, less = (regs[a] > regs[rest]).sum(axis=1), (regs[a] < regs[rest]).sum(axis=1)
                 good = rest[estimate(more, less, np.full(len(rest), float(n[a])), n[rest].astype(float)) >= floor]
+                if exact and len(good):
+                    own_words[words[at[a]:at[a + 1]]] = True
+                    both = np.array([np.count_nonzero(own_words[words[at[r]:at[r + 1]]]) for r in good])
+                    own_words[words[at[a]:at[a + 1]]] = False
+                    good = good[100 * both >= percent * (n[a] + n[good] - both)]
+                    # one link to each component that it joins; they are one from here on
+                    reached, first = np.unique(comp[good], return_index=True)
+                    good = good[first]
+                    comp[np.isin(comp, reached)] = comp[a]
                 xs += np.minimum(node[a], node[good]).tolist()
                 ys += np.maximum(node[a], node[good]).tolist()
         return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
@@ -274,9 +316,10 @@ def _placed(docs: DataFrame, key: str, text: str, rules: Rules) -> DataFrame:
     home = placed.where("node = pivot").select("key", F.col("component").alias("home"))
     counted = tested.select(F.col("x").alias("pivot"), F.col("y").alias("node"), F.col("both").alias("shared"))
     open_members = placed.join(split, "key").join(home, "key").join(counted, ["pivot", "node"], "left")
-    more = cut_lineage(_across(open_members, nodes, rules))
+    open_members = cut_lineage(open_members)
+    more = cut_lineage(_across(open_members, cut_lineage(_sets(open_members, nodes, docs, rules)), rules))
     if not more.isEmpty():
-        labels = components(links.union(_confirm(more, nodes, docs, rules).where("linked").select("x", "y")))
+        labels = components(links.union(more))
 
     named = nodes.select("node", "mark", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
