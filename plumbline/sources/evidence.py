@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import sha256_hex
 from plumbline.operators.text import front_matter
 
+WHOLE = 1 << 30  # longest file that is read as one row
+CHUNK = 8 << 20
 
 #: Parsed statements that write although they are no commands yet.
 WRITING_NODES = ("InsertIntoStatement", "CacheTable", "UncacheTable", "CreateTable", "CreateTableAsSelect", "ReplaceTable", "ReplaceTableAsSelect", "InsertIntoDir")
@@ -151,10 +155,38 @@ def scan_articles(spark: SparkSession, path: str) -> DataFrame:
     return front_matter(files, "text")
 
 
-def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """sha256 of every file below a path. Files are read whole, one per row, spread over the executors."""
+def _read_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """sha256 of files (path, length), ``CHUNK`` bytes in memory at a time."""
+    import hashlib
+    from urllib.parse import quote
+
+    from pyarrow import fs
+    for batch in batches:
+        out = []
+        for path, length in zip(*(batch.column(c).to_pylist() for c in ("path", "length"))):
+            local = re.match(r"file:/*(/.*)", path, re.S)
+            system, name = (fs.LocalFileSystem(), local.group(1)) if local else fs.FileSystem.from_uri(quote(path, safe="/:@"))
+            digest, seen = hashlib.sha256(), 0
+            with system.open_input_stream(name, buffer_size=0, compression=None) as file:
+                while body := file.read(CHUNK):
+                    digest.update(body)
+                    seen += len(body)
+            if seen != length:
+                raise OSError(f"{path} has {seen} bytes instead of {length}")
+            out.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(out, pa.string())], ["path", "length", "sha256"])
+
+
+def fingerprint(spark: SparkSession, path: str, whole_bytes: int = WHOLE) -> DataFrame:
+    """sha256 of every file below a path, spread over the executors.
+
+    Files of up to ``whole_bytes`` are read as rows by Spark, which has a limit of 2 GB a row; longer ones are read piece by piece through the file systems
+    of pyarrow. The digest is a chain over the whole file, so the bytes of one file pass through one task however long it is.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "length", sha256_hex("content").alias("sha256"))
+    short = files.where(F.col("length") <= whole_bytes).select("path", "length", sha256_hex("content").alias("sha256"))
+    long = files.where(F.col("length") > whole_bytes).select("path", "length")
+    return short.unionByName(long.mapInArrow(_read_through, "path string, length bigint, sha256 string"))
 
 
 def verify_fingerprint(now: DataFrame, sealed: DataFrame) -> DataFrame:
