@@ -6,7 +6,8 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.session import cut_lineage, shared_folder
@@ -21,6 +22,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def table_of(spark: SparkSession, octets: np.ndarray) -> Column:
+    """A table of bytes as one value. As a literal its digits would stand in every description of a plan that Spark's driver makes and keeps."""
+    return spark.createDataFrame(pa.table({"octets": pa.array([octets.tobytes()], pa.binary())})).scalar()
+
+
 def maybe_in(keys: DataFrame, column: str, flags: int = FLAGS) -> Callable[[Column | str], Column]:
     """A bit set over hashes of the keys: a filter with false positives only, at most ``flags`` bits however many keys there are."""
     seen = keys.select(F.pmod(F.xxhash64(column), F.lit(flags)).cast("int").alias("f"))
@@ -28,10 +34,11 @@ def maybe_in(keys: DataFrame, column: str, flags: int = FLAGS) -> Callable[[Colu
     held = octets.toArrow()  # at most flags / 8 rows of two numbers, as columns: as Python rows they would take a hundred times the room
     bits = np.zeros(flags // 8, np.uint8)
     bits[held["at"].to_numpy()] = held["bits"].to_numpy()
+    octet = table_of(keys.sparkSession, bits)
 
     def test(key: Column | str) -> Column:
         f = F.pmod(F.xxhash64(key), F.lit(flags)).cast("int")
-        byte = F.ascii(F.decode(F.substring(F.lit(bits.tobytes()), F.shiftright(f, 3) + 1, F.lit(1)), "ISO-8859-1"))
+        byte = F.ascii(F.decode(F.substring(octet, F.shiftright(f, 3) + 1, F.lit(1)), "ISO-8859-1"))
         return F.getbit(byte, f.bitwiseAND(F.lit(7))) == 1
 
     return test

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.relational import shuffled
-from plumbline.llm.graph import maybe_in, stored
+from plumbline.llm.graph import maybe_in, stored, table_of
 from plumbline.llm.words import has_word, lines, texts
 
 BUCKET_BITS = 19
@@ -59,7 +59,7 @@ def rarity(plain: DataFrame) -> Column:
     held = counts.select("b", F.least(F.floor(F.log2("c") * 8), F.lit(255)).cast("int").alias("step")).toArrow()  # at most BUCKETS rows of two numbers
     steps = np.zeros(BUCKETS, np.uint8)
     steps[held["b"].to_numpy()] = held["step"].to_numpy()
-    return F.lit(steps.tobytes())
+    return table_of(plain.sparkSession, steps)
 
 
 def _ordered(hashes: Column, steps: Column) -> Column:
@@ -106,9 +106,8 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     """
     t = Fraction(threshold)
     plain = texts(docs, key, text).select(_document(F.col("doc_id"), F.xxhash64("text")).alias("doc_id"), _plain(F.col("text")).alias("text"))
-    steps = rarity(plain)
     each = plain.select("doc_id", F.posexplode(lines(F.col("text"))).alias("line_no", "body")).where(has_word(F.col("body")))
-    sets = each.select("doc_id", "line_no", _ordered(_hashes(F.col("body")), steps).alias("tokens"))
+    sets = each.withColumn("steps", rarity(plain)).select("doc_id", "line_no", _ordered(_hashes(F.col("body")), F.col("steps")).alias("tokens"))
     n = F.size("tokens")
     def parities(half: int) -> Column:
         """64 of the 128 parities: bit i tells whether an odd number of words fall on it."""
@@ -135,7 +134,10 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     least = math.ceil(t / (1 - t)) if t < 1 else 1 << 30
     p = F.col("prefix")
     twos = F.array(*[F.xxhash64(F.get(p, F.lit(i)), F.get(p, F.lit(j))) for i, j in ((0, 1), (1, 2))])
-    star = kinds.where(F.col("n") >= least).select("rank", "n", "low", "high", F.explode(F.array_distinct(F.when(F.size(p) < 2, F.array(F.xxhash64(F.get(p, F.lit(0))))).when(F.size(p) < 3, F.slice(twos, 1, 1)).otherwise(twos))).alias("two"))
+    # the smallest and the largest hash of a prefix are those of another one as often as the two have words in common
+    ends = F.array(F.xxhash64(F.array_min(p), F.lit(0)), F.xxhash64(F.array_max(p), F.lit(1)))
+    keys = F.when(F.size(p) < 2, F.array(F.xxhash64(F.get(p, F.lit(0))))).when(F.size(p) < 3, F.concat(F.slice(twos, 1, 1), ends)).otherwise(F.concat(twos, ends))
+    star = kinds.where(F.col("n") >= least).select("rank", "n", "low", "high", F.explode(F.array_distinct(keys)).alias("two"))
     firsts = star.groupBy("two").agg(F.min(F.struct("rank", "n", "low", "high")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("two", "first")
     close = F.col("first.n") * t.denominator >= F.col("n") * t.numerator
     close &= F.col("n") * t.denominator >= F.col("first.n") * t.numerator
@@ -146,11 +148,13 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     posted = kinds.where(F.col("n") >= least).join(shuffled(gone.withColumn("gone", F.lit(True))), "rank", "left")
     # lines that go already have a negative size, which no later line of a pair may have: nothing to filter on one side alone, so
     # both sides of the join read one and the same shuffle
-    posted = posted.select(F.posexplode("prefix").alias("at", "token"), "rank", F.when(F.col("gone"), -F.col("n")).otherwise(F.col("n")).alias("n"), "low", "high")
+    posted = posted.select(F.posexplode("prefix").alias("at", "token"), "prefix", "rank", F.when(F.col("gone"), -F.col("n")).otherwise(F.col("n")).alias("n"), "low", "high")
+    # two lines that share the word before as well met there already, with more room for the overlap: a run of shared words gives one row
+    posted = posted.select("at", "token", F.get("prefix", F.col("at") - 1).alias("before"), "rank", "n", "low", "high")
     a, b = posted.alias("a"), posted.alias("b")
     an, bn, ai, bi = F.abs("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at")
     near = (
-        (F.col("a.token") == F.col("b.token")) & (F.col("a.rank") < F.col("b.rank"))
+        (F.col("a.token") == F.col("b.token")) & (F.col("a.rank") < F.col("b.rank")) & ~F.coalesce(F.col("a.before") == F.col("b.before"), F.lit(False))
         & (F.least(an, bn) >= _least(F.greatest(an, bn), t)) & (F.least(an - ai, bn - bi) >= _least(an + bn, t / (1 + t)))
         & could_share(an, bn, "a.", "b."))
     pairs = stored(a.join(b, near).select(F.col("a.rank").alias("x"), F.col("b.rank").alias("y"), differ("a.", "b.").alias("apart")).distinct())
