@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from plumbline.functions.relational import shuffled
 from plumbline.llm.graph import stored
 
 PIVOTS = 64
@@ -200,7 +201,7 @@ def _found(asks: DataFrame, blocks: DataFrame, cones: Cones, width: int, k: int,
         f"names array<bigint>, slots array<int>, ids array<{kind}>, labels array<bigint>, pivots array<int>, sames array<boolean>, lows array<bigint>, "
         "highs array<bigint>, floors array<double>, x binary, meets array<struct<pivot:int,salt:int>>"))
     sent = packed.select(F.explode("meets").alias("m"), F.struct(*[c for c in packed.columns if c != "meets"]).alias("asks")).select("m.pivot", "m.salt", "asks")
-    met = sent.join(blocks, ["pivot", "salt"]).select("pivot", "asks", "ids", "labels", "xs")
+    met = shuffled(sent).join(shuffled(blocks), ["pivot", "salt"]).select("pivot", "asks", "ids", "labels", "xs")
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,7 +232,7 @@ def _nearest(asks: DataFrame, blocks: DataFrame, cones: Cones, width: int, k: in
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     near = stored(top(_found(asks, blocks, cones, width, k, own=True)))
     kth = near.where(F.col("rank") == k).select(F.col("name").alias("_n"), F.col("slot").alias("_s"), F.col("score").cast("double").alias("_f"))
-    raised = asks.join(kth, (F.col("name") == F.col("_n")) & (F.col("slot") == F.col("_s")), "left").withColumn("floor", F.greatest("floor", F.coalesce("_f", "floor"))).drop("_n", "_s", "_f")
+    raised = asks.join(shuffled(kth), (F.col("name") == F.col("_n")) & (F.col("slot") == F.col("_s")), "left").withColumn("floor", F.greatest("floor", F.coalesce("_f", "floor"))).drop("_n", "_s", "_f")
     far = _found(stored(raised), blocks, cones, width, k, own=False)
     return top(near.drop("rank").unionByName(far))
 
@@ -270,9 +271,9 @@ def mine(vectors: DataFrame, anchors: Column, key: str = "vec_id", vector: str =
     least = F.ceil(F.col("score").cast("decimal(20,0)") * settings.low / 100).cast("bigint")
     most = F.floor(F.col("score").cast("decimal(20,0)") * settings.high / 100).cast("bigint")
     windows = positives.select("name", F.col("rank").alias("slot"), least.alias("low"), most.alias("high")).where("low <= high")
-    second = stored(windows.join(chosen, "name").select("*", F.lit(False).alias("same"), F.col("low").cast("double").alias("floor")))
+    second = stored(windows.join(shuffled(chosen), "name").select("*", F.lit(False).alias("same"), F.col("low").cast("double").alias("floor")))
     negatives = _nearest(second, blocks, cones, width, settings.negatives).withColumnRenamed("slot", "_slot")
     told = positives.select(F.col("name").alias("_name"), F.col("rank").alias("slot"), F.col("other").alias("positive_id"), F.col("score").alias("positive_score"))
     named = chosen.select(F.col("name").alias("_anchor"), F.col("id").alias("anchor_id"))
-    both = negatives.join(told, (F.col("name") == F.col("_name")) & (F.col("_slot") == F.col("slot"))).join(named, F.col("name") == F.col("_anchor"))
+    both = negatives.join(shuffled(told), (F.col("name") == F.col("_name")) & (F.col("_slot") == F.col("slot"))).join(shuffled(named), F.col("name") == F.col("_anchor"))
     return both.select("anchor_id", "positive_id", "rank", F.col("other").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

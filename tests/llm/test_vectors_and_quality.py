@@ -187,6 +187,17 @@ def test_fewer_rows_than_asked_and_none(spark):
         assert mined(spark, rows) == plain_negatives(rows, lambda i: i % 10 == 0, hard_negatives.Settings())
 
 
+def test_no_join_sends_a_table_through_the_driver(spark):
+    """Packed anchors are far larger than the files they come from, by which Spark would broadcast them."""
+    dice = np.random.default_rng(12)
+    rows = [(i, dice.normal(size=6).tolist(), i % 3) for i in range(300)]
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")
+    try:
+        assert mined(spark, rows) == plain_negatives(rows, lambda i: i % 10 == 0, hard_negatives.Settings())
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
 def test_the_walk_stops_early():
     dice = np.random.default_rng(11)
     x = np.concatenate([dice.normal(size=(2000, 6)) * 20 + [500, 0, 0, 0, 0, 0], dice.normal(size=(2000, 6)) * 20 + [0, 500, 0, 0, 0, 0]]).round()
