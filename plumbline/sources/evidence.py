@@ -7,14 +7,20 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.relational import shuffled
 from plumbline.functions.scalars import sha256_hex
 from plumbline.operators.text import front_matter
 
-WHOLE = 1 << 30  # longest file that is read as one row
+WHOLE = 16 << 20  # longest file that is read as one row
 CHUNK = 8 << 20
+LONGEST_ROW = 1 << 30  # the same for files that Spark's text reader would unpack
+
+#: Names of files that Spark's text reader unpacks.
+PACKED = r"\.(gz|deflate|bz2|lz4|snappy|zst|passthrough)$"
+MARK = b"\xef\xbb\xbf"  # the text reader leaves it out at the start of a file
 
 #: Parsed statements that write although they are no commands yet.
 WRITING_NODES = ("InsertIntoStatement", "CacheTable", "UncacheTable", "CreateTable", "CreateTableAsSelect", "ReplaceTable", "ReplaceTableAsSelect", "InsertIntoDir")
@@ -177,16 +183,72 @@ def _read_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(out, pa.string())], ["path", "length", "sha256"])
 
 
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """sha256 of files from their lines (uri, length, value), which come file by file and in order."""
+    import hashlib
+
+    import pyarrow.compute as pc
+
+    def told() -> pa.RecordBatch:
+        left = length - seen  # a line end, a byte order mark, or both
+        if left not in (0, 1, 3, 4):
+            raise OSError(f"{uri} has {seen} bytes in lines instead of {length}")
+        digest = digests[left >= 3]
+        digest.update(b"\n" if left in (1, 4) else b"")
+        return pa.RecordBatch.from_arrays([pa.array([uri], pa.string()), pa.array([digest.hexdigest()], pa.string())], ["uri", "sha256"])
+
+    uri = None
+    for batch in batches:
+        runs, start = pc.run_end_encode(batch.column("uri")), 0
+        for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+            body = b"\n".join(batch.column("value").slice(start, end - start).to_pylist())
+            if name == uri:
+                body = b"\n" + body
+            else:
+                if uri is not None:
+                    yield told()
+                uri, length, seen, digests = name, batch.column("length")[start].as_py(), 0, (hashlib.sha256(), hashlib.sha256(MARK))
+            for digest in digests:
+                digest.update(body)
+            seen, start = seen + len(body), end
+    if uri is not None:
+        yield told()
+
+
+def _by_lines(spark: SparkSession, path: str, files: DataFrame, chosen: Column) -> DataFrame:
+    """sha256 of the chosen files (uri, path, length) through Spark's text reader, which splits them at line ends whatever bytes they hold.
+
+    The lines of a file meet in one task, in order; a task holds some of them, the longest line at least.
+    """
+    lines = spark.read.text(path, lineSep="\n", recursiveFileLookup=True).where(chosen).select(
+        F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_size").alias("length"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("position"),
+        F.col("value").cast("binary").alias("value"))
+    ordered = lines.repartition("uri").sortWithinPartitions("uri", "block", "position").select("uri", "length", "value")
+    digests = ordered.mapInArrow(_chain, "uri string, sha256 string")
+    missing = F.raise_error(F.concat("path", F.lit(" has no lines"))).cast("string")
+    return files.join(shuffled(digests), "uri", "left").select("path", "length", F.coalesce("sha256", missing).alias("sha256"))
+
+
 def fingerprint(spark: SparkSession, path: str, whole_bytes: int = WHOLE) -> DataFrame:
     """sha256 of every file below a path, spread over the executors.
 
-    Files of up to ``whole_bytes`` are read as rows by Spark, which has a limit of 2 GB a row; longer ones are read piece by piece through the file systems
-    of pyarrow. The digest is a chain over the whole file, so the bytes of one file pass through one task however long it is.
+    Files of up to ``whole_bytes`` are read as rows by Spark. Longer ones are read piece by piece: files of a machine's own file system by pyarrow, others
+    as lines by Spark's text reader, so a line can be as long as a row (2 GB). Packed files (by their names), which that reader would unpack, are rows of up to
+    1 GB and pass through pyarrow beyond. The digest is a chain over the whole file, so the bytes of one file pass through one task however long it is.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    short = files.where(F.col("length") <= whole_bytes).select("path", "length", sha256_hex("content").alias("sha256"))
-    long = files.where(F.col("length") > whole_bytes).select("path", "length")
-    return short.unionByName(long.mapInArrow(_read_through, "path string, length bigint, sha256 string"))
+    through = "path string, length bigint, sha256 string"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file":
+        short = F.col("length") <= whole_bytes
+        long = files.where(~short).select("path", "length").mapInArrow(_read_through, through)
+    else:
+        whole_bytes = max(whole_bytes, len(MARK))  # nothing but a mark has no line
+        size, packed = F.col("_metadata.file_size"), F.col("_metadata.file_name").rlike(PACKED)  # by these Spark leaves out files before it opens them
+        short = size <= F.when(packed, F.lit(max(whole_bytes, LONGEST_ROW))).otherwise(F.lit(whole_bytes))
+        long = _by_lines(spark, path, files.where(~short & ~packed).select(F.col("_metadata.file_path").alias("uri"), "path", "length"), ~short & ~packed)
+        long = long.unionByName(files.where(~short & packed).select("path", "length").mapInArrow(_read_through, through))
+    return files.where(short).select("path", "length", sha256_hex("content").alias("sha256")).unionByName(long)
 
 
 def verify_fingerprint(now: DataFrame, sealed: DataFrame) -> DataFrame:
